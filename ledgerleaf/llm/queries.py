@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import bpe
+from ledgerleaf.llm import bpe, mixing, sharding
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -15,11 +15,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of near-equal bytes by longest-processing-time scheduling of equal texts."""
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), 40)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of sources takes of each document, by Pareto order sampling."""
+    mix = mixing.take(_table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: ids of the byte-level BPE and the bytes decoded from them, as digests."""
     return bpe.digests(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
-QUERIES = {"op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op4_shards": op4_shards, "op6_mixing": op6_mixing, "op9_byte_bpe": op9_byte_bpe}
 
 ORACLES: dict[str, str] = {}
