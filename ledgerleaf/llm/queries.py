@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import bpe, mixing, sharding
+from ledgerleaf.llm import bpe, language_id, mixing, quality_rules, sharding
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -15,6 +15,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and risk-controlled cutoffs of every document; strata are languages."""
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by hyperdimensional profiles."""
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of near-equal bytes by longest-processing-time scheduling of equal texts."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 40)
@@ -31,6 +41,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
-QUERIES = {"op4_shards": op4_shards, "op6_mixing": op6_mixing, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op6_mixing": op6_mixing, "op9_byte_bpe": op9_byte_bpe}
 
 ORACLES: dict[str, str] = {}
