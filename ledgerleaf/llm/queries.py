@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import bpe, language_id, mixing, quality_rules, sharding
+from ledgerleaf.llm import bpe, language_id, mixing, quality_rules, sharding, telephony
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -36,11 +36,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as telephony audio, read back, expanded and resampled."""
+    return telephony.media_report(telephony.store(_table(spark, sf_dir, "documents")))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: ids of the byte-level BPE and the bytes decoded from them, as digests."""
     return bpe.digests(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op6_mixing": op6_mixing, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op9_byte_bpe": op9_byte_bpe}
 
 ORACLES: dict[str, str] = {}
