@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import bpe, language_id, mixing, quality_rules, sharding, telephony
+from ledgerleaf.llm import bpe, language_id, mixing, pii, quality_rules, sharding, telephony
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -30,6 +30,11 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 40)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document by weak supervision."""
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix of sources takes of each document, by Pareto order sampling."""
     mix = mixing.take(_table(spark, sf_dir, "documents"))
@@ -46,6 +51,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op9_byte_bpe": op9_byte_bpe}
 
 ORACLES: dict[str, str] = {}
