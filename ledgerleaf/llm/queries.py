@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import bpe, language_id, mixing, pii, quality_rules, sharding, telephony
+from ledgerleaf.llm import bpe, language_id, minhash, mixing, pii, quality_rules, sharding, telephony
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -51,6 +51,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op9_byte_bpe": op9_byte_bpe}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of all documents: 3-word shingles, similarity of 85 % or more."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), 3, 85)
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op9_byte_bpe": op9_byte_bpe, "op10_minhash": op10_minhash}
 
 ORACLES: dict[str, str] = {}
