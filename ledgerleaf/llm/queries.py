@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import bpe, language_id, minhash, mixing, pii, quality_rules, sharding, telephony
+from ledgerleaf.llm import bpe, html_extract, language_id, minhash, mixing, pii, quality_rules, sharding, telephony
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -20,6 +20,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by nearest-URL differencing."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by hyperdimensional profiles."""
     return language_id.identify(_table(spark, sf_dir, "documents"))
@@ -56,6 +61,6 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), 3, 85)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op9_byte_bpe": op9_byte_bpe, "op10_minhash": op10_minhash}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_html_extract": op2_html_extract, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op9_byte_bpe": op9_byte_bpe, "op10_minhash": op10_minhash}
 
 ORACLES: dict[str, str] = {}
