@@ -25,7 +25,7 @@ MOST = 2
 #: Documents of fewer words count as fragments and get half the preference of the others.
 FRAGMENT_WORDS = 50
 #: Bins of the ranking over all documents of a source; only one bin of a source is ordered row by row.
-BINS = 65_536
+BINS = 2_048
 
 
 def words(text: Column) -> Column:
@@ -67,74 +67,88 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     )
 
 
-def take(docs: DataFrame, seed: str = "mix", keep: list[str] | None = None, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """``doc_id, size, source_size, target, copies, taken`` and the columns named in ``keep``, a row a document.
-
-    Sources are compared by code point, null being a source of its own and the last. A null or empty text
-    has size 0 and takes nothing. Repeated rows share ``u`` and are ordered by id and size. An empty table
-    gives an empty result. The mix depends on ids, sizes and sources alone, so reruns agree.
-    """
-    keep = keep or []
-    rows = saved(docs.select("doc_id", "source", words(F.col("text")).alias("size"), *keep))
-    short = F.col("size") < FRAGMENT_WORDS
-    sizes = rows.groupBy("source").agg(
-        F.sum("size").alias("source_size"),
-        F.sum(F.when(short, F.col("size")).otherwise(0)).alias("short_size"),
-    )
-    # wanted copies of other documents: 2 * rate up to the most, of fragments: rate
-    long_size = F.col("source_size") - F.col("short_size")
-    rate = F.try_divide(F.col("target"), 2 * long_size + F.col("short_size"))
-    long_copies = F.when(long_size == 0, F.lit(0.0)).otherwise(F.least(F.lit(float(most)), 2 * rate))
-    rest = F.try_divide(F.col("target") - F.lit(most) * long_size, F.col("short_size"))
-    short_copies = F.when(F.col("short_size") == 0, F.lit(0.0)).otherwise(F.least(F.lit(float(most)), F.greatest(rate, F.coalesce(rest, F.lit(0.0)))))
-    plan = targets(sizes, weights, share, most).select(
+def _copies(plan: DataFrame, most: int) -> DataFrame:
+    """Wanted copies of a source's documents and of its fragments, which meet the target together."""
+    others = F.col("source_size") - F.col("short_size")
+    rate = F.coalesce(F.try_divide(F.col("target"), 2 * others + F.col("short_size")), F.lit(0.0))
+    # where the others are at the most, the fragments take what is left
+    rest = F.coalesce(F.try_divide(F.col("target") - F.lit(most) * others, F.col("short_size")), F.lit(0.0))
+    return plan.select(
         F.struct("source").alias("of"), "source_size", "target",
-        F.coalesce(long_copies, F.lit(0.0)).alias("long_copies"), F.coalesce(short_copies, F.lit(0.0)).alias("short_copies"),
+        F.least(F.lit(float(most)), 2 * rate).alias("other_copies"),
+        F.least(F.lit(float(most)), F.greatest(rate, rest)).alias("short_copies"),
     )
+
+
+def _ranked(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+    """Add ``whole`` copies and the rank ``q`` (null where nothing is left to chance) with its ``bin``."""
     u = uniform(F.col("doc_id"), seed)
-    drawn = (
+    wanted = F.when(F.col("size") < FRAGMENT_WORDS, F.col("short_copies")).otherwise(F.col("other_copies"))
+    return (
         rows.withColumn("of", F.struct("source"))
         .join(plan, "of")
-        .withColumn("wanted", F.when(short, F.col("short_copies")).otherwise(F.col("long_copies")))
-        .withColumn("whole", F.floor("wanted"))
-        .withColumn("p", F.when(F.col("size") > 0, F.col("wanted") - F.col("whole")).otherwise(0.0))
+        .withColumn("whole", F.floor(wanted))
+        .withColumn("p", F.when(F.col("size") > 0, wanted - F.col("whole")).otherwise(0.0))
         .withColumn("q", F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
         .withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS))
-        .drop("long_copies", "short_copies", "wanted", "p")
+        .drop("other_copies", "short_copies", "p")
     )
-    # words that the certain copies leave of the target, and the words before each bin
-    left = F.col("target") - F.col("whole_words")
-    certain = drawn.groupBy("of").agg(F.sum(F.col("whole") * F.col("size")).alias("whole_words"), F.first("target").alias("target"))
-    bins = drawn.where("q is not null").groupBy("of", "bin").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("of").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _cuts(ranked: DataFrame) -> DataFrame:
+    """Per source the bin in which its target is reached, and the last row that is taken of that bin."""
+    certain = ranked.groupBy("of").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("left"))
+    bins = ranked.where("q is not null").groupBy("of", "bin").agg(F.sum("size").alias("words"))
+    earlier = Window.partitionBy("of").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
-        bins.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-        .join(certain.select("of", left.alias("left")), "of")
-        .where((F.col("before") <= F.col("left")))
+        bins.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+        .join(certain, "of")
+        .where("before <= left")
         .groupBy("of")
         .agg(F.max("bin").alias("cut_bin"), F.max_by("before", "bin").alias("cut_before"), F.first("left").alias("left"))
     )
-    marked = drawn.join(cut, "of", "left")
-    ordered = Window.partitionBy("of").orderBy("q", "doc_id", "size")
-    edge = marked.where("bin = cut_bin").withColumn("so_far", F.col("cut_before") + F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = edge.withColumn("extra", (F.col("so_far") - F.col("size") / 2.0 <= F.col("left")).cast("long")).drop("so_far")
-    others = marked.where("bin is null or cut_bin is null or bin <> cut_bin").withColumn("extra", F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(False)).cast("long"))
-    return others.unionByName(edge).select(
-        "doc_id", "size", "source_size", "target",
-        (F.col("whole") + F.col("extra")).cast("long").alias("copies"),
-        ((F.col("whole") + F.col("extra")) * F.col("size")).cast("long").alias("taken"),
-        *keep,
+    cut = saved(cut)
+    upto = Window.partitionBy("of").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    last = (
+        ranked.join(cut, "of")
+        .where("bin = cut_bin")
+        .withColumn("so_far", F.col("cut_before") + F.sum("size").over(upto))
+        .where(F.col("so_far") - F.col("size") / 2.0 <= F.col("left"))
+        .groupBy("of")
+        .agg(F.max(F.struct("q", "doc_id", "size")).alias("last"))
     )
+    return cut.select("of", "cut_bin").join(last, "of", "left")
 
 
-def mixed_rows(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, rows of 0 words left out, columns unchanged."""
-    names = docs.columns
-    packed = docs.select(
-        "doc_id", "source", "text",
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+def take(docs: DataFrame, seed: str = "mix", keep: list[str] | None = None, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """``doc_id, size, source_size, target, copies, taken`` and the columns named in ``keep``, a row a document.
+
+    Sources are compared by code point, null being a source of its own and the last. A null or empty text
+    has size 0 and takes nothing. Repeated rows are taken alike. An empty table gives an empty result. The
+    mix depends on ids, sizes and sources alone, so reruns agree.
+
+    Sums, bins and cuts are found on ids, sources and sizes; the two tables of a row a source are written, so
+    that Spark sees their size before it chooses how to join them. ``keep`` columns pass through one map.
+    """
+    keep = keep or []
+    wide = docs.select("doc_id", "source", words(F.col("text")).alias("size"), *keep)
+    rows = saved(wide.select("doc_id", "source", "size"))
+    sizes = rows.groupBy("source").agg(
+        F.sum("size").alias("source_size"),
+        F.sum(F.when(F.col("size") < FRAGMENT_WORDS, F.col("size")).otherwise(0)).alias("short_size"),
     )
-    taken = take(packed, seed, ["row"], **options)
-    return taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
+    plan = saved(_copies(targets(sizes, weights, share, most), most))
+    cuts = saved(_cuts(_ranked(rows, plan, seed)))
+    drawn = _ranked(wide if keep else rows, plan, seed).join(cuts, "of", "left")
+    at_cut = (F.col("bin") == F.col("cut_bin")) & (F.struct("q", "doc_id", "size") <= F.col("last"))
+    extra = F.coalesce((F.col("bin") < F.col("cut_bin")) | at_cut, F.lit(False)).cast("long")
+    copies = (F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0)).cast("long")
+    return drawn.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
 
+def mixed_rows(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, rows of 0 words left out, columns unchanged."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    taken = take(docs.select("doc_id", "source", "text", row), seed, ["row"], **options)
+    each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return taken.where("copies > 0").select("row", each).select("row.*")
