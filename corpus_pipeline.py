@@ -1,25 +1,62 @@
-"""A corpus pipeline of the ``llm`` operators."""
+"""A corpus pipeline of five ``llm`` operators: rate, drop near copies, redact, mix, encode.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written and read again as the
+next stage's ``docs``. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import bpe
+from ledgerleaf.llm import bpe, minhash, mixing, ordinal, pii
+from ledgerleaf.llm.common import saved
 from ledgerleaf.llm.queries import PATTERN, RANKS
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the top grade is high enough; texts without a word go."""
+    model = ordinal.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return ordinal.rate(docs, model, docs.columns).where("kept").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity of 80 % or more."""
+    names = docs.columns
+    found = minhash.near_duplicates(docs, 5, 80)
+    gone = saved(found.where("not kept").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*names)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; all rows stay."""
+    return pii.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix of sources takes them."""
+    return mixing.mixed_rows(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every kept document and the digest of the decoded bytes."""
+    """Byte-level BPE ids of every row, as digests, and of the bytes decoded from them."""
     return bpe.digests(docs, RANKS, PATTERN)
 
 
-STAGES = [("byte-level BPE", tokens)]
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", one_of_each_group),
+    ("PII", redacted),
+    ("mixing sources to target weights", mixed),
+    ("byte-level BPE", tokens),
+]
 
+#: The stages' models and searches can't be put in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each on what the one before has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

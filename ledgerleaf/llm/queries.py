@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import bpe, html_extract, language_id, minhash, mixing, pii, quality_rules, sharding, telephony
+from ledgerleaf.llm import bpe, html_extract, language_id, minhash, mixing, ordinal, pii, quality_rules, sharding, telephony
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -51,6 +51,11 @@ def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_report(telephony.store(_table(spark, sf_dir, "documents")))
 
 
+def op8_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, probability of the top grade and verdict of every document."""
+    return ordinal.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: ids of the byte-level BPE and the bytes decoded from them, as digests."""
     return bpe.digests(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
@@ -61,6 +66,6 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), 3, 85)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_html_extract": op2_html_extract, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op9_byte_bpe": op9_byte_bpe, "op10_minhash": op10_minhash}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_html_extract": op2_html_extract, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op8_ordinal": op8_ordinal, "op9_byte_bpe": op9_byte_bpe, "op10_minhash": op10_minhash}
 
 ORACLES: dict[str, str] = {}
