@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # 1. stars
     close = 100 * F.least("n", F.col("first.n")) >= percent * F.greatest("n", F.col("first.n"))
     stars = saved(members.where((F.col("node") != F.col("first.node")) & close).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
-    sets = saved(full_sets(docs, stars.select(F.explode(F.array("a", "b")).alias("node")), size))
+    # the texts are dealt by id once, for both steps: sets of the classes that share a bucket
+    sets = saved(full_sets(docs, members.select("node"), size))
     inter = F.size(F.array_intersect("x", "y"))
     verified = (
         stars.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
@@ -285,7 +286,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                 yield from g.select([*by_key, "node"]).filter(pa.array(hit)).to_batches()
 
     screened = saved(blocked.repartition(*by_key).sortWithinPartitions(*by_key).mapInArrow(screen, "bucket bigint, i int, j int, node bigint"))
-    more_sets = full_sets(docs, screened, size)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             pairs = forest(_lists(g["members"]), percent)
             yield pa.RecordBatch.from_arrays([pa.array(node[[x for x, _ in pairs]], pa.int64()), pa.array(node[[y for _, y in pairs]], pa.int64())], names=["a", "b"])
 
-    more = saved(screened.join(more_sets, "node").repartition(*by_key).sortWithinPartitions(*by_key).mapInArrow(verify, "a bigint, b bigint").where("a <> b").distinct())
+    more = saved(screened.join(sets, "node").repartition(*by_key).sortWithinPartitions(*by_key).mapInArrow(verify, "a bigint, b bigint").where("a <> b").distinct())
     final = saved(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
     return (
         base.select("doc_id", "n_shingles", "digest")
