@@ -6,7 +6,7 @@ import functools
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Word boundary between ASCII word characters, as the patterns mean it; Java's ``\\b`` also sees accented letters.
@@ -68,6 +68,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, columns: dict[str, Column], condition: Column | str | None = None) -> DataFrame:
+    """``df`` with costly columns, filtered on them, each evaluated once a row.
+
+    A filter on a projection is otherwise pushed below it, with a copy of the expressions; a row number in
+    the same projection keeps it above.
+    """
+    rows = df.withColumns({**columns, "_row": F.monotonically_increasing_id()})
+    test = F.expr(condition) if isinstance(condition, str) else F.lit(True) if condition is None else condition
+    return rows.where(test & (F.col("_row") >= 0)).drop("_row")
+
+
 def has(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     return text.rlike(java(pattern, ignore_case))
 

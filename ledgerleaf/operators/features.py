@@ -22,6 +22,7 @@ from ledgerleaf.functions.rules import (
     java,
     matches,
     may_match,
+    once,
 )
 from ledgerleaf.functions.text import clip_snippet, collapse_whitespace, normalize_for_evidence
 
@@ -49,10 +50,10 @@ def block_counts(blocks: DataFrame) -> DataFrame:
         return F.struct(F.lit(part).alias("part"), (n if possible is None else F.when(possible, n).otherwise(0)).alias("n"))
 
     page_key = F.coalesce(F.col("page").cast("string"), F.concat(F.lit("block-"), F.col("block_idx").cast("string")))
-    rows = blocks.withColumn("lower", F.lower("text")).withColumn("counts", F.array(*[count(F.col("lower"), k, p) for k, p in _PARTS.items()]))
-    quotable = normalize_for_evidence(F.col("text")) != ""
-    rows = rows.select("report_id", "block_idx", page_key.alias("page_key"), F.filter("counts", lambda c: c["n"] > 0).alias("hits"), "text")
-    return rows.where(F.size("hits") > 0).select("report_id", "block_idx", "page_key", "hits", quotable.alias("quotable"))
+    rows = blocks.select("report_id", "block_idx", page_key.alias("page_key"), "text", F.lower("text").alias("lower"))
+    counts = F.array(*[count(F.col("lower"), k, p) for k, p in _PARTS.items()])
+    rows = once(rows, {"hits": F.filter(counts, lambda c: c["n"] > 0)}, "size(hits) > 0")
+    return rows.select("report_id", "block_idx", "page_key", "hits", (normalize_for_evidence(F.col("text")) != "").alias("quotable"))
 
 
 def count_features(blocks: DataFrame) -> DataFrame:
@@ -133,23 +134,28 @@ def quote_candidates(blocks: DataFrame) -> DataFrame:
     context = F.array_join(F.array_compact(F.array(F.when(same("before"), F.col("before.text")), F.col("text"), F.when(same("after"), F.col("after.text")))), "\n\n")
 
     def hit_of(key: str, pattern: str, quotes: int):
-        p = F.lit(java(pattern, key != "data_tables"))
+        p, possible = F.lit(java(pattern, key != "data_tables")), may_match(F.col("lower"), pattern)
         at, size = F.regexp_instr("text", p) - 1, F.length(F.regexp_substr("text", p))
-        return F.when(has(F.col("text"), pattern, key != "data_tables"), F.struct(F.lit(key).alias("feature_key"), F.lit(3 * quotes).alias("cap"), at.alias("at"), size.alias("size")))
+        found = has(F.col("text"), pattern, key != "data_tables")
+        return F.when(found if possible is None else possible & found, F.struct(F.lit(key).alias("feature_key"), F.lit(3 * quotes).alias("cap"), at.alias("at"), size.alias("size")))
 
     hit = [hit_of(*rule) for rule in feature_rules()]
     second = hit_of("_second", SCOPE3_PATTERNS[1], QUOTES_DEFAULT)
-    found = wide.withColumn("context", context).select("report_id", "block_idx", "page", "heading", "text", "context", F.inline(F.array_compact(F.array(*hit, second))))
+    rows = wide.select("report_id", "block_idx", "page", "heading", "text", context.alias("context"), F.lower("text").alias("lower"))
+    rows = once(rows, {"hits": F.array_compact(F.array(*hit, second))}, "size(hits) > 0")
+    found = rows.select("report_id", "block_idx", "page", "heading", "text", "context", F.inline("hits"))
     # the second pattern of the composite rule counts where the first has no match in the report
     firsts = F.max((F.col("feature_key") == SCOPE3_RULE).cast("int")).over(Window.partitionBy("report_id"))
     found = found.withColumn("has_first", firsts).where("feature_key <> '_second' or has_first = 0")
     found = found.withColumn("feature_key", F.when(F.col("feature_key") == "_second", SCOPE3_RULE).otherwise(F.col("feature_key")))
-    long = found.where(F.length("text") > 2 * QUOTE_CHARS).withColumn("quote", long_block_snippet(F.col("text"), F.col("at"), F.col("size")))
-    short = found.where(F.length("text") <= 2 * QUOTE_CHARS).withColumn("quote", clip_snippet(F.col("context"), QUOTE_CHARS, 3))
-    quotes = short.unionByName(long).where("quote <> ''").withColumn("prefix", F.substring(collapse_whitespace(F.col("quote")), 1, PREFIX_CHARS))
-    once = F.row_number().over(Window.partitionBy("report_id", "feature_key", "prefix").orderBy("block_idx"))
+    # a block's quote is the same for every rule it matches, unless the block is long
+    quoted = clip_snippet(F.col("context"), QUOTE_CHARS, 3)
+    short = once(found.where(F.length("text") <= 2 * QUOTE_CHARS), {"quote": quoted}, "quote <> ''")
+    long = found.where(F.length("text") > 2 * QUOTE_CHARS).withColumn("quote", long_block_snippet(F.col("text"), F.col("at"), F.col("size"))).where("quote <> ''")
+    quotes = short.unionByName(long).withColumn("prefix", F.substring(collapse_whitespace(F.col("quote")), 1, PREFIX_CHARS))
+    repeat = F.row_number().over(Window.partitionBy("report_id", "feature_key", "prefix").orderBy("block_idx"))
     order = F.row_number().over(Window.partitionBy("report_id", "feature_key").orderBy("block_idx"))
-    kept = quotes.withColumn("once", once).where("once = 1").withColumn("nth", order).where("nth <= cap")
+    kept = quotes.withColumn("repeat", repeat).where("repeat = 1").withColumn("nth", order).where("nth <= cap")
     return kept.select("report_id", "feature_key", "block_idx", "page", "heading", F.col("quote").alias("text"), quote_quality(F.col("quote"), F.col("page")).alias("quality"))
 
 

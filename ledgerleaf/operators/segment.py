@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ledgerleaf.functions.rules import once
 from ledgerleaf.functions.text import (
     BLANKS,
     collapse_whitespace,
@@ -191,24 +192,19 @@ def build_blocks(pages: DataFrame) -> DataFrame:
         .withColumn("para", F.sum(F.col("breaks").cast("int")).over(page))
         .withColumn("heading", F.coalesce(collapse_whitespace(F.last("head", ignorenulls=True).over(page)), collapse_whitespace(F.col("title"))))
     )
-    joined = trim_space(F.regexp_replace(line, rf"{BLANKS}+", " "))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "joined"))), lambda x: x["joined"])
-    texts = (
-        rows.where("is_text").withColumn("joined", joined)
-        .groupBy("report_id", "page_seq", "para")
+    # an item is a group of its own, a paragraph the text lines between two breaks
+    piece = trim_space(F.regexp_replace(F.coalesce("item", line), rf"{BLANKS}+", " "))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "piece"))), lambda x: x["piece"])
+    groups = (
+        rows.where("is_text or item is not null").withColumn("piece", piece).withColumn("is_item", F.col("item").isNotNull())
+        .groupBy("report_id", "page_seq", "para", "is_item")
         .agg(F.min("line_no").alias("line_no"), F.first("page").alias("page"), F.min_by("heading", "line_no").alias("heading"), F.array_join(ordered, _WRAP).alias("joined"))
-        .select("report_id", "page_seq", "page", "line_no", "heading", F.lit("paragraph").alias("kind"), normalize_for_evidence(join_wrapped(F.col("joined"))).alias("text"))
-        .where("length(text) >= 8")
-    )
-    item = normalize_for_evidence(trim_space(F.regexp_replace("item", rf"{BLANKS}+", " ")))
-    items = (
-        rows.where("item is not null")
-        .select("report_id", "page_seq", "page", "line_no", "heading", F.lit("list").alias("kind"), item.alias("text"))
-        .where("length(text) >= 6")
-        .withColumn("text", F.concat(F.lit("- "), "text"))
     )
+    least = F.when(F.col("is_item"), 6).otherwise(8)
+    cleaned = once(groups, {"clean": normalize_for_evidence(join_wrapped(F.col("joined")))}, F.length("clean") >= least)
+    kinds = cleaned.select("report_id", "page_seq", "page", "line_no", "heading", F.when(F.col("is_item"), "list").otherwise("paragraph").alias("kind"), F.when(F.col("is_item"), F.concat(F.lit("- "), "clean")).otherwise(F.col("clean")).alias("text"))
     order = Window.partitionBy("report_id").orderBy("page_seq", "line_no")
-    numbered = texts.unionByName(items).withColumn("block_idx", F.row_number().over(order) - 1)
+    numbered = kinds.withColumn("block_idx", F.row_number().over(order) - 1)
     return numbered.select("report_id", "block_idx", "kind", "page_seq", "page", "heading", "text")
 
 

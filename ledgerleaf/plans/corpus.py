@@ -74,3 +74,58 @@ def seeded_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(page, title, line, F.lit("\n\n"), phrase, F.lit("\n"))
 
     return docs.select(F.concat(F.lit("report-"), d.cast("string")).alias("report_id"), "doc_id", F.array_join(F.transform(lines, piece), "").alias("text"))
+
+
+_VALUES = ", ".join(f"({i}, '{p}')" for i, p in enumerate(PHRASES))
+#: Pages of three phrases, 1 to 12 a report, for rules whose counts SQL can check.
+PHRASE_PAGES_SQL = f"""
+WITH phrases AS (SELECT * FROM (VALUES {_VALUES}) AS t(phrase_no, phrase)),
+  numbers AS (SELECT * FROM (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) AS t(page))
+SELECT concat('report-', cast(d.doc_id AS string)) AS report_id, d.doc_id, n.page, concat(a.phrase, '. ', b.phrase, '. ', c.phrase, '. ', d.lang) AS text
+FROM documents d JOIN numbers n ON n.page <= 1 + d.doc_id % 12
+JOIN phrases a ON a.phrase_no = (7 * d.doc_id + 3 * n.page) % {len(PHRASES)}
+JOIN phrases b ON b.phrase_no = (5 * d.doc_id + n.page) % {len(PHRASES)}
+JOIN phrases c ON c.phrase_no = (d.doc_id + 11 * n.page) % {len(PHRASES)}
+"""
+
+#: Uploads: a fifth of the catalogue again with some nulls, and as many new ids.
+UPLOADS_SQL = """
+SELECT report_id, concat(company, ' Ltd') AS company, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE sector END AS sector, country, year, report_key FROM catalogue WHERE doc_id % 5 = 0
+UNION ALL
+SELECT concat('report-', cast(doc_id + 10000 AS string)) AS report_id, company, sector, country, year, report_key FROM catalogue WHERE doc_id % 5 = 1
+"""
+
+#: Issue predictions of three chunks a document.
+PREDICTIONS_SQL = """
+SELECT concat('report-', cast(doc_id AS string)) AS k, chunk, (doc_id * 3 + chunk * 5) % 26 AS issue_no, ((doc_id * 17 + chunk * 31) % 64) / 64.0E0 AS score
+FROM documents CROSS JOIN (VALUES (0), (1), (2), (3)) AS t(chunk)
+"""
+
+#: Entities of four classes; text in changing case, so that some repeat.
+ENTITIES_SQL = """
+SELECT concat('report-', cast(doc_id AS string)) AS report_id, cast(chunk AS int) AS chunk_index, cast(doc_id % 2 AS int) AS position,
+  CASE (doc_id + chunk) % 4 WHEN 0 THEN 'ghg_emissions' WHEN 1 THEN 'water' WHEN 2 THEN 'social_metric' ELSE 'regulatory' END AS extraction_class,
+  CASE WHEN chunk % 2 = 0 THEN upper(concat('figure ', cast(doc_id % 7 AS string))) ELSE concat('figure ', cast(doc_id % 7 AS string)) END AS extraction_text,
+  CASE (doc_id + chunk) % 4 WHEN 2 THEN 'S' WHEN 3 THEN 'G' ELSE 'E' END AS pillar
+FROM documents CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS t(chunk)
+"""
+
+
+def phrase_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view(spark, sf_dir, "documents")
+    return spark.sql(PHRASE_PAGES_SQL)
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalogue(spark, sf_dir).createOrReplaceTempView("catalogue")
+    return spark.sql(UPLOADS_SQL)
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view(spark, sf_dir, "documents")
+    return spark.sql(PREDICTIONS_SQL)
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view(spark, sf_dir, "documents")
+    return spark.sql(ENTITIES_SQL)
