@@ -7,6 +7,7 @@ next stage's ``docs``. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerleaf.llm import bpe, minhash, mixing, ordinal, pii
 from ledgerleaf.llm.common import saved
@@ -16,7 +17,8 @@ from ledgerleaf.llm.queries import PATTERN, RANKS
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the top grade is high enough; texts without a word go."""
     model = ordinal.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return ordinal.rate(docs, model, docs.columns).where("kept").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return ordinal.rate(docs.select(row, "text"), model, ["row"]).where("kept").select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
