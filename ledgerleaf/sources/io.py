@@ -62,7 +62,7 @@ def read_upload_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_markdown_corpus(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
     """``report_key, text``: a markdown file a report, its key from its path below ``folder``."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(folder)
+    rows = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(folder, wholetext=True)
     below = F.regexp_extract("_metadata.file_path", r"(reports/.*)\.md$", 1)
     key = F.when(below != "", F.concat(F.lit(prefix), below, F.lit(".pdf"))).otherwise(F.regexp_replace("_metadata.file_name", r"\.md$", ".pdf"))
     return rows.select(key.alias("report_key"), F.col("value").alias("text"))
