@@ -68,4 +68,35 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_html_extract": op2_html_extract, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op8_ordinal": op8_ordinal, "op9_byte_bpe": op9_byte_bpe, "op10_minhash": op10_minhash}
 
-ORACLES: dict[str, str] = {}
+#: The mix without bins: every source's documents ranked row by row, taken while the middle of a document lies within what the whole copies leave.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(CASE WHEN size < 50 THEN size ELSE 0 END)::BIGINT AS short_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
+l AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS fill,
+  (1.5e0 * (sum(source_size) OVER ())::BIGINT - 2 * coalesce((sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0))
+  / (sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM w),
+o AS (SELECT *, min(CASE WHEN level * weight < 2 * source_size THEN fill END) OVER () AS first_open FROM l),
+t AS (SELECT *, CASE WHEN first_open IS NULL OR fill < first_open THEN 2e0 * source_size ELSE (SELECT max(level) FROM o x WHERE x.fill = x.first_open) * weight END AS target FROM o),
+c AS (SELECT *, coalesce(target / nullif(2 * (source_size - short_size) + short_size, 0), 0e0) AS rate, coalesce((target - 2 * (source_size - short_size)) / nullif(short_size, 0), 0e0) AS rest FROM t),
+r AS (SELECT d.doc_id, d.source, d.size, source_size, target, CASE WHEN d.size < 50 THEN least(2e0, greatest(rate, rest)) ELSE least(2e0, 2 * rate) END AS wanted,
+  (('0x' || substr(md5(concat(coalesce(d.doc_id::VARCHAR, 'null'), ':mix')), 1, 13))::BIGINT + 0.5e0) / 4503599627370496e0 AS u FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+p AS (SELECT *, floor(wanted) AS whole, CASE WHEN size > 0 THEN wanted - floor(wanted) ELSE 0e0 END AS p FROM r),
+q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q, target - sum(whole * size) OVER (PARTITION BY source) AS remains FROM p),
+f AS (SELECT *, sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) AS so_far FROM q)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN ((whole + CASE WHEN q IS NOT NULL AND so_far - size / 2e0 <= remains THEN 1 ELSE 0 END) * size)::BIGINT ELSE 0 END AS taken FROM f
+"""
+
+#: Near duplicates by counting shared shingles of all pairs that share one, and reachability.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 85 * (na + nb - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.r = edges.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_minhash": OP10_SQL}
