@@ -19,10 +19,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ledgerleaf.llm.common import SLICE_ROWS, by_slices
+from ledgerleaf.llm.common import SLICE_ROWS, by_slices, word_store
 
 #: Distinct words whose ids a worker keeps; beyond it the store starts anew.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 400_000
 #: Longer words are not kept.
 WORD_BYTES_KEPT = 64
 
@@ -92,8 +92,10 @@ class Codec:
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.digits_of = {v: str(v) for v in self.bytes_of}
         self.words = regex.compile(pattern)
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.own = f"bpe:{path}:{pattern}"
+        self.kept: dict[str, tuple[int, ...]] = word_store(self.own)
         self.base = max(self.bytes_of) + 1
+        self.numbers = list(range(self.base))  # one object an id, however many words have it
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = {}
         for whole, rank in self.ranks.items():
@@ -151,7 +153,7 @@ class Codec:
                     at = at >> 1
                     tree[root + at] = np.minimum(tree[root + 2 * at], tree[root + 2 * at + 1])
         live = ids >= 0
-        values, ends = ids[live].tolist(), np.cumsum(live.sum(1)).tolist()
+        values, ends = list(map(self.numbers.__getitem__, ids[live].tolist())), np.cumsum(live.sum(1)).tolist()
         return [tuple(values[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def _learn(self, new: set[str]) -> dict[str, tuple[int, ...]]:
@@ -172,6 +174,7 @@ class Codec:
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         out = []
+        self.kept = word_store(self.own)
         for at in range(0, len(texts), SLICE_ROWS):
             words = [self.words.findall(t or "") for t in texts[at : at + SLICE_ROWS]]
             new = set().union(*words)

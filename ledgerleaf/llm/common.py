@@ -13,6 +13,17 @@ from pyspark.sql import DataFrame
 SLICE_ROWS = 256
 
 
+_stores: dict[str, dict] = {}
+
+
+def word_store(owner: str) -> dict:
+    """What a Python worker keeps by word for one operator. Workers live on from stage to stage, so the others' stores are emptied."""
+    for name, store in _stores.items():
+        if name != owner and store:
+            store.clear()
+    return _stores.setdefault(owner, {})
+
+
 def shared_dir(df: DataFrame) -> str:
     """The folder all executors share; a temporary one only where the session names none (tests)."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import by_slices, checkpointed, saved
+from ledgerleaf.llm.common import by_slices, checkpointed, saved, word_store
 
 PLACES = 1 << 20
 BAND_ROWS = 5
@@ -38,7 +38,7 @@ MARGIN = 5.5
 #: Classes of a block; a task compares two blocks at a time.
 BLOCK = 256
 #: Word hashes that a worker keeps, shingles whose coordinates are made at once, set members multiplied at once.
-WORDS_KEPT, STEP_SHINGLES, STEP_MEMBERS = 1_000_000, 2048, 8192
+WORDS_KEPT, STEP_SHINGLES, STEP_MEMBERS = 300_000, 2048, 8192
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -48,15 +48,12 @@ def bands_for(percent: int) -> int:
     return math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** BAND_ROWS))
 
 
-_word_hashes: dict[bytes, int] = {}
-
-
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a whole text; of all words if there are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    kept = _word_hashes
+    kept: dict[bytes, int] = word_store("minhash")
     if len(kept) > WORDS_KEPT:
         kept.clear()
     for w in set(words):

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import by_slices
+from ledgerleaf.llm.common import by_slices, word_store
 
 #: Hashed features, and the labelled rows that the fit uses at most (those of the smallest id hashes).
 BUCKETS, MOST_LABELLED = 1 << 18, 12_000
@@ -27,12 +27,11 @@ EPOCHS, BATCH, RATE, LASSO, START = 20, 256, 0.5, 5e-4, 1e-3
 GRADES = 3
 #: A document is kept if its probability of the top grade is at least this.
 KEEP_FROM = 0.8
-WORDS_KEPT = 500_000
+WORDS_KEPT = 300_000
 
 _WORD = re.compile(r"\w+")
 _CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]")
 _SYMBOLS = "#*$%&|<>"
-_hashes: dict[str, int] = {}
 
 
 def _bucket(name: str) -> int:
@@ -50,13 +49,14 @@ def features(text: str | None) -> list[int]:
     if not words:
         return []
     distinct = set(words)
-    if len(_hashes) > WORDS_KEPT:
-        _hashes.clear()
+    kept: dict[str, int] = word_store("ordinal")
+    if len(kept) > WORDS_KEPT:
+        kept.clear()
     out = set()
     for w in distinct:
-        h = _hashes.get(w)
+        h = kept.get(w)
         if h is None:
-            h = _hashes[w] = _bucket(w)
+            h = kept[w] = _bucket(w)
         out.add(h)
     n, chars = len(words), len(text)
     lines = text.split("\n")
