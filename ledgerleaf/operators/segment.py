@@ -34,9 +34,13 @@ _WRAP = "\u0001"
 
 
 def lines(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``report_id, line_no, line``; dealt by report."""
+    """``report_id, line_no, line``; dealt by report.
+
+    With a stated number of partitions, as the work on a line is far heavier than its bytes: a partition of
+    the size that Spark would unite small ones to keeps a core busy for minutes.
+    """
     rows = df.select("report_id", F.posexplode(F.split(line_ends(F.col(text_col)), "\n")).alias("line_no", "line"))
-    return rows.repartition("report_id")
+    return rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "report_id")
 
 
 def _pages_by(rows: DataFrame, start: Column, number: Column, title: Column) -> DataFrame:
