@@ -226,9 +226,10 @@ def merge_refined_quotes(quotes: DataFrame, refined: DataFrame) -> DataFrame:
     return kept.select("report_id", "feature_key", "rank", "page", "heading", "text", F.lit(False).alias("refined")).unionByName(made)
 
 
-def topic_sample(quotes: DataFrame, n: int = 20, least: int = 30) -> DataFrame:
-    """The first ``n`` quotes of a report longer than ``least`` characters, in rule order."""
+def topic_sample(quotes: DataFrame, n: int | None = 20, least: int = 30) -> DataFrame:
+    """The first ``n`` quotes (all if None) of a report longer than ``least`` characters, in rule order."""
     position = F.element_at(F.create_map(*[x for i, k in enumerate(RULE_KEYS) for x in (F.lit(k), F.lit(i))]), F.col("feature_key"))
     rows = quotes.where(F.length("text") > least).withColumn("position", position)
     nth = F.row_number().over(Window.partitionBy("report_id").orderBy("position", "rank"))
-    return rows.withColumn("nth", nth).where(F.col("nth") <= n).select("report_id", "nth", "feature_key", "text")
+    rows = rows.withColumn("nth", nth)
+    return (rows if n is None else rows.where(F.col("nth") <= n)).select("report_id", "nth", "feature_key", "text")

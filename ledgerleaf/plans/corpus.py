@@ -65,7 +65,7 @@ def seeded_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     d = F.col("doc_id")
     table = F.array(*[F.lit(p) for p in PHRASES])
-    lines = F.split(F.when(d % 19 == 0, F.lit("")).otherwise(F.col("text")), "\n")
+    lines = F.split("text", "\n")
 
     def piece(line, k):
         page = F.when((d % 17 != 0) & (k % 4 == 0), F.concat(F.lit("### Page "), (F.floor(k / 4) + 1).cast("string"), F.lit("\n"))).otherwise(F.lit(""))

@@ -360,3 +360,31 @@ def test_oracles(spark, sf, name):
         if mine[c].dtype != theirs[c].dtype:
             mine[c], theirs[c] = (x[c].astype("float64") if x[c].dtype.kind in "iuf" else x[c] for x in (mine, theirs))
     assert rows_of(mine) == rows_of(theirs)
+
+
+# whole texts
+
+
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def whole(spark, tmp_path_factory):
+    """Documents of every kind that a query might leave out: ids of all remainders, all languages and none, empty, null and long texts."""
+    own = "Our own line: Scope 2 emissions were 7,310 tCO2e and the living wage is paid to all of the workforce of the group"
+    rows = [(i, f"{own} in place {i}\nSecond line Größe Ü{i}", ("en", "de", None, "fr")[i % 4]) for i in range(40)]
+    rows += [(95, "", "en"), (97, None, "en"), (98, "\n".join(f"Line {k} of a long text says that climate risk no {k} was reviewed." for k in range(3500)) + "\nThe end speaks of biodiversity offsets near site Omega.", "en")]
+    folder = tmp_path_factory.mktemp("whole")
+    spark.createDataFrame([(i, t, lang, "src1", len(t or "")) for i, t, lang in rows], DOCUMENT).write.parquet(str(folder / "documents.parquet"))
+    return str(folder)
+
+
+def test_every_document_is_woven(spark, whole):
+    texts = {r.doc_id: r.text for r in registry.corpus.seeded_reports(spark, whole).collect()}
+    assert len(texts) == 43 and [i for i in range(40) if f"in place {i}\n" not in texts[i]] == []
+
+
+def test_all_quotes_are_grounded_whole(spark, whole):
+    quotes = registry.QUERIES["ranked_evidence"](spark, whole).select("report_id", "text").collect()
+    made = registry.QUERIES["grounded_entities"](spark, whole).select("report_id", "extraction_text").collect()
+    assert max(len(r.text) for r in quotes) > 60 and sorted(map(tuple, made)) == sorted(map(tuple, quotes))
