@@ -179,9 +179,14 @@ def score_blocks(blocks: DataFrame) -> DataFrame:
 SUMMARY = ["report_id", "score", "band", "completeness", "consistency", "assurance", "transparency"]
 
 
-def score_reports(documents: DataFrame, max_chars: int = 350_000, most_blocks: int = MOST_BLOCKS, version: int = 1) -> DataFrame:
-    """One score record a report of ``report_id, text``. A text without blocks scores 0 in the band low."""
-    sampled = documents.select("report_id", sample_head_tail(F.col("text"), max_chars).alias("text"), (F.length("text") > max_chars).alias("corpus_sampled"))
+def score_reports(documents: DataFrame, max_chars: int | None = 350_000, most_blocks: int | None = MOST_BLOCKS, version: int = 1) -> DataFrame:
+    """One score record a report of ``report_id, text``. A text without blocks scores 0 in the band low.
+
+    The limits are the reference's for a request; None reads whole texts and all blocks.
+    """
+    whole, long = F.col("text"), F.length("text")
+    text, cut = (whole, long < 0) if max_chars is None else (sample_head_tail(whole, max_chars), long > max_chars)
+    sampled = documents.select("report_id", text.alias("text"), cut.alias("corpus_sampled"))
     rows = score_blocks(written(evidence_blocks(sampled, "text", most_blocks)))
     out = sampled.select("report_id", "corpus_sampled").join(rows, "report_id", "left")
     zeros = {k: 0 for k in ("score", "completeness", "consistency", "assurance", "transparency", "blocks", "corpus_chars", "percentage_count", "table_rows", "kpi_numbers", "distinct_years")}

@@ -218,10 +218,11 @@ def cap_blocks(blocks: DataFrame, most: int = MOST_BLOCKS) -> DataFrame:
     return blocks.withColumn("earlier", first).where(F.col("earlier") < most).drop("earlier")
 
 
-def evidence_blocks(df: DataFrame, text_col: str = "text", most: int = MOST_BLOCKS) -> DataFrame:
-    """Pages, boilerplate and blocks in one go."""
+def evidence_blocks(df: DataFrame, text_col: str = "text", most: int | None = MOST_BLOCKS) -> DataFrame:
+    """Pages, boilerplate and blocks in one go; all blocks where ``most`` is None."""
     pages = split_pages(df, text_col)
-    return cap_blocks(build_blocks(strip_boilerplate(pages, boilerplate_keys(pages))), most)
+    blocks = build_blocks(strip_boilerplate(pages, boilerplate_keys(pages)))
+    return blocks if most is None else cap_blocks(blocks, most)
 
 
 def assemble_corpus(blocks: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, median and band mix of disclosure quality per sector."""
-    scores = scoring.score_reports(corpus.seeded_reports(spark, sf_dir))
+    scores = scoring.score_reports(corpus.seeded_reports(spark, sf_dir), None, None)
     reports = corpus.catalogue(spark, sf_dir).select("report_id", "sector", "country", "year")
     return analytics.sector_bands(analytics.scored_rows(reports, scores))
 
@@ -81,18 +81,18 @@ QUERIES["sector_quality"] = flagship
 
 @query()
 def score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_reports(corpus.seeded_reports(spark, sf_dir))
+    return scoring.score_reports(corpus.seeded_reports(spark, sf_dir), None, None)
 
 
 @query()
 def ranked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = written(segment.evidence_blocks(corpus.seeded_reports(spark, sf_dir)))
+    blocks = written(segment.evidence_blocks(corpus.seeded_reports(spark, sf_dir), most=None))
     return features.top_quotes(features.quote_candidates(blocks))
 
 
 @query()
 def evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.evidence_blocks(corpus.seeded_reports(spark, sf_dir))
+    return segment.evidence_blocks(corpus.seeded_reports(spark, sf_dir), most=None)
 
 
 def _plain(pattern: str) -> str:
@@ -274,7 +274,7 @@ def pillar_agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def grounded_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = segment.split_pages_grounding(corpus.seeded_reports(spark, sf_dir))
-    found = features.topic_sample(features.top_quotes(features.quote_candidates(segment.evidence_blocks(corpus.seeded_reports(spark, sf_dir)))), None, 0)
+    found = features.topic_sample(features.top_quotes(features.quote_candidates(segment.evidence_blocks(corpus.seeded_reports(spark, sf_dir), most=None))), None, 0)
     ents = found.select("report_id", F.col("nth").alias("chunk_index"), F.lit(0).alias("position"), F.lit("energy").alias("extraction_class"), F.col("text").alias("extraction_text"), F.lit("E").alias("pillar"))
     return entities.ground_entities(ents, pages)
 

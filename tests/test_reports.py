@@ -388,3 +388,15 @@ def test_all_quotes_are_grounded_whole(spark, whole):
     quotes = registry.QUERIES["ranked_evidence"](spark, whole).select("report_id", "text").collect()
     made = registry.QUERIES["grounded_entities"](spark, whole).select("report_id", "extraction_text").collect()
     assert max(len(r.text) for r in quotes) > 60 and sorted(map(tuple, made)) == sorted(map(tuple, quotes))
+
+
+def test_long_reports_are_read_to_the_end(spark, whole):
+    blocks = registry.QUERIES["evidence_blocks"](spark, whole).where("report_id = 'report-98'").select("text").collect()
+    joined = "\n".join(r.text for r in blocks)
+    woven = next(r.text for r in registry.corpus.seeded_reports(spark, whole).where("doc_id = 98").collect())
+    prose = "\n".join(page.split("```")[0] for page in woven.split("### Page "))  # a woven fence hides the rest of its page
+    left_out = [k for k in range(3500) if f"risk no {k} was" not in joined]
+    assert len(blocks) > segment.MOST_BLOCKS and left_out == [k for k in range(3500) if f"risk no {k} was" not in prose] and len(left_out) < 100
+    assert "site Omega" in joined
+    row = registry.QUERIES["score_records"](spark, whole).where("report_id = 'report-98'").first()
+    assert row.corpus_chars > 350_000 and row.blocks == len(blocks) and row.corpus_sampled is False
