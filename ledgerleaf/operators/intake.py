@@ -29,9 +29,9 @@ POSITIVE_CAP, NEGATIVE_CAP, PAGE_CHARS = 20, 15, 12_000
 MOST_BYTES, LEAST_BYTES, LEAST_TEXT = 80 * 1024 * 1024, 1024, 300
 
 
-def score_pages(pages: DataFrame) -> DataFrame:
-    """``report_id, page, score, positive, negative, is_candidate, hit_keys, snippet`` of each page's first 12,000 characters."""
-    rows = pages.withColumn("head", F.lower(F.substring("text", 1, PAGE_CHARS)))
+def score_pages(pages: DataFrame, page_chars: int | None = PAGE_CHARS) -> DataFrame:
+    """``report_id, page, score, positive, negative, is_candidate, hit_keys, snippet`` of each page's first ``page_chars`` characters, all if None."""
+    rows = pages.withColumn("head", F.lower("text" if page_chars is None else F.substring("text", 1, page_chars)))
     hits = F.array(*[F.struct(F.lit(k).alias("key"), F.least(matches(F.col("head"), p), F.lit(POSITIVE_CAP)).alias("n"), F.lit(w).alias("w")) for k, (p, w) in POSITIVE.items()])
     negative = reduce(lambda a, b: a + b, [F.least(matches(F.col("head"), p), F.lit(NEGATIVE_CAP)) * w for p, w in NEGATIVE])
     rows = rows.withColumn("hits", F.filter(hits, lambda h: h["n"] > 0)).withColumn("negative", F.coalesce(negative, F.lit(0)))

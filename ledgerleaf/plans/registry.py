@@ -121,6 +121,23 @@ def scope3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.count_features(blocks).where("feature_key = 'scope3_categories'").select("report_id", "feature_key", "occurrences", "pages")
 
 
+# The rules over whole texts; the canned pages above are small and for SQL
+
+
+def _whole_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(segment.evidence_blocks(corpus.seeded_reports(spark, sf_dir), most=None))
+
+
+@query()
+def whole_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.count_features(_whole_blocks(spark, sf_dir)).where("feature_key <> 'scope3_categories'").select("report_id", "feature_key", "occurrences", "pages")
+
+
+@query()
+def whole_scope3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.count_features(_whole_blocks(spark, sf_dir)).where("feature_key = 'scope3_categories'").select("report_id", "feature_key", "occurrences", "pages")
+
+
 # Text functions and segmentation
 
 
@@ -201,6 +218,26 @@ def intake_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.intake_verdict(scores, intake.candidate_spans(scores))
 
 
+def _whole_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.score_pages(segment.split_pages_intake(corpus.seeded_reports(spark, sf_dir)), None)
+
+
+@query()
+def whole_intake_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_scores(spark, sf_dir).withColumn("hit_keys", F.array_join("hit_keys", ",")).drop("snippet")
+
+
+@query()
+def whole_intake_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.candidate_spans(_whole_scores(spark, sf_dir))
+
+
+@query()
+def whole_intake_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = written(_whole_scores(spark, sf_dir).drop("snippet"))
+    return intake.intake_verdict(scores, intake.candidate_spans(scores))
+
+
 @query("""WITH e AS (SELECT doc_id, sha256(text) AS sha256, concat('reports/', doc_id::VARCHAR, '.pdf') AS k FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 1)
 SELECT n.doc_id AS upload_id, count(e.k) > 0 AS same_hash FROM n LEFT JOIN e USING (sha256) GROUP BY 1""")
 def duplicate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -428,6 +465,12 @@ def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(analytics.feature_coverage(hits, _index(spark, sf_dir)), "occurrences_per_hit", "pages_per_hit")
 
 
+@query()
+def whole_feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = features.count_features(_whole_blocks(spark, sf_dir)).where("feature_key <> 'scope3_categories'")
+    return _rounded(analytics.feature_coverage(hits, _index(spark, sf_dir)), "occurrences_per_hit", "pages_per_hit")
+
+
 # Streams' batch forms
 
 

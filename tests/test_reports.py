@@ -1,6 +1,7 @@
 """Text, segmentation, rules, scores, entities and retrieval on small inline tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -400,3 +401,21 @@ def test_long_reports_are_read_to_the_end(spark, whole):
     assert "site Omega" in joined
     row = registry.QUERIES["score_records"](spark, whole).where("report_id = 'report-98'").first()
     assert row.corpus_chars > 350_000 and row.blocks == len(blocks) and row.corpus_sampled is False
+
+
+def test_rules_and_intake_read_whole_texts(spark, whole):
+    counts = {(r.report_id, r.feature_key): r.occurrences for r in registry.QUERIES["whole_rule_counts"](spark, whole).where("feature_key in ('living_wage', 'climate_scenario', 'scope_2', 'biodiversity')").collect()}
+    assert [i for i in range(40) if counts.get((f"report-{i}", "living_wage"), 0) < 1 or counts.get((f"report-{i}", "scope_2"), 0) < 1] == []
+    texts = {f"report-{r.doc_id}": r.text for r in registry.corpus.seeded_reports(spark, whole).collect()}
+    rows = registry.QUERIES["whole_intake_pages"](spark, whole).collect()
+    for r in rows:
+        if r.report_id in ("report-0", "report-17"):  # one page each, as they have no page marks
+            low = texts[r.report_id].lower()
+            brute = sum(min(20, len(re.findall(p, low))) * w for p, w in intake.POSITIVE.values())
+            assert (r.positive, r.negative) == (brute, sum(min(15, len(re.findall(p, low))) * w for p, w in intake.NEGATIVE))
+    assert {r.report_id for r in rows} >= {f"report-{i}" for i in range(40)} and sum(r.report_id == "report-98" for r in rows) == 876
+
+
+def test_pages_are_scored_to_their_end(spark):
+    pages = spark.createDataFrame([("r", 1, "word " * 3000 + "esg biodiversity")], "report_id string, page int, text string")
+    assert [intake.score_pages(pages, *limit).first().positive for limit in ((), (None,))] == [0, 6]
