@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ledgerleaf.functions.rules import matches
 from ledgerleaf.functions.text import collapse_whitespace
+from ledgerleaf.sources.tables import written
 
 # Signs of a sustainability report with their weights, and of a financial one.
 POSITIVE = {
@@ -27,6 +28,8 @@ NEGATIVE = (
 )
 POSITIVE_CAP, NEGATIVE_CAP, PAGE_CHARS = 20, 15, 12_000
 MOST_BYTES, LEAST_BYTES, LEAST_TEXT = 80 * 1024 * 1024, 1024, 300
+#: Range partitions for numbering: rows per partition, about.
+SORT_ROWS = 50_000
 
 
 def score_pages(pages: DataFrame, page_chars: int | None = PAGE_CHARS) -> DataFrame:
@@ -159,12 +162,17 @@ def accepted_uploads(new: DataFrame, existing: DataFrame) -> DataFrame:
 def allocate_report_ids(new: DataFrame, existing: DataFrame, floor: int = 10_000, order: str = "upload_id") -> DataFrame:
     """Add ``report_id``: the next numbers above ``floor - 1`` and all existing non-legacy ids, in upload order.
 
-    ``new`` is one batch of uploads; its numbering is the only global step.
+    The batch is dealt by ranges of ``order``, counted per range and numbered from the range's offset.
     """
     number = F.regexp_extract("report_id", r"^report-(\d+)$", 1).try_cast("bigint")
     top = existing.select(F.greatest(F.lit(floor - 1), F.coalesce(F.max(F.when(number < 1_000_000, number)), F.lit(0))).alias("top"))
-    nth = F.row_number().over(Window.orderBy(order))
-    return new.withColumn("nth", nth).join(F.broadcast(top), how="cross").withColumn("report_id", F.concat(F.lit("report-"), (F.col("top") + F.col("nth")).cast("string"))).drop("nth", "top")
+    ordered = new.repartitionByRange(max(1, new.count() // SORT_ROWS), order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
+    held = written(ordered.withColumn("_part", F.shiftright("_at", 33)))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = held.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"))
+    nth = F.col("_offset") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    rows = held.join(F.broadcast(offsets), "_part").join(F.broadcast(top), how="cross")
+    return rows.withColumn("report_id", F.concat(F.lit("report-"), (F.col("top") + nth).cast("string"))).select(*new.columns, "report_id")
 
 
 def purge_reports(ids: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -152,6 +152,12 @@ def folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").where("lang <> 'de'").select("doc_id", search_fold(F.col("text")).alias("folded"))
 
 
+@query()
+def whole_folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All languages; SQL folds some letters otherwise, so ``folded_text`` beside it is without German."""
+    return _read(spark, sf_dir, "documents").select("doc_id", search_fold(F.col("text")).alias("folded"))
+
+
 @query(r"""WITH f AS (SELECT doc_id, concat(CASE WHEN doc_id % 2 = 0 THEN 'Éclair & Sons_' ELSE 'Nord-' END, (2015 + doc_id % 9)::VARCHAR, '-sustainability report-FY', (2016 + doc_id % 9)::VARCHAR, '.pdf') AS name FROM documents)
 SELECT doc_id, NULLIF((2015 + doc_id % 9), CASE WHEN doc_id % 2 = 0 THEN (2015 + doc_id % 9) ELSE 0 END)::INT AS year, lower(regexp_replace(trim(regexp_replace(lower(strip_accents(replace(name, '&', ' and '))), '[^a-z0-9]+', ' ', 'g')), ' ', '-', 'g')) AS slug FROM f""")
 def filename_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,6 +259,12 @@ def allocated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.allocate_report_ids(known.where("doc_id % 10 = 3").select(F.col("doc_id").alias("upload_id")), known).select("upload_id", "report_id")
 
 
+@query(f"""{_CATALOGUE} SELECT doc_id AS upload_id, concat('report-', (greatest(9999, (SELECT max(doc_id) FROM catalogue)) + row_number() OVER (ORDER BY doc_id))::VARCHAR) AS report_id FROM catalogue""")
+def whole_allocated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = corpus.catalogue(spark, sf_dir)
+    return intake.allocate_report_ids(known.select(F.col("doc_id").alias("upload_id")), known).select("upload_id", "report_id")
+
+
 # Routing, totals and entities
 
 _CATEGORIES = list(CATEGORY_TO_PILLAR)

@@ -419,3 +419,19 @@ def test_rules_and_intake_read_whole_texts(spark, whole):
 def test_pages_are_scored_to_their_end(spark):
     pages = spark.createDataFrame([("r", 1, "word " * 3000 + "esg biodiversity")], "report_id string, page int, text string")
     assert [intake.score_pages(pages, *limit).first().positive for limit in ((), (None,))] == [0, 6]
+
+
+def test_every_language_is_folded(spark, whole):
+    made = {r.doc_id: r.folded for r in registry.QUERIES["whole_folded_text"](spark, whole).where("doc_id < 40").collect()}
+    assert len(made) == 40 and all(made[i].endswith(f"in place {i} second line gro e u{i}") for i in made)
+
+
+def test_ids_are_numbered_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(intake, "SORT_ROWS", 7)
+    new = spark.range(100).select((F.col("id") * 37 % 101).alias("upload_id"), F.lit("x").alias("n"))
+    known = spark.createDataFrame([("report-10004",), ("report-2000000",), (None,)], "report_id string")
+    made = intake.allocate_report_ids(new, known)
+    assert [(r.upload_id, r.report_id) for r in made.orderBy("upload_id").collect()] == [(u, f"report-{10005 + i}") for i, u in enumerate(sorted(k * 37 % 101 for k in range(100)))]
+    assert made.columns == ["upload_id", "n", "report_id"]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and plan.count("Window") <= 2  # offsets only
