@@ -51,6 +51,15 @@ _ROLE_WORDS = (
     "sidebar signup social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo alert"
 )
 ROLE_WORDS = frozenset(_ROLE_WORDS.split())
+#: Class and id names that speak of a layout or of a part of the content.
+_NO_ROLE = re.compile(r"(?:has|with|without|no|section|article|post|entry)[-_]|related[-_](?:works?|research|literature|studies)$")
+#: Elements that may wrap a whole page, and names of what never does.
+_WRAPS = frozenset(("form", "fieldset"))
+_NO_WRAP = re.compile(r"comment|repl(?:y|ies)|disqus|cookie|consent|gdpr|\bnav|\bmenu|footer", re.I)
+#: What a start tag ends besides an open paragraph, where end tags are omitted.
+_ENDS = {"li": frozenset(["li"]), **dict.fromkeys(("dt", "dd"), frozenset(["dt", "dd"])), **dict.fromkeys(("td", "th"), frozenset(["td", "th"])), "tr": frozenset(["td", "th", "tr"]), **dict.fromkeys(("tbody", "tfoot"), frozenset(["td", "th", "tr", "tbody", "thead"]))}
+#: Names of the sets above whose start leaves a paragraph open.
+_INLINE = frozenset("br button label select caption tbody td th tr".split()) - frozenset(_ENDS)
 
 
 @dataclass
@@ -66,19 +75,35 @@ def _set_aside(name: str, attrs: str) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         value = m[2] or m[3] or m[4] or ""
-        words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
-        if not ROLE_WORDS.isdisjoint(words):
-            return True
+        for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+            if not _NO_ROLE.match(token) and not ROLE_WORDS.isdisjoint(re.split(r"[^a-z]+", token)):
+                return True
     return False
 
 
-def lines_of(page: str | None) -> list[Line]:
-    """Text blocks of a page in order, without the elements that are set aside; white space inside a block is one space."""
-    page = page or ""
+def _ended(stack: list[str], name: str) -> int:
+    """How many open elements stay where a start tag ends others, by the rules for omitted end tags."""
+    ends = _ENDS.get(name, frozenset())
+    stay = len(stack)
+    if not ends and name not in BLOCKS and name not in ASIDE or name in _INLINE:
+        return stay
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k] == "p" or stack[k] in ends:
+            stay = k
+        elif stack[k] in BLOCKS and not (stack[k] in ("div", "address") and name in ("li", "dt", "dd")):
+            break
+    return stay
+
+
+def _scan(page: str, spared: set[int]) -> tuple[list[Line], dict[int, int]]:
+    """Lines, and the characters of each element set aside that may be a wrapper, by where it starts."""
     lines: list[Line] = []
     block: list[str] = []
+    open_: list[str] = []  # blocks around
     inside = 0  # open article and main elements
-    skip_name, skip_depth = "", 0  # the element that is set aside, and how many of its name are open
+    skip: list[str] = []  # the element that is set aside, and what is open in it
+    sizes: dict[int, int] = {}
+    skip_at = -1
     at, end = 0, len(page)
 
     def close_block() -> None:
@@ -88,11 +113,14 @@ def lines_of(page: str | None) -> list[Line]:
 
     while at < end:
         m = _TOKEN.search(page, at)
-        if not skip_depth:
-            block.append(page[at : m.start() if m else end])
+        piece = page[at : m.start() if m else end]
+        if not skip:
+            block.append(piece)
+        elif skip_at >= 0:
+            sizes[skip_at] += len(" ".join(piece.split()))
         if m is None:
             break
-        at = m.end()
+        start, at = m.start(), m.end()
         if m["name"] is None:
             continue
         name, closing = m["name"].lower(), bool(m["close"])
@@ -102,24 +130,58 @@ def lines_of(page: str | None) -> list[Line]:
                 at = end if shut is None else shut.start() if shut[0][1] != "/" else shut.end()
             continue
         holds = name in ("article", "main")
-        if skip_depth:
-            if holds and not closing and not _set_aside(name, m["attrs"]) and skip_name != name:
-                skip_depth = 0  # content never lies in what is set aside: that element was left open
-            elif name == skip_name:
-                skip_depth += -1 if closing else 1
+        aside = not closing and name not in VOID and start not in spared and _set_aside(name, m["attrs"])
+        if skip:
+            if holds and not closing and not aside and skip[0] != name:
+                skip = []  # content never lies in what is set aside: that element was left open
+            elif closing and name in skip:
+                del skip[len(skip) - 1 - skip[::-1].index(name) :]
                 continue
+            elif closing:
+                if name not in open_:
+                    continue
+                skip = []  # the parent closes
             else:
-                continue
-        if not closing and name not in VOID and _set_aside(name, m["attrs"]):
+                del skip[_ended(skip, name) :]
+                if skip:
+                    if name not in VOID:
+                        skip.append(name)
+                    continue
+        if not closing:
+            del open_[_ended(open_, name) :]
+        if aside:
             close_block()
-            skip_name, skip_depth = name, 1
+            skip, skip_at = [name], -1
+            if name in _WRAPS or name not in ASIDE and not _NO_WRAP.search(m["attrs"]):
+                sizes[start], skip_at = 0, start
             continue
         if name in BLOCKS:
             close_block()
+        if name in BLOCKS or name in ASIDE:
+            if not closing:
+                if name not in VOID:
+                    open_.append(name)
+            elif name in open_:
+                del open_[len(open_) - 1 - open_[::-1].index(name) :]
         if holds:
             inside = max(0, inside + (-1 if closing else 1))
     close_block()
-    return lines
+    return lines, sizes
+
+
+def lines_of(page: str | None) -> list[Line]:
+    """Text blocks of a page in order, without the elements that are set aside; white space inside a block is one space.
+
+    An element that a class, id or form would set aside but that holds most of the page's text wraps the content and stays.
+    """
+    spared: set[int] = set()
+    while True:
+        lines, sizes = _scan(page or "", spared)
+        total = sum(len(x.text) for x in lines) + sum(sizes.values())
+        wraps = {k for k, n in sizes.items() if 2 * n > total}
+        if not wraps or any(x.inside for x in lines):
+            return lines
+        spared |= wraps
 
 
 def common_lines(a: list, b: list) -> tuple[list[int], list[int]]:

@@ -144,6 +144,25 @@ def test_pages_give_their_articles(spark, sf):
         assert r.text == " ".join(html.unescape(re.sub("</?[bi]>", "", re.sub("<(?!/?[bi]>)[^>]*>", " ", inner))).split()) and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><div class='layout has-sidebar'><p>One</p><div class=sidebar>x</div><p>Two</p></div></body>", "One Two"),
+        ("<div class='withHeader'><p>Content</p></div>", "Content"),
+        ("<article><h2 class='section-header'>Head</h2><div class='related-work'>Work</div><div class='related-posts'>no</div></article>", "Head Work"),
+        ("<form><p>The whole page is a form, as servers make them.</p><nav>menu</nav></form>", "The whole page is a form, as servers make them."),
+        ("<div id=header-wrap class=banner><p>All of the text of this page lies in here</p></div><p>x</p>", "All of the text of this page lies in here x"),
+        ("<article><p class=ad>Buy<p>Text one<p>Text two</article><p>out", "Text one Text two"),
+        ("<article><ul><li class=promo>Buy<li>Item</ul><p>After</article>", "Item After"),
+        ("<article><table><tr><td class=ad>Buy<td>Cell<tr><td>Next</table></article>", "Cell Next"),
+        ("<article><div><span class=ad>Buy</div><p>After</article>", "After"),
+        ("<div class=comments><p>A long comment, longer than all other text</p></div><p>Text</p>", "Text"),
+    ],
+)
+def test_elements_set_aside(page, text):
+    assert html_extract.main_text(html_extract.lines_of(page), set()) == text
+
+
 # 3. language
 
 
