@@ -1,10 +1,11 @@
 """Main text of web pages by differencing each page with its nearest page on the host.
 
 Pages are ordered by host and URL path; a page is paired with the neighbour on its host whose path shares
-the longer beginning (the earlier one on ties). The text lines (blocks) of the two are aligned by a longest
-common subsequence, and shared lines are deleted: they are the template of the host. Two cases are exempt,
-as deleting would take away content: lines inside an ``article`` or ``main`` element, and pairs of
-which the shared lines make up most of either page (copies of one page).
+the longer beginning (the earlier one on ties). Pages of equal lines count as one. The text lines (blocks) of
+the two are aligned by a longest common subsequence, and shared lines are deleted: they are the template of the
+host. Lines inside an ``article`` or ``main`` element are exempt, as deleting would take away content. Copies of one
+page with small changes (most of either page is shared, and of the rest the words agree or one has none) say
+nothing of the template: such a page is compared with neighbours ever further away, until one is a different page.
 
 Boilerplate that differs from page to page is never shared, so elements that state their role (``nav``,
 ``header``, ``footer``, ``aside``, forms, scripts, and classes or ids for adverts, notices, comments and
@@ -18,6 +19,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -27,8 +29,10 @@ from pyspark.sql.window import Window
 
 from ledgerleaf.llm.common import by_slices, saved
 
-#: Share of a page's characters up to which shared lines count as template.
-MOST_SHARED = 0.5
+#: Pages that share more of their characters are copies, if so much of their other words agrees.
+MOST_SHARED, MOST_AGREED = 0.5, 0.5
+#: Words of a line, those of the least hashes, by which lines are compared that are not equal.
+SKETCH = 6
 #: Range partitions for ordering: rows per partition, about.
 SORT_ROWS = 50_000
 
@@ -219,13 +223,23 @@ def common_lines(a: list, b: list) -> tuple[list[int], list[int]]:
     )
 
 
-def template_lines(mine: list[int], sizes: list[int], inside: list[bool], other: list[int], other_sizes: list[int]) -> list[int]:
-    """Positions of a page's lines that its nearest page shares and that count as template."""
-    at, their = common_lines(mine, other)
-    shared = sum(sizes[k] for k in at)
-    if shared > MOST_SHARED * sum(sizes) or sum(other_sizes[k] for k in their) > MOST_SHARED * sum(other_sizes):
-        return []
-    return [k for k in at if not inside[k]]
+def sketch(text: str) -> list[int]:
+    """The least hashes of a line's words, 31 bits each."""
+    return sorted({xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) >> 1 for w in text.split()})[:SKETCH]
+
+
+def template_lines(mine: dict, other: dict) -> list[int] | None:
+    """Positions of a page's lines that another page shares and that count as template; None if the two are copies.
+
+    Both have ``lines`` (digests), ``sizes``, ``inside`` and ``words`` (sketches).
+    """
+    at, their = common_lines(mine["lines"], other["lines"])
+    shared = sum(mine["sizes"][k] for k in at)
+    if shared > MOST_SHARED * sum(mine["sizes"]) or sum(other["sizes"][k] for k in their) > MOST_SHARED * sum(other["sizes"]):
+        a, b = ({w for k, ws in enumerate(x["words"]) if k not in gone for w in ws} for x, gone in ((mine, set(at)), (other, set(their))))
+        if not a or not b or len(a & b) >= MOST_AGREED * min(len(a), len(b)):
+            return None
+    return [k for k in at if not mine["inside"][k]]
 
 
 def main_text(lines: list[Line], template: set[int]) -> str:
@@ -240,35 +254,48 @@ def _shared_start(a: Column, b: Column) -> Column:
     return F.when(differs == 0, F.size(x).cast("long")).otherwise(differs)
 
 
-def nearest(pages: DataFrame) -> DataFrame:
-    """``key, mine, other``: each page's line digests (with sizes) and those of its nearest page on the host.
+PAGE = ["lines", "sizes", "inside", "words"]
+
+
+def ranked(pages: DataFrame) -> DataFrame:
+    """Add ``rank``, the place of a page in the order of hosts and paths.
 
     The order is global: pages are dealt by ranges of host and path, counted per range, and numbered, so a
     host of any size is spread over tasks and no boundary loses a neighbour.
     """
     ranges = max(1, pages.count() // SORT_ROWS)
-    ordered = pages.repartitionByRange(ranges, "host", "path", "key").sortWithinPartitions("host", "path", "key")
+    ordered = pages.repartitionByRange(ranges, "host", "path", "same").sortWithinPartitions("host", "path", "same")
     held = ordered.withColumn("at", F.monotonically_increasing_id())
     held = saved(held.select("*", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     offsets = held.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    ranked = held.join(offsets, "part").withColumn("rank", F.col("offset") + F.col("nth"))
-    side = ranked.select("host", "path", "rank", "lines", "sizes")
-    before = side.select(F.col("host").alias("host_b"), F.col("path").alias("path_b"), (F.col("rank") + 1).alias("rank"), F.struct("lines", "sizes").alias("before"))
-    after = side.select(F.col("host").alias("host_a"), F.col("path").alias("path_a"), (F.col("rank") - 1).alias("rank"), F.struct("lines", "sizes").alias("after"))
-    joined = ranked.join(before, "rank", "left").join(after, "rank", "left")
-    has_b, has_a = F.coalesce(F.col("host") == F.col("host_b"), F.lit(False)), F.coalesce(F.col("host") == F.col("host_a"), F.lit(False))
-    nearer_after = has_a & (~has_b | (_shared_start(F.col("path"), F.col("path_a")) > _shared_start(F.col("path"), F.col("path_b"))))
-    other = F.when(nearer_after, F.col("after")).when(has_b, F.col("before"))
-    return joined.select("key", "lines", "sizes", "inside", other.alias("other")).where("other is not null")
+    return saved(held.join(offsets, "part").withColumn("rank", F.col("offset") + F.col("nth")).drop("at", "part", "nth", "offset", "n"))
+
+
+def neighbours(wanted: DataFrame, pages: DataFrame, step: int, ends: DataFrame) -> DataFrame:
+    """``wanted`` with ``others``: the pages ``step`` places before and after, the one of the nearer path first.
+
+    ``ends`` has the first and last ranks of hosts; steps above 1 stop there, so the last ones reach both ends.
+    """
+    low, high = F.col("rank") - step, F.col("rank") + step
+    rows = wanted
+    if step > 1:
+        rows, low, high = wanted.join(ends, "host"), F.greatest(low, "first"), F.least(high, "last")
+    rows = rows.withColumns({"at_before": low, "at_after": high})
+    for name in ("before", "after"):
+        near = pages.select("host", F.col("rank").alias(f"at_{name}"), F.struct("path", *PAGE).alias(name))
+        rows = rows.join(near, ["host", f"at_{name}"], "left")
+    b, a = F.col("before"), F.col("after")
+    nearer_after = F.coalesce(_shared_start(F.col("path"), a["path"]) > _shared_start(F.col("path"), b["path"]), F.lit(False))
+    both = F.array_compact(F.when(nearer_after, F.array(a, b)).otherwise(F.array(b, a)))
+    return rows.select("same", *PAGE, both.alias("others")).where(F.size("others") > 0)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages``.
 
-    A null html counts as empty and gives an empty text. Pages without a url or without another page on their
-    host are not differenced. Equal rows are treated alike: they are copies, so they delete nothing from
-    each other. Other columns are not read.
+    A null html counts as empty and gives an empty text. Pages without a url or without a different page on their
+    host are not differenced. Equal rows are treated alike. Other columns are not read.
     """
     rows = pages.select("page_id", "url", "html").withColumn("key", F.xxhash64("page_id", "url", "html"))
     url = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
@@ -281,25 +308,39 @@ def extract(pages: DataFrame) -> DataFrame:
             "lines": [[xxhash.xxh64_intdigest(v.text.encode("utf-8", "surrogatepass")) >> 1 for v in f] for f in found],
             "sizes": [[len(v.text) for v in f] for f in found],
             "inside": [[v.inside for v in f] for f in found],
+            "words": [[sketch(v.text) for v in f] for f in found],
         }
 
-    schema = pa.schema([("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("inside", pa.list_(pa.bool_()))])
-    kinds = "key bigint, host string, path string, lines array<bigint>, sizes array<int>, inside array<boolean>"
+    schema = pa.schema([("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("inside", pa.list_(pa.bool_())), ("words", pa.list_(pa.list_(pa.int32())))])
+    kinds = "key bigint, host string, path string, lines array<bigint>, sizes array<int>, inside array<boolean>, words array<array<int>>"
     placed = rows.select("key", url.alias("host"), path.alias("path"), "html").where("host <> ''")
-    digests = saved(placed.mapInArrow(by_slices(digest, schema), kinds))
+    digests = saved(placed.mapInArrow(by_slices(digest, schema), kinds).withColumn("same", F.xxhash64("host", "lines", "inside")))
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out = [], []
+            same, out, copies = [], [], []
             for r in batch.to_pylist():
-                found = template_lines(r["lines"], r["sizes"], r["inside"], r["other"]["lines"], r["other"]["sizes"])
-                if found:
-                    keys.append(r["key"])
-                    out.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["key", "template"])
-
+                found = next((t for o in r["others"] if (t := template_lines(r, o)) is not None), None)
+                if found is None and not any(r["inside"]) or found:
+                    same.append(r["same"])
+                    out.append(found or [])
+                    copies.append(found is None)
+            yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), pa.array(out, pa.list_(pa.int32())), pa.array(copies, pa.bool_())], names=["same", "template", "copies"])
+
+    order = ranked(digests.groupBy("host", "same").agg(F.min("path").alias("path"), *[F.first(c).alias(c) for c in PAGE]))
+    wanted, step, parts = order, 1, []
+    ends = order.groupBy("host").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+    most = ends.agg(F.max(F.col("last") - F.col("first"))).first()[0] or 0
+    while step < 2 * most:  # a page whose neighbours are copies looks twice as far
+        made = saved(neighbours(wanted, order, step, ends).mapInArrow(differ, "same bigint, template array<int>, copies boolean"))
+        parts.append(made.where("not copies").select("same", "template"))
+        left = made.where("copies").select("same")
+        if left.isEmpty():
+            break
+        wanted, step = order.join(left, "same", "left_semi"), 2 * step
     # one row a key, written first so that Spark sees its size; rows with one key are copies
-    template = saved(nearest(digests).mapInArrow(differ, "key bigint, template array<int>").groupBy("key").agg(F.min("template").alias("template")))
+    found = reduce(DataFrame.unionByName, parts) if parts else order.select("same", F.lit(None).cast("array<int>").alias("template")).limit(0)
+    template = saved(digests.select("key", "same").join(found, "same").groupBy("key").agg(F.min("template").alias("template")))
 
     def finish(x: dict) -> dict:
         texts = [main_text(lines_of(p), set(t or [])) for p, t in zip(x["html"], x["template"], strict=True)]

@@ -163,6 +163,21 @@ def test_elements_set_aside(page, text):
     assert html_extract.main_text(html_extract.lines_of(page), set()) == text
 
 
+def test_templates_of_short_pages_and_copies(spark):
+    menu = "".join(f"<div>Menu entry number {k} of the site</div>" for k in range(12))
+    page = lambda own: f"<body>{menu}<p>{own}</p><div>Bottom line of the host</div></body>"
+    own = {1: "Rain fell over northern hills all night", 2: "Bakers want cheaper flour this winter", 3: "A football club sold its oldest stand"}
+    long = "A new tunnel opened below the strait after nine years. " * 30
+    rows = [(k, f"http://h/a/{k}", page(t)) for k, t in own.items()]
+    rows += [(1, "http://h/a/1", page(own[1])), (4, "http://h/a/1?print=1", page(own[1])), (5, "http://h/a/4", page(long))]
+    # a run of near copies by path: only the date differs, so no neighbour close by shows the template
+    dated = lambda k: f"<p>Changed on 2{k} January of the year 2020</p><p>{own[1]} {own[2]}</p>"
+    rows += [(10 + k, f"http://c/a/{k}", f"<body>{menu}{dated(k)}</body>") for k in range(6)] + [(20, "http://c/b/1", f"<body>{menu}<p>{own[3]}</p></body>")]
+    made = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: made[k] for k in (1, 2, 3, 4)} == own | {4: own[1]} and made[5] == long.strip()
+    assert [made[10 + k] for k in range(6)] == [f"Changed on 2{k} January of the year 2020 {own[1]} {own[2]}" for k in range(6)] and made[20] == own[3]
+
+
 # 3. language
 
 
