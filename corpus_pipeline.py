@@ -22,11 +22,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 80 % or more."""
+    """One document of each group of near copies: five-word shingles, similarity of 80 % or more.
+
+    One row of each id stays. Rows without an id go by their text, with ids above all others, so that they are near copies too.
+    """
     names = docs.columns
-    found = minhash.near_duplicates(docs, 5, 80)
-    gone = saved(found.where("not kept").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*names)
+    of_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), of_text))
+    found = minhash.near_duplicates(keyed.select(F.col("_id").alias("doc_id"), "text"), 5, 80)
+    ids = saved(found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
+    single = keyed.join(ids.select("_id"), "_id", "left_anti").select(*names)
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    repeated = keyed.join(ids.where("kept").select("_id"), "_id", "left_semi").groupBy("_id").agg(F.min_by(row, F.xxhash64("text")).alias("row")).select("row.*")
+    return single.unionByName(repeated)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -456,3 +456,12 @@ def test_pipeline(spark, odd):
     assert mix.columns == few.columns and mix.count() >= 2
     assert corpus_pipeline.tokens(spark, mix, sf).count() == mix.count()
     assert corpus_pipeline.quality(spark, odd, sf).columns == odd.columns
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text, "s"), (1, text, "s"), (2, text, "s"), (None, text + " end", "s"), (None, other, "s"), (None, other, "s"), (3, "quite another text", "t"), (None, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once = corpus_pipeline.one_of_each_group(spark, docs, "/root/testdata/sf0.001")
+    assert once.columns == docs.columns
+    assert sorted(map(str, map(tuple, once.collect()))) == sorted(map(str, [(1, text, "s"), (None, other, "s"), (3, "quite another text", "t"), (None, None, "s")]))
