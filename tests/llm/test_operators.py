@@ -465,3 +465,10 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     once = corpus_pipeline.one_of_each_group(spark, docs, "/root/testdata/sf0.001")
     assert once.columns == docs.columns
     assert sorted(map(str, map(tuple, once.collect()))) == sorted(map(str, [(1, text, "s"), (None, other, "s"), (3, "quite another text", "t"), (None, None, "s")]))
+
+
+def test_bench_times_the_text_heavy_queries():
+    import __spark_entry__
+    import bench
+
+    assert {"rule_counts", "ranked_evidence", "grounded_entities", "pipeline"} <= set(bench.HEADLINE) <= set(__spark_entry__.queries())
