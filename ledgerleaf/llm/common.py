@@ -1,16 +1,24 @@
-"""Shared helpers: Arrow batches in small slices, and tables that cut lineage."""
+"""Shared helpers: Arrow batches in bounded slices, tables that cut lineage, joins that spread hot keys."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Rows that a Python task holds at once.
-SLICE_ROWS = 256
+#: Rows, and bytes of text, that a Python task holds at once; a longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
+#: Hot keys that ``spread_join`` sends to all tasks at most.
+MOST_HOT = 4096
+#: Rows of a key up to which it is never split.
+LEAST_HOT = 256
+#: Rows of a join that one task joins in no time, hot keys or not.
+SMALL = 10_000
 
 
 _stores: dict[str, dict] = {}
@@ -25,34 +33,71 @@ def word_store(owner: str) -> dict:
 
 
 def shared_dir(df: DataFrame) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``.
+
+    Without either it raises: a folder of the driver's own is not seen by the executors of a cluster.
+    """
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="ledgerleaf-")
+    if folder:
+        return folder
+    given = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isEmpty():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return given.get()
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, so later steps don't recompute it."""
+    """Write ``df`` as Parquet in the shared folder and read it back, so later steps don't recompute it.
+
+    Whoever owns the folder clears it after the job, as with checkpoints: results read from these tables.
+    """
     path = f"{shared_dir(df).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df))
-    return df.checkpoint()
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows and ``size`` bytes of strings and binaries, at least a row each."""
+    held = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        kind = column.type
+        if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+            held += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(held)])
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, upto[at] + size, "right")) - 1
+        end = min(batch.num_rows, at + rows, max(end, at + 1))
+        yield batch.slice(at, end - at)
+        at = end
 
 
-def by_slices(fn: Callable[[dict], dict], schema: pa.Schema, rows: int = SLICE_ROWS):
-    """An Arrow mapper that calls ``fn`` with dicts of Python lists of at most ``rows`` rows."""
+def by_slices(fn: Callable[[dict], dict], schema: pa.Schema, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):
+    """An Arrow mapper that calls ``fn`` with dicts of Python lists, a slice at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows, size):
                 made = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in schema], schema=schema)
 
     return run
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, deal_by: str, n: str = "n_rows", total: int | None = None) -> DataFrame:
+    """``rows`` inner joined with ``table``, which has one row a key and in ``n`` the number of its rows.
+
+    A key of more than LEAST_HOT rows and of more than a MOST_HOT-th of all is dealt over as many tasks as it has such
+    shares, by a hash of ``deal_by``, its row of ``table`` going to each. No more than MOST_HOT keys can be so
+    large, which bounds what is broadcast. ``n`` is dropped. ``total``: the sum of ``n`` where the caller knows it.
+    """
+    if total is None:
+        total = table.agg(F.sum(n)).first()[0] or 0
+    share = max(LEAST_HOT, total // MOST_HOT)
+    if total <= SMALL:
+        return rows.join(table.drop(n), key)
+    parts = F.ceil(F.col(n) / share).cast("int")
+    hot = table.where(F.col(n) > share).select(key, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(deal_by), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > share, parts - 1).otherwise(0)))).drop(n)
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")

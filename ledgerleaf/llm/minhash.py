@@ -4,15 +4,17 @@ Two permutations make the whole signature: the first scatters a shingle over PLA
 shifted round by k places, ranks it for coordinate k. Documents with one set of shingles form a class,
 and classes that agree in a band of coordinates share a bucket. Links are confirmed on full sets:
 
-1. Stars: every class is verified against the least class of each of its buckets. This is linear in the
-   bucket and joins the bulk of a large group.
+1. Stars: every class is compared with the least class of each of its buckets by sketch (a byte of every coordinate),
+   and verified against the one that agrees most. This is linear in the bucket and joins the bulk of a large group.
 2. Rest: in buckets whose classes still lie in more than one component, classes of different components are
-   compared by signature in blocks of bounded size (never within the largest component), and those that
+   compared by sketch in blocks of bounded size (never within the largest component), and those that
    may reach the threshold are verified in blocks by their full sets. A pair is looked at in the first
    band it shares only. A block passes on a spanning forest of its links, not all pairs.
 
-The number of bands follows from the threshold, so that a pair at the threshold shares no bucket with
-probability MISSED at most; the comparison by signature passes over a pair at the threshold less often still.
+Both bounds are exact in the binomial model: the number of bands follows from the threshold, so that a pair at it
+shares no bucket with probability MISSED at most, and so does the number of coordinates that must agree. Coordinates of
+circulant MinHash are not independent, but their agreement varies less than that of independent ones (Li and
+Li, C-MinHash, 2021), so the model errs on the safe side. Bytes of a sketch agree whenever the coordinates do.
 """
 
 from __future__ import annotations
@@ -28,15 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import by_slices, checkpointed, saved, word_store
+from ledgerleaf.llm.common import by_slices, saved, slices, spread_join, word_store
 
 PLACES = 1 << 20
 BAND_ROWS = 5
 MISSED = 1e-7
-#: Standard deviations under the threshold down to which a signature counts as possibly reaching it.
-MARGIN = 5.5
 #: Classes of a block; a task compares two blocks at a time.
-BLOCK = 256
+BLOCK = 512
 #: Word hashes that a worker keeps, shingles whose coordinates are made at once, set members multiplied at once.
 WORDS_KEPT, STEP_SHINGLES, STEP_MEMBERS = 300_000, 2048, 8192
 
@@ -48,6 +48,17 @@ def bands_for(percent: int) -> int:
     return math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** BAND_ROWS))
 
 
+@lru_cache(maxsize=8)
+def least_agreement(width: int, percent: int) -> int:
+    """Coordinates of ``width`` in which a pair at the threshold agrees, but for a chance of MISSED."""
+    p, total = percent / 100, 0.0
+    for k in range(width + 1):
+        total += math.comb(width, k) * p**k * (1 - p) ** (width - k)
+        if total > MISSED:
+            return k
+    return width
+
+
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a whole text; of all words if there are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
@@ -85,20 +96,33 @@ def signature(shingles: np.ndarray, width: int) -> np.ndarray:
     return least
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit key a band, of the band's number and coordinates."""
+    part = sig.reshape(-1, BAND_ROWS).astype(np.uint64)
+    key = np.arange(1, len(part) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(BAND_ROWS):
+        key = (key ^ part[:, k]) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
 def shingled(docs: DataFrame, size: int, width: int) -> DataFrame:
-    """``doc_id, n_shingles, digest, sig``; digest and sig are null for an empty set."""
+    """``doc_id, n_shingles, digest, bands, sketch``; the last three are null for an empty set."""
 
     def fn(x: dict) -> dict:
         sets = [shingle_set(t, size) for t in x["text"]]
+        sigs = [signature(s, width) if len(s) else None for s in sets]
         return {
             "doc_id": x["doc_id"],
             "n_shingles": [len(s) for s in sets],
             "digest": [hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None for s in sets],
-            "sig": [signature(s, width).tolist() if len(s) else None for s in sets],
+            "bands": [None if s is None else band_keys(s) for s in sigs],
+            "sketch": [None if s is None else s.astype(np.uint8).tobytes() for s in sigs],
         }
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.list_(pa.int32()))])
-    return docs.select("doc_id", "text").mapInArrow(by_slices(fn, schema), "doc_id bigint, n_shingles bigint, digest binary, sig array<int>")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
+    return rows.mapInArrow(by_slices(fn, schema), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -108,7 +132,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
         return {"node": x["doc_id"], "members": [shingle_set(t, size).view(np.int64) for t in x["text"]]}
 
     schema = pa.schema([("node", pa.int64()), ("members", pa.list_(pa.int64()))])
-    wanted = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = docs.select(F.col("doc_id").cast("bigint"), "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     return wanted.mapInArrow(by_slices(fn, schema, 64), "node bigint, members array<long>")
 
 
@@ -116,21 +140,21 @@ def components(links: DataFrame) -> DataFrame:
     """``node, component`` (the least node reachable) of the nodes of ``links(a, b)``.
 
     Large-star and small-star rounds, each in joins and minima, until the links no longer change; every
-    round is checkpointed.
+    round is written. A node with very many neighbours (the centre of a large group) is dealt over several tasks.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
+    edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    state, total = None, edges.count()
+    while total:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n_rows")).select("u", F.least("low", "u").alias("m"), "n_rows")
+        large = spread_join(both.where("v > u"), least, "u", "v", total=2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.where("u <> v").distinct())
+        edges = saved(small.where("u <> v").distinct())
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == state:
             break
-        state = seen
+        state, total = seen, seen[0]
     nodes = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 
@@ -162,22 +186,30 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
-def plausible(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, band: int, percent: int) -> np.ndarray:
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """(rows, width) bytes of sketches of one length."""
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, np.uint8).reshape(len(column), -1)
+
+
+def _close(a, b, percent: int):
+    """Sizes of sets that can reach the threshold."""
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+def plausible(sketch: np.ndarray, comp: np.ndarray, n: np.ndarray, band: int, percent: int) -> np.ndarray:
     """Which rows may be linked with a row of another component, in no band before this one."""
-    width = sig.shape[1]
-    need = percent / 100 - MARGIN * math.sqrt(percent / 100 * (1 - percent / 100) / width)
-    hit = np.zeros(len(sig), bool)
+    need = least_agreement(sketch.shape[1], percent)
+    hit = np.zeros(len(sketch), bool)
     _, back, count = np.unique(comp, return_inverse=True, return_counts=True)
-    rare = back != count.argmax()
-    for i in np.nonzero(rare)[0]:
-        same = sig == sig[i]
-        ok = (same.mean(1) >= need) & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+    for i in np.nonzero(back != count.argmax())[0]:
+        at = np.nonzero((comp != comp[i]) & _close(n, n[i], percent))[0]
+        same = sketch[at] == sketch[i]
+        ok = np.count_nonzero(same, 1) >= need
         if band and ok.any():
-            at = np.nonzero(ok)[0]
-            before = same[at, : band * BAND_ROWS].reshape(len(at), band, BAND_ROWS).all(2).any(1)
-            ok[at[before]] = False
+            ok &= ~same[:, : band * BAND_ROWS].reshape(len(at), band, BAND_ROWS).all(2).any(1)
         if ok.any():
-            hit |= ok
+            hit[at[ok]] = True
             hit[i] = True
     return hit
 
@@ -216,14 +248,15 @@ def _blocked(members: DataFrame) -> DataFrame:
     largest component never meet.
     """
     by_comp = members.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-    shape = by_comp.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("n_main"), F.sum("k").alias("n_all"), F.count("*").alias("n_comps")).where("n_comps > 1")
+    shape = by_comp.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("n_main"), F.sum("k").alias("n_rows"), F.count("*").alias("n_comps")).where("n_comps > 1")
+    shape = saved(shape.withColumn("n_all", F.col("n_rows")))
     few = F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int")
     many = F.ceil(F.col("n_main") / BLOCK).cast("int")
     is_main = F.col("comp") == F.col("main")
     own = F.pmod(F.xxhash64("node"), F.when(is_main, many).otherwise(few)).cast("int") + F.when(is_main, few).otherwise(0)
     others = F.sequence(F.lit(0), F.when(is_main, few).otherwise(few + many) - 1)
     return (
-        members.join(shape, "bucket")
+        spread_join(members, shape, "bucket", "node")
         .withColumn("own", own)
         .withColumn("other", F.explode(others))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
@@ -238,64 +271,83 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shingle, a null or blank text none and no links. Documents are linked if the Jaccard similarity of their
     sets is ``percent`` or more; ``component_id`` is the smallest id reachable and ``kept`` marks it. Rows
     that repeat an id count as one document with the links of them all. A row without an id is linked with
-    nothing, has no ``component_id`` and is kept. Only ``doc_id`` and ``text`` are read.
+    nothing, has no ``component_id`` and is kept. An empty table gives an empty result. Only ``doc_id`` (a whole
+    number) and ``text`` are read.
     """
-    bands = bands_for(percent)
-    width = bands * BAND_ROWS
+    width = bands_for(percent) * BAND_ROWS
     base = saved(shingled(docs, size, width))
+    usable = base.where("doc_id is not null and digest is not null")
     classes = saved(
-        base.where("doc_id is not null and digest is not null")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    )
-    keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * BAND_ROWS + k)) for k in range(BAND_ROWS)]).alias("bucket")) for b in range(bands)]
-    rows = classes.select("node", "n", F.inline(F.array(*keys)))
-    shared = saved(
-        rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("k")).where("k > 1").select("bucket", "first")
+        usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
-    members = saved(rows.join(shared, "bucket"))
+    rows = classes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
+    shared = saved(rows.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n_rows")).where("n_rows > 1"))
+    members = saved(spread_join(rows, shared, "bucket", "node"))
 
     # 1. stars
-    close = 100 * F.least("n", F.col("first.n")) >= percent * F.greatest("n", F.col("first.n"))
-    stars = saved(members.where((F.col("node") != F.col("first.node")) & close).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
-    # the texts are dealt by id once, for both steps: sets of the classes that share a bucket
-    sets = saved(full_sets(docs, members.select("node"), size))
+    stars = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
+    of_b = classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
+    centres = stars.groupBy("a").agg(F.count("*").alias("n_rows")).join(classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x")), "a")
+    need = least_agreement(width, percent)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in slices(batch, 4096):
+                close = _close(g["n_a"].to_numpy(), g["n_b"].to_numpy(), percent)
+                same = np.count_nonzero(_sketches(g["x"]) == _sketches(g["y"]), 1)
+                ok = close & (same >= need)
+                yield pa.RecordBatch.from_arrays([g["a"].filter(pa.array(ok)), g["b"].filter(pa.array(ok)), pa.array(same[ok].astype(np.int32))], names=["a", "b", "same"])
+
+    paired = spread_join(stars.join(of_b, ["b", "n_b"]), saved(centres), "a", "b")
+    likely = paired.mapInArrow(compare, "a bigint, b bigint, same int")
+    best = saved(likely.groupBy("b").agg(F.max(F.struct("same", "a")).alias("best")).select("b", F.col("best.a").alias("a")))
+    centre_sets = best.groupBy("a").agg(F.count("*").alias("n_rows"))
+    nodes = best.select(F.col("b").alias("node")).unionByName(best.select(F.col("a").alias("node")))
+    sets = saved(full_sets(docs, saved(nodes.distinct()), size))
+    of_a = saved(sets.select(F.col("node").alias("a"), F.col("members").alias("x")).join(centre_sets, "a"))
     inter = F.size(F.array_intersect("x", "y"))
     verified = (
-        stars.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-        .join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
+        spread_join(best.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b"), of_a, "a", "b")
         .where(_enough(inter, F.size("x"), F.size("y"), percent))
         .select("a", "b")
     )
-    links = saved(verified)
-    found = saved(components(links))
+    # ids that repeat with different texts link the texts' classes
+    keyed = usable.select("doc_id", F.xxhash64("digest").alias("key"))
+    several = keyed.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id", "low")
+    of_key = classes.select(F.xxhash64("digest").alias("key"), "node")
+    same_id = keyed.join(several, "doc_id").join(of_key.withColumnRenamed("node", "b"), "key").select("low", "b").join(of_key.select(F.col("key").alias("low"), F.col("node").alias("a")), "low").select("a", "b")
+    found = saved(components(verified.unionByName(same_id)))
 
     # 2. rest
-    placed = members.select("bucket", "band", "node", "n").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    blocked = _blocked(placed).join(classes.select("node", "n", "sig"), ["node", "n"])
+    placed = saved(members.drop("first").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
+    blocked = _blocked(placed).join(classes.select("node", "n", "sketch"), ["node", "n"])
     by_key = ["bucket", "i", "j"]
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
-            sig = np.stack(_lists(g["sig"]))
-            hit = plausible(sig, g["comp"].to_numpy(), g["n"].to_numpy(), g["band"][0].as_py(), percent)
+            hit = plausible(_sketches(g["sketch"]), g["comp"].to_numpy(), g["n"].to_numpy(), g["band"][0].as_py(), percent)
             if hit.any():
-                yield from g.select([*by_key, "node"]).filter(pa.array(hit)).to_batches()
+                yield from g.select([*by_key, "node", "comp"]).filter(pa.array(hit)).to_batches()
 
-    screened = saved(blocked.repartition(*by_key).sortWithinPartitions(*by_key).mapInArrow(screen, "bucket bigint, i int, j int, node bigint"))
+    screened = saved(blocked.repartition(*by_key).sortWithinPartitions(*by_key).mapInArrow(screen, "bucket bigint, i int, j int, node bigint, comp bigint"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
-            node = g["node"].to_numpy()
-            pairs = forest(_lists(g["members"]), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(node[[x for x, _ in pairs]], pa.int64()), pa.array(node[[y for _, y in pairs]], pa.int64())], names=["a", "b"])
-
-    more = saved(screened.join(sets, "node").repartition(*by_key).sortWithinPartitions(*by_key).mapInArrow(verify, "a bigint, b bigint").where("a <> b").distinct())
-    final = saved(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
-    return (
-        base.select("doc_id", "n_shingles", "digest")
-        .join(classes.select("digest", "node"), "digest", "left")
-        .join(final, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+            comp = g["comp"].to_numpy()
+            pairs = np.array(forest(_lists(g["members"]), percent), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(comp[pairs[:, 0]], pa.int64()), pa.array(comp[pairs[:, 1]], pa.int64())], names=["a", "b"])
+
+    more_sets = full_sets(docs, saved(screened.select("node").distinct()), size)
+    more = screened.join(more_sets, "node").repartition(*by_key).sortWithinPartitions(*by_key).mapInArrow(verify, "a bigint, b bigint")
+    merged = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    labels = (
+        classes.select("digest", "node", "n_rows")
+        .join(found, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+        .join(merged, "component", "left")
+        .select("digest", F.coalesce("whole", "component").alias("component_id"), "n_rows")
     )
+    placed_rows = spread_join(usable.select("doc_id", "n_shingles", "digest"), saved(labels), "digest", "doc_id").drop("digest")
+    alone = base.where("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    every = placed_rows.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
