@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows, and bytes of text, that a Python task holds at once; a longer text is a slice of its own.
@@ -84,7 +84,7 @@ def by_slices(fn: Callable[[dict], dict], schema: pa.Schema, rows: int = SLICE_R
     return run
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, deal_by: str, n: str = "n_rows", total: int | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, deal_by: str | Column, n: str = "n_rows", total: int | None = None) -> DataFrame:
     """``rows`` inner joined with ``table``, which has one row a key and in ``n`` the number of its rows.
 
     A key of more than LEAST_HOT rows and of more than a MOST_HOT-th of all is dealt over as many tasks as it has such

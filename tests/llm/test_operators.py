@@ -85,25 +85,70 @@ def test_binomial_tail_is_exact():
         assert np.allclose(quality_rules.binomial_tail(np.arange(n + 1), n, p), exact)
 
 
-def test_cutoffs_bound_false_rejection():
+def test_taken_steps_bound_false_rejection():
     rng = np.random.default_rng(4)
-    grid, rate, level, broken = [90, 80, 70, 60, 50], 0.05, 0.05, 0
-    for _ in range(300):  # true rates of scores above the grid: 1, 3, 6, 10 and 20 %
-        u = rng.random(400)
-        over = np.array([(u < t).sum() for t in (0.01, 0.03, 0.06, 0.1, 0.2)])
-        cut = quality_rules.choose_cutoff(grid, over, over * 100, 400, rate, level)
-        broken += cut is not None and cut <= 70
+    alpha, level, broken = 0.05, 0.05, 0
+    for _ in range(300):  # a path whose rule sets truly reject 1, 3, 6, 10 and 20 % of good texts
+        first = np.histogram(rng.random(400), [0, 0.01, 0.03, 0.06, 0.1, 0.2])[0]
+        broken += quality_rules.last_step(first, np.full(5, 10_000), 400, alpha, level) >= 3
     assert broken <= 300 * level
-    assert quality_rules.choose_cutoff(grid, np.zeros(5, int), np.ones(5, int), 10, rate, level) is None
-
-
-def test_rules_reject_junk_and_keep_good(spark, sf):
-    # one small table gives too few labels for 9 rules in 4 strata, so one stratum and a wider rate
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang", F.lit("all"))
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    made = quality_rules.apply_rules(docs, labels, alpha=0.9).join(labels, "doc_id").toPandas()
-    good = made[(made.quality == 1) & ~made.base_failed]
-    assert good.kept.mean() > 0.9
+    assert quality_rules.last_step(np.zeros(5, int), np.ones(5, int), 10, alpha, level) == 0
+
+
+def brute_kept(docs, labels, alpha, delta):
+    """``{doc_id: kept}`` and the steps taken, text by text."""
+    low = {}
+    for r in labels:
+        if r.doc_id is not None and r.quality is not None:
+            low[r.doc_id] = min(low.get(r.doc_id, r.quality), r.quality)
+    found, texts = {}, {}
+    for r in docs:
+        m = quality_rules.measure(r.text)
+        failed = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
+        found[r.doc_id] = (r.lang or "", m, failed)
+        if not failed and r.doc_id in low:
+            key = (r.lang or "", r.key)
+            texts[key] = (min(low[r.doc_id], texts[key][0]) if key in texts else low[r.doc_id], m, r.second)
+    strata = {k[0] for k, v in texts.items() if v[2]}
+    cuts = {}
+    for s in {k[0] for k in texts}:
+        mine = [v for k, v in texts.items() if k[0] == s]
+        steps = []
+        for at, (rule, grid) in enumerate(quality_rules.RULES.items()):
+            most = 0
+            for j, c in enumerate(grid):
+                good = sum(q > 0 and m[rule] > c for q, m, second in mine if not second)
+                bad = sum(q <= 0 and m[rule] > c for q, m, second in mine if not second)
+                if bad > most:
+                    most = bad
+                    steps.append((good, at, j, rule, c))
+        steps = [(rule, c) for _, _, _, rule, c in sorted(steps)]
+        n = sum(q > 0 for q, _, second in mine if second)
+        best, taken = 0, 0
+        for k in range(1, len(steps) + 1):
+            hit = [q > 0 for q, m, second in mine if second and any(m[rule] > c for rule, c in steps[:k])]
+            tail = sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(sum(hit) + 1)) if n else 1
+            if tail > delta / len(strata):
+                break
+            if (gain := len(hit) - sum(hit) - quality_rules.GOOD_WEIGHT * sum(hit)) > best:
+                best, taken = gain, k
+        cuts[s] = steps[:taken]
+    return {i: not failed and not any(m[rule] > c for rule, c in cuts.get(s, [])) for i, (s, m, failed) in found.items()}, cuts
+
+
+def test_kept_against_brute_force_rejects_junk_in_every_stratum(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 10000")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = docs.join(labels.select("doc_id").distinct(), "doc_id")
+    made = quality_rules.apply_rules(docs, labels).toPandas()
+    keyed = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("key")).withColumn("second", F.pmod(F.xxhash64("key", F.lit("half")), F.lit(2)) == 1)
+    kept, cuts = brute_kept(keyed.collect(), labels.collect(), quality_rules.ALPHA, quality_rules.DELTA)
+    assert dict(zip(made.doc_id, made.kept, strict=True)) == kept
+    assert all(cuts[s] for s in ("en", "de", "fr", "es"))
+    judged = made.merge(labels.toPandas(), on="doc_id").merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
+    judged = judged[~judged.base_failed]
+    for _, g in judged.groupby("lang"):
+        assert g[g.quality == 1].kept.mean() > 1 - quality_rules.ALPHA and g[g.quality == 0].kept.mean() < 0.5
 
 
 # 2. HTML
@@ -200,28 +245,46 @@ def test_bundle_is_the_sum_of_bound_trigrams():
 # 4. shards
 
 
-def test_lpt_and_slots(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    made = queries.op4_shards(spark, sf).toPandas()
+def heap_loads(sizes, shards):
+    heap = [(0, s) for s in range(shards)]
+    for size in sorted(sizes, reverse=True):
+        load, s = heapq.heappop(heap)
+        heapq.heappush(heap, (load + size, s))
+    return sorted(x for x, _ in heap)
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.1"])
+def test_lpt_and_slots(spark, table):
+    docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    made = queries.op4_shards(spark, f"/root/testdata/{table}").toPandas()
     groups = {}
     for r in docs.collect():
         t = r.text or ""
         groups[t] = groups.get(t, 0) + len(t.encode()) + 16
-    heap = [(0, s) for s in range(40)]
-    for size in sorted(groups.values(), reverse=True):
-        load, s = heapq.heappop(heap)
-        heapq.heappush(heap, (load + size, s))
-    loads = made.groupby("shard")["size"].sum()
-    assert sorted(loads) == sorted(x for x, _ in heap)
+    assert sorted(made.groupby("shard")["size"].sum()) == heap_loads(groups.values(), 40)
     for _, g in made.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
     assert made.groupby(["text_crc32", "size"]).shard.nunique().max() == 1
 
 
-def test_bundles_of_small_groups_stay_even(spark):
-    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
-    made = sharding.assign(docs, 4, grain=50).groupBy("shard").agg(F.sum("size").alias("b")).toPandas().b
-    assert len(made) == 4 and made.max() - made.min() <= made.sum() / (4 * 50)
+def test_lpt_in_one_step_equals_the_heap():
+    rng = random.Random(12)
+    for _ in range(300):
+        shards = rng.randint(1, 7)
+        sizes = {rng.randint(1, 40): rng.choice([1, 2, 5, 9 * shards, 200]) for _ in range(rng.randint(0, 9))}
+        made = sharding.lpt(sizes.items(), shards)
+        loads = [0] * shards
+        for size, parts in made.items():
+            assert sum(n for _, n in parts) == sizes[size]
+            for s, n in parts:
+                loads[s] += size * n
+        assert sorted(loads) == heap_loads([x for x, n in sizes.items() for _ in range(n)], shards)
+
+
+def test_many_groups_of_one_size(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.format_string("t%05d", "id").alias("text"), F.lit("x").alias("shard"))
+    made = sharding.shard_documents(docs, 7).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last")).toPandas()
+    assert sorted(made.n) == [571] * 4 + [572] * 3 and (made["last"] + 1 == made.n).all()
 
 
 # 5. personal data
