@@ -310,11 +310,77 @@ def test_base_spans_against_plain_patterns():
 
 def test_em_finds_the_reliable_labeler():
     rng = np.random.default_rng(5)
-    truth = rng.random(4000) < 0.6
+    truth = rng.random(4000) < 0.3
     noisy = lambda p: np.where(rng.random(4000) < p, truth, ~truth) * 2 - 1
     votes = np.stack([noisy(0.95), noisy(0.7), noisy(0.8)], 1).astype(float)
-    accuracy, posterior = pii.reliabilities(votes, np.ones(4000))
-    assert accuracy[0] > 0.9 and accuracy[1] < 0.78 and ((posterior > 0.5) == truth).mean() > 0.93
+    shares, posterior = pii.reliabilities(votes, np.ones(4000))
+    right = [(s[0, 0] + s[1, 2]) / 2 for s in shares]
+    assert right[0] > 0.9 and right[1] < 0.78 and ((posterior > 0.5) == truth).mean() > 0.93
+
+
+def test_em_on_the_table_equals_em_on_rows():
+    rng = np.random.default_rng(6)
+    rows = rng.choice([-1, 0, 1], (500, 3), p=[0.5, 0.2, 0.3])
+    table, back, n = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+    _, made = pii.reliabilities(table.astype(float), n.astype(float))
+    # the plain form, candidate by candidate
+    posterior = [1 / (1 + math.exp(-2 * sum(r))) for r in rows.tolist()]
+    for _ in range(pii.EM_ROUNDS):
+        size = [sum(1 - p for p in posterior), sum(posterior)]
+        share = [[[(sum((p if c else 1 - p) for p, r in zip(posterior, rows, strict=True) if r[k] == v) + pii.SMOOTHING) / (size[c] + 3 * pii.SMOOTHING) for v in (-1, 0, 1)] for k in range(3)] for c in (0, 1)]
+        odds = [(size[c] + pii.SMOOTHING) / (len(rows) + 2 * pii.SMOOTHING) for c in (0, 1)]
+        of = {tuple(v): [odds[c] * math.prod(share[c][k][int(v[k]) + 1] for k in range(3)) for c in (0, 1)] for v in table.tolist()}
+        posterior = [of[tuple(r)][1] / sum(of[tuple(r)]) for r in rows.tolist()]
+    assert np.allclose(made[back.ravel()], posterior, atol=1e-6)
+
+
+def test_classifier_accepts_and_refuses(spark):
+    """Planted personal data among planted look-alikes of the same forms: each kind has spans accepted and refused."""
+    yes = {
+        "secret": "token = \"{:040x}\" here", "iban": "iban: DE89370400440532013000 bank", "spelled_email": "mail to jo{} [at] example [dot] com now",
+        "ssn": "social security 536-90-{:04d} ok", "local_phone": "phone (030) 555-{:04d} please", "name": "Dear Mr. Peter Malone{} signed",
+    }
+    no = {
+        "secret": "a word lotsofletterswithoutend of prose", "iban": "the part AB12 CDEF 34567 X of stock", "spelled_email": "they met at noon.so he left",
+        "ssn": "build 000 12 {:04d} was made", "local_phone": "from 20 {:03d} 4512 units", "name": "The Northern Hills were green",
+    }
+    rng = random.Random(13)
+    rows, kinds = [], list(yes)
+    for i in range(600):
+        kind, real = kinds[i % 6], rng.random() < 0.5
+        form = (yes if real else no)[kind]
+        value = {"secret": rng.getrandbits(160), "ssn": rng.randint(1000, 9999), "local_phone": rng.randint(100, 999) if not real else rng.randint(1000, 9999)}.get(kind, "")
+        rows.append((i, f"some words {'x' * (i % 23)} before it, and " + form.format(value) + " then more of them", kind, real))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string, real boolean")
+    found = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    for kind in kinds:
+        mine = [(any(s.startswith(kind + ":") for s in found[i].split(",")), real) for i, _, k, real in rows if k == kind]
+        assert np.mean([hit for hit, real in mine if real]) > 0.9, kind
+        assert not any(hit for hit, real in mine if not real), kind
+
+
+def test_refused_and_accepted_on_given_documents(spark):
+    counts = pii.pattern_counts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    model = pii.train(counts)
+    accepted, refused = {}, {}
+    for r in counts.collect():
+        side = accepted if model.accepts(tuple(r)[:5]) else refused
+        side[r.kind] = side.get(r.kind, 0) + r.n
+    assert accepted["secret"] > 5 and refused["secret"] > 50 and refused["name"] > 500 and "name" not in accepted
+
+
+def test_taken_stretches_against_brute_force():
+    rng = random.Random(14)
+    for _ in range(300):
+        spans = [pii.Span("ip", a, a + rng.randint(1, 9)) for a in (rng.randint(0, 80) for _ in range(rng.randint(0, 6)))]
+        held, taken = [(s.start, s.end) for s in spans], pii._Taken(spans)
+        for _ in range(30):
+            a = rng.randint(0, 90)
+            b = a + rng.randint(1, 6)
+            free = all(b <= x or y <= a for x, y in held)
+            assert taken.free(a, b) == free
+            if free:
+                held.append((a, b))
 
 
 def test_secrets_are_added_and_redacted(spark):
