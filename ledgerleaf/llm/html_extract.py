@@ -1,40 +1,42 @@
-"""Main text of web pages by differencing each page with its nearest page on the host.
-
-Pages are ordered by host and URL path; a page is paired with the neighbour on its host whose path shares
-the longer beginning (the earlier one on ties). Pages of equal lines count as one. The text lines (blocks) of
-the two are aligned by a longest common subsequence, and shared lines are deleted: they are the template of the
-host. Lines inside an ``article`` or ``main`` element are exempt, as deleting would take away content. Copies of one
-page with small changes (most of either page is shared, and of the rest the words agree or one has none) say
-nothing of the template: such a page is compared with neighbours ever further away, until one is a different page.
-
-Boilerplate that differs from page to page is never shared, so elements that state their role (``nav``,
-``header``, ``footer``, ``aside``, forms, scripts, and classes or ids for adverts, notices, comments and
-the like) are left out when lines are formed, and where a page has an ``article`` or ``main``, its
-text is what lies inside.
+"""Main text of web pages by differencing each page with its nearest pages on the host.
+
+1. A page becomes text lines (blocks), menus, adverts and all; only scripts, styles and the like are left out.
+2. Pages are ordered by host and URL path; pages of equal lines count as one. From a page outward, the page whose path
+   shares the longer beginning comes first (the earlier one on ties), and the first three pages that share lines outside
+   articles are its partners. Copies of one page with small changes (most of either is shared, and of the rest the
+   words agree or one has none) say nothing of the template, so the search goes on over them.
+3. The lines of page and partner are aligned by a longest common subsequence. Lines shared with two partners are the
+   host's template and deleted; the second partner keeps passages that two articles share. Where only one page of the
+   host shares lines, these go. Lines inside an ``article`` or ``main`` are content by the page's own word and stay.
+4. Adverts and menus made anew for each page are never shared. So of the lines that are left, those go which lie in an element
+   that states its part (``nav``, ``aside``, ``footer``, forms, a class or id that is the name of such a part), and lines that
+   consist of links. Where a page has an ``article`` or ``main``, its text is what lies inside, without teasers: further
+   articles whose heading is a link.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ledgerleaf.llm.common import by_slices, saved
+from ledgerleaf.llm.common import by_slices, saved, slices, spread_join
 
 #: Pages that share more of their characters are copies, if so much of their other words agrees.
 MOST_SHARED, MOST_AGREED = 0.5, 0.5
 #: Words of a line, those of the least hashes, by which lines are compared that are not equal.
 SKETCH = 6
-#: Range partitions for ordering: rows per partition, about.
-SORT_ROWS = 50_000
+#: Range partitions for ordering: pages per partition, about, and pages on either side that a partition also sees.
+SORT_ROWS, HALO = 1_000, 16
+#: Partners of a page, and how many of them must share a line (one, where there is one).
+PARTNERS, AGREEING = 3, 2
 
 # a tag that the page ends in, also within a quote, takes the rest of the page, as in browsers
 _TOKEN = re.compile(
@@ -49,14 +51,21 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 BLOCKS = frozenset(
     "address article blockquote body br caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_ROLE_WORDS = (
+# Names of parts of a page that are not its text, and what may stand beside one in a class or id of such a part.
+_PARTS = (
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer dialog disqus footer gdpr header "
     "login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies search share sharing "
     "sidebar signup social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo alert"
 )
-ROLE_WORDS = frozenset(_ROLE_WORDS.split())
+PARTS = frozenset(_PARTS.split())
+_BESIDE = (
+    "area bar block bottom box btn button buttons col column container content count entry field footer form global head holder icons inner input item items "
+    "left link links list main mobile module news notification outer page panel post posts primary reader region right section site slot sponsored sticky "
+    "story stories thread top unit user wrap wrapper"
+)
+BESIDE = frozenset(_BESIDE.split())
 #: Class and id names that speak of a layout or of a part of the content.
-_NO_ROLE = re.compile(r"(?:has|with|without|no|section|article|post|entry)[-_]|related[-_](?:works?|research|literature|studies)$")
+_NO_PART = re.compile(r"(?:has|with|without|no|section|article|post|entry)[-_]")
 #: Elements that may wrap a whole page, and names of what never does.
 _WRAPS = frozenset(("form", "fieldset"))
 _NO_WRAP = re.compile(r"comment|repl(?:y|ies)|disqus|cookie|consent|gdpr|\bnav|\bmenu|footer", re.I)
@@ -68,11 +77,17 @@ _INLINE = frozenset("br button label select caption tbody td th tr".split()) - f
 
 @dataclass
 class Line:
+    """A text line: ``article`` numbers the innermost article or main around it (0 for none), ``aside``: lies in a part that is not text."""
+
     text: str
-    inside: bool
+    article: int = 0
+    aside: bool = False
+    links: bool = False
+    heading: bool = False
 
 
-def _set_aside(name: str, attrs: str) -> bool:
+def _states_part(name: str, attrs: str) -> bool:
+    """Whether an element says that it is not the page's text: by its name, or by a class, id or role made of the names of parts."""
     if name in ASIDE:
         return True
     if name in ("html", "body", "article", "main") and "omment" not in attrs:
@@ -80,7 +95,8 @@ def _set_aside(name: str, attrs: str) -> bool:
     for m in _ATTR.finditer(attrs):
         value = m[2] or m[3] or m[4] or ""
         for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
-            if not _NO_ROLE.match(token) and not ROLE_WORDS.isdisjoint(re.split(r"[^a-z]+", token)):
+            words = [w for w in re.split(r"[^a-z]+", token) if w]
+            if not _NO_PART.match(token) and any(w in PARTS for w in words) and all(w in PARTS or w in BESIDE for w in words):
                 return True
     return False
 
@@ -99,93 +115,111 @@ def _ended(stack: list[str], name: str) -> int:
     return stay
 
 
-def _scan(page: str, spared: set[int]) -> tuple[list[Line], dict[int, int]]:
-    """Lines, and the characters of each element set aside that may be a wrapper, by where it starts."""
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+@dataclass
+class _Open:
+    name: str
+    part: int = 0  # number of the element if it states a part
+    article: int = 0
+
+
+def lines_of(page: str | None) -> list[Line]:
+    """All text blocks of a page in order; white space inside a block is one space.
+
+    An element that a class, id or form marks as a part but that holds most of the page's text wraps the content and
+    marks nothing. Inside an article, parts around it that only a class or id names don't count (they were left
+    open), nor do its own ``header``'s headings.
+    """
+    page = page or ""
     lines: list[Line] = []
+    around: list[tuple[int, ...]] = []  # parts around each line
+    stack: list[_Open] = []
+    wraps: set[int] = set()  # parts that may wrap a page
+    strong: set[int] = set()  # parts by the name of the element
+    headers: set[int] = set()
+    articles: dict[int, tuple[int, ...]] = {}  # parts around each article
     block: list[str] = []
-    open_: list[str] = []  # blocks around
-    inside = 0  # open article and main elements
-    skip: list[str] = []  # the element that is set aside, and what is open in it
-    sizes: dict[int, int] = {}
-    skip_at = -1
+    linked: list[str] = []
+    count, link = 0, False
     at, end = 0, len(page)
 
     def close_block() -> None:
         if text := " ".join(html.unescape("".join(block)).split()):
-            lines.append(Line(text, inside > 0))
+            article = next((e.article for e in reversed(stack) if e.article), 0)
+            heading = any(e.name in HEADINGS for e in stack)
+            lines.append(Line(text, article, links=len(" ".join(html.unescape("".join(linked)).split())) * 5 >= len(text) * 4, heading=heading))
+            around.append(tuple(e.part for e in stack if e.part))
         block.clear()
+        linked.clear()
+
+    def leave(size: int) -> None:
+        if len(stack) > size:
+            close_block()
+            del stack[size:]
 
     while at < end:
         m = _TOKEN.search(page, at)
         piece = page[at : m.start() if m else end]
-        if not skip:
-            block.append(piece)
-        elif skip_at >= 0:
-            sizes[skip_at] += len(" ".join(piece.split()))
+        block.append(piece)
+        if link:
+            linked.append(piece)
         if m is None:
             break
-        start, at = m.start(), m.end()
+        at = m.end()
         if m["name"] is None:
             continue
-        name, closing = m["name"].lower(), bool(m["close"])
+        name, closing, attrs = m["name"].lower(), bool(m["close"]), m["attrs"]
         if name in RAW:
-            if not closing and not m["attrs"].rstrip().endswith("/"):
+            if not closing and not attrs.rstrip().endswith("/"):
                 shut = re.compile(rf"</{re.escape(name)}\s*>|<body\b" if name == "head" else rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = end if shut is None else shut.start() if shut[0][1] != "/" else shut.end()
             continue
-        holds = name in ("article", "main")
-        aside = not closing and name not in VOID and start not in spared and _set_aside(name, m["attrs"])
-        if skip:
-            if holds and not closing and not aside and skip[0] != name:
-                skip = []  # content never lies in what is set aside: that element was left open
-            elif closing and name in skip:
-                del skip[len(skip) - 1 - skip[::-1].index(name) :]
-                continue
-            elif closing:
-                if name not in open_:
-                    continue
-                skip = []  # the parent closes
-            else:
-                del skip[_ended(skip, name) :]
-                if skip:
-                    if name not in VOID:
-                        skip.append(name)
-                    continue
-        if not closing:
-            del open_[_ended(open_, name) :]
-        if aside:
-            close_block()
-            skip, skip_at = [name], -1
-            if name in _WRAPS or name not in ASIDE and not _NO_WRAP.search(m["attrs"]):
-                sizes[start], skip_at = 0, start
+        if name == "a":
+            link = not closing
+        if closing:
+            names = [e.name for e in stack]
+            if name in BLOCKS:
+                close_block()
+            if name in names:
+                leave(len(names) - 1 - names[::-1].index(name))
             continue
-        if name in BLOCKS:
+        leave(_ended([e.name for e in stack], name))
+        states = name not in VOID and _states_part(name, attrs)
+        if name in BLOCKS or states:
             close_block()
-        if name in BLOCKS or name in ASIDE:
-            if not closing:
-                if name not in VOID:
-                    open_.append(name)
-            elif name in open_:
-                del open_[len(open_) - 1 - open_[::-1].index(name) :]
-        if holds:
-            inside = max(0, inside + (-1 if closing else 1))
+        if name in VOID or not (name in BLOCKS or name in ASIDE or states):
+            continue
+        opened = _Open(name)
+        if states:
+            count += 1
+            opened.part = count
+            if name == "header":
+                headers.add(count)
+            if name in _WRAPS or name not in ASIDE and not _NO_WRAP.search(attrs):
+                wraps.add(count)
+            if name in ASIDE and name not in _WRAPS:
+                strong.add(count)
+        elif name in ("article", "main"):
+            count += 1
+            opened.article = count
+            articles[count] = tuple(e.part for e in stack if e.part)
+        stack.append(opened)
     close_block()
-    return lines, sizes
-
-
-def lines_of(page: str | None) -> list[Line]:
-    """Text blocks of a page in order, without the elements that are set aside; white space inside a block is one space.
-
-    An element that a class, id or form would set aside but that holds most of the page's text wraps the content and stays.
-    """
-    spared: set[int] = set()
-    while True:
-        lines, sizes = _scan(page or "", spared)
-        total = sum(len(x.text) for x in lines) + sum(sizes.values())
-        wraps = {k for k, n in sizes.items() if 2 * n > total}
-        if not wraps or any(x.inside for x in lines):
-            return lines
-        spared |= wraps
+    sizes: dict[int, int] = {}
+    for line, parts in zip(lines, around, strict=True):
+        for k in parts:
+            sizes[k] = sizes.get(k, 0) + len(line.text)
+    total = sum(len(x.text) for x in lines)
+    spared = set() if articles else {k for k in wraps if 2 * sizes.get(k, 0) > total}
+    clean = {k for k, parts in articles.items() if not parts}
+    for line, parts in zip(lines, around, strict=True):
+        outer = articles.get(line.article, ())
+        left = [k for k in parts if k not in spared and not (k in outer and k not in strong and not clean)]
+        # a heading in an article's own header is the article's
+        line.aside = bool([k for k in left if not (line.heading and line.article and k in headers and k not in outer)])
+    return lines
 
 
 def common_lines(a: list, b: list) -> tuple[list[int], list[int]]:
@@ -228,76 +262,182 @@ def sketch(text: str) -> list[int]:
     return sorted({xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) >> 1 for w in text.split()})[:SKETCH]
 
 
-def template_lines(mine: dict, other: dict) -> list[int] | None:
-    """Positions of a page's lines that another page shares and that count as template; None if the two are copies.
+def shared_lines(mine: dict, other: dict) -> list[int] | None:
+    """Positions of a page's lines, outside articles, that another page shares; None if the two are copies.
 
-    Both have ``lines`` (digests), ``sizes``, ``inside`` and ``words`` (sketches).
+    Both have ``lines`` (digests), ``sizes``, ``inside``, ``aside`` and ``words`` (sketches). Whether pages are copies
+    is judged by what is not a stated part, as adverts may differ between copies.
     """
+    if set(mine["lines"]).isdisjoint(other["lines"]):
+        return []
     at, their = common_lines(mine["lines"], other["lines"])
-    shared = sum(mine["sizes"][k] for k in at)
-    if shared > MOST_SHARED * sum(mine["sizes"]) or sum(other["sizes"][k] for k in their) > MOST_SHARED * sum(other["sizes"]):
-        a, b = ({w for k, ws in enumerate(x["words"]) if k not in gone for w in ws} for x, gone in ((mine, set(at)), (other, set(their))))
+    sides = [(mine, set(at)), (other, set(their))]
+    text = [sum(n for n, a in zip(x["sizes"], x["aside"], strict=True) if not a) for x, _ in sides]
+    both = [sum(x["sizes"][k] for k in gone if not x["aside"][k]) for x, gone in sides]
+    if any(b > MOST_SHARED * t for b, t in zip(both, text, strict=True)):
+        a, b = ({w for k, ws in enumerate(x["words"]) if k not in gone and not x["aside"][k] for w in ws} for x, gone in sides)
         if not a or not b or len(a & b) >= MOST_AGREED * min(len(a), len(b)):
             return None
     return [k for k in at if not mine["inside"][k]]
 
 
-def main_text(lines: list[Line], template: set[int]) -> str:
-    only_inside = any(x.inside for x in lines)
-    return " ".join(x.text for k, x in enumerate(lines) if k not in template and (x.inside or not only_inside))
+def _path_start(a: str, b: str) -> int:
+    """Segments that two paths have in common at their beginning."""
+    n = 0
+    for x, y in zip(a.split("/"), b.split("/"), strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
 
 
-def _shared_start(a: Column, b: Column) -> Column:
-    """Characters that two paths have in common at their beginning, by segments."""
-    x, y = F.split(a, "/"), F.split(b, "/")
-    differs = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), F.lit(False))
-    return F.when(differs == 0, F.size(x).cast("long")).otherwise(differs)
+def partners(pages: list[dict], i: int, most: int) -> tuple[dict[int, list[int]], bool]:
+    """What page ``i`` shares with its partners, by their ``same``, and whether copies kept it from finding enough.
 
+    ``pages`` are in the order of hosts and paths. At most ``most`` pages are looked at.
+    """
+    me, before, after, found, copies = pages[i], i - 1, i + 1, {}, False
+    for _ in range(most):
+        b = pages[before] if before >= 0 and pages[before]["host"] == me["host"] else None
+        a = pages[after] if after < len(pages) and pages[after]["host"] == me["host"] else None
+        if a is None and b is None or len(found) >= PARTNERS:
+            break
+        if b is None or a is not None and _path_start(me["path"], a["path"]) > _path_start(me["path"], b["path"]):
+            other, after = a, after + 1
+        else:
+            other, before = b, before - 1
+        t = shared_lines(me, other)
+        copies |= t is None
+        if t:
+            found[other["same"]] = t
+    return found, copies and len(found) < AGREEING
+
+
+def template_of(found: Collection[list[int]]) -> list[int]:
+    """Lines shared with enough partners."""
+    met = Counter(k for t in found for k in set(t))
+    need = min(AGREEING, len(found))
+    return sorted(k for k, n in met.items() if n >= need)
+
+
+def main_text(lines: list[Line], template: set[int]) -> str:
+    """The text that differencing and the parts of the page leave."""
+    left = [x for k, x in enumerate(lines) if k not in template and not x.aside]
+    held = [x for x in left if x.article]
+    if held:
+        sizes: dict[int, int] = {}
+        heads: dict[int, Line] = {}
+        for x in held:
+            sizes[x.article] = sizes.get(x.article, 0) + len(x.text)
+            if x.heading:
+                heads.setdefault(x.article, x)
+        largest = max(sizes, key=lambda k: (sizes[k], -k))
+        return " ".join(x.text for x in held if x.article == largest or not (x.article in heads and heads[x.article].links))
+    return " ".join(x.text for x in left if not x.links or x.heading)
 
-PAGE = ["lines", "sizes", "inside", "words"]
 
+PAGE = ["lines", "sizes", "inside", "aside", "words"]
 
-def ranked(pages: DataFrame) -> DataFrame:
-    """Add ``rank``, the place of a page in the order of hosts and paths.
 
-    The order is global: pages are dealt by ranges of host and path, counted per range, and numbered, so a
-    host of any size is spread over tasks and no boundary loses a neighbour.
+def ordered(pages: DataFrame) -> DataFrame:
+    """Add ``part``, the range of hosts and paths that a page lies in, and its place ``nth`` there; written.
+
+    Pages are dealt by ranges, so a host of any size is spread over tasks.
     """
     ranges = max(1, pages.count() // SORT_ROWS)
-    ordered = pages.repartitionByRange(ranges, "host", "path", "same").sortWithinPartitions("host", "path", "same")
-    held = ordered.withColumn("at", F.monotonically_increasing_id())
-    held = saved(held.select("*", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    offsets = held.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    return saved(held.join(offsets, "part").withColumn("rank", F.col("offset") + F.col("nth")).drop("at", "part", "nth", "offset", "n"))
+    sorted_ = pages.repartitionByRange(ranges, "host", "path", "same").sortWithinPartitions("host", "path", "same")
+    held = sorted_.withColumn("_at", F.monotonically_increasing_id())
+    return saved(held.select("*", F.shiftright("_at", 33).alias("part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")).drop("_at"))
+
+
+def _as_pages(rows: list[dict]) -> list[dict]:
+    for r in rows:
+        r["inside"], r["aside"] = [bool(n & 1) for n in r["sizes"]], [bool(n & 2) for n in r["sizes"]]
+        r["sizes"] = [n >> 2 for n in r["sizes"]]
+    return rows
+
+
+_STORED = ["lines", "sizes", "words"]
+_OUT = "same bigint, host string, partners array<bigint>, found array<array<int>>, template array<int>, done boolean"
+
 
+def _answer(made: list[tuple[dict, dict, bool]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.bool_())
+    rows = [(r["same"], r["host"], list(found), list(found.values()), template_of(found.values()), done) for r, found, done in made]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["same", "host", "partners", "found", "template", "done"])
 
-def neighbours(wanted: DataFrame, pages: DataFrame, step: int, ends: DataFrame) -> DataFrame:
-    """``wanted`` with ``others``: the pages ``step`` places before and after, the one of the nearer path first.
 
-    ``ends`` has the first and last ranks of hosts; steps above 1 stop there, so the last ones reach both ends.
+def templates(digests: DataFrame) -> DataFrame:
+    """``host, same, template``: the lines of each different page that are its host's template.
+
+    ``digests``: ``host, path, same, lines, sizes, words``, a row a page. A partition sees HALO pages on either side of
+    its own. Pages that copies keep from finding partners in reach (long runs of copies) are also compared with six pages of
+    the host that are as unlike as can be: the first and last by path, of the fewest and most lines, of the
+    least and greatest first word hash.
     """
-    low, high = F.col("rank") - step, F.col("rank") + step
-    rows = wanted
-    if step > 1:
-        rows, low, high = wanted.join(ends, "host"), F.greatest(low, "first"), F.least(high, "last")
-    rows = rows.withColumns({"at_before": low, "at_after": high})
-    for name in ("before", "after"):
-        near = pages.select("host", F.col("rank").alias(f"at_{name}"), F.struct("path", *PAGE).alias(name))
-        rows = rows.join(near, ["host", f"at_{name}"], "left")
-    b, a = F.col("before"), F.col("after")
-    nearer_after = F.coalesce(_shared_start(F.col("path"), a["path"]) > _shared_start(F.col("path"), b["path"]), F.lit(False))
-    both = F.array_compact(F.when(nearer_after, F.array(a, b)).otherwise(F.array(b, a)))
-    return rows.select("same", *PAGE, both.alias("others")).where(F.size("others") > 0)
-
-
-def extract(pages: DataFrame) -> DataFrame:
+    order = ordered(digests.groupBy("host", "same").agg(F.min("path").alias("path"), *[F.first(c).alias(c) for c in _STORED]))
+    counts = order.groupBy("part").agg(F.count("*").alias("n"))
+    rows = order.join(counts, "part").withColumn("own", F.lit(True))
+    before = rows.where(F.col("nth") < HALO).withColumn("part", F.col("part") - 1)
+    after = rows.where(F.col("nth") >= F.col("n") - HALO).withColumn("part", F.col("part") + 1)
+    halo = before.unionByName(after).withColumn("own", F.lit(False))
+    dealt = rows.unionByName(halo).drop("n", "nth").repartition("part").sortWithinPartitions("part", "host", "path", "same")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def flush() -> pa.RecordBatch:
+            pages, made = _as_pages(held), []
+            for i, r in enumerate(pages):
+                if r["own"]:
+                    found, kept_off = partners(pages, i, 2 * HALO)
+                    made.append((r, found, not kept_off))
+            held.clear()
+            return _answer(made)
+
+        for batch in batches:
+            for part in slices(batch):
+                for r in part.to_pylist():
+                    if held and held[-1]["part"] != r["part"]:
+                        yield flush()
+                    held.append(r)
+        if held:
+            yield flush()
+
+    first = saved(dealt.mapInArrow(search, _OUT))
+    page = F.struct("same", "path", *_STORED)
+    word = F.coalesce(F.array_min(F.flatten("words")), F.lit(0))
+    ends = [pick(page, by) for by in ("path", F.size("lines"), word) for pick in (F.min_by, F.max_by)]
+    left = first.where("not done")
+    unlike = saved(
+        order.join(left.groupBy("host").agg(F.count("*").alias("n_rows")), "host").groupBy("host", "n_rows").agg(F.array_distinct(F.array(*ends)).alias("pages"))
+    )
+    open_ = spread_join(left.select("same", "partners", "found", "host"), unlike, "host", "same").join(order.select("host", "same", "path", *_STORED), ["host", "same"])
+
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 64):
+                made = []
+                for r in _as_pages(part.to_pylist()):
+                    found = dict(zip(r["partners"], r["found"], strict=True))
+                    for other in sorted(_as_pages(r["pages"]), key=lambda p: -_path_start(r["path"], p["path"])):
+                        if len(found) < PARTNERS and other["same"] not in (r["same"], *found) and (t := shared_lines(r, other)):
+                            found[other["same"]] = t
+                    made.append((r, found, True))
+                yield _answer(made)
+
+    every = first.where("done").unionByName(open_.mapInArrow(further, _OUT))
+    return every.select("host", "same", "template").where("size(template) > 0")
+
+
+def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages``.
 
     A null html counts as empty and gives an empty text. Pages without a url or without a different page on their
-    host are not differenced. Equal rows are treated alike. Other columns are not read.
+    host are not differenced. Equal rows are treated alike; an empty table gives an empty result. Other columns,
+    whatever their names, are not read. ``differencing``: False leaves steps 2 and 3 out, to show what they do.
     """
-    rows = pages.select("page_id", "url", "html").withColumn("key", F.xxhash64("page_id", "url", "html"))
+    rows = pages.select(F.col("page_id").cast("bigint"), "url", "html").withColumn("key", F.xxhash64("page_id", "url", "html"))
     url = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"/+$", "")
 
@@ -306,46 +446,23 @@ def extract(pages: DataFrame) -> DataFrame:
         return {
             "key": x["key"], "host": x["host"], "path": x["path"],
             "lines": [[xxhash.xxh64_intdigest(v.text.encode("utf-8", "surrogatepass")) >> 1 for v in f] for f in found],
-            "sizes": [[len(v.text) for v in f] for f in found],
-            "inside": [[v.inside for v in f] for f in found],
+            "sizes": [[len(v.text) << 2 | v.aside << 1 | bool(v.article) for v in f] for f in found],
             "words": [[sketch(v.text) for v in f] for f in found],
         }
 
-    schema = pa.schema([("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("inside", pa.list_(pa.bool_())), ("words", pa.list_(pa.list_(pa.int32())))])
-    kinds = "key bigint, host string, path string, lines array<bigint>, sizes array<int>, inside array<boolean>, words array<array<int>>"
-    placed = rows.select("key", url.alias("host"), path.alias("path"), "html").where("host <> ''")
-    digests = saved(placed.mapInArrow(by_slices(digest, schema), kinds).withColumn("same", F.xxhash64("host", "lines", "inside")))
-
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same, out, copies = [], [], []
-            for r in batch.to_pylist():
-                found = next((t for o in r["others"] if (t := template_lines(r, o)) is not None), None)
-                if found is None and not any(r["inside"]) or found:
-                    same.append(r["same"])
-                    out.append(found or [])
-                    copies.append(found is None)
-            yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), pa.array(out, pa.list_(pa.int32())), pa.array(copies, pa.bool_())], names=["same", "template", "copies"])
-
-    order = ranked(digests.groupBy("host", "same").agg(F.min("path").alias("path"), *[F.first(c).alias(c) for c in PAGE]))
-    wanted, step, parts = order, 1, []
-    ends = order.groupBy("host").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
-    most = ends.agg(F.max(F.col("last") - F.col("first"))).first()[0] or 0
-    while step < 2 * most:  # a page whose neighbours are copies looks twice as far
-        made = saved(neighbours(wanted, order, step, ends).mapInArrow(differ, "same bigint, template array<int>, copies boolean"))
-        parts.append(made.where("not copies").select("same", "template"))
-        left = made.where("copies").select("same")
-        if left.isEmpty():
-            break
-        wanted, step = order.join(left, "same", "left_semi"), 2 * step
-    # one row a key, written first so that Spark sees its size; rows with one key are copies
-    found = reduce(DataFrame.unionByName, parts) if parts else order.select("same", F.lit(None).cast("array<int>").alias("template")).limit(0)
-    template = saved(digests.select("key", "same").join(found, "same").groupBy("key").agg(F.min("template").alias("template")))
+    schema = pa.schema([("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("words", pa.list_(pa.list_(pa.int32())))])
+    kinds = "key bigint, host string, path string, lines array<bigint>, sizes array<bigint>, words array<array<int>>"
 
     def finish(x: dict) -> dict:
         texts = [main_text(lines_of(p), set(t or [])) for p, t in zip(x["html"], x["template"], strict=True)]
         return {"page_id": x["page_id"], "url": x["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-    merged = rows.join(template, "key", "left").select("page_id", "url", "html", "template")
-    return merged.mapInArrow(by_slices(finish, out), "page_id bigint, url string, text string, n_chars bigint")
+    merged = rows.withColumn("template", F.lit(None).cast("array<int>"))
+    if differencing:
+        placed = rows.select("key", url.alias("host"), path.alias("path"), "html").where("host <> ''")
+        digests = saved(placed.mapInArrow(by_slices(digest, schema), kinds).withColumn("same", F.xxhash64("host", "lines", "sizes")))
+        # one row a key, written first so that Spark sees its size; rows with one key are copies
+        found = digests.select("key", "host", "same").join(templates(digests), ["host", "same"]).groupBy("key").agg(F.min("template").alias("template"))
+        merged = rows.join(saved(found), "key", "left")
+    return merged.select("page_id", "url", "html", "template").mapInArrow(by_slices(finish, out), "page_id bigint, url string, text string, n_chars bigint")

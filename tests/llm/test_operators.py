@@ -202,12 +202,79 @@ def test_pages_give_their_articles(spark, sf):
         ("<article><table><tr><td class=ad>Buy<td>Cell<tr><td>Next</table></article>", "Cell Next"),
         ("<article><div><span class=ad>Buy</div><p>After</article>", "After"),
         ("<div class=comments><p>A long comment, longer than all other text</p></div><p>Text</p>", "Text"),
+        ("<article><header><h1>Title</h1><p>By us</p></header><p>Body</p></article>", "Title Body"),
+        ("<article><p>One</p><div class='share-price'>Share price rose to 5</div><p>Two</p></article>", "One Share price rose to 5 Two"),
+        ("<article><div class='search-results'>Nine hits</div><div class='site-header'>no</div></article>", "Nine hits"),
+        ("<article><h1>Main</h1><p>A long story</p></article><article><h2><a href=x>Teaser</a></h2><p>Short</p></article>", "Main A long story"),
+        ("<article><h1>Main</h1><p>A long story</p></article><article><h2>Second</h2><p>Part</p></article>", "Main A long story Second Part"),
+        ("<article><p>Story</p><aside><article><p>Teaser</p></article></aside></article>", "Story"),
+        ("<div><a href=1>Home</a></div><div><a href=2>News</a></div><p>Text with a <a href=3>link</a></p>", "Text with a link"),
     ],
 )
 def test_elements_set_aside(page, text):
     assert html_extract.main_text(html_extract.lines_of(page), set()) == text
 
 
+def brute_template(pages, me):
+    """Lines of a page that its host's template holds, page by page over the whole host in the order of nearness."""
+    found = []
+    order = sorted(pages, key=lambda p: (p["path"], p["same"]))
+    at = order.index(me)
+    before, after = order[:at][::-1], order[at + 1 :]
+    while (before or after) and len(found) < 3:
+        near = lambda p: len([1 for x, y in zip(p["path"].split("/"), me["path"].split("/"), strict=False) if x == y])
+        other = before.pop(0) if before and (not after or near(before[0]) >= near(after[0])) else after.pop(0)
+        t = html_extract.shared_lines(me, other)
+        if t:
+            found.append(set(t))
+    return {k for k in range(len(me["lines"])) if sum(k in t for t in found) >= min(2, len(found)) > 0}
+
+
+def host_pages(spark, table):
+    """The given pages as hosts build them: one menu and one footer a host, plain elements that say nothing of their part."""
+    rows = []
+    for r in spark.read.parquet(f"/root/testdata/{table}/pages.parquet").collect():
+        host = re.match("https?://([^/]*)", r.url)[1]
+        body = re.search("<article>(.*?)</article>", r.html, re.S)[1]
+        menu = "".join(f"<div>{host} section {k}</div>" for k in range(5))
+        rows.append((r.page_id, r.url, f"<html><body>{menu}<div>{body}</div><div>Imprint and terms of {host}</div></body></html>"))
+    return rows
+
+
+def test_differencing_decides_where_hosts_have_templates(spark):
+    rows = host_pages(spark, "sf0.01")
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = {r.page_id: r.text for r in html_extract.extract(docs).collect()}
+    plain = {r.page_id: r.text for r in html_extract.extract(docs, differencing=False).collect()}
+    articles = {r.page_id: r.text for r in html_extract.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    hosts = {}
+    for i, url, _ in rows:
+        hosts.setdefault(re.match("https?://([^/]*)", url)[1], []).append(i)
+    shared = [i for ids in hosts.values() if len(ids) > 3 for i in ids]
+    assert len(shared) > 150 and all(made[i] != plain[i] for i in shared)
+    assert np.mean([made[i] == articles[i] for i in shared]) > 0.98
+    # the whole of the three largest hosts against the plain search
+    import xxhash
+
+    for host in sorted(hosts, key=lambda h: -len(hosts[h]))[:3]:
+        pages = {}
+        for i, url, page in rows:
+            if i in hosts[host]:
+                lines = html_extract.lines_of(page)
+                path = re.sub("/+$", "", re.match("https?://[^/]*([^?#]*)", url)[1])
+                digests = [xxhash.xxh64_intdigest(x.text) >> 1 for x in lines]
+                pages[i] = {"path": path, "same": i, "host": host, "lines": digests, "sizes": [len(x.text) for x in lines], "inside": [False] * len(lines), "aside": [x.aside for x in lines], "words": [html_extract.sketch(x.text) for x in lines], "texts": lines}
+        for i, me in pages.items():
+            assert made[i] == html_extract.main_text(me["texts"], brute_template(list(pages.values()), me)), i
+
+
+def test_html_of_odd_rows(spark):
+    kinds = "page_id long, url string, html string, key long, host string, path string, same string, lines string, template string"
+    rows = [(1, "http://h/a", "<p>x y</p>"), (1, "http://h/a", "<p>x y</p>"), (None, None, None), (2, "http://h/b", ""), (3, "no url", "<p>z</p>"), (4, "http://h/c", "<p>" + "long words " * 60_000), (None, "http://h/d", "<p>x y</p>")]
+    made = html_extract.extract(spark.createDataFrame([(*r, 1, "h", "p", "s", "l", "t") for r in rows], kinds)).collect()
+    assert sorted((str(r.page_id), r.text[:9], r.n_chars) for r in made) == sorted([("1", "x y", 3), ("1", "x y", 3), ("None", "", 0), ("2", "", 0), ("3", "z", 1), ("4", "long word", 659_999), ("None", "x y", 3)])
+
+
 def test_templates_of_short_pages_and_copies(spark):
     menu = "".join(f"<div>Menu entry number {k} of the site</div>" for k in range(12))
     page = lambda own: f"<body>{menu}<p>{own}</p><div>Bottom line of the host</div></body>"
