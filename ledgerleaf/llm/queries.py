@@ -48,7 +48,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as telephony audio, read back, expanded and resampled."""
-    return telephony.media_report(telephony.store(_table(spark, sf_dir, "documents")))
+    return telephony.media_report(telephony.with_pcm(telephony.store(_table(spark, sf_dir, "documents"))))
 
 
 def op8_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,16 +71,20 @@ QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_html_extract": op2_html_
 #: The mix without bins: every source's documents ranked row by row, taken while the middle of a document lies within what the whole copies leave.
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(CASE WHEN size < 50 THEN size ELSE 0 END)::BIGINT AS short_size FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
 l AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS fill,
   (1.5e0 * (sum(source_size) OVER ())::BIGINT - 2 * coalesce((sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0))
   / (sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM w),
 o AS (SELECT *, min(CASE WHEN level * weight < 2 * source_size THEN fill END) OVER () AS first_open FROM l),
 t AS (SELECT *, CASE WHEN first_open IS NULL OR fill < first_open THEN 2e0 * source_size ELSE (SELECT max(level) FROM o x WHERE x.fill = x.first_open) * weight END AS target FROM o),
-c AS (SELECT *, coalesce(target / nullif(2 * (source_size - short_size) + short_size, 0), 0e0) AS rate, coalesce((target - 2 * (source_size - short_size)) / nullif(short_size, 0), 0e0) AS rest FROM t),
-r AS (SELECT d.doc_id, d.source, d.size, source_size, target, CASE WHEN d.size < 50 THEN least(2e0, greatest(rate, rest)) ELSE least(2e0, 2 * rate) END AS wanted,
-  (('0x' || substr(md5(concat(coalesce(d.doc_id::VARCHAR, 'null'), ':mix')), 1, 13))::BIGINT + 0.5e0) / 4503599627370496e0 AS u FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+v AS (SELECT source, length(bin(size)) AS preference, sum(size)::BIGINT AS words FROM d GROUP BY 1, 2),
+c AS (SELECT v.*, source_size, target, coalesce((target - 2 * coalesce((sum(words) OVER (PARTITION BY v.source ORDER BY preference DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0))
+  / nullif((sum(preference * words) OVER (PARTITION BY v.source ORDER BY preference DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT, 0), 0e0) AS rate FROM v JOIN t ON v.source IS NOT DISTINCT FROM t.source),
+h AS (SELECT *, max(CASE WHEN rate * preference < 2 THEN preference END) OVER (PARTITION BY source) AS top FROM c),
+g AS (SELECT *, max(CASE WHEN preference = top THEN rate END) OVER (PARTITION BY source) AS top_rate FROM h),
+r AS (SELECT d.doc_id, d.source, d.size, source_size, target, CASE WHEN preference <= top THEN greatest(top_rate * preference, 0e0) ELSE 2e0 END AS wanted,
+  (('0x' || substr(md5(concat(coalesce(d.doc_id::VARCHAR, 'null'), ':mix')), 1, 13))::BIGINT + 0.5e0) / 4503599627370496e0 AS u FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source AND length(bin(d.size)) = preference),
 p AS (SELECT *, floor(wanted) AS whole, CASE WHEN size > 0 THEN wanted - floor(wanted) ELSE 0e0 END AS p FROM r),
 q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q, target - sum(whole * size) OVER (PARTITION BY source) AS remains FROM p),
 f AS (SELECT *, sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) AS so_far FROM q)

@@ -1,7 +1,8 @@
-"""Telephony audio columns: mu-law, A-law and IMA ADPCM in WAV, expanded to PCM and resampled.
+"""Telephony audio columns: mu-law, A-law and IMA ADPCM in WAV, expanded to PCM, resampled and stored.
 
 The 8-bit codes of G.711 expand by tables of 256 entries. ADPCM is sequential within a block only, so
-numpy decodes sample by sample across all blocks of a batch at once.
+numpy decodes sample by sample across all blocks of a batch at once. The PCM is resampled to twice its rate by a
+windowed-sinc low-pass and stored as a column of 16-bit samples, from which the features are computed.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerleaf.llm.common import by_slices
 
@@ -21,6 +23,10 @@ RATE, RESAMPLED_RATE = 8000, 16000
 #: Bytes of an ADPCM block, header included; payloads are padded to whole blocks for every codec.
 BLOCK = 192
 PAD = b"\x20"
+#: Taps of the resampler on either side of a new sample, bits of their fractions, samples resampled at once.
+TAPS, FRACTION, STEP_SAMPLES = 8, 14, 1 << 20
+#: Bytes of text that a task expands at once: a byte becomes up to eight.
+TEXT_BYTES = 1 << 20
 #: WAV format tags.
 CODECS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 _TAGS = {v: k for k, v in CODECS.items()}
@@ -67,13 +73,28 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
+@lru_cache(maxsize=1)
+def taps() -> np.ndarray:
+    """The low-pass at half the new rate: a sinc under a Hann window at distances 1/2, 3/2, ..., adding up to one half."""
+    at = np.arange(TAPS) + 0.5
+    ideal = np.sinc(at) * np.cos(np.pi * at / (2 * TAPS + 1)) ** 2
+    scaled = np.round(ideal / ideal.sum() * (1 << FRACTION - 1)).astype(np.int32)
+    scaled[0] += (1 << FRACTION - 1) - scaled.sum()
+    return scaled
+
+
 def resample_double(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate by linear interpolation in whole numbers; the last sample is held."""
+    """Twice the rate: the samples, and between each two the low-pass of TAPS on either side, in whole numbers; edge samples are held."""
     out = np.empty(2 * len(pcm), np.int16)
     out[0::2] = pcm
-    wide = pcm.astype(np.int32)
-    out[1:-1:2] = (wide[:-1] + wide[1:]) >> 1
-    out[-1:] = pcm[-1:]
+    for at in range(0, len(pcm), STEP_SAMPLES):
+        n = min(STEP_SAMPLES, len(pcm) - at)
+        near = np.clip(np.arange(at - TAPS + 1, at + n + TAPS), 0, len(pcm) - 1)
+        x = pcm[near].astype(np.int32)
+        total = np.full(n, 1 << FRACTION - 1, np.int32)
+        for k, c in enumerate(taps()):
+            total += c * (x[TAPS - 1 - k : TAPS - 1 - k + n] + x[TAPS + k : TAPS + k + n])
+        out[2 * at + 1 : 2 * (at + n) : 2] = np.clip(total >> FRACTION, -32768, 32767)
     return out
 
 
@@ -109,15 +130,15 @@ def read_wav(media: bytes) -> tuple[str, bytes]:
     raise ValueError("no data chunk")
 
 
-def expand(files: list[bytes]) -> list[tuple[str, bytes, np.ndarray]]:
-    """Codec, stored data and PCM at RESAMPLED_RATE of each file; ADPCM blocks of all files are decoded together."""
+def expand(files: list[bytes]) -> list[tuple[str, np.ndarray]]:
+    """Codec and PCM at RESAMPLED_RATE of each file; ADPCM blocks of all files are decoded together."""
     read = [read_wav(f) for f in files]
     blocks = [np.frombuffer(d, np.uint8).reshape(-1, BLOCK) for c, d in read if c == "adpcm"]
     decoded = iter(np.split(decode_adpcm(np.concatenate(blocks)), np.cumsum([len(b) for b in blocks])[:-1]) if blocks else [])
     out = []
     for c, d in read:
         pcm = next(decoded).ravel() if c == "adpcm" else (mulaw_table() if c == "mulaw" else alaw_table())[np.frombuffer(d, np.uint8)]
-        out.append((c, d, resample_double(pcm)))
+        out.append((c, resample_double(pcm)))
     return out
 
 
@@ -125,7 +146,8 @@ def store(docs: DataFrame, codec: str | None = None) -> DataFrame:
     """``doc_id, n_bytes, media``: each whole text as the codes of a WAV file.
 
     The codec is ``codec``, or follows from the payload's CRC-32, so that equal texts are stored alike. A
-    null text counts as empty; its payload is one block of padding. Repeated rows are stored repeatedly.
+    null text counts as empty; its payload is one block of padding. Repeated rows are stored repeatedly; an empty table
+    gives an empty result. ``doc_id`` is a whole number; other columns are not read.
     """
 
     def fn(x: dict) -> dict:
@@ -138,18 +160,19 @@ def store(docs: DataFrame, codec: str | None = None) -> DataFrame:
         }
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-    return docs.select("doc_id", "text").mapInArrow(by_slices(fn, schema), "doc_id bigint, n_bytes bigint, media binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(by_slices(fn, schema), "doc_id bigint, n_bytes bigint, media binary")
 
 
-def to_pcm(media: DataFrame) -> DataFrame:
-    """``doc_id, codec, rate, pcm``: 16-bit little-endian samples at RESAMPLED_RATE."""
+def with_pcm(media: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, media`` with ``codec, rate, pcm``: 16-bit little-endian samples at RESAMPLED_RATE. A null file has no samples."""
 
     def fn(x: dict) -> dict:
-        made = expand(x["media"])
-        return {"doc_id": x["doc_id"], "codec": [c for c, _, _ in made], "rate": [RESAMPLED_RATE] * len(made), "pcm": [p.astype("<i2").tobytes() for _, _, p in made]}
+        made = iter(expand([m for m in x["media"] if m is not None]))
+        each = [(None, None) if m is None else next(made) for m in x["media"]]
+        return x | {"codec": [c for c, _ in each], "rate": [RESAMPLED_RATE] * len(each), "pcm": [None if p is None else p.astype("<i2").tobytes() for _, p in each]}
 
-    schema = pa.schema([("doc_id", pa.int64()), ("codec", pa.string()), ("rate", pa.int32()), ("pcm", pa.binary())])
-    return media.select("doc_id", "media").mapInArrow(by_slices(fn, schema, 64), "doc_id bigint, codec string, rate int, pcm binary")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("codec", pa.string()), ("rate", pa.int32()), ("pcm", pa.binary())])
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(by_slices(fn, schema, 64, TEXT_BYTES), "doc_id bigint, n_bytes bigint, media binary, codec string, rate int, pcm binary")
 
 
 def feature(codec: str, pcm: np.ndarray) -> str:
@@ -159,23 +182,24 @@ def feature(codec: str, pcm: np.ndarray) -> str:
     return f"{codec} n={len(pcm)} peak={int(np.abs(wide).max())} power={int((wide * wide).sum()) // len(wide)} crossings={int(np.count_nonzero(signs[1:] != signs[:-1]))}"
 
 
-def media_report(media: DataFrame) -> DataFrame:
-    """Per stored file: digests of the data read back and of the file, and the feature of the samples."""
+def media_report(stored: DataFrame) -> DataFrame:
+    """Per stored file: digests of the data read back, of the file and of the stored samples, and the feature of the samples."""
 
     def fn(x: dict) -> dict:
-        made = expand(x["media"])
+        data = [read_wav(m)[1] for m in x["media"]]
         return {
             "doc_id": x["doc_id"], "n_bytes": x["n_bytes"],
-            "payload_bytes": [len(d) for _, d, _ in made],
-            "payload_sha256": [hashlib.sha256(d).hexdigest() for _, d, _ in made],
-            "tail_crc32": [zlib.crc32(d[-16:]) for _, d, _ in made],
+            "payload_bytes": [len(d) for d in data],
+            "payload_sha256": [hashlib.sha256(d).hexdigest() for d in data],
+            "tail_crc32": [zlib.crc32(d[-16:]) for d in data],
             "media_bytes": [len(m) for m in x["media"]],
             "media_sha256": [hashlib.sha256(m).hexdigest() for m in x["media"]],
-            "feature": [feature(c, p) for c, _, p in made],
+            "pcm_bytes": [len(p) for p in x["pcm"]],
+            "pcm_sha256": [hashlib.sha256(p).hexdigest() for p in x["pcm"]],
+            "feature": [feature(c, np.frombuffer(p, "<i2")) for c, p in zip(x["codec"], x["pcm"], strict=True)],
         }
 
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()),
-        ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
-    ])
-    return media.mapInArrow(by_slices(fn, schema), "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    fields = {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "pcm_bytes": "bigint", "pcm_sha256": "string", "feature": "string"}
+    schema = pa.schema([(k, pa.int64() if t == "bigint" else pa.string()) for k, t in fields.items()])
+    rows = stored.select("doc_id", "n_bytes", "media", "codec", "pcm").where("media is not null")
+    return rows.mapInArrow(by_slices(fn, schema, 64, 8 * TEXT_BYTES), ", ".join(f"{k} {t}" for k, t in fields.items()))
