@@ -234,7 +234,11 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
 
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: number of ids, digest of the ids, and digest of the bytes decoded from the ids."""
+    """Per document: number of ids, digest of the ids, and digest of the bytes decoded from the ids.
+
+    A null text counts as empty and has no ids. Repeated rows give equal results; an empty table gives an empty result.
+    ``doc_id`` is a whole number; other columns are not read.
+    """
 
     def fn(x: dict) -> dict:
         c = codec(path, pattern)
@@ -246,4 +250,4 @@ def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
         return out
 
     arrow = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    return _mapped(df, ["doc_id", "text"], "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", arrow, fn)
+    return _mapped(df, [df["doc_id"].cast("bigint").alias("doc_id"), "text"], "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", arrow, fn)

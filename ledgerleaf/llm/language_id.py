@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import SLICE_ROWS
+from ledgerleaf.llm.common import slices
 
 #: Places of a vector, letters told apart (others share by their code), seed of the vectors.
-PLACES, LETTERS, SEED = 512, 256, 20240
+PLACES, LETTERS, SEED = 512, 4096, 20240
 #: Prototypes are sent to all tasks; more languages than this are refused, which bounds their size.
 MOST_LANGUAGES = 4096
 #: Characters whose trigrams are counted at a time; longer texts are counted in several steps.
@@ -38,7 +38,7 @@ def letter_vectors() -> np.ndarray:
 @lru_cache(maxsize=1)
 def _code_table() -> np.ndarray:
     """Letter number of each code point of the basic plane: 0 for what is no letter."""
-    table = np.zeros(0x10000, np.uint8)
+    table = np.zeros(0x10000, np.uint16)
     for c in range(0x10000):
         if chr(c).isalpha():
             table[c] = 1 + ((c - 97) % (LETTERS - 1))
@@ -48,7 +48,7 @@ def _code_table() -> np.ndarray:
 def letters_of(text: str) -> np.ndarray:
     """Letter numbers of a lower-cased text with one gap between words and at either end."""
     raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(raw < 0x10000, _code_table()[np.minimum(raw, 0xFFFF)], (1 + raw % (LETTERS - 1)).astype(np.uint8))
+    codes = np.where(raw < 0x10000, _code_table()[np.minimum(raw, 0xFFFF)], (1 + raw % (LETTERS - 1)).astype(np.uint16))
     gap = codes == 0
     codes = codes[~(gap & np.concatenate([[True], gap[:-1]]))] if len(codes) else codes
     return np.concatenate([[0], codes, [0]]).astype(np.int64)
@@ -93,8 +93,7 @@ def prototypes(rows: DataFrame, lang_col: str = "lang", text_col: str = "text")
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch):
                 made = bundle(part.column(1).to_pylist())
                 made /= np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-9)
                 for lang, v in zip(part.column(0).to_pylist(), made, strict=True):
@@ -116,7 +115,7 @@ def predict(rows: DataFrame, learned: dict[str, np.ndarray], keep: list[str] | N
     """Columns in ``keep``, ``lang_pred`` and ``score`` for every whole text.
 
     ``und`` with score 0 for a null text, a text without letters, or when nothing was learned. Ties go to
-    the language first in order. Repeated rows and other columns don't matter.
+    the language first in order. Repeated rows and other columns don't matter; an empty table gives an empty result.
     """
     keep = keep or ["doc_id"]
     names = list(learned)
@@ -128,8 +127,7 @@ def predict(rows: DataFrame, learned: dict[str, np.ndarray], keep: list[str] | N
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch):
                 made = bundle(part.column(len(keep)).to_pylist())
                 length = np.linalg.norm(made, axis=1, keepdims=True)
                 some = (length[:, 0] > 0) & bool(names)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import by_slices, word_store
+from ledgerleaf.llm.common import by_slices, slices, word_store
 
 #: Hashed features, and the labelled rows that the fit uses at most (those of the smallest id hashes).
 BUCKETS, MOST_LABELLED = 1 << 18, 12_000
@@ -137,7 +137,10 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """Fit on at most ``most`` labelled documents, taken by a hash of their ids."""
+    """Fit on at most ``most`` rows of labelled documents: the ids, and then their rows, of the least hashes, so that reruns agree.
+
+    Null texts and texts without a word don't count. No labels, or an empty table, give a model of weights 0.
+    """
     sample = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def fn(x: dict) -> dict:
@@ -148,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     made = rows.select(F.xxhash64("doc_id", "text").alias("order"), "grade", "text")
     held = made.mapInArrow(by_slices(fn, schema), "order bigint, grade int, found array<int>")
-    table = held.limit(2 * most).toArrow()  # rows that repeat an id count, within twice the bound
+    table = held.orderBy("order", "grade").limit(most).toArrow()  # rows that repeat an id count, within the bound
     rows = sorted(zip(table["order"].to_pylist(), table["grade"].to_pylist(), range(table.num_rows), strict=True))
     whole = table["found"].combine_chunks()
     offsets, values = whole.offsets.to_numpy(), whole.values.to_numpy()
@@ -161,15 +164,15 @@ def rate(docs: DataFrame, model: Model, keep: list[str] | None = None, keep_from
     """Columns in ``keep`` with ``expected_grade``, ``p_top`` and ``kept`` of every whole text.
 
     A text without a word (null, empty) has grade 0 and is not kept. Where nothing was labelled all weights
-    are 0 and the thresholds undecided, so every text with a word is kept. Repeated rows are rated alike.
+    are 0 and the thresholds undecided, so every text with a word is kept. Repeated rows are rated alike; an empty
+    table gives an empty result. Columns of ``docs`` that are not in ``keep`` are not read, whatever their names.
     """
     keep = keep or ["doc_id"]
     trained = bool(np.any(model.weights))
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch):
                 found = [features(t) for t in part.column(len(keep)).to_pylist()]
                 some = np.array([bool(f) for f in found])
                 below = model.below(model.score(found))

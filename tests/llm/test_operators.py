@@ -39,7 +39,7 @@ def test_odd_rows_keep_their_number(spark, odd, labels):
     assert sharding.shard_documents(odd).count() == n
     assert pii.find(odd).count() == n
     assert mixing.take(odd).count() == n
-    assert telephony.media_report(telephony.store(odd)).count() == n
+    assert telephony.media_report(telephony.with_pcm(telephony.store(odd))).count() == n
     assert ordinal.classify(odd, labels).count() == n
     assert ordinal.classify(odd, none).count() == n
     assert bpe.digests(odd, queries.RANKS, queries.PATTERN).count() == n
@@ -51,7 +51,7 @@ def test_empty_tables(spark, odd, labels):
     none = odd.limit(0)
     for made in (
         quality_rules.apply_rules(none, labels), language_id.identify(none), sharding.shard_documents(none), pii.find(none), mixing.take(none),
-        mixing.mixed_rows(none), telephony.media_report(telephony.store(none)), ordinal.classify(none, labels), bpe.digests(none, queries.RANKS, queries.PATTERN), minhash.near_duplicates(none),
+        mixing.mixed_rows(none), telephony.media_report(telephony.with_pcm(telephony.store(none))), ordinal.classify(none, labels), bpe.digests(none, queries.RANKS, queries.PATTERN), minhash.near_duplicates(none),
     ):
         assert made.count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
@@ -300,6 +300,42 @@ def test_languages_held_out(spark, sf):
     assert {zlib.crc32(str(i).encode()) % 4 == 2 for i in held.doc_id} == {True}
 
 
+def test_other_scripts(spark):
+    """Languages of their own scripts, and two that share one, told apart on texts not learned from."""
+    alphabets = {"zh": "的一是在不了有和人这中大为上个国我以要他", "ja": "のにはをたがでてとしれさいるな日本語人", "ko": "의이는을가에하다고로한지도사인대", "ru": "оеаинтсрвлкмдпуя", "bg": "аиеотнрсвлкъдпмз", "el": "αοιετσνρκπμλ"}
+    rng = random.Random(17)
+    stems = {k: ["".join(rng.choices(v, k=rng.randint(2, 5))) for _ in range(60)] for k, v in alphabets.items()}
+    rows = [(i, " ".join(rng.choices(stems[lang], k=40)), lang) for i, lang in enumerate(list(alphabets) * 40)]
+    made = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas()
+    held = made[made.held_out]
+    assert len(held) > 30 and (held.lang_pred == [rows[i][2] for i in held.doc_id]).all()
+
+
+def test_prediction_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    made = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    rows = docs.collect()
+    sums = {}
+    for r in rows:
+        v = language_id.bundle([r.text])[0].astype(float)
+        if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and v.any():
+            sums[r.lang] = sums.get(r.lang, 0) + v / np.linalg.norm(v)
+    names = sorted(sums)
+    unit = np.stack([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    centred = unit - unit.mean(0)
+    for r in rows:
+        v = language_id.bundle([r.text])[0].astype(float)
+        if not v.any():
+            assert made[r.doc_id].lang_pred == "und"
+            continue
+        d = v / np.linalg.norm(v) - unit.mean(0)
+        cosine = centred @ d / np.linalg.norm(centred, axis=1) / np.linalg.norm(d)
+        top = np.sort(cosine)[::-1]
+        if top[0] - top[1] > 1e-4:
+            assert made[r.doc_id].lang_pred == names[cosine.argmax()]
+            assert made[r.doc_id].score == pytest.approx(1 / np.exp(20 * (cosine - cosine.max())).sum(), abs=1e-3)
+
+
 def test_bundle_is_the_sum_of_bound_trigrams():
     text = "ab ba"
     codes = language_id.letters_of(text)
@@ -487,24 +523,53 @@ def test_mix_meets_targets(spark, sf):
     assert (made.taken <= 2 * made["size"]).all()
 
 
-def test_pareto_order_against_brute_force(spark):
-    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 90 + 1).cast("int")).alias("text"))
-    made = {r.doc_id: r for r in mixing.take(docs, share=0.7).collect()}
-    total = sum(r.size for r in made.values())
-    target = 0.7 * total
-    rate = target / sum(r.size * (1 if r.size < 50 else 2) for r in made.values())
+def brute_mix(made, target):
+    """Copies of the documents of one source, ``{id: size}``, by falling preference and Pareto order."""
+    prefer = {i: len(f"{n:b}") for i, n in made.items()}
+    held, wanted = 0, {}
+    for top in sorted(set(prefer.values()), reverse=True):
+        rate = (target - 2 * held) / sum(prefer[i] * n for i, n in made.items() if prefer[i] <= top)
+        if rate * top < 2:
+            wanted |= {i: rate * prefer[i] for i in made if prefer[i] <= top}
+            break
+        held += sum(n for i, n in made.items() if prefer[i] == top)
+        wanted |= {i: 2.0 for i in made if prefer[i] == top}
     rank = []
-    for i, r in made.items():
-        wanted = min(2.0, rate * (1 if r.size < 50 else 2))
+    for i in made:
         u = (int(hashlib.md5(f"{i}:mix".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        p = wanted - math.floor(wanted)
-        rank.append(((u / (1 - u)) / (p / (1 - p)), i, math.floor(wanted)))
-    left = target - sum(f * made[i].size for _, i, f in rank)
+        p = wanted[i] - math.floor(wanted[i])
+        rank.append(((u / (1 - u)) / (p / (1 - p)) if p else math.inf, i, math.floor(wanted[i])))
+    left = target - sum(f * made[i] for _, i, f in rank)
     so_far, taken = 0, {}
-    for _, i, f in sorted(rank):
-        so_far += made[i].size
-        taken[i] = f + (so_far - made[i].size / 2 <= left)
-    assert {i: r.copies for i, r in made.items()} == taken
+    for q, i, f in sorted(rank):
+        so_far += made[i] if q < math.inf else 0
+        taken[i] = f + (q < math.inf and so_far - made[i] / 2 <= left)
+    return taken
+
+
+def test_pareto_order_against_brute_force(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 90 + 1).cast("int")).alias("text"))
+    for share in (0.7, 1.9):
+        made = {r.doc_id: r for r in mixing.take(docs, share=share).collect()}
+        assert {i: r.copies for i, r in made.items()} == brute_mix({i: r.size for i, r in made.items()}, share * sum(r.size for r in made.values()))
+
+
+def test_inclusion_follows_preference(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("a b c").alias("text"))
+    made = mixing.take(docs, share=0.5, preference=F.when(F.col("doc_id") % 2 == 0, 3).otherwise(1)).toPandas()
+    by = made.groupby(made.doc_id % 2).copies.mean()
+    assert abs(by[0] - 0.75) < 0.04 and abs(by[1] - 0.25) < 0.04
+
+
+def test_repeated_rows_and_null_ids_meet_the_target(spark):
+    rows = [(7, "one two three", "s")] * 500 + [(None, "four five", "s")] * 400 + [(i + 10, "a b c d", "s") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    made = mixing.take(docs, share=0.6).toPandas()
+    assert len(made) == 950 and abs(made.taken.sum() - made.target[0]) <= 4
+    again = mixing.take(docs.repartition(3), share=0.6).toPandas()
+    key = ["doc_id", "size", "copies"]
+    assert made.fillna(-1).groupby(key).size().to_dict() == again.fillna(-1).groupby(key).size().to_dict()
+    assert abs(mixing.mixed_rows(docs, share=0.6).count() - made.copies.sum()) == 0
 
 
 # 7. telephony
@@ -528,16 +593,50 @@ def test_codecs():
     assert telephony.decode_adpcm(blocks).tolist() == [adpcm_scalar(bytes(b)) for b in blocks]
     assert telephony.mulaw_table()[[0x00, 0x80, 0xFF, 0x7F]].tolist() == [-32124, 32124, 0, 0]
     assert telephony.alaw_table()[[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
-    assert telephony.resample_double(np.array([0, 10, -4], np.int16)).tolist() == [0, 5, 10, 3, -4, -4]
+
+
+def plain_resampled(pcm):
+    """Sample by sample: the low-pass from its formula, edges held."""
+    ideal = [math.sin(math.pi * (k + 0.5)) / (math.pi * (k + 0.5)) * math.cos(math.pi * (k + 0.5) / (2 * telephony.TAPS + 1)) ** 2 for k in range(telephony.TAPS)]
+    fixed = [round(c / sum(ideal) * 8192) for c in ideal]
+    fixed[0] += 8192 - sum(fixed)
+    at = lambda i: int(pcm[min(max(i, 0), len(pcm) - 1)])
+    out = []
+    for i in range(len(pcm)):
+        total = sum(c * (at(i - k) + at(i + 1 + k)) for k, c in enumerate(fixed))
+        out += [at(i), max(-32768, min(32767, (total + 8192) >> 14))]
+    return out
+
+
+def test_resampler(monkeypatch):
+    monkeypatch.setattr(telephony, "STEP_SAMPLES", 64)
+    pcm = np.random.default_rng(15).integers(-32768, 32768, 300).astype(np.int16)
+    assert telephony.resample_double(pcm).tolist() == plain_resampled(pcm)
+    tone = np.round(12000 * np.sin(2 * np.pi * 1000 * np.arange(400) / 8000)).astype(np.int16)
+    exact = 12000 * np.sin(2 * np.pi * 1000 * np.arange(800) / 16000)
+    assert np.abs(telephony.resample_double(tone) - exact)[40:-40].max() < 120
+    assert telephony.resample_double(np.array([5], np.int16)).tolist() == [5, 5]
 
 
 def test_media_round_trip(spark, odd):
     texts = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").toPandas().set_index("doc_id").text
-    for r in telephony.media_report(telephony.store(odd)).where("doc_id is not null").collect():
+    stored = telephony.with_pcm(telephony.store(odd)).where("doc_id is not null")
+    samples = {r.doc_id: bytes(r.pcm) for r in stored.collect()}
+    for r in telephony.media_report(stored).collect():
         raw = (texts[r.doc_id] or "").encode()
         payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-    assert telephony.to_pcm(telephony.store(odd)).where("length(pcm) = 0").count() == 0
+        if len(payload) > 9000:
+            continue
+        codec = ["mulaw", "alaw", "adpcm"][zlib.crc32(payload) % 3]
+        if codec == "adpcm":
+            pcm = [x for at in range(0, len(payload), 192) for x in adpcm_scalar(payload[at : at + 192])]
+        else:
+            pcm = [int((telephony.mulaw_table() if codec == "mulaw" else telephony.alaw_table())[b]) for b in payload]
+        full = plain_resampled(pcm)
+        assert np.frombuffer(samples[r.doc_id], "<i2").tolist() == full and r.pcm_bytes == 2 * len(full)
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(full, full[1:], strict=False))
+        assert r.feature == f"{codec} n={len(full)} peak={max(map(abs, full))} power={sum(x * x for x in full) // len(full)} crossings={crossings}"
 
 
 # 8. ordinal classifier
@@ -558,6 +657,46 @@ def test_ordinal_orders_grades():
     assert ((1 - below[:, -1] >= 0.5) == (y == 2)).mean() > 0.95 and expected[y == 0].mean() < expected[y == 1].mean() < expected[y == 2].mean()
 
 
+def test_fit_against_full_batch_likelihood():
+    """Small steps up the exact likelihood of all rows at once reach no more than the fit does, and the same order of rows."""
+    rng = np.random.default_rng(16)
+    truth = np.where(rng.random(60) < 0.5, 0, rng.normal(0, 1.5, 60))
+    found = [np.unique(rng.integers(0, 60, 8)) for _ in range(1500)]
+    z = np.array([truth[f].sum() for f in found])
+    grade = (z + rng.logistic(size=1500) > -0.5).astype(int) + (z + rng.logistic(size=1500) > 1.5)
+    x = np.zeros((1500, 60))
+    for i, f in enumerate(found):
+        x[i, f] = 1
+
+    def likelihood(w, t):
+        below = np.concatenate([np.zeros((1500, 1)), 1 / (1 + np.exp(-(t[None, :] - (x @ w)[:, None]))), np.ones((1500, 1))], 1)
+        return np.log(np.maximum(below[np.arange(1500), grade + 1] - below[np.arange(1500), grade], 1e-12)).mean()
+
+    w, t = np.zeros(60), np.array([-0.5, 0.5])
+    for _ in range(4000):
+        below = 1 / (1 + np.exp(-(t[None, :] - (x @ w)[:, None])))
+        full = np.concatenate([np.zeros((1500, 1)), below, np.ones((1500, 1))], 1)
+        upper, lower = full[np.arange(1500), grade + 1], full[np.arange(1500), grade]
+        p, d = np.maximum(upper - lower, 1e-12), below * (1 - below)
+        w = w + 1.0 * (x.T @ (upper + lower - 1)) / 1500
+        t = t + 1.0 * np.array([(np.where(grade == k, d[:, k] / p, 0) - np.where(grade == k + 1, d[:, k] / p, 0)).mean() for k in (0, 1)])
+    model = ordinal.fit_rows(found, grade)
+    best, made = likelihood(w, t), likelihood(model.weights[:60], model.thresholds)
+    assert best - 0.02 < made <= best + 1e-4
+    assert np.corrcoef(x @ w, x @ model.weights[:60])[0, 1] > 0.99
+
+
+def test_rating_against_plain_formulas(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = ordinal.fit(docs, labels)
+    assert np.array_equal(model.weights, ordinal.fit(docs.repartition(7), labels).weights)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in ordinal.rate(docs, model).collect():
+        z = sum(model.weights[b] for b in ordinal.features(texts[r.doc_id]))
+        tails = [1 - 1 / (1 + math.exp(-(t - z))) for t in model.thresholds]
+        assert r.expected_grade == pytest.approx(sum(tails), abs=2e-6) and r.p_top == pytest.approx(tails[-1], abs=2e-6) and r.kept == (r.p_top >= 0.8)
+
+
 def test_quality_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 4000")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -636,6 +775,48 @@ def test_signature_estimates_similarity():
 # pipeline
 
 
+def test_stages_against_brute_force(spark, sf):
+    """Each stage of the pipeline, on what the one before has kept, against a plain version of it."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    by_id = lambda df: {r.doc_id: r.asDict() for r in df.collect()}
+    model = ordinal.fit(docs, labels)
+    rated = corpus_pipeline.saved(corpus_pipeline.quality(spark, docs, sf))
+    top = lambda t: 1 - 1 / (1 + math.exp(-(model.thresholds[-1] - sum(model.weights[b] for b in ordinal.features(t)))))
+    every = by_id(docs)
+    assert by_id(rated) == {i: r for i, r in every.items() if ordinal.features(r["text"]) and round(top(r["text"]), 6) >= 0.8}
+    once = corpus_pipeline.saved(corpus_pipeline.one_of_each_group(spark, rated, sf))
+    groups = brute_components([(r.doc_id, r.text) for r in rated.collect()], 5, 80)
+    assert by_id(once) == {i: r for i, r in by_id(rated).items() if groups[i][1] == i}
+    clean = corpus_pipeline.saved(corpus_pipeline.redacted(spark, once, sf))
+    spans, before = pii.fit(once), by_id(once)
+    for i, r in by_id(clean).items():
+        text = before[i]["text"]
+        assert r["text"] == pii.redacted_text(text, pii.spans_of(text, spans)[1]) and brute_spans(r["text"]) == "" and r["n_chars"] == len(r["text"])
+    mix = corpus_pipeline.saved(corpus_pipeline.mixed(spark, clean, sf))
+    sizes = {}
+    for i, r in by_id(clean).items():
+        sizes.setdefault(r["source"], {})[i] = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+    goals = {r.source: r.target for r in mixing.take(clean, keep=["source"]).select("source", "target").distinct().collect()}
+    want = {i: n for s, made in sizes.items() for i, n in brute_mix(made, goals[s]).items() if n and made[i]}
+    assert {r.doc_id: r["count"] for r in mix.groupBy("doc_id").count().collect()} == want
+    own = tiktoken.Encoding("own", pat_str=queries.PATTERN, mergeable_ranks=bpe.codec(queries.RANKS, queries.PATTERN).ranks, special_tokens={})
+    texts = {r.doc_id: r.text for r in mix.collect()}
+    for r in corpus_pipeline.tokens(spark, mix, sf).collect():
+        ids = own.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, odd):
+    sf = "/root/testdata/sf0.001"
+    for _, stage in corpus_pipeline.STAGES:
+        made = stage(spark, odd, sf)
+        assert stage(spark, odd.limit(0), sf).count() == 0
+        if stage is not corpus_pipeline.tokens:
+            assert made.columns == odd.columns
+        assert made.count() <= 2 * odd.count()
+
+
 def test_pipeline(spark, odd):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "MinHash near-dedup", "PII", "mixing sources to target weights", "byte-level BPE"]
     sf = "/root/testdata/sf0.001"
