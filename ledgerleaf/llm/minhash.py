@@ -36,7 +36,7 @@ PLACES = 1 << 20
 BAND_ROWS = 5
 MISSED = 1e-7
 #: Classes of a block; a task compares two blocks at a time.
-BLOCK = 512
+BLOCK = 128
 #: Word hashes that a worker keeps, shingles whose coordinates are made at once, set members multiplied at once.
 WORDS_KEPT, STEP_SHINGLES, STEP_MEMBERS = 300_000, 2048, 8192
 
