@@ -1,7 +1,7 @@
 """Main text of web pages by differencing each page with its nearest pages on the host.
 
 1. A page becomes text lines (blocks), menus, adverts and all; only scripts, styles and the like are left out.
-2. Pages are ordered by host and URL path; pages of equal lines count as one. From a page outward, the page whose path
+2. Pages are ordered by host and URL path. From a page outward, the page whose path
    shares the longer beginning comes first (the earlier one on ties), and the first three pages that share lines outside
    articles are its partners. Copies of one page with small changes (most of either is shared, and of the rest the
    words agree or one has none) say nothing of the template, so the search goes on over them.
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from ledgerleaf.llm.common import by_slices, saved, slices, spread_join
 #: Pages that share more of their characters are copies, if so much of their other words agrees.
 MOST_SHARED, MOST_AGREED = 0.5, 0.5
 #: Words of a line, those of the least hashes, by which lines are compared that are not equal.
-SKETCH = 6
-#: Range partitions for ordering: pages per partition, about, and pages on either side that a partition also sees.
+SKETCH = 3
+#: Range partitions for ordering: pages per partition, about, and pages that are looked at on either side of a page.
 SORT_ROWS, HALO = 1_000, 16
 #: Partners of a page, and how many of them must share a line (one, where there is one).
 PARTNERS, AGREEING = 3, 2
@@ -265,15 +266,15 @@ def sketch(text: str) -> list[int]:
 def shared_lines(mine: dict, other: dict) -> list[int] | None:
     """Positions of a page's lines, outside articles, that another page shares; None if the two are copies.
 
-    Both have ``lines`` (digests), ``sizes``, ``inside``, ``aside`` and ``words`` (sketches). Whether pages are copies
+    Both have ``lines`` (digests), ``chars``, ``inside``, ``aside`` and ``words`` (sketches). Whether pages are copies
     is judged by what is not a stated part, as adverts may differ between copies.
     """
     if set(mine["lines"]).isdisjoint(other["lines"]):
         return []
     at, their = common_lines(mine["lines"], other["lines"])
     sides = [(mine, set(at)), (other, set(their))]
-    text = [sum(n for n, a in zip(x["sizes"], x["aside"], strict=True) if not a) for x, _ in sides]
-    both = [sum(x["sizes"][k] for k in gone if not x["aside"][k]) for x, gone in sides]
+    text = [sum(n for n, a in zip(x["chars"], x["aside"], strict=True) if not a) for x, _ in sides]
+    both = [sum(x["chars"][k] for k in gone if not x["aside"][k]) for x, gone in sides]
     if any(b > MOST_SHARED * t for b, t in zip(both, text, strict=True)):
         a, b = ({w for k, ws in enumerate(x["words"]) if k not in gone and not x["aside"][k] for w in ws} for x, gone in sides)
         if not a or not b or len(a & b) >= MOST_AGREED * min(len(a), len(b)):
@@ -292,7 +293,7 @@ def _path_start(a: str, b: str) -> int:
 
 
 def partners(pages: list[dict], i: int, most: int) -> tuple[dict[int, list[int]], bool]:
-    """What page ``i`` shares with its partners, by their ``same``, and whether copies kept it from finding enough.
+    """What page ``i`` shares with its partners, by their ``key``, and whether copies kept it from finding enough.
 
     ``pages`` are in the order of hosts and paths. At most ``most`` pages are looked at.
     """
@@ -309,7 +310,7 @@ def partners(pages: list[dict], i: int, most: int) -> tuple[dict[int, list[int]]
         t = shared_lines(me, other)
         copies |= t is None
         if t:
-            found[other["same"]] = t
+            found[other["key"]] = t
     return found, copies and len(found) < AGREEING
 
 
@@ -336,98 +337,121 @@ def main_text(lines: list[Line], template: set[int]) -> str:
     return " ".join(x.text for x in left if not x.links or x.heading)
 
 
-PAGE = ["lines", "sizes", "inside", "aside", "words"]
-
-
-def ordered(pages: DataFrame) -> DataFrame:
-    """Add ``part``, the range of hosts and paths that a page lies in, and its place ``nth`` there; written.
-
-    Pages are dealt by ranges, so a host of any size is spread over tasks.
-    """
-    ranges = max(1, pages.count() // SORT_ROWS)
-    sorted_ = pages.repartitionByRange(ranges, "host", "path", "same").sortWithinPartitions("host", "path", "same")
-    held = sorted_.withColumn("_at", F.monotonically_increasing_id())
-    return saved(held.select("*", F.shiftright("_at", 33).alias("part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")).drop("_at"))
+_STORED = ["lines", "sizes", "words"]
+_ARRAYS = "lines array<bigint>, sizes array<int>, words array<array<int>>"
+_KINDS = {"key": pa.int64(), "host": pa.string(), "path": pa.string(), "lines": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "words": pa.list_(pa.list_(pa.int32()))}
+_FOUND = {"partners": pa.list_(pa.int64()), "found": pa.list_(pa.list_(pa.int32())), "template": pa.list_(pa.int32()), "done": pa.bool_()}
+_ANSWER = "key bigint, host string, partners array<bigint>, found array<array<int>>, template array<int>, done boolean"
+#: Answers, and pages near an edge of a range, which the second pass answers with both sides in sight.
+_OUT = {"key": _KINDS["key"], "host": _KINDS["host"], **_FOUND, "edge": pa.int32(), "near": pa.bool_(), "side": pa.int32(), "nth": pa.int32(), **{k: _KINDS[k] for k in ("path", *_STORED)}}
 
 
 def _as_pages(rows: list[dict]) -> list[dict]:
     for r in rows:
         r["inside"], r["aside"] = [bool(n & 1) for n in r["sizes"]], [bool(n & 2) for n in r["sizes"]]
-        r["sizes"] = [n >> 2 for n in r["sizes"]]
+        r["chars"] = [n >> 2 for n in r["sizes"]]
     return rows
 
 
-_STORED = ["lines", "sizes", "words"]
-_OUT = "same bigint, host string, partners array<bigint>, found array<array<int>>, template array<int>, done boolean"
+def _batch(rows: list[dict], kinds: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()], names=list(kinds))
+
+
+def _answer(r: dict, found: dict, done: bool) -> dict:
+    return {"key": r["key"], "host": r["host"], "partners": list(found), "found": list(found.values()), "template": template_of(found.values()), "done": done}
+
+
+def _inside_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range of pages in order: those with HALO pages on either side are answered, the others passed on to its two edges."""
+    part, pages = TaskContext.get().partitionId(), []
+    for batch in batches:
+        for piece in slices(batch):
+            for r in piece.to_pylist():
+                if not pages or pages[-1]["key"] != r["key"]:  # repeated rows
+                    pages.append(r)
+    _as_pages(pages)
+    n, made = len(pages), []
+    for i, r in enumerate(pages):
+        first, last = i < HALO, i >= n - HALO
+        if i < 2 * HALO:
+            made.append({**r, "edge": part, "near": first, "side": 1, "nth": i})
+        if i >= n - 2 * HALO:
+            made.append({**r, "edge": part + 1, "near": last and not first, "side": 0, "nth": i})
+        if not first and not last:
+            found, kept_off = partners(pages, i, 2 * HALO)
+            made.append(_answer(r, found, not kept_off))
+        if len(made) >= 512:
+            yield _batch(made, _OUT)
+            made = []
+    yield _batch(made, _OUT)
+
+
+def _at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages around each edge, in order."""
+    answers = {k: t for k, t in _OUT.items() if k in ("key", "host", *_FOUND)}
+
+    def flush(pages: list[dict]) -> pa.RecordBatch:
+        _as_pages(pages)
+        made = []
+        for i, r in enumerate(pages):
+            if r["near"]:
+                found, kept_off = partners(pages, i, 2 * HALO)
+                made.append(_answer(r, found, not kept_off))
+        return _batch(made, answers)
+
+    held: list[dict] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and held[-1]["edge"] != r["edge"]:
+                yield flush(held)
+                held = []
+            held.append(r)
+    if held:
+        yield flush(held)
 
 
-def _answer(made: list[tuple[dict, dict, bool]]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.bool_())
-    rows = [(r["same"], r["host"], list(found), list(found.values()), template_of(found.values()), done) for r, found, done in made]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["same", "host", "partners", "found", "template", "done"])
+def _with_unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages that copies kept from finding partners, each with some unlike pages of its host."""
+    for batch in batches:
+        for part in slices(batch, 64):
+            made = []
+            for r in _as_pages(part.to_pylist()):
+                found = dict(zip(r["partners"], r["found"], strict=True))
+                for other in sorted(_as_pages(r["pages"]), key=lambda p: -_path_start(r["path"], p["path"])):
+                    if len(found) < PARTNERS and other["key"] not in (r["key"], *found) and (t := shared_lines(r, other)):
+                        found[other["key"]] = t
+                made.append(_answer(r, found, True))
+            yield _batch(made, {"key": _KINDS["key"], "host": _KINDS["host"], **_FOUND})
 
 
 def templates(digests: DataFrame) -> DataFrame:
-    """``host, same, template``: the lines of each different page that are its host's template.
+    """``key, template``: the lines of each page that are its host's template, a row a key or none.
 
-    ``digests``: ``host, path, same, lines, sizes, words``, a row a page. A partition sees HALO pages on either side of
-    its own. Pages that copies keep from finding partners in reach (long runs of copies) are also compared with six pages of
-    the host that are as unlike as can be: the first and last by path, of the fewest and most lines, of the
-    least and greatest first word hash.
+    ``digests``: ``key, host, path, lines, sizes, words``, a row a page, written. Pages are dealt by ranges of host and
+    path, so a host of any size is spread over tasks, and searched in order; the pages at the edges of ranges are
+    searched once more with both sides in sight. Pages that copies keep from finding partners in reach (long runs of
+    copies) are also compared with six pages of the host that are as unlike as can be: the first and last by
+    path, of the fewest and most lines, of the least and greatest first word hash.
     """
-    order = ordered(digests.groupBy("host", "same").agg(F.min("path").alias("path"), *[F.first(c).alias(c) for c in _STORED]))
-    counts = order.groupBy("part").agg(F.count("*").alias("n"))
-    rows = order.join(counts, "part").withColumn("own", F.lit(True))
-    before = rows.where(F.col("nth") < HALO).withColumn("part", F.col("part") - 1)
-    after = rows.where(F.col("nth") >= F.col("n") - HALO).withColumn("part", F.col("part") + 1)
-    halo = before.unionByName(after).withColumn("own", F.lit(False))
-    dealt = rows.unionByName(halo).drop("n", "nth").repartition("part").sortWithinPartitions("part", "host", "path", "same")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def flush() -> pa.RecordBatch:
-            pages, made = _as_pages(held), []
-            for i, r in enumerate(pages):
-                if r["own"]:
-                    found, kept_off = partners(pages, i, 2 * HALO)
-                    made.append((r, found, not kept_off))
-            held.clear()
-            return _answer(made)
-
-        for batch in batches:
-            for part in slices(batch):
-                for r in part.to_pylist():
-                    if held and held[-1]["part"] != r["part"]:
-                        yield flush()
-                    held.append(r)
-        if held:
-            yield flush()
-
-    first = saved(dealt.mapInArrow(search, _OUT))
-    page = F.struct("same", "path", *_STORED)
-    word = F.coalesce(F.array_min(F.flatten("words")), F.lit(0))
-    ends = [pick(page, by) for by in ("path", F.size("lines"), word) for pick in (F.min_by, F.max_by)]
-    left = first.where("not done")
-    unlike = saved(
-        order.join(left.groupBy("host").agg(F.count("*").alias("n_rows")), "host").groupBy("host", "n_rows").agg(F.array_distinct(F.array(*ends)).alias("pages"))
-    )
-    open_ = spread_join(left.select("same", "partners", "found", "host"), unlike, "host", "same").join(order.select("host", "same", "path", *_STORED), ["host", "same"])
-
-    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 64):
-                made = []
-                for r in _as_pages(part.to_pylist()):
-                    found = dict(zip(r["partners"], r["found"], strict=True))
-                    for other in sorted(_as_pages(r["pages"]), key=lambda p: -_path_start(r["path"], p["path"])):
-                        if len(found) < PARTNERS and other["same"] not in (r["same"], *found) and (t := shared_lines(r, other)):
-                            found[other["same"]] = t
-                    made.append((r, found, True))
-                yield _answer(made)
-
-    every = first.where("done").unionByName(open_.mapInArrow(further, _OUT))
-    return every.select("host", "same", "template").where("size(template) > 0")
+    ranges = max(1, digests.count() // SORT_ROWS)
+    order = ["host", "path", "key", F.monotonically_increasing_id()]  # the last deals rows that repeat
+    sorted_ = digests.repartitionByRange(ranges, *order).sortWithinPartitions("host", "path", "key")
+    arrays = f"edge int, near boolean, side int, nth int, path string, {_ARRAYS}"
+    first = saved(sorted_.mapInArrow(_inside_ranges, f"{_ANSWER}, {arrays}"))
+    edges = first.where("edge is not null").select("key", "host", "path", *_STORED, "edge", "near", "side", "nth").repartition("edge").sortWithinPartitions("edge", "side", "nth")
+    answers = saved(first.where("edge is null").select("key", "host", *_FOUND).unionByName(edges.mapInArrow(_at_edges, _ANSWER)))
+    left = answers.where("not done")
+    every = answers.where("done")
+    hosts = left.groupBy("host").agg(F.count("*").alias("n_rows"))
+    if not left.isEmpty():
+        word = F.coalesce(F.array_min(F.flatten("words")), F.lit(0))
+        keys = [pick(F.struct(by.alias("by"), F.col("key"))) for by in (F.col("path"), F.size("lines"), word) for pick in (F.min, F.max)]
+        chosen = digests.join(saved(hosts.select("host")), "host").groupBy("host").agg(F.array_distinct(F.transform(F.array(*[k["key"] for k in keys]), lambda k: k)).alias("keys"))
+        chosen = saved(chosen.select(F.explode("keys").alias("key")).distinct())
+        unlike = digests.join(chosen, "key").groupBy("host").agg(F.array_distinct(F.collect_list(F.struct("key", "path", *_STORED))).alias("pages")).join(hosts, "host")
+        open_ = spread_join(left.select("key", "partners", "found", "host"), saved(unlike), "host", "key").join(digests.select("key", "path", *_STORED), "key")
+        every = every.unionByName(open_.mapInArrow(_with_unlike, _ANSWER))
+    return every.where("size(template) > 0").groupBy("key").agg(F.min("template").alias("template"))
 
 
 def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
@@ -446,12 +470,11 @@ def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
         return {
             "key": x["key"], "host": x["host"], "path": x["path"],
             "lines": [[xxhash.xxh64_intdigest(v.text.encode("utf-8", "surrogatepass")) >> 1 for v in f] for f in found],
-            "sizes": [[len(v.text) << 2 | v.aside << 1 | bool(v.article) for v in f] for f in found],
+            "sizes": [[min(len(v.text), 1 << 28) << 2 | v.aside << 1 | bool(v.article) for v in f] for f in found],
             "words": [[sketch(v.text) for v in f] for f in found],
         }
 
-    schema = pa.schema([("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("words", pa.list_(pa.list_(pa.int32())))])
-    kinds = "key bigint, host string, path string, lines array<bigint>, sizes array<bigint>, words array<array<int>>"
+    kinds = f"key bigint, host string, path string, {_ARRAYS}"
 
     def finish(x: dict) -> dict:
         texts = [main_text(lines_of(p), set(t or [])) for p, t in zip(x["html"], x["template"], strict=True)]
@@ -461,8 +484,7 @@ def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
     merged = rows.withColumn("template", F.lit(None).cast("array<int>"))
     if differencing:
         placed = rows.select("key", url.alias("host"), path.alias("path"), "html").where("host <> ''")
-        digests = saved(placed.mapInArrow(by_slices(digest, schema), kinds).withColumn("same", F.xxhash64("host", "lines", "sizes")))
-        # one row a key, written first so that Spark sees its size; rows with one key are copies
-        found = digests.select("key", "host", "same").join(templates(digests), ["host", "same"]).groupBy("key").agg(F.min("template").alias("template"))
-        merged = rows.join(saved(found), "key", "left")
+        digests = saved(placed.mapInArrow(by_slices(digest, pa.schema(list(_KINDS.items()))), kinds))
+        # one row a key, written first so that Spark sees its size
+        merged = rows.join(saved(templates(digests)), "key", "left")
     return merged.select("page_id", "url", "html", "template").mapInArrow(by_slices(finish, out), "page_id bigint, url string, text string, n_chars bigint")

@@ -218,7 +218,7 @@ def test_elements_set_aside(page, text):
 def brute_template(pages, me):
     """Lines of a page that its host's template holds, page by page over the whole host in the order of nearness."""
     found = []
-    order = sorted(pages, key=lambda p: (p["path"], p["same"]))
+    order = sorted(pages, key=lambda p: (p["path"], p["key"]))
     at = order.index(me)
     before, after = order[:at][::-1], order[at + 1 :]
     while (before or after) and len(found) < 3:
@@ -263,7 +263,7 @@ def test_differencing_decides_where_hosts_have_templates(spark):
                 lines = html_extract.lines_of(page)
                 path = re.sub("/+$", "", re.match("https?://[^/]*([^?#]*)", url)[1])
                 digests = [xxhash.xxh64_intdigest(x.text) >> 1 for x in lines]
-                pages[i] = {"path": path, "same": i, "host": host, "lines": digests, "sizes": [len(x.text) for x in lines], "inside": [False] * len(lines), "aside": [x.aside for x in lines], "words": [html_extract.sketch(x.text) for x in lines], "texts": lines}
+                pages[i] = {"path": path, "key": i, "host": host, "lines": digests, "chars": [len(x.text) for x in lines], "inside": [False] * len(lines), "aside": [x.aside for x in lines], "words": [html_extract.sketch(x.text) for x in lines], "texts": lines}
         for i, me in pages.items():
             assert made[i] == html_extract.main_text(me["texts"], brute_template(list(pages.values()), me)), i
 
