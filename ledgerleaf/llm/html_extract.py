@@ -321,20 +321,31 @@ def template_of(found: Collection[list[int]]) -> list[int]:
     return sorted(k for k, n in met.items() if n >= need)
 
 
+def text_lines(lines: list[Line], template: set[int]) -> list[int]:
+    """Positions of the lines that differencing and the parts of the page leave."""
+    left = [k for k, x in enumerate(lines) if k not in template and not x.aside]
+    held = [k for k in left if lines[k].article]
+    if not held:
+        return [k for k in left if not lines[k].links or lines[k].heading]
+    sizes: dict[int, int] = {}
+    heads: dict[int, Line] = {}
+    for k in held:
+        x = lines[k]
+        sizes[x.article] = sizes.get(x.article, 0) + len(x.text)
+        if x.heading:
+            heads.setdefault(x.article, x)
+    largest = max(sizes, key=lambda a: (sizes[a], -a))
+    return [k for k in held if lines[k].article == largest or not (lines[k].article in heads and heads[lines[k].article].links)]
+
+
 def main_text(lines: list[Line], template: set[int]) -> str:
-    """The text that differencing and the parts of the page leave."""
-    left = [x for k, x in enumerate(lines) if k not in template and not x.aside]
-    held = [x for x in left if x.article]
-    if held:
-        sizes: dict[int, int] = {}
-        heads: dict[int, Line] = {}
-        for x in held:
-            sizes[x.article] = sizes.get(x.article, 0) + len(x.text)
-            if x.heading:
-                heads.setdefault(x.article, x)
-        largest = max(sizes, key=lambda k: (sizes[k], -k))
-        return " ".join(x.text for x in held if x.article == largest or not (x.article in heads and heads[x.article].links))
-    return " ".join(x.text for x in left if not x.links or x.heading)
+    return " ".join(lines[k].text for k in text_lines(lines, template))
+
+
+def flags(lines: list[Line]) -> list[int]:
+    """Per line its characters and, in the last three bits, whether it is inside an article, in a stated part, and left where there is no template."""
+    live = set(text_lines(lines, set()))
+    return [min(len(x.text), 1 << 27) << 3 | (k in live) << 2 | x.aside << 1 | bool(x.article) for k, x in enumerate(lines)]
 
 
 _STORED = ["lines", "sizes", "words"]
@@ -349,7 +360,7 @@ _OUT = {"key": _KINDS["key"], "host": _KINDS["host"], **_FOUND, "edge": pa.int32
 def _as_pages(rows: list[dict]) -> list[dict]:
     for r in rows:
         r["inside"], r["aside"] = [bool(n & 1) for n in r["sizes"]], [bool(n & 2) for n in r["sizes"]]
-        r["chars"] = [n >> 2 for n in r["sizes"]]
+        r["live"], r["chars"] = [bool(n & 4) for n in r["sizes"]], [n >> 3 for n in r["sizes"]]
     return rows
 
 
@@ -358,7 +369,9 @@ def _batch(rows: list[dict], kinds: dict) -> pa.RecordBatch:
 
 
 def _answer(r: dict, found: dict, done: bool) -> dict:
-    return {"key": r["key"], "host": r["host"], "partners": list(found), "found": list(found.values()), "template": template_of(found.values()), "done": done}
+    """What was found for a page; of the template, the lines that the parts of the page don't delete anyway."""
+    template = [k for k in template_of(found.values()) if r["live"][k]]
+    return {"key": r["key"], "host": r["host"], "partners": [] if done else list(found), "found": [] if done else list(found.values()), "template": template, "done": done}
 
 
 def _inside_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,7 +438,7 @@ def _with_unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(digests: DataFrame) -> DataFrame:
-    """``key, template``: the lines of each page that are its host's template, a row a key or none.
+    """``key, template``: of the lines that a page's parts leave, those that are its host's template; a row a key or none.
 
     ``digests``: ``key, host, path, lines, sizes, words``, a row a page, written. Pages are dealt by ranges of host and
     path, so a host of any size is spread over tasks, and searched in order; the pages at the edges of ranges are
@@ -470,7 +483,7 @@ def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
         return {
             "key": x["key"], "host": x["host"], "path": x["path"],
             "lines": [[xxhash.xxh64_intdigest(v.text.encode("utf-8", "surrogatepass")) >> 1 for v in f] for f in found],
-            "sizes": [[min(len(v.text), 1 << 28) << 2 | v.aside << 1 | bool(v.article) for v in f] for f in found],
+            "sizes": [flags(f) for f in found],
             "words": [[sketch(v.text) for v in f] for f in found],
         }
 
