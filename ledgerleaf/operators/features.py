@@ -18,11 +18,13 @@ from ledgerleaf.functions.rules import (
     RULES,
     SCOPE3_PATTERNS,
     SCOPE3_RULE,
+    count_in,
     has,
     java,
     matches,
     may_match,
     once,
+    plain_words,
 )
 from ledgerleaf.functions.text import clip_snippet, collapse_whitespace, normalize_for_evidence
 
@@ -46,11 +48,11 @@ def block_counts(blocks: DataFrame) -> DataFrame:
     One literal pattern a column, so each is compiled once; only parts that match are kept.
     """
     def count(lower, part: str, pattern: str):
-        n, possible = matches(F.col("text"), pattern, part != "data_tables"), may_match(lower, pattern)
+        n, possible = count_in(F.col("plain"), pattern, part != "data_tables"), may_match(lower, pattern)
         return F.struct(F.lit(part).alias("part"), (n if possible is None else F.when(possible, n).otherwise(0)).alias("n"))
 
     page_key = F.coalesce(F.col("page").cast("string"), F.concat(F.lit("block-"), F.col("block_idx").cast("string")))
-    rows = blocks.select("report_id", "block_idx", page_key.alias("page_key"), "text", F.lower("text").alias("lower"))
+    rows = once(blocks.select("report_id", "block_idx", page_key.alias("page_key"), "text"), {"lower": F.lower("text"), "plain": plain_words(F.col("text"))})
     counts = F.array(*[count(F.col("lower"), k, p) for k, p in _PARTS.items()])
     rows = once(rows, {"hits": F.filter(counts, lambda c: c["n"] > 0)}, "size(hits) > 0")
     return rows.select("report_id", "block_idx", "page_key", "hits", (normalize_for_evidence(F.col("text")) != "").alias("quotable"))

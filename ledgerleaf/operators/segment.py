@@ -6,8 +6,6 @@ and page, so they keep that partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +21,22 @@ from ledgerleaf.functions.text import (
     trim_space,
 )
 
+# Lines that mark pages.
 _SNIP = r"(?i)^\[\.\.\.snipped\.\.\.\]$"
 _HEADING_PAGE = r"^\s*#{1,6}\s*Page\s+(\d+)\s*(.*)$"
 _VIEWER_PAGE = r"^\s*Page\s+(\d+):\s*$"
 _DASH_PAGE = r"^\s*---\s*Page\s+(\d+)\s*---\s*$"
+_LOOSE_HEADING = r"(?i)^\s*#{1,6}\s*Page\s+(\d+)(?!\w).*$"
+_LOOSE_VIEWER = r"^\s*Page\s+(\d+)\s*:\s*$"
+# Lines of a page that are headings, items, fences or page words.
+_HEADING, _ITEM, _FENCE, _PAGE_WORD = r"^\s*#{1,6}\s+(.+)$", r"^\s*(?:[-*•]|\d+\.)\s+(.+)$", r"^\s*```", r"(?i)^\s*Page\s+\d+:\s*$"
+# Lines that cannot be boilerplate, and signs and shares of those that are.
+_NO_CANDIDATE = r"(?i)^\s*#{1,6}\s+|^\s*(?:[-*•]|\d+\.)\s+|^\s*\||^\s*\[\.\.\.snipped\.\.\.\]\s*$|^\s*page\s+\d+:?\s*$"
+_REPORT_NAME = r"(?i)universal\s+registration\s+document|registration\s+document|annual\s+report|sustainability\s+statement|sustainability\s+report|integrated\s+report"
+_CANDIDATE_CHARS, _EDGE_LINES, _LEAST_PAGES, _PAGE_SHARE = (8, 200), 5, 3, 0.25
+_CAPITALS, _CAPITALS_AND_DIGITS, _DIGITS = (10, 0.82), (6, 0.68, 3), (6, 80)
+#: Bytes of report text that a partition of lines holds, about; the work on a line is far heavier than its bytes.
+_PARTITION_BYTES = 16 << 20
 #: A page's blocks stop the report once it has so many, after that page.
 MOST_BLOCKS = 800
 #: Joins a paragraph's lines until hyphens at line ends are dealt with.
@@ -34,13 +44,14 @@ _WRAP = "\u0001"
 
 
 def lines(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``report_id, line_no, line``; dealt by report.
+    """``report_id, line_no, line``; dealt by report over partitions whose number follows from the size of the input.
 
-    With a stated number of partitions, as the work on a line is far heavier than its bytes: a partition of
-    the size that Spark would unite small ones to keeps a core busy for minutes.
+    A report's lines stay together from here on, as windows and aggregates below are keyed by it.
     """
     rows = df.select("report_id", F.posexplode(F.split(line_ends(F.col(text_col)), "\n")).alias("line_no", "line"))
-    return rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "report_id")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, min(size // _PARTITION_BYTES, 200_000)), "report_id")
 
 
 def _pages_by(rows: DataFrame, start: Column, number: Column, title: Column) -> DataFrame:
@@ -83,7 +94,7 @@ def split_pages_grounding(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``report_id, page_seq, page, title, text``: as ``split_pages``, with dashed markers, texts joined and trimmed."""
     line, trimmed = F.col("line"), trim_space(F.col("line"))
     heading = F.regexp_extract(line, _HEADING_PAGE, 1)
-    other = F.coalesce(F.nullif(F.regexp_extract(trimmed, _DASH_PAGE, 1), F.lit("")), F.regexp_extract(trimmed, r"^\s*Page\s+(\d+)\s*:\s*$", 1))
+    other = F.coalesce(F.nullif(F.regexp_extract(trimmed, _DASH_PAGE, 1), F.lit("")), F.regexp_extract(trimmed, _LOOSE_VIEWER, 1))
     number = F.coalesce(F.nullif(heading, F.lit("")), F.nullif(other, F.lit(""))).try_cast("int")
     title = F.when(heading != "", F.nullif(trim_space(F.regexp_extract(line, _HEADING_PAGE, 2)), F.lit("")))
     pages = _joined_pages(_pages_by(lines(df, text_col), (heading != "") | (other != ""), number, title))
@@ -97,9 +108,9 @@ def split_pages_intake(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     line, trimmed = F.col("line"), trim_space(F.col("line"))
     number = F.coalesce(
-        F.nullif(F.regexp_extract(line, r"(?i)^\s*#{1,6}\s*Page\s+(\d+)(?!\w).*$", 1), F.lit("")),
-        F.nullif(F.regexp_extract(trimmed, r"(?i)^\s*---\s*Page\s+(\d+)\s*---\s*$", 1), F.lit("")),
-        F.nullif(F.regexp_extract(trimmed, r"(?i)^\s*Page\s+(\d+)\s*:\s*$", 1), F.lit("")),
+        F.nullif(F.regexp_extract(line, _LOOSE_HEADING, 1), F.lit("")),
+        F.nullif(F.regexp_extract(trimmed, f"(?i){_DASH_PAGE}", 1), F.lit("")),
+        F.nullif(F.regexp_extract(trimmed, f"(?i){_LOOSE_VIEWER}", 1), F.lit("")),
     ).try_cast("int")
     pages = _joined_pages(_pages_by(lines(df, text_col), number.isNotNull(), number, F.lit(None).cast("string")))
     marked = Window.partitionBy("report_id")
@@ -127,46 +138,54 @@ def line_for_key(line: Column) -> Column:
     return trim_space(F.regexp_replace(spaced, rf"{BLANKS}+", " "))
 
 
+def _key_of(spaced: Column) -> Column:
+    return trim_space(F.regexp_replace(F.regexp_replace(F.lower(spaced), r"\d+", "#"), "#+", "#"))
+
+
 def boilerplate_key(line: Column) -> Column:
-    return trim_space(F.regexp_replace(F.regexp_replace(F.lower(line_for_key(line)), r"\d+", "#"), "#+", "#"))
+    return _key_of(line_for_key(line))
 
 
-def is_candidate_line(line: Column) -> Column:
-    s = line_for_key(line)
-    other = r"(?i)^\s*#{1,6}\s+|^\s*(?:[-*•]|\d+\.)\s+|^\s*\||^\s*\[\.\.\.snipped\.\.\.\]\s*$|^\s*page\s+\d+:?\s*$"
-    return F.length(s).between(8, 200) & ~s.rlike(other)
+def is_candidate_line(spaced: Column) -> Column:
+    """Of a line in the form of ``line_for_key``."""
+    return F.length(spaced).between(*_CANDIDATE_CHARS) & ~spaced.rlike(_NO_CANDIDATE)
 
 
-def looks_like_boilerplate(line: Column) -> Column:
-    s = line_for_key(line)
-    phrase = r"(?i)universal\s+registration\s+document|registration\s+document|annual\s+report|sustainability\s+statement|sustainability\s+report|integrated\s+report"
-    letters = F.regexp_count(s, F.lit(f"[{_LETTER}]"))
-    capitals = F.regexp_count(s, F.lit("[A-ZÀ-ÖØ-Þ]"))
-    digits = F.regexp_count(s, F.lit(r"\d"))
+def looks_like_boilerplate(spaced: Column) -> Column:
+    """Of a line in the form of ``line_for_key``."""
+    letters = F.regexp_count(spaced, F.lit(f"[{_LETTER}]"))
+    capitals = F.regexp_count(spaced, F.lit("[A-ZÀ-ÖØ-Þ]"))
+    digits = F.regexp_count(spaced, F.lit(r"\d"))
     share = F.coalesce(F.try_divide(capitals.cast("double"), letters.cast("double")), F.lit(0.0))
-    return s.rlike(phrase) | ((letters >= 10) & (share >= 0.82)) | ((letters >= 6) & (share >= 0.68) & (digits >= 3)) | ((digits >= 6) & (F.length(s) <= 80))
+    loud = (letters >= _CAPITALS[0]) & (share >= _CAPITALS[1])
+    mixed = (letters >= _CAPITALS_AND_DIGITS[0]) & (share >= _CAPITALS_AND_DIGITS[1]) & (digits >= _CAPITALS_AND_DIGITS[2])
+    return spaced.rlike(_REPORT_NAME) | loud | mixed | ((digits >= _DIGITS[0]) & (F.length(spaced) <= _DIGITS[1]))
 
 
 def boilerplate_keys(pages: DataFrame) -> DataFrame:
     """``report_id, key``: keys among the first and last five candidate lines of pages that recur enough and look like boilerplate."""
     n_pages = F.size(F.collect_set("page_seq").over(Window.partitionBy("report_id")))
-    rows = pages.withColumn("trimmed", trim_space(F.col("line"))).withColumn("n_pages", n_pages).where("n_pages >= 3 and trimmed <> ''")
-    rows = rows.where(is_candidate_line(F.col("trimmed")))
+    rows = pages.withColumn("n_pages", n_pages).where(F.col("n_pages") >= _LEAST_PAGES)
+    rows = once(rows, {"spaced": line_for_key(trim_space(F.col("line")))}, (F.col("spaced") != "") & is_candidate_line(F.col("spaced"))).drop("line", "title", "page")
     page = Window.partitionBy("report_id", "page_seq")
     rows = rows.withColumn("from_top", F.row_number().over(page.orderBy("line_no"))).withColumn("from_end", F.row_number().over(page.orderBy(F.desc("line_no"))))
     # a line among both counts twice, as an example it comes in the order top lines, end lines backwards
-    top = rows.where("from_top <= 5").withColumn("nth", F.col("from_top"))
-    end = rows.where("from_end <= 5").withColumn("nth", F.col("from_end") + 5)
-    picked = top.unionByName(end).withColumn("key", boilerplate_key(F.col("trimmed"))).where("key <> ''")
-    keys = picked.groupBy("report_id", "key").agg(F.count("*").alias("n"), F.min_by("trimmed", F.struct("page_seq", "nth")).alias("example"), F.first("n_pages").alias("n_pages"))
-    return keys.where(F.col("n") >= F.greatest(F.lit(3), F.ceil(F.col("n_pages") * 0.25))).where(looks_like_boilerplate(F.col("example"))).select("report_id", "key")
+    sides = F.array(F.when(F.col("from_top") <= _EDGE_LINES, F.col("from_top")), F.when(F.col("from_end") <= _EDGE_LINES, F.col("from_end") + _EDGE_LINES))
+    picked = rows.where((F.col("from_top") <= _EDGE_LINES) | (F.col("from_end") <= _EDGE_LINES)).withColumn("nth", F.explode(F.array_compact(sides)))
+    picked = once(picked, {"key": _key_of(F.col("spaced"))}, "key <> ''")
+    keys = picked.groupBy("report_id", "key").agg(F.count("*").alias("n"), F.min_by("spaced", F.struct("page_seq", "nth")).alias("example"), F.first("n_pages").alias("n_pages"))
+    return keys.where(F.col("n") >= F.greatest(F.lit(_LEAST_PAGES), F.ceil(F.col("n_pages") * _PAGE_SHARE))).where(looks_like_boilerplate(F.col("example"))).select("report_id", "key")
 
 
 def strip_boilerplate(pages: DataFrame, keys: DataFrame) -> DataFrame:
-    """Add ``is_boilerplate``; such lines break paragraphs and are dropped by ``build_blocks``."""
-    marked = keys.withColumn("is_boilerplate", F.lit(True))
-    rows = pages.withColumn("key", boilerplate_key(trim_space(F.col("line")))).join(marked, ["report_id", "key"], "left")
-    return rows.withColumn("is_boilerplate", F.coalesce("is_boilerplate", F.lit(False))).drop("key")
+    """Add ``is_boilerplate``; such lines break paragraphs and are dropped by ``build_blocks``.
+
+    A report has forty keys at most, as each takes a fortieth of the lines that are looked at; only lines of reports with
+    keys are put in the form of a key.
+    """
+    of_report = keys.groupBy("report_id").agg(F.collect_set("key").alias("keys"))
+    rows = pages.join(of_report, "report_id", "left")
+    return rows.withColumn("is_boilerplate", F.coalesce(F.when(F.col("keys").isNotNull(), F.array_contains("keys", boilerplate_key(trim_space(F.col("line"))))), F.lit(False))).drop("keys")
 
 
 def join_wrapped(wrapped: Column) -> Column:
@@ -176,31 +195,34 @@ def join_wrapped(wrapped: Column) -> Column:
 
 def build_blocks(pages: DataFrame) -> DataFrame:
     """``report_id, block_idx, kind, page_seq, page, heading, text`` from marked lines."""
-    line = F.col("line")
-    trimmed = trim_space(line)
     page = Window.partitionBy("report_id", "page_seq").orderBy("line_no")
+    line = F.col("line")
+    # forms of a line once, and in a window only what the next step needs
+    rows = once(pages, {"trimmed": trim_space(line), "fenced": line.rlike(_FENCE)})
     plain = ~F.col("is_boilerplate") & (F.col("trimmed") != "")
-    fence = plain & line.rlike(r"^\s*```")
+    rows = rows.withColumn("is_fence", plain & F.col("fenced")).withColumn("fences", F.sum(F.col("is_fence").cast("int")).over(page))
+    live = plain & ~F.col("is_fence") & (F.col("fences") % 2 == 0)
+    rows = once(rows.withColumn("live", live), {
+        "head": F.when(F.col("live"), F.regexp_extract(line, _HEADING, 1)),
+        "item": F.when(F.col("live"), F.regexp_extract(line, _ITEM, 1)),
+        "is_mark": F.col("live") & F.col("trimmed").rlike(_PAGE_WORD),
+    })
+    is_head = F.col("live") & (F.col("head") != "")
     rows = (
-        pages.withColumn("trimmed", trimmed)
-        .withColumn("is_fence", fence)
-        .withColumn("fences", F.sum(F.col("is_fence").cast("int")).over(page))
-        .withColumn("live", plain & ~F.col("is_fence") & (F.col("fences") % 2 == 0))
-        .withColumn("head", F.when(F.col("live"), F.nullif(trim_space(F.regexp_extract(line, r"^\s*#{1,6}\s+(.+)$", 1)), F.lit(""))))
-        .withColumn("is_head", F.col("live") & line.rlike(r"^\s*#{1,6}\s+.+$"))
-        .withColumn("item", F.when(F.col("live") & ~F.col("is_head"), F.nullif(F.regexp_extract(line, r"^\s*(?:[-*•]|\d+\.)\s+(.+)$", 1), F.lit(""))))
-        .withColumn("is_mark", F.col("live") & F.col("trimmed").rlike(r"(?i)^\s*Page\s+\d+:\s*$"))
-        .withColumn("is_text", F.col("live") & ~F.col("is_head") & F.col("item").isNull() & ~F.col("is_mark"))
+        rows.withColumn("item", F.when(~is_head, F.nullif("item", F.lit(""))))
+        .withColumn("is_text", F.col("live") & ~is_head & F.col("item").isNull() & ~F.col("is_mark"))
         # lines inside a fence neither break a paragraph nor belong to one; the fence has closed it
         .withColumn("breaks", ~F.col("is_text") & ~(plain & ~F.col("is_fence") & (F.col("fences") % 2 == 1)))
-        .withColumn("para", F.sum(F.col("breaks").cast("int")).over(page))
-        .withColumn("heading", F.coalesce(collapse_whitespace(F.last("head", ignorenulls=True).over(page)), collapse_whitespace(F.col("title"))))
+        .withColumn("head", F.nullif(trim_space(F.col("head")), F.lit("")))
+        .withColumns({"para": F.sum(F.col("breaks").cast("int")).over(page), "under": F.last("head", ignorenulls=True).over(page)})
+        .where("is_text or item is not null")
+        .withColumn("heading", F.coalesce(collapse_whitespace(F.col("under")), collapse_whitespace(F.col("title"))))
     )
     # an item is a group of its own, a paragraph the text lines between two breaks
     piece = trim_space(F.regexp_replace(F.coalesce("item", line), rf"{BLANKS}+", " "))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "piece"))), lambda x: x["piece"])
     groups = (
-        rows.where("is_text or item is not null").withColumn("piece", piece).withColumn("is_item", F.col("item").isNotNull())
+        rows.withColumn("piece", piece).withColumn("is_item", F.col("item").isNotNull())
         .groupBy("report_id", "page_seq", "para", "is_item")
         .agg(F.min("line_no").alias("line_no"), F.first("page").alias("page"), F.min_by("heading", "line_no").alias("heading"), F.array_join(ordered, _WRAP).alias("joined"))
     )
@@ -213,7 +235,7 @@ def build_blocks(pages: DataFrame) -> DataFrame:
 
 
 def cap_blocks(blocks: DataFrame, most: int = MOST_BLOCKS) -> DataFrame:
-    """Blocks up to and with the page on which the report reaches ``most``."""
+    """Blocks up to and with the page on which the report reaches ``most``; the text of later pages is dropped."""
     first = F.min("block_idx").over(Window.partitionBy("report_id", "page_seq"))
     return blocks.withColumn("earlier", first).where(F.col("earlier") < most).drop("earlier")
 
@@ -292,12 +314,12 @@ def _section_pieces(texts: pd.Series, sizes: pd.Series, overlaps: pd.Series) ->
 
 
 def char_chunks(col: Column, size: int = 1200, overlap: int = 150) -> Column:
-    """Pieces of the collapsed text, each cut at the last space beyond 60 % of the size."""
+    """Pieces of the collapsed text, each cut at the last space beyond 60 % of the size. Each starts where the one before ended, so Python finds them."""
     return _char_pieces(col, F.lit(size), F.lit(overlap))
 
 
 def section_chunks(col: Column, size: int = 12000, overlap: int = 600, most: int = 15) -> Column:
-    """Pieces cut at a paragraph, else at a sentence end; the first ``most``."""
+    """Pieces cut at a paragraph, else at a sentence end; the first ``most``, later text is dropped."""
     return F.slice(_section_pieces(col, F.lit(size), F.lit(overlap)), 1, most)
 
 
@@ -314,12 +336,3 @@ def restrict_pages(pages: DataFrame, start: int, end: int) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("page", "text")))
     text = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("### Page "), p["page"].cast("string"), F.lit("\n"), trim_space(p["text"]))), "\n\n")
     return pages.where(F.col("page").between(start, end) & (trim_space(F.col("text")) != "")).groupBy("report_id").agg(text.alias("text"))
-
-
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInPandas`` with a function of one batch."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from map(fn, batches)
-
-    return df.mapInPandas(run, schema)

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
+def shared_folder(df: DataFrame) -> str:
+    """``spark.checkpoint.dir``, else the folder given to ``setCheckpointDir``; executors of a cluster don't see a folder of the driver's own, so without either it raises."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    given = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isEmpty():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return given.get().rstrip("/")
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the folder that ``spark.checkpoint.dir`` names (a temporary one where it names none) and read again."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerleaf-")
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    """``df`` written as Parquet in the shared folder and read again."""
+    path = f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
