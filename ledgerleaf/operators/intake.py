@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerleaf.functions.rules import matches
+from ledgerleaf.functions.rules import count_in, may_match, once, plain_words
 from ledgerleaf.functions.text import collapse_whitespace
 from ledgerleaf.sources.tables import written
 
@@ -26,6 +26,7 @@ NEGATIVE = (
     (r"\b(?:income\s+statement|statement\s+of\s+profit|balance\s+sheet|cash\s+flow\s+statement)\b", 3),
     (r"\b(?:earnings\s+per\s+share|dividend|share\s+capital|ifrs\s+accounts?)\b", 2),
 )
+# What a page counts at most for one sign, the characters of a page that are read, limits of an upload.
 POSITIVE_CAP, NEGATIVE_CAP, PAGE_CHARS = 20, 15, 12_000
 MOST_BYTES, LEAST_BYTES, LEAST_TEXT = 80 * 1024 * 1024, 1024, 300
 #: Range partitions for numbering: rows per partition, about.
@@ -34,10 +35,16 @@ SORT_ROWS = 50_000
 
 def score_pages(pages: DataFrame, page_chars: int | None = PAGE_CHARS) -> DataFrame:
     """``report_id, page, score, positive, negative, is_candidate, hit_keys, snippet`` of each page's first ``page_chars`` characters, all if None."""
-    rows = pages.withColumn("head", F.lower("text" if page_chars is None else F.substring("text", 1, page_chars)))
-    hits = F.array(*[F.struct(F.lit(k).alias("key"), F.least(matches(F.col("head"), p), F.lit(POSITIVE_CAP)).alias("n"), F.lit(w).alias("w")) for k, (p, w) in POSITIVE.items()])
-    negative = reduce(lambda a, b: a + b, [F.least(matches(F.col("head"), p), F.lit(NEGATIVE_CAP)) * w for p, w in NEGATIVE])
-    rows = rows.withColumn("hits", F.filter(hits, lambda h: h["n"] > 0)).withColumn("negative", F.coalesce(negative, F.lit(0)))
+    lower = F.lower("text" if page_chars is None else F.substring("text", 1, page_chars))
+    rows = once(pages, {"head": plain_words(lower)})
+
+    def count(pattern: str, cap: int) -> Column:
+        n, possible = F.least(count_in(F.col("head"), pattern), F.lit(cap)), may_match(F.col("head"), pattern)
+        return n if possible is None else F.when(possible, n).otherwise(0)
+
+    hits = F.array(*[F.struct(F.lit(k).alias("key"), count(p, POSITIVE_CAP).alias("n"), F.lit(w).alias("w")) for k, (p, w) in POSITIVE.items()])
+    negative = reduce(lambda a, b: a + b, [count(p, NEGATIVE_CAP) * w for p, w in NEGATIVE])
+    rows = once(rows, {"hits": F.filter(hits, lambda h: h["n"] > 0), "negative": F.coalesce(negative, F.lit(0))})
     rows = rows.withColumn("positive", F.aggregate("hits", F.lit(0), lambda a, h: a + h["n"] * h["w"])).withColumn("score", F.col("positive") - F.col("negative"))
     return rows.select(
         "report_id", "page", "score", "positive", "negative", ((F.col("score") >= 8) | (F.col("positive") >= 12)).alias("is_candidate"),

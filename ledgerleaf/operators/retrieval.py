@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ledgerleaf.functions.text import fnv1a_hex, trim_space
 from ledgerleaf.operators.segment import char_chunks
+from ledgerleaf.sources.tables import written
 
 TEXT_CHARS, CONTEXT_CHARS = 1500, 18_000
 
@@ -48,17 +49,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
-def top_k_chunks(queries: DataFrame, vectors: DataFrame, k: int = 8, salts: int = 16) -> DataFrame:
+def top_k_chunks(queries: DataFrame, vectors: DataFrame, k: int = 8, per_task: int = 20_000) -> DataFrame:
     """``query_id, rank, id, similarity``: the ``k`` nearest vectors of a query's namespace by cosine, ties by id.
 
-    Queries and vectors meet on the namespace; every vector salt keeps its ``k`` best first, so the vectors of
-    a large namespace are ranked by many tasks.
+    Queries and vectors meet on the namespace, which is dealt over as many salts as it has ``per_task`` vectors; each salt
+    keeps its ``k`` best first, so the vectors of a large namespace are ranked by many tasks.
     """
     length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    q = queries.select("query_id", "namespace", F.col("values").alias("q")).withColumn("q_len", length("q"))
-    v = vectors.select("id", "namespace", F.col("values").alias("v")).withColumn("v_len", length("v"))
-    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    v = v.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    sizes = written(vectors.groupBy("namespace").agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts")))
+    q = queries.select("query_id", "namespace", F.col("values").alias("q")).withColumn("q_len", length("q")).join(sizes, "namespace")
+    v = vectors.select("id", "namespace", F.col("values").alias("v")).withColumn("v_len", length("v")).join(sizes, "namespace")
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    v = v.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
     pairs = q.join(v, ["namespace", "salt"])
     scored = pairs.select("query_id", "salt", "id", F.round(F.try_divide(dot(F.col("q"), F.col("v")), F.col("q_len") * F.col("v_len")), 9).alias("similarity"))
     order = [F.desc_nulls_last("similarity"), "id"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ledgerleaf.functions.dimensions import CATEGORY_TO_PILLAR, ISSUE_TO_PILLAR
 from ledgerleaf.functions.text import truncate_for_classifier
+from ledgerleaf.sources.tables import written
 
 ROUTE_FROM_ENTITIES, ROUTE_FROM_EVIDENCE = 0.3, 0.25
 SCORES = "array<struct<label:string,score:double>>"
@@ -121,10 +123,13 @@ def export_issue_summary(issues: DataFrame, index: DataFrame, n: int = 7) -> Dat
 def pseudo_label_split(preds: DataFrame, ratio: float = 0.1, seed: int = 42) -> DataFrame:
     """E, S and G rows with ``label_id`` and ``split``: all rows of a report fall into one part, ``ceil(ratio * n)`` reports (one at least) into eval."""
     rows = preds.where(F.col("pillar").isin("E", "S", "G")).withColumn("label_id", F.array_position(F.array(*map(F.lit, "ESG")), F.col("pillar")).cast("int") - 1)
-    reports = rows.select("k").distinct()
-    n_eval = F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy()) * ratio))
-    nth = F.row_number().over(Window.orderBy(F.xxhash64("k", F.lit(seed)), "k"))  # a row a report
-    split = reports.select("k", F.when(nth <= n_eval, "eval").otherwise("train").alias("split"))
+    # the reports of the least hashes: whole buckets of hashes, and of the bucket at the cut the first in order
+    reports = written(rows.select("k").distinct().withColumn("h", F.xxhash64("k", F.lit(seed))).withColumn("bucket", F.pmod(F.shiftright("h", 48), F.lit(1 << 16))))
+    sizes = reports.groupBy("bucket").agg(F.count("*").alias("n"))  # 65,536 rows at most
+    n_eval = max(1, math.ceil(reports.count() * ratio))
+    upto = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "k"))
+    split = reports.withColumn("nth", within).join(upto, "bucket").select("k", F.when(F.col("before") + F.col("nth") <= n_eval, "eval").otherwise("train").alias("split"))
     return rows.join(split, "k")
 
 

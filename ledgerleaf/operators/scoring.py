@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ledgerleaf.functions.text import sample_head_tail
 from ledgerleaf.operators.features import (
@@ -245,10 +244,9 @@ def pending_scores(reports: DataFrame, scores: DataFrame, year: int | None = Non
     rows = reports.where("report_id is not null and report_key is not null and report_key <> ''")
     if year is not None:
         rows = rows.where(F.col("year") == year)
-    nth = F.row_number().over(Window.orderBy("report_key", "report_id")) - 1
     if start or limit is not None:
-        rows = rows.withColumn("nth", nth).where(F.col("nth") >= start)
-        rows = (rows if limit is None else rows.where(F.col("nth") < start + limit)).drop("nth")
+        rows = rows.orderBy("report_key", "report_id").offset(start)
+        rows = rows if limit is None else rows.limit(limit)
     return rows if force else rows.join(scores.select("report_id").distinct(), "report_id", "left_anti")
 
 

@@ -147,14 +147,9 @@ def text_basics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", tx.estimate_tokens(t).alias("tokens"), tx.collapse_whitespace(t).alias("collapsed"), tx.truncate_end(t, 500).alias("cut"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS folded FROM documents WHERE lang <> 'de'""")
+@query(r"""SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(coalesce(text, ''), 'ß', ' '))), '[^a-z0-9]+', ' ', 'g')) AS folded FROM documents""")
 def folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").where("lang <> 'de'").select("doc_id", search_fold(F.col("text")).alias("folded"))
-
-
-@query()
-def whole_folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All languages; SQL folds some letters otherwise, so ``folded_text`` beside it is without German."""
+    """DuckDB's accents take a sharp s apart, the reference's form has none, so SQL puts a blank in its place."""
     return _read(spark, sf_dir, "documents").select("doc_id", search_fold(F.col("text")).alias("folded"))
 
 
@@ -220,7 +215,7 @@ totals AS (SELECT report_id, count(*) AS total_pages, sum(positive)::BIGINT AS t
 SELECT t.*, "start", "end", pages AS span_pages, total_positive - total_negative AS raw_score, (total_positive - total_negative >= 80 AND hit_breadth >= 5 AND candidate_pages >= greatest(3, floor(total_pages * 0.06))) AS is_sustainability,
 coalesce(pages / greatest(1, total_pages) >= 0.72 AND candidate_pages / greatest(1, total_pages) >= 0.6, false) AS is_only FROM totals t LEFT JOIN best b USING (report_id)""")
 def intake_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = intake.score_pages(corpus.phrase_pages(spark, sf_dir))
+    scores = written(intake.score_pages(corpus.phrase_pages(spark, sf_dir)).drop("snippet"))
     return intake.intake_verdict(scores, intake.candidate_spans(scores))
 
 
@@ -253,14 +248,8 @@ def duplicate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.find_duplicates(new, existing).select("upload_id", "same_hash")
 
 
-@query(f"""{_CATALOGUE} SELECT doc_id AS upload_id, concat('report-', (greatest(9999, (SELECT max(doc_id) FROM catalogue)) + row_number() OVER (ORDER BY doc_id))::VARCHAR) AS report_id FROM catalogue WHERE doc_id % 10 = 3""")
-def allocated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = corpus.catalogue(spark, sf_dir)
-    return intake.allocate_report_ids(known.where("doc_id % 10 = 3").select(F.col("doc_id").alias("upload_id")), known).select("upload_id", "report_id")
-
-
 @query(f"""{_CATALOGUE} SELECT doc_id AS upload_id, concat('report-', (greatest(9999, (SELECT max(doc_id) FROM catalogue)) + row_number() OVER (ORDER BY doc_id))::VARCHAR) AS report_id FROM catalogue""")
-def whole_allocated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def allocated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = corpus.catalogue(spark, sf_dir)
     return intake.allocate_report_ids(known.select(F.col("doc_id").alias("upload_id")), known).select("upload_id", "report_id")
 

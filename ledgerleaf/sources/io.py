@@ -54,9 +54,9 @@ def _projected(df: DataFrame) -> DataFrame:
     return rows.where("report_id is not null and slug is not null and report_key is not null")
 
 
-def read_upload_records(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON file a report; files that don't parse are skipped; id, slug and key are required."""
-    raw = spark.read.schema(UPLOAD_SCHEMA).option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", "*.json").json(folder, multiLine=True)
+def read_upload_records(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
+    """One JSON file a report, or an array of them; files that don't parse are skipped; id, slug and key are required."""
+    raw = spark.read.schema(UPLOAD_SCHEMA).option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", glob).json(folder, multiLine=True)
     return _projected(raw)
 
 

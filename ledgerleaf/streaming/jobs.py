@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -26,21 +26,43 @@ def latest_per_id(df: DataFrame, id_col: str = "report_id", order: str = "create
     return df.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
+#: Parts of a streamed catalogue by a hash of the id; a batch rewrites those that it touches.
+BUCKETS = 64
+
+
+def read_catalogue(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """The rows of a streamed catalogue: of each bucket the last batch that wrote it (of those ``before`` one, if given)."""
+    kinds = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+    rows = spark.read.schema(kinds).parquet(path)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))  # BUCKETS rows
+    return rows.join(F.broadcast(newest), ["bucket", "batch"]).select(*schema.names, "bucket")
+
+
+def read_live_count(spark: SparkSession, path: str) -> DataFrame:
+    """``n``: the number of reports after the last batch."""
+    counts = spark.read.parquet(f"{path}-count")
+    return counts.orderBy(F.desc("batch")).limit(1).select("n")
+
+
 def stream_catalogue(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the latest record of each id: every batch writes the merged table as ``path/batch=N``.
+    """Keeps the latest record of each id, and the live count beside it.
 
-    A batch reads the table of the batch before, so a batch that is run again gives the same table.
+    Every batch writes the buckets of ids that it touches, merged, as ``path/batch=N/bucket=B``, and the count as
+    ``path-count/batch=N``; ``read_catalogue`` and ``read_live_count`` take the last of each. A batch reads the
+    batches before it only, so one that is run again gives the same. Old batches can be removed once others cover them.
     """
 
     def upsert(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        fresh = latest_per_id(batch)
-        merged = fresh
+        merged = latest_per_id(batch).withColumn("bucket", F.pmod(F.xxhash64("report_id"), F.lit(BUCKETS)).cast("int"))
         if n:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/batch={n - 1}")
-            newer = latest_per_id(old.join(fresh.select("report_id"), "report_id", "left_semi").unionByName(fresh))
-            merged = old.join(fresh.select("report_id"), "report_id", "left_anti").unionByName(newer)
-        merged.write.mode("overwrite").parquet(f"{path}/batch={n}")
+            touched = merged.select("bucket").distinct()
+            old = read_catalogue(spark, path, batch.schema, n).join(touched, "bucket", "left_semi")
+            merged = latest_per_id(old.unionByName(merged))
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={n}")
+        read_catalogue(spark, path, batch.schema, n + 1).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}-count/batch={n}")
 
     return _start(records, upsert, checkpoint)
 

@@ -72,7 +72,8 @@ def test_catalogue_stream_keeps_the_latest(spark, tmp_path):
     jobs.stream_catalogue(io.stream_upload_records(spark, str(ups)), out, str(tmp_path / "cp")).awaitTermination()
     (ups / "3.json").write_text(record(1, created="2024-02-01T00:00:00Z", company="New"))
     jobs.stream_catalogue(io.stream_upload_records(spark, str(ups)), out, str(tmp_path / "cp")).awaitTermination()
-    assert {(r.report_id, r.company) for r in spark.read.parquet(f"{out}/batch=1").collect()} == {("report-1", "New"), ("report-2", "Acme")}
+    assert {(r.report_id, r.company) for r in jobs.read_catalogue(spark, out, io.stream_upload_records(spark, str(ups)).schema).collect()} == {("report-1", "New"), ("report-2", "Acme")}
+    assert jobs.read_live_count(spark, out).first().n == 2
 
 
 def test_scores_stream_equals_batch(spark, tmp_path):
