@@ -81,7 +81,7 @@ QUERIES["sector_quality"] = flagship
 
 @query()
 def score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_reports(corpus.seeded_reports(spark, sf_dir), None, None)
+    return scoring.score_reports(corpus.seeded_reports(spark, sf_dir), None, None).withColumn("recommendations", F.array_join("recommendations", "; "))
 
 
 @query()
