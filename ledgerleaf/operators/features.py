@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerleaf.functions.rules import (
-    BOUNDARY,
     QUOTES,
     QUOTES_DEFAULT,
     RULE_KEYS,
@@ -21,7 +20,6 @@ from ledgerleaf.functions.rules import (
     count_in,
     has,
     java,
-    matches,
     may_match,
     once,
     plain_words,
@@ -170,18 +168,19 @@ def top_quotes(candidates: DataFrame) -> DataFrame:
 
 def quantitative_profile(corpus: DataFrame) -> DataFrame:
     """Counts of figures in each corpus, and figures per 1000 characters."""
-    c = F.col("corpus")
-    years = [F.when(F.regexp_count(F.lower(c), F.lit(f"{BOUNDARY}{y}{BOUNDARY}")) >= 4, 1).otherwise(0) for y in range(2018, 2027)]
+    c, plain = F.col("corpus"), F.col("plain")
+    rows = once(corpus, {"plain": plain_words(c)})
+    years = [F.when(count_in(plain, rf"\b{y}\b") >= 4, 1).otherwise(0) for y in range(2018, 2027)]
     kpi = r"\b\d{1,3}(?:[,.\s]\d{3})+\b|\b\d+[\.,]\d+\s*(?:%|tco2e?|mwh|kwh|gj|tonnes?|kg|m3|litres?)\b"
-    numbers = matches(c, r"\b\d[\d,.\s]*\d\b|\b\d+\s*%", False)
-    return corpus.select(
+    numbers = count_in(plain, r"\b\d[\d,.\s]*\d\b|\b\d+\s*%", False)
+    return rows.select(
         "report_id",
-        matches(c, r"\d+[\.,]?\d*\s*%", False).alias("percentage_count"),
-        matches(c, r"\|[^|\n]+\|[^|\n]+\|", False).alias("table_rows"),
-        matches(c, kpi).alias("kpi_numbers"),
+        count_in(plain, r"\d+[\.,]?\d*\s*%", False).alias("percentage_count"),
+        count_in(plain, r"\|[^|\n]+\|[^|\n]+\|", False).alias("table_rows"),
+        count_in(plain, kpi).alias("kpi_numbers"),
         sum(years, F.lit(0)).alias("distinct_years"),
         (F.floor(numbers / F.greatest(F.lit(1), F.length(c)) * 1000 * 100 + 0.5) / 100).alias("numeric_density"),
-        (c.contains("%") | has(c, r"\b(mwh|kwh|gj|m3)\b")).alias("has_units"),
+        (c.contains("%") | (count_in(plain, r"\b(mwh|kwh|gj|m3)\b") > 0)).alias("has_units"),
         c.rlike(r"\|[^|]+\|[^|]+\|").alias("has_table"),
         F.length(c).alias("corpus_chars"),
     )

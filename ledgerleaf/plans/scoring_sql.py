@@ -8,8 +8,8 @@ from ledgerleaf.functions import text as tx
 from ledgerleaf.functions.rules import RULE_KEYS, RULES, SCOPE3_PATTERNS, SCOPE3_RULE
 from ledgerleaf.operators import segment as sg
 from ledgerleaf.plans.corpus import CATALOGUE_SQL
-from ledgerleaf.plans.reach import _LINES_SQL, _sql_all, _sql_collapse, _sql_trim, sql_normalize_for_evidence
-from ledgerleaf.plans.registry import ORACLES, _plain
+from ledgerleaf.plans.reach import _INTAKE_PAGES_SQL, _LINES_SQL, _sql_all, _sql_collapse, _sql_trim, sql_normalize_for_evidence
+from ledgerleaf.plans.registry import _PAGES, ORACLES, _plain
 
 
 def _spaced(col: str) -> str:
@@ -136,3 +136,10 @@ ORACLES["whole_scope3_counts"] = f"WITH {COUNTS_SQL} SELECT report_id, feature_k
 ORACLES["score_records"] = f"WITH {RECORDS_SQL} SELECT *, false AS corpus_sampled, 'rules-evidence' AS method_kind, 1 AS version FROM banded"
 ORACLES["sector_quality"] = f"""WITH catalogue AS ({CATALOGUE_SQL.replace("AS string", "AS VARCHAR")}), {RECORDS_SQL} SELECT coalesce(sector, 'Unknown') AS sector, count(*) AS n, avg(score) AS mean_score, median(score) AS median_score,
 count(*) FILTER (band = 'high') AS n_high, count(*) FILTER (band = 'medium') AS n_medium, count(*) FILTER (band = 'low') AS n_low FROM banded JOIN catalogue USING (report_id) GROUP BY 1"""
+
+# The intake queries over whole texts: the same SQL on the pages of the woven reports
+_WHOLE_PAGES = f"WITH {_INTAKE_PAGES_SQL}, pages0 AS (SELECT report_id, page, text FROM intake_pages)"
+for _name in ("intake_pages", "intake_spans", "intake_verdicts"):
+    ORACLES[f"whole_{_name}"] = ORACLES[_name].replace(_PAGES, _WHOLE_PAGES)
+ORACLES["whole_feature_coverage"] = f"""WITH {COUNTS_SQL}, f AS (SELECT * FROM counts WHERE found AND feature_key <> '{SCOPE3_RULE}')
+SELECT feature_key, count(*) AS hits, floor(count(*) * 100.0 / (SELECT count(*) FROM documents) + 0.5)::BIGINT AS hit_rate_pct, round(sum(occurrences) / count(*), 6) AS occurrences_per_hit, round(sum(pages) / count(*), 6) AS pages_per_hit FROM f GROUP BY 1"""
