@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,21 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on from stage to stage beside the JVM, which needs it."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most ``rows`` rows and ``size`` bytes of strings and binaries, at least a row each."""
     held = np.zeros(batch.num_rows, np.int64)
@@ -70,6 +87,7 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTE
         end = min(batch.num_rows, at + rows, max(end, at + 1))
         yield batch.slice(at, end - at)
         at = end
+    give_back()
 
 
 def by_slices(fn: Callable[[dict], dict], schema: pa.Schema, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):

@@ -38,7 +38,7 @@ MISSED = 1e-7
 #: Classes of a block; a task compares two blocks at a time.
 BLOCK = 128
 #: Word hashes that a worker keeps, shingles whose coordinates are made at once, set members multiplied at once.
-WORDS_KEPT, STEP_SHINGLES, STEP_MEMBERS = 300_000, 2048, 8192
+WORDS_KEPT, STEP_SHINGLES, STEP_MEMBERS = 150_000, 2048, 8192
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)

@@ -27,7 +27,7 @@ EPOCHS, BATCH, RATE, LASSO, START = 20, 256, 0.5, 5e-4, 1e-3
 GRADES = 3
 #: A document is kept if its probability of the top grade is at least this.
 KEEP_FROM = 0.8
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 
 _WORD = re.compile(r"\w+")
 _CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]")

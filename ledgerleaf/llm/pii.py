@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import by_slices, slices
+from ledgerleaf.llm.common import by_slices, slices, word_store
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 #: Kinds that only the classifier adds, in the order in which spans of one start are listed.
@@ -277,6 +277,7 @@ def pattern_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``kind, regex, gazetteer, context, shape, second, n`` over the candidates of all rows; ``second`` marks the last fold."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_store("pii")  # empties those of the stages before
         met: Counter = Counter()
         for batch in batches:
             for part in slices(batch):
@@ -440,6 +441,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            word_store("pii")
             at = batch.schema.get_field_index("text")
             for part in slices(batch):
                 texts = [redacted_text(t, spans_of(t, learned)[1]) for t in part.column(at).to_pylist()]
