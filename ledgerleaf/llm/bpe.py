@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from ledgerleaf.llm.common import SLICE_ROWS, by_slices, word_store
 
 #: Distinct words whose ids a worker keeps; beyond it the store starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 #: Longer words are not kept.
 WORD_BYTES_KEPT = 64
 
