@@ -37,6 +37,8 @@ _CANDIDATE_CHARS, _EDGE_LINES, _LEAST_PAGES, _PAGE_SHARE = (8, 200), 5, 3, 0.25
 _CAPITALS, _CAPITALS_AND_DIGITS, _DIGITS = (10, 0.82), (6, 0.68, 3), (6, 80)
 #: Bytes of report text that a partition of lines holds, about; the work on a line is far heavier than its bytes.
 _PARTITION_BYTES = 16 << 20
+#: From here on a size is Spark's guess for an input that states none.
+_UNKNOWN_SIZE = 1 << 55
 #: A page's blocks stop the report once it has so many, after that page.
 MOST_BLOCKS = 800
 #: Joins a paragraph's lines until hyphens at line ends are dealt with.
@@ -50,8 +52,9 @@ def lines(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     rows = df.select("report_id", F.posexplode(F.split(line_ends(F.col(text_col)), "\n")).alias("line_no", "line"))
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < _UNKNOWN_SIZE
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(least, min(size // _PARTITION_BYTES, 200_000)), "report_id")
+    return rows.repartition(max(least, size // _PARTITION_BYTES if known else 0), "report_id")
 
 
 def _pages_by(rows: DataFrame, start: Column, number: Column, title: Column) -> DataFrame:
