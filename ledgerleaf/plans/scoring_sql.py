@@ -138,7 +138,7 @@ ORACLES["sector_quality"] = f"""WITH catalogue AS ({CATALOGUE_SQL.replace("AS st
 count(*) FILTER (band = 'high') AS n_high, count(*) FILTER (band = 'medium') AS n_medium, count(*) FILTER (band = 'low') AS n_low FROM banded JOIN catalogue USING (report_id) GROUP BY 1"""
 
 # The intake queries over whole texts: the same SQL on the pages of the woven reports
-_WHOLE_PAGES = f"WITH {_INTAKE_PAGES_SQL}, pages0 AS (SELECT report_id, page, text FROM intake_pages)"
+_WHOLE_PAGES = f"WITH {_INTAKE_PAGES_SQL.replace("marked AS", "numbered AS").replace("FROM marked)", "FROM numbered)")}, pages0 AS (SELECT report_id, page, text FROM intake_pages)"
 for _name in ("intake_pages", "intake_spans", "intake_verdicts"):
     ORACLES[f"whole_{_name}"] = ORACLES[_name].replace(_PAGES, _WHOLE_PAGES)
 ORACLES["whole_feature_coverage"] = f"""WITH {COUNTS_SQL}, f AS (SELECT * FROM counts WHERE found AND feature_key <> '{SCOPE3_RULE}')
