@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import bpe, html_extract, language_id, minhash, mixing, ordinal, pii, quality_rules, sharding, telephony
+from ledgerleaf.llm import bpe, html_extract, language_id, minhash, mixing, ordinal, pii, quality_rules, sharding, telephony, token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +67,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), 3, 85)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_html_extract": op2_html_extract, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op8_ordinal": op8_ordinal, "op9_byte_bpe": op9_byte_bpe, "op10_minhash": op10_minhash}
+def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document and its longest prefix within 2,048 of them, by prefix dynamic programming."""
+    return token_counts.count(_table(spark, sf_dir, "documents"), WORD_BPE, 2048)
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_html_extract": op2_html_extract, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op8_ordinal": op8_ordinal, "op9_byte_bpe": op9_byte_bpe, "op10_minhash": op10_minhash, "op11_prefix_counts": op11_prefix_counts}
 
 #: The mix without bins: every source's documents ranked row by row, taken while the middle of a document lies within what the whole copies leave.
 OP6_SQL = r"""

@@ -11,10 +11,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerleaf.llm import bpe, html_extract, language_id, minhash, mixing, ordinal, pii, quality_rules, queries, sharding, telephony
+from ledgerleaf.llm import bpe, html_extract, language_id, minhash, mixing, ordinal, pii, quality_rules, queries, sharding, telephony, token_counts
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, size int, kept int, shard string, row string, n string, bin string, node string"
 
@@ -844,6 +845,75 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     assert sorted(map(str, map(tuple, once.collect()))) == sorted(map(str, [(1, text, "s"), (None, other, "s"), (3, "quite another text", "t"), (None, None, "s")]))
 
 
+# 11. token counts
+
+
+@pytest.fixture(scope="module")
+def word_bpe():
+    whole = tokenizers.Tokenizer.from_file(queries.WORD_BPE)
+    return lambda text: len(whole.encode(text or "", add_special_tokens=False).ids)
+
+
+def test_token_counts_equal_the_library(spark, sf, word_bpe):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    made = queries.QUERIES["op11_prefix_counts"](spark, sf).collect()
+    assert len(made) == len(texts)
+    for r in made:
+        text, n = texts[r.doc_id], word_bpe(texts[r.doc_id])
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((text or "").encode()), n, n > 2048)
+        assert word_bpe((text or "")[: r.fit_chars]) == r.fit_tokens <= 2048
+        if n > 2048:  # one code point more is too much
+            assert word_bpe(text[: r.fit_chars + 1]) > 2048
+
+
+PIECES = ["a", "s", "re", "'", "'re", "'s", "'ll", "!", "<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "\n", "\x0b", "É", "é", "e\u0301", "e\u0308\u0301", "ß", "日本", "🎉", "İ", "가", "\u1100\u1161\u11a8", "ﬁ", "12", "½", "²", "ª", "µ", "×", "the", "ing", "un", "aa", "aaa", "\xa0", "\u3000", "\x1c", "Σ", "ẞ", "क़", "...", "--", "</w>", "\0"]
+
+
+def test_every_prefix_against_the_library(word_bpe):
+    known, rng = token_counts.Prefixes(queries.WORD_BPE), random.Random(11)
+    for _ in range(600):
+        text = "".join(rng.choices(PIECES, k=rng.randint(1, 12)))
+        table = known.table(text)
+        assert len(table) == len(text) and table[-1] == word_bpe(text)
+        for n, count in enumerate(table, 1):
+            assert count in (token_counts.NO_CUT, word_bpe(text[:n])), (text, n)
+        budget = rng.randint(0, 8)
+        within = [n for n, count in enumerate(table, 1) if count <= budget]
+        assert known.answer(text, budget)[:2] == (table[-1], within[-1] if within else 0), (text, budget)
+
+
+def test_white_space_is_that_of_the_tokenizer():
+    form = tokenizers.Tokenizer.from_file(queries.WORD_BPE).normalizer.normalize_str
+    for c in (*range(0xD800), *range(0xE000, 0x30000)):
+        assert (form(f"a{chr(c)}b") == "a b") == (token_counts.BREAK.match(chr(c)) is not None), hex(c)
+
+
+def test_long_words_and_blocks(word_bpe, monkeypatch):
+    known, rng = token_counts.Prefixes(queries.WORD_BPE), random.Random(12)
+    for text in ("x" * 20_000, "".join(rng.choices("abcdefgh", k=20_000)), "日本語" * 5_000, "e\u0301" * 5_000):
+        total, chars, tokens = known.answer(text, 100)
+        assert total == word_bpe(text) and tokens == word_bpe(text[:chars]) <= 100
+    monkeypatch.setattr(token_counts, "BLOCK", 50)
+    monkeypatch.setattr(token_counts, "WORDS_KEPT", 20)
+    text = " ".join(rng.choices(PIECES, k=500)) + "<|endoftext|>"
+    known.learn([text])
+    assert known.answer(text, 300)[0] == word_bpe(text)
+    assert word_bpe(text[: known.answer(text, 300)[1]]) <= 300
+
+
+def test_stored_tables_answer_budgets(spark, odd, word_bpe):
+    text = "It's the <|endoftext|> of e\u0301 re-encoding"
+    stored = token_counts.prefix_counts(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), queries.WORD_BPE)
+    rows = stored.select("doc_id", "counts", *[token_counts.tokens_of("counts", n).alias(f"t{n}") for n in (0, 4, 99)], token_counts.longest_within(F.col("counts"), 5).alias("fit")).orderBy("doc_id").collect()
+    assert rows[0].t0 == 0 and rows[0].t4 == word_bpe(text[:4]) and rows[0].t99 == word_bpe(text)
+    assert word_bpe(text[: rows[0].fit]) <= 5 < word_bpe(text[: rows[0].fit + 1])
+    assert rows[0].counts[text.index("\u0301") - 1] is None
+    assert [(r.counts, r.t4, r.fit) for r in rows[1:]] == [([], 0, 0)] * 2
+    made = token_counts.count(odd, queries.WORD_BPE, 2048).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in made) == sorted((r.doc_id or 0, word_bpe(r.text)) for r in odd.collect())
+    assert token_counts.count(odd.limit(0), queries.WORD_BPE, 2048).count() == 0
+
+
 def test_bench_times_the_text_heavy_queries():
     import __spark_entry__
     import bench
