@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import bpe, html_extract, language_id, minhash, mixing, ordinal, pii, quality_rules, sharding, telephony, token_counts
+from ledgerleaf.llm import bpe, dense_search, html_extract, language_id, minhash, mixing, ordinal, pii, quality_rules, sharding, telephony, token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -72,7 +72,12 @@ def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(_table(spark, sf_dir, "documents"), WORD_BPE, 2048)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_html_extract": op2_html_extract, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op8_ordinal": op8_ordinal, "op9_byte_bpe": op9_byte_bpe, "op10_minhash": op10_minhash, "op11_prefix_counts": op11_prefix_counts}
+def op12_dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of all for every benchmark item, by exact blocked matrix products."""
+    return dense_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 50)
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_html_extract": op2_html_extract, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op8_ordinal": op8_ordinal, "op9_byte_bpe": op9_byte_bpe, "op10_minhash": op10_minhash, "op11_prefix_counts": op11_prefix_counts, "op12_dense_search": op12_dense_search}
 
 #: The mix without bins: every source's documents ranked row by row, taken while the middle of a document lies within what the whole copies leave.
 OP6_SQL = r"""
@@ -109,4 +114,16 @@ reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_minhash": OP10_SQL}
+#: Scores by joining terms, without products of matrices.
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+t AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM d),
+m AS (SELECT r, doc_id, 50 + (50 * len(w)::BIGINT * docs) // terms AS m FROM d, t WHERE len(w) > 0),
+x AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY 1, 2),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM x, t GROUP BY term, docs),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM i JOIN x USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY 1, 2, 3)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_minhash": OP10_SQL, "op12_dense_search": OP12_SQL}
