@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import bpe, dense_search, html_extract, language_id, minhash, mixing, ordinal, pii, quality_rules, sharding, telephony, token_counts
+from ledgerleaf.llm import bpe, dense_search, html_extract, language_id, minhash, mixing, ordinal, pii, quality_rules, resampling, sharding, telephony, token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -77,7 +77,13 @@ def op12_dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 50)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_html_extract": op2_html_extract, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op8_ordinal": op8_ordinal, "op9_byte_bpe": op9_byte_bpe, "op10_minhash": op10_minhash, "op11_prefix_counts": op11_prefix_counts, "op12_dense_search": op12_dense_search}
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document: a twentieth of them drawn to resemble the benchmark texts."""
+    drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_html_extract": op2_html_extract, "op3_language_id": op3_language_id, "op4_shards": op4_shards, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_telephony": op7_telephony, "op8_ordinal": op8_ordinal, "op9_byte_bpe": op9_byte_bpe, "op10_minhash": op10_minhash, "op11_prefix_counts": op11_prefix_counts, "op12_dense_search": op12_dense_search, "op13_resampling": op13_resampling}
 
 #: The mix without bins: every source's documents ranked row by row, taken while the middle of a document lies within what the whole copies leave.
 OP6_SQL = r"""
@@ -126,4 +132,22 @@ s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 *
 SELECT item_id, rank, doc_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 50
 """
 
-ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_minhash": OP10_SQL, "op12_dense_search": OP12_SQL}
+#: Every run's CRC-32 byte by byte, over distinct runs.
+OP13_SQL = r"""
+WITH RECURSIVE bits(n, k, c) AS (SELECT n, 0, n FROM range(256) t(n) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS steps FROM bits WHERE k = 8),
+x AS (SELECT 'b' AS kind, NULL::BIGINT AS doc_id, text, row_number() OVER () AS r FROM benchmark UNION ALL SELECT 'd', doc_id, text, row_number() OVER () FROM documents),
+w AS (SELECT kind, doc_id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+f AS (SELECT kind, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i : i + 1], ' ')), list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')))) AS f FROM w),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+v AS (SELECT f, xor(list_reduce(list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT), lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM u, crc),
+c AS (SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM f JOIN v USING (f) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM c)::BIGINT + 10000))::DOUBLE / ((s + 1) * ((SELECT sum(t) FROM c)::BIGINT + 10000))::DOUBLE))::BIGINT AS gain FROM c),
+k AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN v USING (f) JOIN g USING (bucket) WHERE kind = 'd' GROUP BY 1),
+o AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5e0) / 4294967296e0)))::BIGINT AS score FROM w LEFT JOIN k USING (r) WHERE kind = 'd'),
+p AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, 5 * (count(*) FILTER (n_words >= 20) OVER ()) // 100 AS drawn FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank FROM p
+"""
+
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_minhash": OP10_SQL, "op12_dense_search": OP12_SQL, "op13_resampling": OP13_SQL}

@@ -15,7 +15,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerleaf.llm import bpe, html_extract, language_id, minhash, mixing, ordinal, pii, quality_rules, queries, sharding, telephony, token_counts
+from ledgerleaf.llm import bpe, dense_search, html_extract, language_id, minhash, mixing, ordinal, pii, quality_rules, queries, resampling, sharding, telephony, token_counts
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, size int, kept int, shard string, row string, n string, bin string, node string"
 
@@ -914,6 +914,113 @@ def test_stored_tables_answer_budgets(spark, odd, word_bpe):
     assert token_counts.count(odd.limit(0), queries.WORD_BPE, 2048).count() == 0
 
 
+# 12. ranked search
+
+
+def plain_search(docs, items, k):
+    """Scores by the formula, item by item and document by document, in Python's whole numbers."""
+
+    def terms(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+
+    counted = [(doc_id, terms(text)) for doc_id, text in docs]
+    n_docs, total = sum(1 for _, w in counted if w), sum(len(w) for _, w in counted)
+    df = {}
+    for _, w in counted:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    out = set()
+    for item, text in set(items):
+        found = []
+        for nth, (doc_id, w) in enumerate(counted):
+            score = 0
+            for t in set(terms(text)) & set(w):
+                m = 50 + (50 * len(w) * n_docs) // total
+                score += math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * w.count(t)) // (1000 * w.count(t) + 20 * m))
+            if score > 0:
+                found.append((-score, doc_id is None, doc_id or 0, nth, doc_id))
+        out |= {(item, rank, x[4], -x[0]) for rank, x in enumerate(sorted(found)[:k], 1)}
+    return out
+
+
+def test_search_against_brute_force(spark, odd, monkeypatch):
+    rng = random.Random(12)
+    words = ["a", "b", "Cc", "dd.d", "é", "日本", "f_g", "h", "0", "ii", "jj", "kk"]
+    docs = [(i % 90 if i % 31 else None, " ".join(rng.choices(words, k=rng.choice([0, 1, 3, 30])))) for i in range(200)] + [(7, None), (8, "--")]
+    items = [(i, " ".join(rng.choices([*words, "nowhere"], k=rng.randint(0, 9)))) for i in range(30)] + [(30, None), (0, ""), (31, "ii"), (31, "ii")]
+    frame, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = plain_search(docs, [x for x in items if x[1]], 5)
+    assert {tuple(r) for r in dense_search.search(frame, asked, 5).collect()} == expected
+    monkeypatch.setattr(dense_search, "MOST_TERMS", 12)  # several passes, tiles, parts of an item's terms and slices
+    monkeypatch.setattr(dense_search, "ITEMS", 2)
+    monkeypatch.setattr(dense_search, "TERMS", 3)
+    assert {tuple(r) for r in dense_search.search(frame.repartition(3), asked, 5).collect()} == expected
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    assert {tuple(r) for r in dense_search.search(odd, spark.createDataFrame([(1, "A g word"), (2, "日本")], "item_id long, text string"), 3).collect()} == plain_search(rows, [(1, "a g word"), (2, "日本")], 3)
+    assert dense_search.search(odd.limit(0), asked).count() == dense_search.search(odd, asked.limit(0)).count() == 0
+
+
+def test_products_stay_exact():
+    weights = {i: 40_000 for i in range(300_000)}
+    made = dense_search.tile([(1, list(weights))], weights)
+    assert all(int(w.sum()) * dense_search.IMPACT < dense_search.EXACT and w.shape[1] <= dense_search.TERMS for _, w in made.parts)
+    assert sum(len(t) for t, _ in made.parts) == len(weights)
+    tf, n = np.array([1, 3, 10**6]), np.array([10, 10**13, 10**12])
+    assert dense_search.impacts(tf, n, 10**9, 10**14).tolist() == [(10**9 * a) // (1000 * a + 20 * (50 + (50 * b * 10**9) // 10**14)) for a, b in zip(tf.tolist(), n.tolist())]
+
+
+# 13. importance resampling
+
+
+def plain_runs(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    return len(words), [zlib.crc32(" ".join(words[i : i + n]).encode()) % 10_000 for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+
+
+def plain_resample(docs, target):
+    s, t = [0] * 10_000, [0] * 10_000
+    for counts, texts in ((s, [x for _, x in docs]), (t, target)):
+        for text in texts:
+            for b in plain_runs(text)[1]:
+                counts[b] += 1
+    gain = [math.floor(1000 * math.log((b + 1) * (sum(s) + 10_000) / ((a + 1) * (sum(t) + 10_000)))) for a, b in zip(s, t)]
+    rows = []
+    for doc_id, text in docs:
+        n, runs = plain_runs(text)
+        h = int(hashlib.sha256(f"42:{'null' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in runs)
+        rows.append((doc_id, n, len(runs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    able = sorted((r for r in rows if r[1] >= 20), key=lambda r: (-r[4], r[0] is None, r[0] or 0))
+    places = {}
+    for place, r in enumerate(able, 1):
+        places.setdefault(r, []).append(place if place <= 5 * len(able) // 100 else None)
+    return sorted(((*r, places[r].pop(0) if r in places else None) for r in rows), key=repr)
+
+
+def test_resampling_against_brute_force(spark, odd):
+    rng = random.Random(13)
+    words = ["a", "Bc", "dd", "é", "日本", "x" * 70, "q" * 300, "f_g", "h.i", "0"]
+    docs = [(i % 150 if i % 41 else None, " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 3, 25, 60])))) for i in range(150)]
+    docs += [(900, " ".join(words * 3))] * 5 + [(901, None), (902, " - ")]
+    target = [" ".join(rng.choices(words[:4], k=30)) for _ in range(9)] + [None, ""]
+    goals = spark.createDataFrame([(i, t) for i, t in enumerate(target)], "item_id long, text string")
+    for given in (docs, [(r.doc_id, r.text) for r in odd.collect()]):
+        made = resampling.resample(spark.createDataFrame(given, "doc_id long, text string").repartition(3), goals)
+        assert sorted(map(tuple, made.collect()), key=repr) == plain_resample(given, target)
+    assert resampling.resample(odd, goals).columns == ["doc_id", "n_words", "n_features", "weight", "score", "rank"]
+    assert resampling.resample(odd.limit(0), goals).count() == 0
+    assert resampling.resample(odd, goals.limit(0)).count() == odd.count()
+
+
+def test_payloads_compose_to_the_hash_of_the_run():
+    rng = random.Random(14)
+    for _ in range(100):
+        text = " ".join("".join(rng.choices("ab é日", k=rng.choice([1, 5, 64, 65, 400]))) for _ in range(rng.randint(0, 9)))
+        plain = resampling.plain(text.encode())
+        n, found = resampling.Dictionary([plain]).buckets(plain)
+        assert (n, found.tolist()) == plain_runs(text)
+
+
 def test_bench_times_the_text_heavy_queries():
     import __spark_entry__
     import bench
