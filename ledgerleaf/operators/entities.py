@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-import math
+from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerleaf.functions.dimensions import ENTITY_TO_PILLAR, ISSUE_TO_ENTITIES
 from ledgerleaf.functions.text import match_tokens, normalize_for_match, trim_space
 from ledgerleaf.operators.routing import lookup, top_issues
+from ledgerleaf.sources.tables import written
 
 LEAST_NEEDLE = 8
+#: Pages that are searched together, characters of a page that is searched alone, and needles of an automaton.
+CELL_PAGES, LONG_PAGE, CELL_NEEDLES = 64, 1 << 16, 4_096
 
 
 def _unfenced(col: Column) -> Column:
@@ -65,45 +70,121 @@ def dedupe_entities(df: DataFrame) -> DataFrame:
     return df.withColumn("text_key", key).withColumn("nth", nth).where("nth = 1").drop("text_key", "nth")
 
 
-def _place(needles: list[str], tokens: list[list[str]], pages: list[str]) -> list[int]:
-    """Index of each entity's page, -1 where it has none; searching goes on from the last hit and wraps."""
-    cursor, out = 0, []
-    for needle, toks in zip(needles, tokens, strict=True):
-        found = -1
-        if len(needle) >= LEAST_NEEDLE:
-            order = [*range(cursor, len(pages)), *range(cursor)]
-            found = next((i for i in order if needle in pages[i]), -1)
-            if found < 0 and len(toks) >= 2:
-                hits = [sum(t in p for t in toks) for p in pages]
-                best = max(range(len(pages)), key=lambda i: (hits[i], -i), default=-1)
-                if best >= 0 and hits[best] >= min(3, max(2, math.ceil(len(toks) * 0.35))):
-                    found = best
-            if found >= 0:
-                cursor = found
-        out.append(found)
-    return out
+def _page_cells(pages: DataFrame) -> DataFrame:
+    """``report_id, cell, pages``: some pages of a report together, long ones by themselves, so that no cell is large and a report's cells are dealt over tasks."""
+    cell = F.when(F.length("search") > LONG_PAGE, -1 - F.col("page_seq")).otherwise(F.floor(F.col("page_seq") / CELL_PAGES))
+    return pages.where("search <> ''").groupBy("report_id", cell.cast("long").alias("cell")).agg(F.collect_list(F.struct("page_seq", "search")).alias("pages"))
+
+
+def _needle_cells(rows: DataFrame, value: str) -> DataFrame:
+    """``report_id, needles``: the distinct values of a report, in parts where they are many."""
+    distinct = rows.select("report_id", value).distinct()
+    many = distinct.groupBy("report_id").agg(F.ceil(F.count("*") / CELL_NEEDLES).alias("parts")).where("parts > 1")
+    dealt = distinct.join(many, "report_id", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(value), F.col("parts")), F.lit(0)))
+    return dealt.groupBy("report_id", "part").agg(F.collect_list(value).alias("needles")).drop("part")
+
+
+def _automaton(words: list[str]) -> ahocorasick.Automaton:
+    made = ahocorasick.Automaton()
+    for i, w in enumerate(words):
+        made.add_word(w, i)
+    made.make_automaton()
+    return made
+
+
+def needle_hits(needles: DataFrame, pages: DataFrame) -> DataFrame:
+    """``report_id, needle, hits``: the pages of its report that contain the needle, ascending; needles on no page have no row.
+
+    ``needles``: ``report_id, needle``; ``pages``: ``report_id, page_seq, search``, both in the form of ``normalize_for_match``. All needles of a
+    report are one automaton, and a page is read once for them all. Needles and pages of no report (null) find nothing.
+    """
+    cells = _page_cells(pages).join(_needle_cells(needles.where("needle <> ''"), "needle"), "report_id").select("report_id", "pages", "needles")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                report, held, words = (batch.column(i)[row].as_py() for i in range(3))
+                known, hits = _automaton(words), {}
+                for page in held:
+                    for i in {i for _, i in known.iter(page["search"])}:
+                        hits.setdefault(i, []).append(page["page_seq"])
+                yield pa.RecordBatch.from_arrays([pa.array([report] * len(hits)), pa.array([words[i] for i in hits], pa.string()), pa.array(list(hits.values()), pa.list_(pa.int64()))], names=["report_id", "needle", "hits"])
+
+    found = cells.mapInArrow(find, "report_id string, needle string, hits array<long>")
+    return found.groupBy("report_id", "needle").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+
+
+def closest_pages(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """``report_id, words, hits, page_seq``: the first of the pages that contain most of the words; repeated words count as often.
+
+    ``wanted``: ``report_id, words`` with blanks between the words. All words of a report are one automaton; a cell of pages reports its best page only.
+    """
+    cells = _page_cells(pages).join(_needle_cells(wanted, "words"), "report_id").select("report_id", "pages", "needles")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                report, held, wishes = (batch.column(i)[row].as_py() for i in range(3))
+                of_word: dict[str, list[int]] = {}
+                for i, wish in enumerate(wishes):
+                    for word in wish.split(" "):
+                        of_word.setdefault(word, []).append(i)
+                known, lists = _automaton(list(of_word)), [np.array(x) for x in of_word.values()]
+                most, at = np.zeros(len(wishes), np.int64), np.full(len(wishes), -1, np.int64)
+                for page in sorted(held, key=lambda p: p["page_seq"]):
+                    met = {i for _, i in known.iter(page["search"])}
+                    if met:
+                        hits = np.bincount(np.concatenate([lists[i] for i in met]), minlength=len(wishes))
+                        at[hits > most] = page["page_seq"]
+                        most = np.maximum(most, hits)
+                some = np.flatnonzero(most)
+                yield pa.RecordBatch.from_arrays([pa.array([report] * len(some)), pa.array([wishes[i] for i in some], pa.string()), pa.array(most[some]), pa.array(at[some])], names=["report_id", "words", "hits", "page_seq"])
+
+    best = cells.mapInArrow(find, "report_id string, words string, hits long, page_seq long")
+    first = F.min_by(F.struct("hits", "page_seq"), F.struct(-F.col("hits"), "page_seq"))
+    return best.groupBy("report_id", "words").agg(first.alias("best")).select("report_id", "words", "best.*")
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The page of each entity in turn: the first hit from the page of the one before on, else the first of all, else the closest page."""
+    report, cursor = None, -1
+    for batch in batches:
+        ids, reports, hits, close = (batch.column(i).to_pylist() for i in range(4))
+        out = []
+        for r, found, fallback in zip(reports, hits, close, strict=True):
+            if r != report:
+                report, cursor = r, -1
+            if found:
+                at = bisect_left(found, cursor)
+                cursor = found[at if at < len(found) else 0]
+                out.append(cursor)
+            else:
+                cursor = cursor if fallback is None else fallback
+                out.append(fallback)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int64())], names=["_id", "page_seq"])
 
 
 def ground_entities(entities: DataFrame, pages: DataFrame) -> DataFrame:
     """Add ``page`` and ``heading``: where the text stands, else the page with most of its words.
 
-    ``pages``: ``report_id, page_seq, page, title, text``. Cogrouped by report, as the search of an entity
-    starts at the page of the one before; a report has few chunks of entities and some hundred pages.
+    ``pages``: ``report_id, page_seq, page, title, text``. The search of an entity starts at the page of the one before in (chunk, position)
+    and wraps. Where texts and words stand is found first, in cells of some pages each; only these hits go through a report's entities in
+    order, in a stream. Texts below LEAST_NEEDLE characters and entities of no report get no page; repeated rows are repeated entities.
     """
-    ent = entities.withColumns({"needle": normalize_for_match(F.col("extraction_text")), "tokens": match_tokens(F.col("extraction_text"))})
-    sides = pages.select("report_id", "page_seq", "page", "title", normalize_for_match(F.col("text")).alias("search"))
-    schema = T.StructType([*[f for f in entities.schema if f.name not in ("page", "heading")], T.StructField("page", T.IntegerType()), T.StructField("heading", T.StringType())])
-    names = [f.name for f in schema]
-
-    def ground(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["chunk_index", "position"], kind="stable")
-        right = right.sort_values("page_seq", kind="stable")
-        at = _place(left["needle"].fillna("").tolist(), [list(t) if t is not None else [] for t in left["tokens"]], right["search"].fillna("").tolist())
-        page = [int(right["page"].iat[i]) if i >= 0 and pd.notna(right["page"].iat[i]) else None for i in at]
-        title = [right["title"].iat[i] if i >= 0 else None for i in at]
-        return left.assign(page=pd.Series(page, dtype=object, index=left.index), heading=pd.Series(title, dtype=object, index=left.index))[names]
-
-    return ent.groupBy("report_id").cogroup(sides.groupBy("report_id")).applyInPandas(ground, schema)
+    text = F.col("extraction_text")
+    ent = written(entities.drop("page", "heading").withColumns({"_needle": normalize_for_match(text), "_tokens": match_tokens(text), "_id": F.monotonically_increasing_id()}))
+    sides = written(pages.select("report_id", F.col("page_seq").cast("long").alias("page_seq"), "page", "title", normalize_for_match(F.col("text")).alias("search")))
+    able = ent.where(F.length("_needle") >= LEAST_NEEDLE).select("_id", "report_id", "chunk_index", "position", F.col("_needle").alias("needle"), F.array_join("_tokens", " ").alias("words"), F.size("_tokens").alias("n"))
+    hits = written(needle_hits(able, sides))
+    rows = able.join(hits, ["report_id", "needle"], "left")
+    close = closest_pages(rows.where("hits is null and n >= 2"), sides)
+    least = F.least(F.lit(3), F.greatest(F.lit(2), F.ceil(F.col("n") * 0.35)))
+    near = F.when(F.col("hits").isNull() & (F.col("most") >= least), F.col("closest")).alias("close")
+    rows = rows.join(close.select("report_id", "words", F.col("hits").alias("most"), F.col("page_seq").alias("closest")), ["report_id", "words"], "left")
+    turns = rows.select("_id", "report_id", "hits", near, "chunk_index", "position").repartition("report_id").sortWithinPartitions("report_id", "chunk_index", "position", "_id")
+    placed = turns.select("_id", "report_id", "hits", "close").mapInArrow(_walk, "_id long, page_seq long").where("page_seq is not null")
+    named = ent.join(placed, "_id", "left").join(sides.select("report_id", "page_seq", F.col("page").cast("int").alias("page"), F.col("title").alias("heading")), ["report_id", "page_seq"], "left")
+    return named.select(*[f"`{c}`" for c in ent.columns if c not in ("_needle", "_tokens", "_id")], "page", "heading")
 
 
 def pages_detected(pages: DataFrame) -> DataFrame:

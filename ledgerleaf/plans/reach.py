@@ -187,6 +187,49 @@ def grounding_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.split_pages_grounding(corpus.seeded_reports(spark, sf_dir)).withColumn("page_seq", F.col("page_seq").cast("int"))
 
 
+_MATCH_OF = lambda col: _MATCH.replace("regexp_replace(t,", f"regexp_replace({col},")
+#: Every line of the documents as an entity of its report, the odd reports' from the last line on; a fifth of them stands on no page as it is.
+_LINE_ENTITIES_SQL = """each AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, len(string_split(text, chr(10))) AS n FROM documents),
+ents AS (SELECT concat('report-', doc_id::VARCHAR) AS report_id, CASE WHEN doc_id % 2 = 0 THEN i ELSE n - 1 - i END AS chunk_index, CASE WHEN i % 5 = 4 THEN concat('Unseen ', line) ELSE translate(line, 'aeiou', 'AEIOU') END AS extraction_text FROM each)"""
+
+
+def _line_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.split("text", "\n")
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.size(lines).alias("n"), F.posexplode(lines).alias("i", "line"))
+    text = F.when(F.col("i") % 5 == 4, F.concat(F.lit("Unseen "), "line")).otherwise(F.translate("line", "aeiou", "AEIOU"))
+    order = F.when(F.col("doc_id") % 2 == 0, F.col("i")).otherwise(F.col("n") - 1 - F.col("i"))
+    return rows.select(F.concat(F.lit("report-"), F.col("doc_id").cast("string")).alias("report_id"), order.alias("chunk_index"), F.lit(0).alias("position"), text.alias("extraction_text"))
+
+
+_LINE_HITS_SQL = f"""{_GROUND_SQL}, sides AS (SELECT report_id, page_seq, page, title, {_MATCH_OF("text")} AS search FROM made WHERE text <> ''), {_LINE_ENTITIES_SQL},
+looked AS (SELECT *, {_MATCH_OF("extraction_text")} AS needle FROM ents),
+hits AS (SELECT report_id, needle, list(page_seq ORDER BY page_seq) AS hits FROM (SELECT DISTINCT report_id, needle FROM looked WHERE needle <> '') JOIN sides USING (report_id) WHERE contains(search, needle) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_LINE_HITS_SQL} SELECT report_id, needle, array_to_string(hits, ' ') AS hits FROM hits")
+def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages on which every line of the documents stands."""
+    pages = segment.split_pages_grounding(corpus.seeded_reports(spark, sf_dir)).select("report_id", "page_seq", tx.normalize_for_match(F.col("text")).alias("search"))
+    needles = _line_entities(spark, sf_dir).select("report_id", tx.normalize_for_match(F.col("extraction_text")).alias("needle"))
+    return entities.needle_hits(needles, pages).select("report_id", "needle", F.array_join(F.col("hits").cast("array<string>"), " ").alias("hits"))
+
+
+@query(f"""WITH RECURSIVE {_LINE_HITS_SQL},
+turns AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY chunk_index) AS nth, list_filter(string_split_regex(needle, '[^a-z0-9%]+'), lambda p: length(p) >= 3 OR regexp_matches(p, '[0-9]'))[1:14] AS toks FROM looked),
+near AS (SELECT report_id, nth, arg_min(page_seq, (-n, page_seq)) AS page_seq FROM (
+  SELECT t.report_id, t.nth, s.page_seq, len(toks) AS most, list_sum(list_transform(toks, lambda w: contains(search, w)::INT)) AS n FROM turns t JOIN sides s USING (report_id) WHERE length(needle) >= 8 AND len(toks) >= 2 AND (report_id, needle) NOT IN (SELECT (report_id, needle) FROM hits))
+  WHERE n >= least(3, greatest(2, ceil(most * 0.35))) GROUP BY 1, 2),
+ready AS (SELECT t.report_id, nth, chunk_index, extraction_text, CASE WHEN length(needle) >= 8 THEN hits END AS hits, page_seq AS close FROM turns t LEFT JOIN hits USING (report_id, needle) LEFT JOIN near USING (report_id, nth)),
+walk(report_id, nth, place, found) AS (SELECT DISTINCT report_id, 0::BIGINT, -1::HUGEINT, NULL::HUGEINT FROM ready UNION ALL
+  SELECT report_id, nth, coalesce(found, place), found FROM (SELECT r.report_id, r.nth, w.place, coalesce(list_filter(hits, lambda h: h >= w.place)[1], hits[1], close)::HUGEINT AS found FROM walk w JOIN ready r ON r.report_id = w.report_id AND r.nth = w.nth + 1))
+SELECT r.report_id, chunk_index::INT AS chunk_index, extraction_text, page, title AS heading FROM ready r JOIN walk w ON w.report_id = r.report_id AND w.nth = r.nth LEFT JOIN sides s ON s.report_id = w.report_id AND s.page_seq = w.found""")
+def grounded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the documents, changed or not, grounded on the pages of its report."""
+    pages = segment.split_pages_grounding(corpus.seeded_reports(spark, sf_dir))
+    return entities.ground_entities(_line_entities(spark, sf_dir), pages).drop("position")
+
+
+
 @query(f"WITH {_GROUND_SQL}, kept AS (SELECT * FROM made WHERE text <> '' AND page IS NOT NULL) SELECT report_id, count(DISTINCT page) AS pages_detected FROM kept GROUP BY 1")
 def detected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.pages_detected(segment.split_pages_grounding(corpus.seeded_reports(spark, sf_dir)).where("page is not null"))
