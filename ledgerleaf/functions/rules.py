@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,27 +54,61 @@ def _alternatives(pattern: str) -> list[str]:
     return [*parts, pattern[last:]]
 
 
+def _runs(pattern: str) -> list[str]:
+    """Literal runs that every match of a pattern without top-level alternatives contains, outside its groups."""
+    bare = re.sub(r"\\.", " ", pattern.replace("\\.", "\x00").replace(r"\|", "\x01"))
+    while (less := re.sub(r"\([^()]*\)[?*]?(?:\{[^}]*\})?|\[[^\]]*\]", " ", bare)) != bare:
+        bare = less
+    bare = re.sub(r".[?*]|\{[^}]*\}", " ", bare.replace("\x00", "."))
+    return re.findall(r"[a-z]{2,}|\d\.\d", bare) or ["|"] * ("\x01" in bare)
+
+
 def needed_words(pattern: str) -> list[str] | None:
-    """A run of letters that every match of each alternative contains; None where there is none.
+    """A literal run that every match of each alternative contains; None where there is none.
 
-    A search for plain words is far cheaper than a pattern, and most blocks contain none of them.
+    Where an alternative has none outside its groups, those of a group that it can't do without serve.
     """
     words = []
     for alternative in _alternatives(pattern):
-        bare = re.sub(r"\\.", " ", alternative)
-        while (less := re.sub(r"\([^()]*\)[?*]?(?:\{[^}]*\})?|\[[^\]]*\]", " ", bare)) != bare:
-            bare = less
-        bare = re.sub(r".[?*]|\{[^}]*\}", " ", bare)
-        runs = re.findall("[a-z]{2,}", bare)
-        if not runs:
+        runs = _runs(alternative)
+        if runs:
+            words.append(max(runs, key=len))
+            continue
+        inner = next((x for g in re.findall(r"\((?:\?:)?([^()]*(?:\([^()]*\)[^()]*)*)\)(?![?*])", alternative) if (x := needed_words(g))), None)
+        if inner is None:
             return None
-        words.append(max(runs, key=len))
+        words += inner
     return sorted(set(words))
 
 
-def may_match(lower: Column, pattern: str) -> Column | None:
+def _tree(words: list[str]) -> str:
+    """A pattern of the longest of the words at a place, letter by letter, so that few letters are looked at where none stands."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    body = "|".join(re.escape(c) + (_tree(rest) if rest != [""] else "") for c, rest in sorted(heads.items()))
+    return f"(?:{body}){'?' if '' in words else ''}"
+
+
+@functools.lru_cache(maxsize=4)
+def _keyword_pattern(patterns: tuple[str, ...]) -> str:
+    return f"(?=({_tree(sorted({w for p in patterns for w in needed_words(p) or ()}))}))"
+
+
+def keywords(lower: Column, patterns: Iterable[str]) -> Column:
+    """The keywords of the patterns that a text in small letters contains, each after a bar; one reading of the text for all of them.
+
+    Where two begin at one place the longer one stands for both, as ``may_match`` looks for beginnings.
+    """
+    found = F.array_distinct(F.regexp_extract_all(lower, F.lit(_keyword_pattern(tuple(patterns))), F.lit(1)))
+    return F.concat(F.lit("/"), F.array_join(found, "/"))
+
+
+def may_match(known: Column, pattern: str) -> Column | None:
+    """Whether the text with these ``keywords`` has one that every match of the pattern contains; None for a pattern without keywords."""
     words = needed_words(pattern)
-    return None if words is None else functools.reduce(lambda a, b: a | b, [lower.contains(w) for w in words])
+    return None if words is None else functools.reduce(lambda a, b: a | b, [known.contains(f"/{w}") for w in words])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

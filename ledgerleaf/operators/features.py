@@ -20,6 +20,7 @@ from ledgerleaf.functions.rules import (
     count_in,
     has,
     java,
+    keywords,
     may_match,
     once,
     plain_words,
@@ -43,15 +44,16 @@ _PARTS = {**{k: p for k, p in RULES.items()}, **{f"_scope3_{i}": p for i, p in e
 def block_counts(blocks: DataFrame) -> DataFrame:
     """``report_id, block_idx, page_key, hits map<part, count>`` of blocks with a match.
 
-    One literal pattern a column, so each is compiled once; only parts that match are kept.
+    A block is read once for the keywords of all patterns; only patterns with a keyword in it are matched, each a literal
+    column of its own, so that it is compiled once. Only parts that match are kept.
     """
-    def count(lower, part: str, pattern: str):
-        n, possible = count_in(F.col("plain"), pattern, part != "data_tables"), may_match(lower, pattern)
+    def count(part: str, pattern: str):
+        n, possible = count_in(F.col("plain"), pattern, part != "data_tables"), may_match(F.col("known"), pattern)
         return F.struct(F.lit(part).alias("part"), (n if possible is None else F.when(possible, n).otherwise(0)).alias("n"))
 
     page_key = F.coalesce(F.col("page").cast("string"), F.concat(F.lit("block-"), F.col("block_idx").cast("string")))
-    rows = once(blocks.select("report_id", "block_idx", page_key.alias("page_key"), "text"), {"lower": F.lower("text"), "plain": plain_words(F.col("text"))})
-    counts = F.array(*[count(F.col("lower"), k, p) for k, p in _PARTS.items()])
+    rows = once(blocks.select("report_id", "block_idx", page_key.alias("page_key"), "text"), {"known": keywords(F.lower("text"), _PARTS.values()), "plain": plain_words(F.col("text"))})
+    counts = F.array(*[count(k, p) for k, p in _PARTS.items()])
     rows = once(rows, {"hits": F.filter(counts, lambda c: c["n"] > 0)}, "size(hits) > 0")
     return rows.select("report_id", "block_idx", "page_key", "hits", (normalize_for_evidence(F.col("text")) != "").alias("quotable"))
 
@@ -89,6 +91,8 @@ def _sentence_bounds(text: str, start: int, end: int) -> tuple[int, int]:
 def _around(texts: pd.Series, starts: pd.Series, lengths: pd.Series, most: pd.Series, context: pd.Series) -> pd.Series:
     out = []
     for text, start, length, top, wide in zip(texts, starts, lengths, most, context, strict=True):
+        if max(text, default="") > "\uffff":  # places are given in UTF-16 units
+            start = len(text.encode("utf-16-le")[: 2 * start].decode("utf-16-le", "ignore"))
         end = min(len(text), start + length)
         a, b = text.rfind("\n\n", 0, start + 2), text.find("\n\n", end)
         para = text[a + 2 if a >= 0 else 0 : b if b >= 0 else len(text)].strip()
@@ -122,7 +126,8 @@ def quote_candidates(blocks: DataFrame) -> DataFrame:
     """``report_id, feature_key, block_idx, page, heading, text, quality``: quotes in document order.
 
     A quote is the matching block with its like neighbours, clipped; equal beginnings count once; at most
-    three times the rule's quotes are kept, before they are ranked.
+    three times the rule's quotes are kept, before they are ranked. Where a match stands is looked for in blocks of
+    more than two quotes only, as it decides only there.
     """
     w = Window.partitionBy("report_id").orderBy("block_idx")
     same = lambda side: (
@@ -133,30 +138,33 @@ def quote_candidates(blocks: DataFrame) -> DataFrame:
     wide = blocks.withColumns({"before": F.lag(packed).over(w), "after": F.lead(packed).over(w)})
     context = F.array_join(F.array_compact(F.array(F.when(same("before"), F.col("before.text")), F.col("text"), F.when(same("after"), F.col("after.text")))), "\n\n")
 
+    rules = [*feature_rules(), ("_second", SCOPE3_PATTERNS[1], QUOTES_DEFAULT)]
+
     def hit_of(key: str, pattern: str, quotes: int):
-        p, possible = F.lit(java(pattern, key != "data_tables")), may_match(F.col("lower"), pattern)
-        at, size = F.regexp_instr("text", p) - 1, F.length(F.regexp_substr("text", p))
-        found = has(F.col("text"), pattern, key != "data_tables")
-        return F.when(found if possible is None else possible & found, F.struct(F.lit(key).alias("feature_key"), F.lit(3 * quotes).alias("cap"), at.alias("at"), size.alias("size")))
-
-    hit = [hit_of(*rule) for rule in feature_rules()]
-    second = hit_of("_second", SCOPE3_PATTERNS[1], QUOTES_DEFAULT)
-    rows = wide.select("report_id", "block_idx", "page", "heading", "text", context.alias("context"), F.lower("text").alias("lower"))
-    rows = once(rows, {"hits": F.array_compact(F.array(*hit, second))}, "size(hits) > 0")
-    found = rows.select("report_id", "block_idx", "page", "heading", "text", "context", F.inline("hits"))
-    # the second pattern of the composite rule counts where the first has no match in the report
-    firsts = F.max((F.col("feature_key") == SCOPE3_RULE).cast("int")).over(Window.partitionBy("report_id"))
-    found = found.withColumn("has_first", firsts).where("feature_key <> '_second' or has_first = 0")
-    found = found.withColumn("feature_key", F.when(F.col("feature_key") == "_second", SCOPE3_RULE).otherwise(F.col("feature_key")))
+        found, possible = F.col("plain").rlike(("(?id)" if key != "data_tables" else "(?d)") + pattern), may_match(F.col("known"), pattern)
+        return F.when(found if possible is None else possible & found, F.struct(F.lit(key).alias("feature_key"), F.lit(3 * quotes).alias("cap")))
+
+    rows = wide.select("report_id", "block_idx", "page", "heading", "text", context.alias("context"))
+    rows = once(rows, {"known": keywords(F.lower("text"), [p for _, p, _ in rules]), "plain": plain_words(F.col("text"))})
+    rows = once(rows, {"hits": F.array_compact(F.array(*[hit_of(*rule) for rule in rules]))}, "size(hits) > 0")
     # a block's quote is the same for every rule it matches, unless the block is long
     quoted = clip_snippet(F.col("context"), QUOTE_CHARS, 3)
-    short = once(found.where(F.length("text") <= 2 * QUOTE_CHARS), {"quote": quoted}, "quote <> ''")
-    long = found.where(F.length("text") > 2 * QUOTE_CHARS).withColumn("quote", long_block_snippet(F.col("text"), F.col("at"), F.col("size"))).where("quote <> ''")
-    quotes = short.unionByName(long).withColumn("prefix", F.substring(collapse_whitespace(F.col("quote")), 1, PREFIX_CHARS))
-    repeat = F.row_number().over(Window.partitionBy("report_id", "feature_key", "prefix").orderBy("block_idx"))
+    is_long = F.length("text") > 2 * QUOTE_CHARS
+    short = once(rows.where(~is_long), {"quote": quoted}, "quote <> ''").select("report_id", "block_idx", "page", "heading", "quote", F.inline("hits"))
+    pattern = F.element_at(F.create_map(*[x for k, p, _ in rules for x in (F.lit(k), F.lit(java(p, k != "data_tables")))]), F.col("feature_key"))
+    long = rows.where(is_long).select("report_id", "block_idx", "page", "heading", "text", F.inline("hits")).withColumn("pattern", pattern)
+    at, size = F.regexp_instr("text", F.col("pattern")) - 1, F.length(F.regexp_substr("text", F.col("pattern")))
+    long = long.withColumn("quote", long_block_snippet(F.col("text"), at, size)).where("quote <> ''").select(*short.columns)
+    prefix = F.substring(collapse_whitespace(F.col("quote")), 1, PREFIX_CHARS).alias("prefix")
+    first = F.min_by(F.struct("block_idx", "page", "heading", "quote", "cap"), F.col("block_idx")).alias("first")
+    quotes = short.unionByName(long).groupBy("report_id", "feature_key", prefix).agg(first).select("report_id", "feature_key", "first.*")
     order = F.row_number().over(Window.partitionBy("report_id", "feature_key").orderBy("block_idx"))
-    kept = quotes.withColumn("repeat", repeat).where("repeat = 1").withColumn("nth", order).where("nth <= cap")
-    return kept.select("report_id", "feature_key", "block_idx", "page", "heading", F.col("quote").alias("text"), quote_quality(F.col("quote"), F.col("page")).alias("quality"))
+    kept = quotes.withColumn("nth", order).where((F.col("nth") <= 3 * max(QUOTES.values())) & (F.col("nth") <= F.col("cap")))
+    # the second pattern of the composite rule counts where the first has no match in the report; few rows of a report are left here
+    firsts = F.max((F.col("feature_key") == SCOPE3_RULE).cast("int")).over(Window.partitionBy("report_id"))
+    kept = kept.withColumn("has_first", firsts).where("feature_key <> '_second' or has_first = 0")
+    key = F.when(F.col("feature_key") == "_second", SCOPE3_RULE).otherwise(F.col("feature_key")).alias("feature_key")
+    return kept.select("report_id", key, "block_idx", "page", "heading", F.col("quote").alias("text"), quote_quality(F.col("quote"), F.col("page")).alias("quality"))
 
 
 def top_quotes(candidates: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerleaf.functions.rules import count_in, may_match, once, plain_words
+from ledgerleaf.functions.rules import count_in, keywords, may_match, once, plain_words
 from ledgerleaf.functions.text import collapse_whitespace
 from ledgerleaf.sources.tables import written
 
@@ -33,13 +33,14 @@ MOST_BYTES, LEAST_BYTES, LEAST_TEXT = 80 * 1024 * 1024, 1024, 300
 SORT_ROWS = 50_000
 
 
-def score_pages(pages: DataFrame, page_chars: int | None = PAGE_CHARS) -> DataFrame:
-    """``report_id, page, score, positive, negative, is_candidate, hit_keys, snippet`` of each page's first ``page_chars`` characters, all if None."""
+def score_pages(pages: DataFrame, page_chars: int | None = None) -> DataFrame:
+    """``report_id, page, score, positive, negative, is_candidate, hit_keys, snippet`` of each page; of its first ``page_chars`` characters, if given (a request reads PAGE_CHARS)."""
     lower = F.lower("text" if page_chars is None else F.substring("text", 1, page_chars))
     rows = once(pages, {"head": plain_words(lower)})
+    rows = once(rows, {"known": keywords(F.col("head"), [*(p for p, _ in POSITIVE.values()), *(p for p, _ in NEGATIVE)])})
 
     def count(pattern: str, cap: int) -> Column:
-        n, possible = F.least(count_in(F.col("head"), pattern), F.lit(cap)), may_match(F.col("head"), pattern)
+        n, possible = F.least(count_in(F.col("head"), pattern), F.lit(cap)), may_match(F.col("known"), pattern)
         return n if possible is None else F.when(possible, n).otherwise(0)
 
     hits = F.array(*[F.struct(F.lit(k).alias("key"), count(p, POSITIVE_CAP).alias("n"), F.lit(w).alias("w")) for k, (p, w) in POSITIVE.items()])

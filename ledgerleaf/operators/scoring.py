@@ -178,10 +178,10 @@ def score_blocks(blocks: DataFrame) -> DataFrame:
 SUMMARY = ["report_id", "score", "band", "completeness", "consistency", "assurance", "transparency"]
 
 
-def score_reports(documents: DataFrame, max_chars: int | None = 350_000, most_blocks: int | None = MOST_BLOCKS, version: int = 1) -> DataFrame:
+def score_reports(documents: DataFrame, max_chars: int | None = None, most_blocks: int | None = None, version: int = 1) -> DataFrame:
     """One score record a report of ``report_id, text``. A text without blocks scores 0 in the band low.
 
-    The limits are the reference's for a request; None reads whole texts and all blocks.
+    Whole texts and all blocks are read; ``max_chars`` and ``most_blocks`` set limits as for a request (350,000 and MOST_BLOCKS).
     """
     whole, long = F.col("text"), F.length("text")
     text, cut = (whole, long < 0) if max_chars is None else (sample_head_tail(whole, max_chars), long > max_chars)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 from ledgerleaf.functions import text as tx
-from ledgerleaf.functions.rules import RULE_KEYS, RULES, SCOPE3_PATTERNS, SCOPE3_RULE
+from ledgerleaf.functions.rules import QUOTES, QUOTES_DEFAULT, RULE_KEYS, RULES, SCOPE3_PATTERNS, SCOPE3_RULE
 from ledgerleaf.operators import segment as sg
+from ledgerleaf.operators.features import CONTEXT_CHARS, NEIGHBOUR_CHARS, PREFIX_CHARS, QUOTE_CHARS
 from ledgerleaf.plans.corpus import CATALOGUE_SQL
 from ledgerleaf.plans.reach import _INTAKE_PAGES_SQL, _LINES_SQL, _sql_all, _sql_collapse, _sql_trim, sql_normalize_for_evidence
 from ledgerleaf.plans.registry import _PAGES, ORACLES, _plain
@@ -66,6 +67,47 @@ composite AS (SELECT report_id, coalesce(bool_or(found) FILTER (part IN ('_scope
   coalesce(sum(occurrences) FILTER (part IN ('_scope3_0', '_scope3_1')), 0) AS n FROM by_part WHERE part LIKE '\\_scope3%' ESCAPE '\\' GROUP BY 1),
 counts AS (SELECT report_id, part AS feature_key, found, occurrences, pages FROM by_part WHERE part NOT LIKE '\\_scope3%' ESCAPE '\\' UNION ALL SELECT report_id, '{SCOPE3_RULE}', found, occurrences, pages FROM composite WHERE n > 0)"""
 
+# Quotes: rules of every block, its neighbours, the clipped text and its points. A long block's part around the match is found by its sentence ends.
+_QUOTE_RULES = [*((k, RULES.get(k, SCOPE3_PATTERNS[0]), QUOTES.get(k, QUOTES_DEFAULT)) for k in RULE_KEYS), ("_second", SCOPE3_PATTERNS[1], QUOTES_DEFAULT)]
+_FLAGGED = {k: ("" if k == "data_tables" else "(?i)") + p for k, p, _ in _QUOTE_RULES}
+_FOUND = ", ".join(f"CASE WHEN regexp_matches(text, '{_plain(p)}') THEN '{k}' END" for k, p in _FLAGGED.items())
+_RULE_ROWS = ", ".join(f"('{k}', '{_plain(_FLAGGED[k])}', {n})" for k, _, n in _QUOTE_RULES)
+
+
+def _clip(text: str, most: int) -> str:
+    """The text up to ``most`` characters, by whole paragraphs, else to a sentence end or a space. ``text`` is a column's name."""
+    parts = f"list_filter(list_transform(string_split_regex({text}, '\\n{{2,}}'), lambda p: {_sql_trim('p')}), lambda p: p <> '')"
+    upto = lambda k: f"array_to_string(({parts})[1:{k}], chr(10) || chr(10))"
+    kept = f"coalesce(list_max(list_filter([1, 2, 3], lambda k: k <= len({parts}) AND length({upto('k')}) <= {most})), 0)"
+    out = f"substr({text}, 1, {most})"
+    stop, space, bare = f"regexp_extract({out}, '(?s)^(.*[.!?]) ', 1)", f"regexp_extract({out}, '(?s)^(.*) ', 1)", lambda x: _sql_all(x, (rf"{tx.SPACE}+$", ""))
+    by_sentence = f"CASE WHEN length({stop}) - 1 > {int(most * 0.55)} THEN {stop} WHEN length({space}) > {int(most * 0.6)} THEN {bare(space)} ELSE {bare(out)} END"
+    by_parts = f"concat({upto(kept)}, CASE WHEN length({upto(kept)}) < length({text}) THEN concat(chr(10), chr(10), '[...truncated...]') ELSE '' END)"
+    return f"CASE WHEN length({text}) <= {most} THEN {text} WHEN len({parts}) > 1 AND {kept} > 0 THEN {by_parts} ELSE concat({by_sentence}, ' ...') END"
+
+
+_LIKE = lambda side: f"{side}.kind = b.kind AND {side}.page IS NOT DISTINCT FROM b.page AND coalesce({side}.heading, '') = coalesce(b.heading, '') AND length({side}.text) <= {NEIGHBOUR_CHARS}"
+_POINTS_OF = [(r"\d+[\.,]?\d*\s*%", 3), (r"\b\d{1,3}[\.,]\d{3}\b", 3), (r"\b(tco2e?|mwh|kwh|gj|tonnes?|tons?|kg)\b", 3), (r"\b20[2-3]\d\b", 1), (r"\btarget|\bgoal|\bcommit", 1), (r"\bscope\s*[123]\b", 1), (r"\|[^|]+\|", 2)]
+_QUALITY = " + ".join([*(f"{n} * regexp_matches(quote, '(?i){_plain(p)}')::INT" for p, n in _POINTS_OF), "(page IS NOT NULL)::INT", "(length(quote) > 80)::INT", "(length(quote) > 200)::INT"])
+QUOTES_SQL = f"""{BLOCKS_SQL},
+rules(feature_key, pattern, quotes) AS (VALUES {_RULE_ROWS}),
+wide AS (SELECT b.*, array_to_string(list_filter([CASE WHEN {_LIKE("p")} THEN p.text END, b.text, CASE WHEN {_LIKE("n")} THEN n.text END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS context
+  FROM blocks b LEFT JOIN blocks p ON p.report_id = b.report_id AND p.block_idx = b.block_idx - 1 LEFT JOIN blocks n ON n.report_id = b.report_id AND n.block_idx = b.block_idx + 1),
+found AS (SELECT * FROM (SELECT *, list_filter([{_FOUND}], lambda k: k IS NOT NULL) AS keys FROM wide) WHERE len(keys) > 0),
+shorts AS (SELECT report_id, block_idx, page, heading, keys, {_clip("norm", QUOTE_CHARS)} AS quote FROM (SELECT *, {sql_normalize_for_evidence("context")} AS norm FROM found WHERE length(text) <= {2 * QUOTE_CHARS})),
+longs AS (SELECT f.*, k.feature_key, length(regexp_extract(text, concat('(?s)^(.*?)', CASE WHEN starts_with(pattern, '(?i)') THEN concat('(?i:', substr(pattern, 5), ')') ELSE concat('(?:', pattern, ')') END), 1)) AS a, length(regexp_extract(text, pattern)) AS size,
+  list_concat([0], list_filter(range(1, length(text)), lambda i: contains('.!?' || chr(10), text[i])), [length(text)]) AS stops FROM (SELECT * FROM found WHERE length(text) > {2 * QUOTE_CHARS}) f, unnest(f.keys) AS k(feature_key) JOIN rules r ON r.feature_key = k.feature_key),
+bounds AS (SELECT *, least(length(text), a + size) AS e, list_max(list_filter(stops, lambda s: s <= greatest(0, list_max(list_filter(stops, lambda s: s <= a)) - 1))) AS b0 FROM longs),
+ends AS (SELECT *, coalesce(list_min(list_filter(stops, lambda s: s > least(length(text), coalesce(list_min(list_filter(stops, lambda s: s > e)), length(text)) + 1))), length(text)) AS b1 FROM bounds),
+cuts AS (SELECT *, CASE WHEN b1 - b0 > {3 * QUOTE_CHARS} THEN greatest(0, a - {CONTEXT_CHARS}) ELSE b0 END AS c0, CASE WHEN b1 - b0 > {3 * QUOTE_CHARS} THEN least(length(text), e + {CONTEXT_CHARS}) ELSE b1 END AS c1 FROM ends),
+parts2 AS (SELECT report_id, block_idx, page, heading, feature_key, {_clip("norm", QUOTE_CHARS)} AS quote FROM (SELECT *, {sql_normalize_for_evidence("substr(text, c0 + 1, c1 - c0)")} AS norm FROM cuts)),
+quoted AS (SELECT report_id, block_idx, page, heading, unnest(keys) AS feature_key, quote FROM shorts UNION ALL SELECT report_id, block_idx, page, heading, feature_key, quote FROM parts2),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY report_id, feature_key, substr({_sql_collapse("quote")}, 1, {PREFIX_CHARS}) ORDER BY block_idx) AS repeat FROM quoted WHERE quote <> ''),
+capped AS (SELECT *, row_number() OVER (PARTITION BY report_id, feature_key ORDER BY block_idx) AS nth FROM firsts WHERE repeat = 1),
+kept AS (SELECT c.*, quotes, bool_or(feature_key = '{SCOPE3_RULE}') OVER (PARTITION BY report_id) AS has_first FROM capped c JOIN rules USING (feature_key) WHERE nth <= 3 * quotes),
+rated AS (SELECT report_id, CASE WHEN feature_key = '_second' THEN '{SCOPE3_RULE}' ELSE feature_key END AS feature_key, block_idx, page, heading, quote AS text, {_QUALITY} AS quality, quotes FROM kept WHERE feature_key <> '_second' OR NOT has_first),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY report_id, feature_key ORDER BY quality DESC, block_idx) AS rank FROM rated)"""
+
 _KPI = r"\b\d{1,3}(?:[,.\s]\d{3})+\b|\b\d+[\.,]\d+\s*(?:%|tco2e?|mwh|kwh|gj|tonnes?|kg|m3|litres?)\b"
 _YEARS = " + ".join(f"({_n('lower(corpus)', rf'\b{y}\b')} >= 4)::INT" for y in range(2018, 2027))
 _DEEP = ["framework_esrs", "framework_gri", "framework_tcfd", "framework_eu_taxonomy", "assurance_any"]
@@ -131,6 +173,7 @@ records AS (SELECT r.report_id, coalesce(floor(0.35e0 * completeness + 0.25e0 *
 banded AS (SELECT *, CASE WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END AS band FROM records)"""
 
 ORACLES["evidence_blocks"] = f"WITH {BLOCKS_SQL} SELECT * FROM blocks"
+ORACLES["ranked_evidence"] = f"WITH {QUOTES_SQL} SELECT * EXCLUDE (quotes) FROM ranked WHERE rank <= quotes"
 ORACLES["whole_rule_counts"] = f"WITH {COUNTS_SQL} SELECT report_id, feature_key, occurrences, pages FROM counts WHERE feature_key <> '{SCOPE3_RULE}'"
 ORACLES["whole_scope3_counts"] = f"WITH {COUNTS_SQL} SELECT report_id, feature_key, occurrences, pages FROM counts WHERE feature_key = '{SCOPE3_RULE}'"
 ORACLES["score_records"] = f"WITH {RECORDS_SQL} SELECT *, false AS corpus_sampled, 'rules-evidence' AS method_kind, 1 AS version FROM banded"
