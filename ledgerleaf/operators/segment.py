@@ -1,11 +1,16 @@
 """Segmentation of report text: pages, boilerplate, evidence blocks, chunks.
 
 Lines are dealt by ``report_id`` once; windows and aggregates below are keyed by the report or by report
-and page, so they keep that partitioning.
+and page, so they keep that partitioning. Reports of more than RANGE_LINES lines go another way: their lines are dealt by ranges and every
+window is keyed by the range, so that one report spreads over tasks. What a range must know of those before it (the open page, open
+fences, the heading, breaks passed) is a prefix sum over rows of one a range (``_carried``), joined to the range's lines. These steps are
+written one by one, for long reports only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +25,7 @@ from ledgerleaf.functions.text import (
     normalize_for_evidence,
     trim_space,
 )
+from ledgerleaf.sources.tables import written
 
 # Lines that mark pages.
 _SNIP = r"(?i)^\[\.\.\.snipped\.\.\.\]$"
@@ -45,32 +51,76 @@ MOST_BLOCKS = 800
 _WRAP = "\u0001"
 
 
-def lines(df: DataFrame, text_col: str = "text") -> DataFrame:
+#: Lines of a range; a report of more lines is dealt over several tasks.
+RANGE_LINES = 20_000
+
+
+def lines(df: DataFrame, text_col: str = "text", ranged: bool = False) -> DataFrame:
     """``report_id, line_no, line``; dealt by report over partitions whose number follows from the size of the input.
 
-    A report's lines stay together from here on, as windows and aggregates below are keyed by it.
+    A report's lines stay together from here on, as windows and aggregates below are keyed by it. With ``ranged`` there is a range ``part``, and the lines of a range stay together.
     """
     rows = df.select("report_id", F.posexplode(F.split(line_ends(F.col(text_col)), "\n")).alias("line_no", "line"))
+    if ranged:
+        rows = rows.withColumn("part", F.floor(F.col("line_no") / RANGE_LINES).cast("int"))
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     known = size < _UNKNOWN_SIZE
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(least, size // _PARTITION_BYTES if known else 0), "report_id")
+    return rows.repartition(max(least, size // _PARTITION_BYTES if known else 0), *_keys(rows))
+
+
+def _by_length(df: DataFrame, text_col: str, make: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """``make(reports, ranged)`` of the reports of up to RANGE_LINES lines, and with ``ranged`` of the others, if there are any."""
+    text = F.col(text_col)
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + F.length(text) - F.length(F.replace(text, F.lit("\r")))
+    is_long = F.coalesce(breaks >= RANGE_LINES, F.lit(False))
+    long = written(df.where(is_long).select("report_id", text_col))
+    short = make(df.where(~is_long), False)
+    return short if long.isEmpty() else short.unionByName(make(long, True))
+
+
+def _keys(rows: DataFrame) -> list[str]:
+    return ["report_id", "part"] if "part" in rows.columns else ["report_id"]
+
+
+def _carried(rows: DataFrame, key: str | None, sums: dict[str, Column], lasts: dict[str, Column] | None = None, backwards: bool = False) -> DataFrame:
+    """For each range in which a report (or its page, the ``key``) goes on: sums and last values of its ranges before (after it, if ``backwards``).
+
+    At most one page goes on in a range, and one goes on after it, so a range has one row at most: ``report_id, part, at_page, <name>_before``.
+    """
+    keys, lasts = ["report_id", *([key] if key else [])], lasts or {}
+    last = {n: F.max_by(c, F.when(c.isNotNull(), F.col("line_no"))) for n, c in lasts.items()}
+    totals = rows.groupBy(*keys, "part").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()], *[c.alias(n) for n, c in last.items()])
+    order = Window.partitionBy(*keys).orderBy(F.desc("part") if backwards else F.col("part"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    found = totals.select(*keys, "part", F.row_number().over(order).alias("nth"), *[F.sum(n).over(before).alias(f"{n}_before") for n in sums], *[F.last(n, ignorenulls=True).over(before).alias(f"{n}_before") for n in lasts])
+    found = found.where("nth > 1").drop("nth")
+    return found.withColumnRenamed(key, "at_page") if key else found
+
+
+def _running(rows: DataFrame, key: str | None, sums: dict[str, Column], lasts: dict[str, Column] | None = None, backwards: bool = False) -> DataFrame:
+    """``rows`` with sums and last values up to each line of its report, or of its page with ``key``; from the end on if ``backwards``."""
+    lasts = lasts or {}
+    order = Window.partitionBy(*_keys(rows), *([key] if key else [])).orderBy(F.desc("line_no") if backwards else F.col("line_no"))
+    made = {n: F.sum(c).over(order) for n, c in sums.items()} | {n: F.last(c, ignorenulls=True).over(order) for n, c in lasts.items()}
+    if "part" not in rows.columns:
+        return rows.withColumns(made)
+    rows = written(rows)
+    goes_on = F.col("page_seq") == F.col("at_page") if key else F.lit(True)
+    joined = rows.withColumns(made).join(_carried(rows, key, sums, lasts, backwards), ["report_id", "part"], "left")
+    whole = {n: F.col(n) + F.coalesce(F.when(goes_on, F.col(f"{n}_before")), F.lit(0)) for n in sums} | {n: F.coalesce(n, F.when(goes_on, F.col(f"{n}_before"))) for n in lasts}
+    return joined.withColumns(whole).drop("at_page", *[f"{n}_before" for n in made])
 
 
 def _pages_by(rows: DataFrame, start: Column, number: Column, title: Column) -> DataFrame:
     """Lines that follow a marker get its number and title; ``page_seq`` counts markers passed."""
-    w = Window.partitionBy("report_id").orderBy("line_no")
-    return (
-        rows.withColumn("is_start", start)
-        .withColumn("page_seq", F.sum(F.col("is_start").cast("int")).over(w))
-        .withColumn("mark", F.when(F.col("is_start"), F.struct(number.alias("page"), title.alias("title"))))
-        .withColumn("mark", F.last("mark", ignorenulls=True).over(w))
-        .select("report_id", "line_no", "line", "is_start", "page_seq", F.col("mark.page").alias("page"), F.col("mark.title").alias("title"))
-    )
+    rows = rows.withColumn("is_start", start).withColumn("marked", F.when(F.col("is_start"), F.struct(number.alias("page"), title.alias("title"))))
+    paged = _running(rows, None, {"page_seq": F.col("is_start").cast("long")}, {"mark": F.col("marked")})
+    return paged.select(*_keys(rows), "line_no", "line", "is_start", "page_seq", F.col("mark.page").alias("page"), F.col("mark.title").alias("title"))
 
 
-def split_pages(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Lines of evidence pages: ``report_id, page_seq, page, title, line_no, line``.
+def split_pages(df: DataFrame, text_col: str = "text", ranged: bool = False) -> DataFrame:
+    """Lines of evidence pages: ``report_id, page_seq, page, title, line_no, line``, and ``part`` of reports dealt by ranges.
 
     ``# Page N title`` and ``Page N:`` start a page, a snip mark starts one without a number; pages of blank
     lines only are dropped. A text without markers is one page without a number.
@@ -81,10 +131,13 @@ def split_pages(df: DataFrame, text_col: str = "text") -> DataFrame:
     snip = trim_space(line).rlike(_SNIP)
     number = F.coalesce(F.nullif(heading, F.lit("")), F.nullif(viewer, F.lit(""))).try_cast("int")
     title = F.nullif(trim_space(F.regexp_extract(line, _HEADING_PAGE, 2)), F.lit(""))
-    paged = _pages_by(lines(df, text_col), snip | (heading != "") | (viewer != ""), F.when(~snip, number), F.when(~snip & (heading != ""), title))
-    page = Window.partitionBy("report_id", "page_seq")
-    body = paged.where(~F.col("is_start")).withColumn("some", F.max((trim_space(F.col("line")) != "").cast("int")).over(page))
-    return body.where("some = 1").select("report_id", "page_seq", "page", "title", "line_no", "line")
+    paged = _pages_by(lines(df, text_col, ranged), snip | (heading != "") | (viewer != ""), F.when(~snip, number), F.when(~snip & (heading != ""), title))
+    body = paged.where(~F.col("is_start")).withColumn("filled", (trim_space(F.col("line")) != "").cast("long"))
+    names = [*_keys(body), "page_seq", "page", "title", "line_no", "line"]
+    if not ranged:
+        return body.withColumn("some", F.max("filled").over(Window.partitionBy("report_id", "page_seq"))).where("some = 1").select(*names)
+    filled = F.col("filled")
+    return _running(_running(body, "page_seq", {"upto": filled}), "page_seq", {"onward": filled}, backwards=True).where("upto + onward > 0").select(*names)
 
 
 def _joined_pages(paged: DataFrame) -> DataFrame:
@@ -95,12 +148,16 @@ def _joined_pages(paged: DataFrame) -> DataFrame:
 
 def split_pages_grounding(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``report_id, page_seq, page, title, text``: as ``split_pages``, with dashed markers, texts joined and trimmed."""
+    return _by_length(df, text_col, lambda some, ranged: _grounding_pages(lines(some, text_col, ranged)))
+
+
+def _grounding_pages(rows: DataFrame) -> DataFrame:
     line, trimmed = F.col("line"), trim_space(F.col("line"))
     heading = F.regexp_extract(line, _HEADING_PAGE, 1)
     other = F.coalesce(F.nullif(F.regexp_extract(trimmed, _DASH_PAGE, 1), F.lit("")), F.regexp_extract(trimmed, _LOOSE_VIEWER, 1))
     number = F.coalesce(F.nullif(heading, F.lit("")), F.nullif(other, F.lit(""))).try_cast("int")
     title = F.when(heading != "", F.nullif(trim_space(F.regexp_extract(line, _HEADING_PAGE, 2)), F.lit("")))
-    pages = _joined_pages(_pages_by(lines(df, text_col), (heading != "") | (other != ""), number, title))
+    pages = _joined_pages(_pages_by(rows, (heading != "") | (other != ""), number, title))
     return pages.where("text <> ''")
 
 
@@ -109,13 +166,17 @@ def split_pages_intake(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     A text without markers is page 1 with its white space collapsed.
     """
+    return _by_length(df, text_col, lambda some, ranged: _intake_pages(lines(some, text_col, ranged)))
+
+
+def _intake_pages(rows: DataFrame) -> DataFrame:
     line, trimmed = F.col("line"), trim_space(F.col("line"))
     number = F.coalesce(
         F.nullif(F.regexp_extract(line, _LOOSE_HEADING, 1), F.lit("")),
         F.nullif(F.regexp_extract(trimmed, f"(?i){_DASH_PAGE}", 1), F.lit("")),
         F.nullif(F.regexp_extract(trimmed, f"(?i){_LOOSE_VIEWER}", 1), F.lit("")),
     ).try_cast("int")
-    pages = _joined_pages(_pages_by(lines(df, text_col), number.isNotNull(), number, F.lit(None).cast("string")))
+    pages = _joined_pages(_pages_by(rows, number.isNotNull(), number, F.lit(None).cast("string")))
     marked = Window.partitionBy("report_id")
     pages = pages.withColumn("n_marked", F.max("page_seq").over(marked))
     whole = F.when(F.col("n_marked") == 0, collapse_whitespace(F.col("text"))).otherwise(F.col("text"))
@@ -167,11 +228,13 @@ def looks_like_boilerplate(spaced: Column) -> Column:
 
 def boilerplate_keys(pages: DataFrame) -> DataFrame:
     """``report_id, key``: keys among the first and last five candidate lines of pages that recur enough and look like boilerplate."""
-    n_pages = F.size(F.collect_set("page_seq").over(Window.partitionBy("report_id")))
-    rows = pages.withColumn("n_pages", n_pages).where(F.col("n_pages") >= _LEAST_PAGES)
+    if "part" in pages.columns:
+        rows = pages.join(pages.groupBy("report_id").agg(F.count_distinct("page_seq").cast("int").alias("n_pages")), "report_id")
+    else:
+        rows = pages.withColumn("n_pages", F.size(F.collect_set("page_seq").over(Window.partitionBy("report_id"))))
+    rows = rows.where(F.col("n_pages") >= _LEAST_PAGES)
     rows = once(rows, {"spaced": line_for_key(trim_space(F.col("line")))}, (F.col("spaced") != "") & is_candidate_line(F.col("spaced"))).drop("line", "title", "page")
-    page = Window.partitionBy("report_id", "page_seq")
-    rows = rows.withColumn("from_top", F.row_number().over(page.orderBy("line_no"))).withColumn("from_end", F.row_number().over(page.orderBy(F.desc("line_no"))))
+    rows = _running(_running(rows, "page_seq", {"from_top": F.lit(1)}), "page_seq", {"from_end": F.lit(1)}, backwards=True).withColumns({n: F.col(n).cast("int") for n in ("from_top", "from_end")})
     # a line among both counts twice, as an example it comes in the order top lines, end lines backwards
     sides = F.array(F.when(F.col("from_top") <= _EDGE_LINES, F.col("from_top")), F.when(F.col("from_end") <= _EDGE_LINES, F.col("from_end") + _EDGE_LINES))
     picked = rows.where((F.col("from_top") <= _EDGE_LINES) | (F.col("from_end") <= _EDGE_LINES)).withColumn("nth", F.explode(F.array_compact(sides)))
@@ -198,12 +261,11 @@ def join_wrapped(wrapped: Column) -> Column:
 
 def build_blocks(pages: DataFrame) -> DataFrame:
     """``report_id, block_idx, kind, page_seq, page, heading, text`` from marked lines."""
-    page = Window.partitionBy("report_id", "page_seq").orderBy("line_no")
     line = F.col("line")
     # forms of a line once, and in a window only what the next step needs
     rows = once(pages, {"trimmed": trim_space(line), "fenced": line.rlike(_FENCE)})
     plain = ~F.col("is_boilerplate") & (F.col("trimmed") != "")
-    rows = rows.withColumn("is_fence", plain & F.col("fenced")).withColumn("fences", F.sum(F.col("is_fence").cast("int")).over(page))
+    rows = _running(rows.withColumn("is_fence", plain & F.col("fenced")), "page_seq", {"fences": F.col("is_fence").cast("long")})
     live = plain & ~F.col("is_fence") & (F.col("fences") % 2 == 0)
     rows = once(rows.withColumn("live", live), {
         "head": F.when(F.col("live"), F.regexp_extract(line, _HEADING, 1)),
@@ -215,9 +277,11 @@ def build_blocks(pages: DataFrame) -> DataFrame:
         rows.withColumn("item", F.when(~is_head, F.nullif("item", F.lit(""))))
         .withColumn("is_text", F.col("live") & ~is_head & F.col("item").isNull() & ~F.col("is_mark"))
         # lines inside a fence neither break a paragraph nor belong to one; the fence has closed it
-        .withColumn("breaks", ~F.col("is_text") & ~(plain & ~F.col("is_fence") & (F.col("fences") % 2 == 1)))
+        .withColumn("breaks", (~F.col("is_text") & ~(plain & ~F.col("is_fence") & (F.col("fences") % 2 == 1))).cast("long"))
         .withColumn("head", F.nullif(trim_space(F.col("head")), F.lit("")))
-        .withColumns({"para": F.sum(F.col("breaks").cast("int")).over(page), "under": F.last("head", ignorenulls=True).over(page)})
+    )
+    rows = (
+        _running(rows, "page_seq", {"para": F.col("breaks")}, {"under": F.col("head")})
         .where("is_text or item is not null")
         .withColumn("heading", F.coalesce(collapse_whitespace(F.col("under")), collapse_whitespace(F.col("title"))))
     )
@@ -232,8 +296,9 @@ def build_blocks(pages: DataFrame) -> DataFrame:
     least = F.when(F.col("is_item"), 6).otherwise(8)
     cleaned = once(groups, {"clean": normalize_for_evidence(join_wrapped(F.col("joined")))}, F.length("clean") >= least)
     kinds = cleaned.select("report_id", "page_seq", "page", "line_no", "heading", F.when(F.col("is_item"), "list").otherwise("paragraph").alias("kind"), F.when(F.col("is_item"), F.concat(F.lit("- "), "clean")).otherwise(F.col("clean")).alias("text"))
-    order = Window.partitionBy("report_id").orderBy("page_seq", "line_no")
-    numbered = kinds.withColumn("block_idx", F.row_number().over(order) - 1)
+    if "part" in rows.columns:
+        kinds = kinds.withColumn("part", F.floor(F.col("line_no") / RANGE_LINES).cast("int"))
+    numbered = _running(kinds, None, {"nth": F.lit(1)}).withColumn("block_idx", (F.col("nth") - 1).cast("int"))
     return numbered.select("report_id", "block_idx", "kind", "page_seq", "page", "heading", "text")
 
 
@@ -245,8 +310,13 @@ def cap_blocks(blocks: DataFrame, most: int = MOST_BLOCKS) -> DataFrame:
 
 def evidence_blocks(df: DataFrame, text_col: str = "text", most: int | None = MOST_BLOCKS) -> DataFrame:
     """Pages, boilerplate and blocks in one go; all blocks where ``most`` is None."""
-    pages = split_pages(df, text_col)
-    blocks = build_blocks(strip_boilerplate(pages, boilerplate_keys(pages)))
+
+    def make(some: DataFrame, ranged: bool) -> DataFrame:
+        pages = split_pages(some, text_col, ranged)
+        pages = written(pages) if ranged else pages
+        return build_blocks(strip_boilerplate(pages, boilerplate_keys(pages)))
+
+    blocks = _by_length(df, text_col, make)
     return blocks if most is None else cap_blocks(blocks, most)
 
 
