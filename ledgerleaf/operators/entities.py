@@ -70,18 +70,17 @@ def dedupe_entities(df: DataFrame) -> DataFrame:
     return df.withColumn("text_key", key).withColumn("nth", nth).where("nth = 1").drop("text_key", "nth")
 
 
-def _page_cells(pages: DataFrame) -> DataFrame:
-    """``report_id, cell, pages``: some pages of a report together, long ones by themselves, so that no cell is large and a report's cells are dealt over tasks."""
+def page_cells(pages: DataFrame) -> DataFrame:
+    """``report_id, cell, pages array<page_seq, search>``: some pages of a report together, long ones by themselves, so that no cell is large and a report's cells are dealt over tasks."""
     cell = F.when(F.length("search") > LONG_PAGE, -1 - F.col("page_seq")).otherwise(F.floor(F.col("page_seq") / CELL_PAGES))
-    return pages.where("search <> ''").groupBy("report_id", cell.cast("long").alias("cell")).agg(F.collect_list(F.struct("page_seq", "search")).alias("pages"))
+    return pages.where("search <> ''").groupBy("report_id", cell.cast("long").alias("cell")).agg(F.collect_list(F.struct(F.col("page_seq").cast("long").alias("page_seq"), "search")).alias("pages"))
 
 
-def _needle_cells(rows: DataFrame, value: str) -> DataFrame:
-    """``report_id, needles``: the distinct values of a report, in parts where they are many."""
-    distinct = rows.select("report_id", value).distinct()
-    many = distinct.groupBy("report_id").agg(F.ceil(F.count("*") / CELL_NEEDLES).alias("parts")).where("parts > 1")
-    dealt = distinct.join(many, "report_id", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(value), F.col("parts")), F.lit(0)))
-    return dealt.groupBy("report_id", "part").agg(F.collect_list(value).alias("needles")).drop("part")
+def _needle_cells(rows: DataFrame) -> DataFrame:
+    """``report_id, needles array<key, needle>``: the distinct needles of a report, in parts where they are many."""
+    many = rows.groupBy("report_id").agg(F.ceil(F.count("*") / CELL_NEEDLES).alias("parts")).where("parts > 1")
+    dealt = rows.join(many, "report_id", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("needle"), F.col("parts")), F.lit(0)))
+    return dealt.groupBy("report_id", "part").agg(F.collect_set(F.struct("key", "needle")).alias("needles")).drop("part")
 
 
 def _automaton(words: list[str]) -> ahocorasick.Automaton:
@@ -92,34 +91,36 @@ def _automaton(words: list[str]) -> ahocorasick.Automaton:
     return made
 
 
-def needle_hits(needles: DataFrame, pages: DataFrame) -> DataFrame:
-    """``report_id, needle, hits``: the pages of its report that contain the needle, ascending; needles on no page have no row.
+def needle_hits(needles: DataFrame, cells: DataFrame) -> DataFrame:
+    """``report_id, key, hits``: the pages of its report that contain the needle, ascending; needles on no page have no row.
 
-    ``needles``: ``report_id, needle``; ``pages``: ``report_id, page_seq, search``, both in the form of ``normalize_for_match``. All needles of a
+    ``needles``: ``report_id, key, needle``, the key being the needle's own; ``cells`` as of ``page_cells``, both in the form of ``normalize_for_match``. All needles of a
     report are one automaton, and a page is read once for them all. Needles and pages of no report (null) find nothing.
     """
-    cells = _page_cells(pages).join(_needle_cells(needles.where("needle <> ''"), "needle"), "report_id").select("report_id", "pages", "needles")
+    kind = needles.schema["key"].dataType.simpleString()
+    met = cells.join(_needle_cells(needles.where("needle <> ''")), "report_id").select("report_id", "pages", "needles")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 report, held, words = (batch.column(i)[row].as_py() for i in range(3))
-                known, hits = _automaton(words), {}
+                known, hits = _automaton([w["needle"] for w in words]), {}
                 for page in held:
                     for i in {i for _, i in known.iter(page["search"])}:
                         hits.setdefault(i, []).append(page["page_seq"])
-                yield pa.RecordBatch.from_arrays([pa.array([report] * len(hits)), pa.array([words[i] for i in hits], pa.string()), pa.array(list(hits.values()), pa.list_(pa.int64()))], names=["report_id", "needle", "hits"])
+                keys = pa.array([words[i]["key"] for i in hits], pa.int64() if kind == "bigint" else pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([report] * len(hits), pa.string()), keys, pa.array(list(hits.values()), pa.list_(pa.int64()))], names=["report_id", "key", "hits"])
 
-    found = cells.mapInArrow(find, "report_id string, needle string, hits array<long>")
-    return found.groupBy("report_id", "needle").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    found = met.mapInArrow(find, f"report_id string, key {kind}, hits array<long>")
+    return found.groupBy("report_id", "key").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
 
 
-def closest_pages(wanted: DataFrame, pages: DataFrame) -> DataFrame:
-    """``report_id, words, hits, page_seq``: the first of the pages that contain most of the words; repeated words count as often.
+def closest_pages(wanted: DataFrame, cells: DataFrame) -> DataFrame:
+    """``report_id, key, most, closest``: how many of the words the best page contains, and the first such page; repeated words count as often.
 
-    ``wanted``: ``report_id, words`` with blanks between the words. All words of a report are one automaton; a cell of pages reports its best page only.
+    ``wanted``: ``report_id, key, needle``, the needle being words with blanks between. All words of a report are one automaton; a cell of pages reports its best page only.
     """
-    cells = _page_cells(pages).join(_needle_cells(wanted, "words"), "report_id").select("report_id", "pages", "needles")
+    met = cells.join(_needle_cells(wanted), "report_id").select("report_id", "pages", "needles")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,22 +128,22 @@ def closest_pages(wanted: DataFrame, pages: DataFrame) -> DataFrame:
                 report, held, wishes = (batch.column(i)[row].as_py() for i in range(3))
                 of_word: dict[str, list[int]] = {}
                 for i, wish in enumerate(wishes):
-                    for word in wish.split(" "):
+                    for word in wish["needle"].split(" "):
                         of_word.setdefault(word, []).append(i)
                 known, lists = _automaton(list(of_word)), [np.array(x) for x in of_word.values()]
                 most, at = np.zeros(len(wishes), np.int64), np.full(len(wishes), -1, np.int64)
                 for page in sorted(held, key=lambda p: p["page_seq"]):
-                    met = {i for _, i in known.iter(page["search"])}
-                    if met:
-                        hits = np.bincount(np.concatenate([lists[i] for i in met]), minlength=len(wishes))
+                    seen = {i for _, i in known.iter(page["search"])}
+                    if seen:
+                        hits = np.bincount(np.concatenate([lists[i] for i in seen]), minlength=len(wishes))
                         at[hits > most] = page["page_seq"]
                         most = np.maximum(most, hits)
                 some = np.flatnonzero(most)
-                yield pa.RecordBatch.from_arrays([pa.array([report] * len(some)), pa.array([wishes[i] for i in some], pa.string()), pa.array(most[some]), pa.array(at[some])], names=["report_id", "words", "hits", "page_seq"])
+                yield pa.RecordBatch.from_arrays([pa.array([report] * len(some), pa.string()), pa.array([wishes[i]["key"] for i in some], pa.int64()), pa.array(most[some]), pa.array(at[some])], names=["report_id", "key", "most", "closest"])
 
-    best = cells.mapInArrow(find, "report_id string, words string, hits long, page_seq long")
-    first = F.min_by(F.struct("hits", "page_seq"), F.struct(-F.col("hits"), "page_seq"))
-    return best.groupBy("report_id", "words").agg(first.alias("best")).select("report_id", "words", "best.*")
+    best = met.mapInArrow(find, "report_id string, key long, most long, closest long")
+    first = F.min_by(F.struct("most", "closest"), F.struct(-F.col("most"), "closest"))
+    return best.groupBy("report_id", "key").agg(first.alias("best")).select("report_id", "key", "best.*")
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +162,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 cursor = cursor if fallback is None else fallback
                 out.append(fallback)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int64())], names=["_id", "page_seq"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(reports, pa.string()), pa.array(out, pa.int64())], names=["_id", "report_id", "page_seq"])
 
 
 def ground_entities(entities: DataFrame, pages: DataFrame) -> DataFrame:
@@ -171,20 +172,25 @@ def ground_entities(entities: DataFrame, pages: DataFrame) -> DataFrame:
     and wraps. Where texts and words stand is found first, in cells of some pages each; only these hits go through a report's entities in
     order, in a stream. Texts below LEAST_NEEDLE characters and entities of no report get no page; repeated rows are repeated entities.
     """
-    text = F.col("extraction_text")
-    ent = written(entities.drop("page", "heading").withColumns({"_needle": normalize_for_match(text), "_tokens": match_tokens(text), "_id": F.monotonically_increasing_id()}))
+    needle, tokens = normalize_for_match(F.col("extraction_text")), match_tokens(F.col("extraction_text"))
+    ent = written(entities.drop("page", "heading").withColumn("_id", F.monotonically_increasing_id()))
     sides = written(pages.select("report_id", F.col("page_seq").cast("long").alias("page_seq"), "page", "title", normalize_for_match(F.col("text")).alias("search")))
-    able = ent.where(F.length("_needle") >= LEAST_NEEDLE).select("_id", "report_id", "chunk_index", "position", F.col("_needle").alias("needle"), F.array_join("_tokens", " ").alias("words"), F.size("_tokens").alias("n"))
-    hits = written(needle_hits(able, sides))
-    rows = able.join(hits, ["report_id", "needle"], "left")
-    close = closest_pages(rows.where("hits is null and n >= 2"), sides)
+    cells = page_cells(sides)
+    able = ent.withColumn("needle", needle).where(F.length("needle") >= LEAST_NEEDLE)
+    # needles meet by a hash of 64 bits, as long as texts are only compared within a report
+    hits = written(needle_hits(able.select("report_id", F.xxhash64("needle").alias("key"), "needle"), cells))
+    turns = able.select("_id", "report_id", "chunk_index", "position", F.xxhash64("needle").alias("key"), tokens.alias("tokens")).join(hits, ["report_id", "key"], "left")
+    turns = turns.withColumns({"words": F.when(F.col("hits").isNull() & (F.size("tokens") >= 2), F.array_join("tokens", " ")), "n": F.size("tokens")}).drop("tokens", "key")
+    turns = written(turns.withColumn("words_key", F.xxhash64("words")))
+    close = closest_pages(turns.where("words is not null").select("report_id", F.col("words_key").alias("key"), F.col("words").alias("needle")), cells)
     least = F.least(F.lit(3), F.greatest(F.lit(2), F.ceil(F.col("n") * 0.35)))
-    near = F.when(F.col("hits").isNull() & (F.col("most") >= least), F.col("closest")).alias("close")
-    rows = rows.join(close.select("report_id", "words", F.col("hits").alias("most"), F.col("page_seq").alias("closest")), ["report_id", "words"], "left")
-    turns = rows.select("_id", "report_id", "hits", near, "chunk_index", "position").repartition("report_id").sortWithinPartitions("report_id", "chunk_index", "position", "_id")
-    placed = turns.select("_id", "report_id", "hits", "close").mapInArrow(_walk, "_id long, page_seq long").where("page_seq is not null")
-    named = ent.join(placed, "_id", "left").join(sides.select("report_id", "page_seq", F.col("page").cast("int").alias("page"), F.col("title").alias("heading")), ["report_id", "page_seq"], "left")
-    return named.select(*[f"`{c}`" for c in ent.columns if c not in ("_needle", "_tokens", "_id")], "page", "heading")
+    near = F.when(F.col("words").isNotNull() & (F.col("most") >= least), F.col("closest")).alias("close")
+    turns = turns.join(close.withColumnRenamed("key", "words_key"), ["report_id", "words_key"], "left").select("_id", "report_id", "hits", near, "chunk_index", "position")
+    turns = turns.repartition("report_id").sortWithinPartitions("report_id", "chunk_index", "position", "_id")
+    placed = turns.select("_id", "report_id", "hits", "close").mapInArrow(_walk, "_id long, report_id string, page_seq long").where("page_seq is not null")
+    names = sides.select("report_id", "page_seq", F.col("page").cast("int").alias("page"), F.col("title").alias("heading"))
+    placed = placed.join(names, ["report_id", "page_seq"]).select("_id", "page", "heading")
+    return ent.join(placed, "_id", "left").select(*[f"`{c}`" for c in ent.columns if c != "_id"], "page", "heading")
 
 
 def pages_detected(pages: DataFrame) -> DataFrame:

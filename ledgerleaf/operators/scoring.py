@@ -251,7 +251,10 @@ def pending_scores(reports: DataFrame, scores: DataFrame, year: int | None = Non
 
 
 def stale_scores(scores: DataFrame, documents: DataFrame) -> DataFrame:
-    """Records of another method are scored again where the text is there; ``migrated_from`` names the old one."""
-    old = scores.where(~F.col("method_kind").eqNullSafe(METHOD_KIND)).select("report_id", F.col("method_kind").alias("migrated_from"))
-    fresh = score_reports(documents.join(old.select("report_id"), "report_id", "left_semi"))
+    """Records of another method, or of none, are scored again where the text is there; ``migrated_from`` names the old one.
+
+    A report without a text keeps its old record, as it gets no new one; reports of several old records are scored once, under the least of their names.
+    """
+    old = scores.where(~F.col("method_kind").eqNullSafe(METHOD_KIND)).groupBy("report_id").agg(F.min("method_kind").alias("migrated_from"))
+    fresh = score_reports(documents.where("text is not null").join(old.select("report_id"), "report_id", "left_semi"))
     return fresh.join(old, "report_id")

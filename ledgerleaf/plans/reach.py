@@ -25,7 +25,7 @@ from ledgerleaf.operators import analytics, catalog, entities, features, intake,
 from ledgerleaf.plans import corpus
 from ledgerleaf.plans.corpus import CATALOGUE_SQL, ENTITIES_SQL, PREDICTIONS_SQL, SCORED_SQL, UPLOADS_SQL
 from ledgerleaf.plans.registry import _CATALOGUE, _ENTITIES, _ISSUED, _PAGE_SCORES, _SCORED, _SPANS, _UPLOADS, _index, _issue_preds, _plain, _read, _rounded, query
-from ledgerleaf.sources import io
+from ledgerleaf.sources import buckets, io
 from ledgerleaf.sources.tables import shared_folder, written
 from ledgerleaf.streaming import jobs
 
@@ -210,8 +210,10 @@ hits AS (SELECT report_id, needle, list(page_seq ORDER BY page_seq) AS hits FROM
 def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages on which every line of the documents stands."""
     pages = segment.split_pages_grounding(corpus.seeded_reports(spark, sf_dir)).select("report_id", "page_seq", tx.normalize_for_match(F.col("text")).alias("search"))
-    needles = _line_entities(spark, sf_dir).select("report_id", tx.normalize_for_match(F.col("extraction_text")).alias("needle"))
-    return entities.needle_hits(needles, pages).select("report_id", "needle", F.array_join(F.col("hits").cast("array<string>"), " ").alias("hits"))
+    needle = tx.normalize_for_match(F.col("extraction_text"))
+    needles = _line_entities(spark, sf_dir).select("report_id", needle.alias("key"), needle.alias("needle"))
+    hits = entities.needle_hits(needles, entities.page_cells(pages))
+    return hits.select("report_id", F.col("key").alias("needle"), F.array_join(F.col("hits").cast("array<string>"), " ").alias("hits"))
 
 
 @query(f"""WITH RECURSIVE {_LINE_HITS_SQL},
@@ -693,18 +695,23 @@ def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of two versions, some keys replaced, as written by the second call."""
     rows = corpus.scored_rows(spark, sf_dir).select("doc_id", "report_id", "score", F.lit(1).alias("version"))
     path = _fresh(rows, "scores")
-    first = io.write_scores(rows.select("report_id", "score", "version"), path)
+    rows = written(rows)
+    io.write_scores(rows.select("report_id", "score", "version"), path)
     changed = rows.where("doc_id % 4 = 0").withColumn("score", F.col("score") + 1).unionByName(rows.where("doc_id % 10 = 0").withColumn("version", F.lit(2)))
-    return spark.read.parquet(io.write_scores(changed.select("report_id", "score", "version"), path, spark.read.parquet(first)))
+    changed = changed.select("report_id", "score", "version")
+    for _ in range(2):  # a batch that is written again leaves the same table
+        io.write_scores(changed, path, 1)
+    return buckets.read_buckets(spark, path, changed.schema)
 
 
 @query(f"{_ENTITIES} SELECT report_id, chunk_index, CASE WHEN CAST(replace(report_id, 'report-', '') AS BIGINT) % 4 = 0 THEN 'new' ELSE extraction_text END AS extraction_text, 1 AS version FROM entities")
 def stored_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.entities(spark, sf_dir).select("report_id", "chunk_index", "extraction_text", F.lit(1).alias("version"))
     path = _fresh(rows, "entities")
-    first = io.write_entities(rows, path)
+    io.write_entities(rows, path)
     changed = rows.where("cast(replace(report_id, 'report-', '') as bigint) % 4 = 0").withColumn("extraction_text", F.lit("new"))
-    return spark.read.parquet(io.write_entities(changed, path, spark.read.parquet(first)))
+    io.write_entities(changed, path)
+    return buckets.read_buckets(spark, path, rows.schema)
 
 
 _EXPORT = [*"report_id company country sector industry year report_key score band completeness consistency assurance transparency".split()]
@@ -776,7 +783,9 @@ def refined_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of 300 reports that are written over and over, as files of a folder that is read as a stream."""
     d = F.col("doc_id")
-    rows = corpus.catalogue(spark, sf_dir).select(F.concat(F.lit("report-"), (d % 300).cast("string")).alias("report_id"), "doc_id", F.timestamp_seconds(d).alias("created_at"), F.concat(F.lit("hash-"), (d % 200).cast("string")).alias("sha256"))
+    # event times grow with the id within hours whatever the number of rows, so that no row is later than a watermark of a day in any order of files
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + d)
+    rows = corpus.catalogue(spark, sf_dir).select(F.concat(F.lit("report-"), (d % 300).cast("string")).alias("report_id"), "doc_id", at.alias("created_at"), F.concat(F.lit("hash-"), (d % 200).cast("string")).alias("sha256"), (d % 200).alias("upload_id"))
     path = _fresh(rows, "arrivals")
     rows.repartition(6, "doc_id").write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
@@ -800,11 +809,11 @@ def live_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.read_live_count(spark, path)
 
 
-@query("SELECT DISTINCT concat('hash-', (doc_id % 200)::VARCHAR) AS sha256 FROM documents")
+@query("SELECT DISTINCT concat('hash-', (doc_id % 200)::VARCHAR) AS sha256, doc_id % 200 AS upload_id FROM documents")
 def uploads_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated files dropped within a day, far more than the records span."""
     records = _stream_source(spark, sf_dir)
     path, state = _fresh(records, "kept"), _fresh(records, "state")
-    kept = jobs.stream_dedupe_uploads(records, "created_at").select("sha256")
+    kept = jobs.stream_dedupe_uploads(records, "created_at").select("sha256", "upload_id")
     kept.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.schema(kept.schema).parquet(path)

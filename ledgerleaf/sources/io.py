@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ledgerleaf.sources.buckets import next_batch, upsert_buckets
+
 CORRUPT = "_corrupt_record"
 
 INDEX_SCHEMA = T.StructType([T.StructField(k, T.StringType()) for k in ("id", "c", "ct", "s", "i", "k")] + [T.StructField("y", T.IntegerType())] + [T.StructField(k, T.StringType()) for k in ("ss", "si")])
@@ -74,27 +74,16 @@ def inventory_binaries(spark: SparkSession, folder: str, glob: str = "*") -> Dat
     return rows.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("has_signature"))
 
 
-def replace_keys(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` without the keys of ``new``, and ``new``."""
-    if old is None:
-        return new
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
-
-
-def _write_versioned(df: DataFrame, path: str) -> str:
-    """A new folder below ``path`` by version; the caller swaps to it once it is complete."""
-    made = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.partitionBy("version").parquet(made)
-    return made
-
-
-def write_scores(scores: DataFrame, path: str, old: DataFrame | None = None) -> str:
-    """The table with the scores' (version, report) keys replaced, in a new folder whose path is returned."""
-    return _write_versioned(replace_keys(old, scores, ["version", "report_id"]), path)
+def write_scores(scores: DataFrame, path: str, batch: int | None = None) -> int:
+    """The scores' (version, report) keys replaced in the table at ``path``; returns its number of rows. The same batch written again leaves the same table; by default it is a new one."""
+    return upsert_buckets(scores, path, ["version", "report_id"], next_batch(scores.sparkSession, path) if batch is None else batch)
 
 
-def write_entities(entities: DataFrame, path: str, old: DataFrame | None = None) -> str:
-    return _write_versioned(replace_keys(old, entities, ["version", "report_id"]), path)
+def write_entities(entities: DataFrame, path: str, batch: int | None = None) -> int:
+    """All entities of the (version, report) keys replaced by those given, in the table at ``path``."""
+    keys = ["version", "report_id"]
+    whole = lambda old, new: old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+    return upsert_buckets(entities, path, keys, next_batch(entities.sparkSession, path) if batch is None else batch, whole)
 
 
 def scored_csv_rows(df: DataFrame) -> DataFrame:
@@ -105,11 +94,12 @@ def scored_csv_rows(df: DataFrame) -> DataFrame:
 
 
 def export_scored_csv(df: DataFrame, path: str) -> None:
-    """The rows of ``scored_csv_rows`` as lines under a header."""
-    rows = scored_csv_rows(df)
-    head = df.sparkSession.createDataFrame([(",".join(CSV_COLUMNS),)], "value string")
+    """The rows of ``scored_csv_rows`` as files of lines, each under a header, written where the rows are."""
+    names, rows = ",".join(CSV_COLUMNS), scored_csv_rows(df)
     quoted = [F.when(F.col(c).rlike('[",\\n]') & (F.lit(c) != "company"), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c)) for c in CSV_COLUMNS]
-    head.unionByName(rows.select(F.concat_ws(",", *quoted).alias("value"))).coalesce(1).write.mode("overwrite").text(path)
+    # one column named as the header, whose text is a finished line: nothing is quoted again
+    line = rows.select(F.concat_ws(",", *quoted).alias(names))
+    line.write.mode("overwrite").option("header", True).option("quote", "").option("sep", "\u0001").option("emptyValue", "").csv(path)
 
 
 def scored_json_rows(df: DataFrame) -> DataFrame:

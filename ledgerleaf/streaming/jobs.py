@@ -13,6 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.window import Window
 
 from ledgerleaf.operators.scoring import score_reports
+from ledgerleaf.sources.buckets import count_buckets, read_buckets, upsert_buckets
 
 LIMIT_SCHEMA = "key string, ts timestamp, seq bigint, allowed boolean, remaining int, reset_ms bigint"
 
@@ -26,52 +27,36 @@ def latest_per_id(df: DataFrame, id_col: str = "report_id", order: str = "create
     return df.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
-#: Parts of a streamed catalogue by a hash of the id; a batch rewrites those that it touches.
-BUCKETS = 64
-
-
-def read_catalogue(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """The rows of a streamed catalogue: of each bucket the last batch that wrote it (of those ``before`` one, if given)."""
-    kinds = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
-    rows = spark.read.schema(kinds).parquet(path)
-    if before is not None:
-        rows = rows.where(F.col("batch") < before)
-    newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))  # BUCKETS rows
-    return rows.join(F.broadcast(newest), ["bucket", "batch"]).select(*schema.names, "bucket")
+def read_catalogue(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of a streamed catalogue after its last batch."""
+    return read_buckets(spark, path, schema)
 
 
 def read_live_count(spark: SparkSession, path: str) -> DataFrame:
-    """``n``: the number of reports after the last batch."""
-    counts = spark.read.parquet(f"{path}-count")
-    return counts.orderBy(F.desc("batch")).limit(1).select("n")
+    """``n``: the number of reports after the last batch, from its manifest."""
+    return spark.createDataFrame([(count_buckets(spark, path),)], "n long")
 
 
 def stream_catalogue(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the latest record of each id, and the live count beside it.
+    """Keeps the latest record of each id in a table of buckets, whose manifest has the live count.
 
-    Every batch writes the buckets of ids that it touches, merged, as ``path/batch=N/bucket=B``, and the count as
-    ``path-count/batch=N``; ``read_catalogue`` and ``read_live_count`` take the last of each. A batch reads the
-    batches before it only, so one that is run again gives the same. Old batches can be removed once others cover them.
+    A batch reads the buckets of ids that it touches and no others; ``compact_buckets`` removes folders that later batches replaced.
     """
 
     def upsert(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        merged = latest_per_id(batch).withColumn("bucket", F.pmod(F.xxhash64("report_id"), F.lit(BUCKETS)).cast("int"))
-        if n:
-            touched = merged.select("bucket").distinct()
-            old = read_catalogue(spark, path, batch.schema, n).join(touched, "bucket", "left_semi")
-            merged = latest_per_id(old.unionByName(merged))
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={n}")
-        read_catalogue(spark, path, batch.schema, n + 1).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}-count/batch={n}")
+        upsert_buckets(batch, path, ["report_id"], n, lambda old, new: latest_per_id(old.unionByName(new)))
 
     return _start(records, upsert, checkpoint)
 
 
+SCORE_KEYS = ["version", "report_id"]
+
+
 def stream_scores(documents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Scores of new documents, one folder a batch."""
+    """Scores of new documents, whole texts, into the table that ``write_scores`` writes; a document that comes again replaces its scores."""
 
     def score(batch: DataFrame, n: int) -> None:
-        score_reports(batch.select("report_id", "text")).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        upsert_buckets(score_reports(batch.select("report_id", "text")), path, SCORE_KEYS, n)
 
     return _start(documents, score, checkpoint)
 
