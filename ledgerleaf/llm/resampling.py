@@ -16,6 +16,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -30,8 +31,8 @@ BUCKETS = 10_000
 RUN = 3
 #: Words below which a document is not drawn.
 LEAST_WORDS = 20
-#: Bytes of text that one automaton serves.
-SLICE_BYTES = 1 << 20
+#: Rows and bytes of text that one automaton serves.
+SLICE_ROWS, SLICE_BYTES = 1_024, 2 << 20
 #: Longer words move a CRC bit by bit instead of by tables.
 LONGEST = 64
 #: Bytes that are no part of a word become blanks, capital letters small ones; all bytes from 128 on belong to words.
@@ -87,34 +88,40 @@ class Dictionary:
     """The distinct words of some texts as keys of an automaton, with payloads."""
 
     def __init__(self, texts: list[str]):
-        words = sorted(set().union(*(t.split(" ") for t in texts)) - {""})
+        words = list(set().union(*(t.split(" ") for t in texts)) - {""})
         self.automaton = ahocorasick.Automaton()
         for i, w in enumerate(words):
             self.automaton.add_word(f" {w} ", i)
         if words:
             self.automaton.make_automaton()
         raw = [w.encode(errors="surrogateescape") for w in words]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
         self.alone = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw))
-        self.after = np.fromiter((zlib.crc32(b" " + w) for w in raw), np.uint32, len(raw))  # with the blank before it
-        self.length = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+        self.after = moved(np.full(len(raw), zlib.crc32(b" "), np.uint32), length) ^ self.alone  # with the blank before it
+        self.length = length + 1
 
-    def scan(self, text: str) -> np.ndarray:
-        """Numbers of the text's words in order."""
-        if not text:
+    def scan(self, texts: list[str]) -> np.ndarray:
+        """Numbers of the words of all texts in order; one reading."""
+        joined = " ".join(filter(None, texts))
+        if not joined:
             return np.zeros(0, np.int64)
-        return np.fromiter((i for _, i in self.automaton.iter(f" {text} ")), np.int64)
-
-    def buckets(self, text: str) -> tuple[int, np.ndarray]:
-        """Number of words, and the buckets of all runs of up to RUN words."""
-        words = self.scan(text)
-        crc, found = self.alone[words], []
-        for n in range(RUN):  # runs of n + 1 words: those of n with the word after them
-            if n:
-                crc = moved(crc[: len(words) - n], self.length[words[n:]]) ^ self.after[words[n:]]
+        return np.fromiter(chain.from_iterable(self.automaton.iter(f" {joined} ")), np.int64)[1::2]  # of (place, number)
+
+    def buckets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text; and of all runs of up to RUN words the text's place and the bucket."""
+        sizes = np.fromiter((t.count(" ") + 1 if t else 0 for t in texts), np.int64, len(texts))
+        words, text = self.scan(texts), np.repeat(np.arange(len(texts)), sizes)
+        start, crc = np.arange(len(words)), self.alone[words]
+        texts_of, found = [text], [crc]
+        for n in range(1, RUN):  # runs of n + 1 words: those of n with the word after them, if it is of the same text
+            goes_on = start + n < len(words)
+            goes_on[goes_on] = text[start[goes_on] + n] == text[start[goes_on]]
+            start = start[goes_on]
+            following = words[start + n]
+            crc = moved(crc[goes_on], self.length[following]) ^ self.after[following]
+            texts_of.append(text[start])
             found.append(crc)
-            if len(words) <= n + 1:
-                break
-        return len(words), np.concatenate(found) % np.uint32(BUCKETS)
+        return sizes, np.concatenate(texts_of), np.concatenate(found) % np.uint32(BUCKETS)
 
 
 def plain(text: bytes | None) -> str:
@@ -122,11 +129,10 @@ def plain(text: bytes | None) -> str:
     return b" ".join(text.translate(_TABLE).split()).decode(errors="surrogateescape") if text else ""
 
 
-def _bucketed(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, np.ndarray]]]]:
-    for part in slices(batch, size=SLICE_BYTES):
+def _bucketed(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    for part in slices(batch, SLICE_ROWS, SLICE_BYTES):
         texts = list(map(plain, part.column(column).cast(pa.binary()).to_pylist()))
-        known = Dictionary(texts)
-        yield part, [known.buckets(t) for t in texts]
+        yield part, *Dictionary(texts).buckets(texts)
 
 
 def bucket_counts(texts: DataFrame) -> DataFrame:
@@ -135,9 +141,8 @@ def bucket_counts(texts: DataFrame) -> DataFrame:
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for _, found in _bucketed(batch, 0):
-                for _, buckets in found:
-                    counts += np.bincount(buckets, minlength=BUCKETS)
+            for _, _, _, buckets in _bucketed(batch, 0):
+                counts += np.bincount(buckets, minlength=BUCKETS)
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(counts[held], pa.int64())], names=["bucket", "n"])
 
@@ -163,11 +168,11 @@ def scored(docs: DataFrame, gain: np.ndarray, seed: str = "42") -> DataFrame:
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, found in _bucketed(batch, 1):
-                ids = part.column(0).to_pylist()
-                weights = [int(shared.value[b].sum()) for _, b in found]
-                scores = [w + noise(i, seed) for i, w in zip(ids, weights, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, [n for n, _ in found], [len(b) for _, b in found], weights, scores)], names=names)
+            for part, sizes, text, buckets in _bucketed(batch, 1):
+                ids, n = part.column(0).to_pylist(), part.num_rows
+                weights = np.bincount(text, shared.value[buckets], n).astype(np.int64)  # whole numbers far below 2^53
+                scores = weights + np.fromiter((noise(i, seed) for i in ids), np.int64, n)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, sizes, np.bincount(text, minlength=n), weights, scores)], names=names)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(fn, ", ".join(f"{n} long" for n in names))
 

@@ -1014,11 +1014,12 @@ def test_resampling_against_brute_force(spark, odd):
 
 def test_payloads_compose_to_the_hash_of_the_run():
     rng = random.Random(14)
-    for _ in range(100):
-        text = " ".join("".join(rng.choices("ab é日", k=rng.choice([1, 5, 64, 65, 400]))) for _ in range(rng.randint(0, 9)))
-        plain = resampling.plain(text.encode())
-        n, found = resampling.Dictionary([plain]).buckets(plain)
-        assert (n, found.tolist()) == plain_runs(text)
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choices("ab é日", k=rng.choice([1, 5, 64, 65, 400]))) for _ in range(rng.randint(0, 9))) for _ in range(5)]
+        plain = [resampling.plain(t.encode()) for t in texts]
+        sizes, places, found = resampling.Dictionary(plain).buckets(plain)
+        for i, t in enumerate(texts):
+            assert (sizes[i], sorted(found[places == i].tolist())) == (plain_runs(t)[0], sorted(plain_runs(t)[1]))
 
 
 def test_bench_times_the_text_heavy_queries():
