@@ -15,6 +15,7 @@ NBSP = "\u00a0"
 BLANKS = r"[ \t\f\x0B]"
 #: What trimming and collapsing take as white space: ASCII blanks and the Unicode spaces.
 SPACE = "[\\s\\x0B\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 INVISIBLE = "[\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufeff]"
 SOFT_HYPHEN = "\u00ad"
 
@@ -32,11 +33,17 @@ def _all(col: Column, *steps: tuple[str, str]) -> Column:
 
 
 def trim_space(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col, F.lit(SPACES))
+
+
+def _single_blanks(col: Column, blank: str) -> Column:
+    """Runs of blanks as one space each; a lone space, by far the most frequent, is not replaced by itself."""
+    others = blank.replace("[ ", "[").replace("[\\s", "[\\t-\\r")
+    return F.regexp_replace(col, rf"{others}{blank}*| {blank}+", " ")
 
 
 def collapse_whitespace(col: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(col, rf"{SPACE}+", " "), r"^ | $", "")
+    return F.btrim(_single_blanks(col, SPACE))
 
 
 def line_ends(col: Column) -> Column:
@@ -67,13 +74,20 @@ def _markdown_cleanup(col: Column) -> Column:
 
 
 def _blank_cleanup(col: Column) -> Column:
-    return trim_space(_all(col, (rf"{BLANKS}+", " "), (r" *\n", "\n"), (r"\n{3,}", "\n\n")))
+    lines = let(_single_blanks(col, BLANKS), lambda c: F.when(c.contains("\n"), _all(c, (r" *\n", "\n"), (r"\n{3,}", "\n\n"))).otherwise(c))
+    return trim_space(lines)
+
+
+#: A text without any of these has nothing for the cleaning of signs, or of marks.
+_ODD_SIGNS = "[" + "".join(x.strip("[]") for x in (INVISIBLE, SOFT_HYPHEN, *LIGATURES, SYMBOLS, ARROWS)) + "]"
+_MARKS = r"[|#\[]|---"
 
 
 def normalize_for_evidence(col: Column) -> Column:
-    """The cleaning that evidence and the corpus go through, in fixed order."""
-    col = F.regexp_replace(line_ends(col), r"(?idm)^\s*\[\.\.\.snipped\.\.\.\]\s*$", "")
-    return _blank_cleanup(_markdown_cleanup(_unicode_cleanup(col)))
+    """The cleaning that evidence and the corpus go through, in fixed order. Most texts have little to clean, so one look decides for several steps."""
+    col = let(line_ends(col), lambda c: F.when(c.contains("[..."), F.regexp_replace(c, r"(?idm)^\s*\[\.\.\.snipped\.\.\.\]\s*$", "")).otherwise(c))
+    col = let(col, lambda c: F.when(c.rlike(_ODD_SIGNS), _unicode_cleanup(c)).otherwise(c))
+    return _blank_cleanup(let(col, lambda c: F.when(c.rlike(_MARKS), _markdown_cleanup(c)).otherwise(c)))
 
 
 def clean_evidence_display(col: Column) -> Column:

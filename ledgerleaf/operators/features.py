@@ -18,9 +18,9 @@ from ledgerleaf.functions.rules import (
     SCOPE3_PATTERNS,
     SCOPE3_RULE,
     count_in,
-    has,
     java,
     keywords,
+    let,
     may_match,
     once,
     plain_words,
@@ -113,13 +113,17 @@ def long_block_snippet(text, start, length, most: int = QUOTE_CHARS, context: in
 
 def quote_quality(quote, page):
     """0 to 17 points for figures, units, years, targets, scopes, tables, a page and length."""
-    t = quote
-    points = [
-        (has(t, r"\d+[\.,]?\d*\s*%"), 3), (has(t, r"\b\d{1,3}[\.,]\d{3}\b"), 3), (has(t, r"\b(tco2e?|mwh|kwh|gj|tonnes?|tons?|kg)\b"), 3),
-        (has(t, r"\b20[2-3]\d\b"), 1), (has(t, r"\btarget|\bgoal|\bcommit"), 1), (has(t, r"\bscope\s*[123]\b"), 1),
-        (has(t, r"\|[^|]+\|"), 2), (page.isNotNull(), 1), (F.length(t) > 80, 1), (F.length(t) > 200, 1),
-    ]
-    return sum((F.when(c, n).otherwise(0) for c, n in points), F.lit(0))
+
+    def points(t):
+        has = lambda pattern: t.rlike("(?id)" + pattern)
+        rated = [
+            (has(r"\d+[\.,]?\d*\s*%"), 3), (has(r"\b\d{1,3}[\.,]\d{3}\b"), 3), (has(r"\b(tco2e?|mwh|kwh|gj|tonnes?|tons?|kg)\b"), 3),
+            (has(r"\b20[2-3]\d\b"), 1), (has(r"\btarget|\bgoal|\bcommit"), 1), (has(r"\bscope\s*[123]\b"), 1),
+            (has(r"\|[^|]+\|"), 2), (page.isNotNull(), 1), (F.length(t) > 80, 1), (F.length(t) > 200, 1),
+        ]
+        return sum((F.when(c, n).otherwise(0) for c, n in rated), F.lit(0))
+
+    return let(plain_words(quote), points)
 
 
 def quote_candidates(blocks: DataFrame) -> DataFrame:
@@ -144,15 +148,17 @@ def quote_candidates(blocks: DataFrame) -> DataFrame:
         found, possible = F.col("plain").rlike(("(?id)" if key != "data_tables" else "(?d)") + pattern), may_match(F.col("known"), pattern)
         return F.when(found if possible is None else possible & found, F.struct(F.lit(key).alias("feature_key"), F.lit(3 * quotes).alias("cap")))
 
-    rows = wide.select("report_id", "block_idx", "page", "heading", "text", context.alias("context"))
-    rows = once(rows, {"known": keywords(F.lower("text"), [p for _, p, _ in rules]), "plain": plain_words(F.col("text"))})
-    rows = once(rows, {"hits": F.array_compact(F.array(*[hit_of(*rule) for rule in rules]))}, "size(hits) > 0")
+    def matched(some: DataFrame) -> DataFrame:
+        rows = once(some, {"known": keywords(F.lower("text"), [p for _, p, _ in rules]), "plain": plain_words(F.col("text"))})
+        return once(rows, {"hits": F.array_compact(F.array(*[hit_of(*rule) for rule in rules]))}, "size(hits) > 0")
+
     # a block's quote is the same for every rule it matches, unless the block is long
-    quoted = clip_snippet(F.col("context"), QUOTE_CHARS, 3)
     is_long = F.length("text") > 2 * QUOTE_CHARS
-    short = once(rows.where(~is_long), {"quote": quoted}, "quote <> ''").select("report_id", "block_idx", "page", "heading", "quote", F.inline("hits"))
+    names = ["report_id", "block_idx", "page", "heading"]
+    short = matched(wide.where(~is_long).select(*names, "text", context.alias("context")))
+    short = once(short, {"quote": clip_snippet(F.col("context"), QUOTE_CHARS, 3)}, "quote <> ''").select(*names, "quote", F.inline("hits"))
     pattern = F.element_at(F.create_map(*[x for k, p, _ in rules for x in (F.lit(k), F.lit(java(p, k != "data_tables")))]), F.col("feature_key"))
-    long = rows.where(is_long).select("report_id", "block_idx", "page", "heading", "text", F.inline("hits")).withColumn("pattern", pattern)
+    long = matched(blocks.where(is_long).select(*names, "text")).select(*names, "text", F.inline("hits")).withColumn("pattern", pattern)
     at, size = F.regexp_instr("text", F.col("pattern")) - 1, F.length(F.regexp_substr("text", F.col("pattern")))
     long = long.withColumn("quote", long_block_snippet(F.col("text"), at, size)).where("quote <> ''").select(*short.columns)
     prefix = F.substring(collapse_whitespace(F.col("quote")), 1, PREFIX_CHARS).alias("prefix")

@@ -233,6 +233,8 @@ def boilerplate_keys(pages: DataFrame) -> DataFrame:
     else:
         rows = pages.withColumn("n_pages", F.size(F.collect_set("page_seq").over(Window.partitionBy("report_id"))))
     rows = rows.where(F.col("n_pages") >= _LEAST_PAGES)
+    # a line with more signs than a candidate has characters is none, whatever its blanks
+    rows = rows.where(F.length(F.translate("line", " \t\f\x0b", "")) <= _CANDIDATE_CHARS[1])
     rows = once(rows, {"spaced": line_for_key(trim_space(F.col("line")))}, (F.col("spaced") != "") & is_candidate_line(F.col("spaced"))).drop("line", "title", "page")
     rows = _running(_running(rows, "page_seq", {"from_top": F.lit(1)}), "page_seq", {"from_end": F.lit(1)}, backwards=True).withColumns({n: F.col(n).cast("int") for n in ("from_top", "from_end")})
     # a line among both counts twice, as an example it comes in the order top lines, end lines backwards
