@@ -37,18 +37,16 @@ def letter_vectors() -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _code_table() -> np.ndarray:
-    """Letter number of each code point of the basic plane: 0 for what is no letter."""
-    table = np.zeros(0x10000, np.uint16)
-    for c in range(0x10000):
-        if chr(c).isalpha():
-            table[c] = 1 + ((c - 97) % (LETTERS - 1))
+    """Letter number of each code point: 0 for what is no letter."""
+    table = np.zeros(0x110000, np.uint16)
+    letters = np.array([c for c in range(0x110000) if chr(c).isalpha()])
+    table[letters] = 1 + (letters - np.where(letters < 0x10000, 97, 0)) % (LETTERS - 1)
     return table
 
 
 def letters_of(text: str) -> np.ndarray:
     """Letter numbers of a lower-cased text with one gap between words and at either end."""
-    raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(raw < 0x10000, _code_table()[np.minimum(raw, 0xFFFF)], (1 + raw % (LETTERS - 1)).astype(np.uint16))
+    codes = _code_table()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
     gap = codes == 0
     codes = codes[~(gap & np.concatenate([[True], gap[:-1]]))] if len(codes) else codes
     return np.concatenate([[0], codes, [0]]).astype(np.int64)

@@ -312,6 +312,14 @@ def test_other_scripts(spark):
     assert len(held) > 30 and (held.lang_pred == [rows[i][2] for i in held.doc_id]).all()
 
 
+def test_no_letter_is_no_language(spark):
+    rows = [(i, "the cat sat on the mat \U0001f600", "en") for i in range(40)] + [(100, "\U0001f600\U0001f680", None), (101, "12 \u2013 \u20ac", None), (102, "\U00010400\U00010401", None), (103, "", None), (104, None, None)]
+    made = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [made[i][0] for i in (100, 101, 103, 104)] == ["und"] * 4 and made[102][0] == "en" and all(0 <= s <= 1 for _, s in made.values())
+    for c in range(0x110000):
+        assert (language_id._code_table()[c] > 0) == chr(c).isalpha()
+
+
 def test_prediction_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     made = {r.doc_id: r for r in language_id.identify(docs).collect()}
@@ -1022,8 +1030,8 @@ def test_payloads_compose_to_the_hash_of_the_run():
             assert (sizes[i], sorted(found[places == i].tolist())) == (plain_runs(t)[0], sorted(plain_runs(t)[1]))
 
 
-def test_bench_times_the_text_heavy_queries():
-    import __spark_entry__
-    import bench
-
-    assert {"rule_counts", "ranked_evidence", "grounded_entities", "pipeline"} <= set(bench.HEADLINE) <= set(__spark_entry__.queries())
+def test_columns_of_any_name_pass_near_dedup(spark, sf):
+    docs = spark.createDataFrame([(1, "a b c d e f g", "mine", 5), (2, "a b c d e f g", "yours", 6), (3, None, "x", 7), (None, "h i j k l m", "y", 8)], "doc_id long, text string, _id string, n long")
+    made = corpus_pipeline.one_of_each_group(spark, docs, sf)
+    assert made.columns == docs.columns and {tuple(r) for r in made.collect()} == {(1, "a b c d e f g", "mine", 5), (3, None, "x", 7), (None, "h i j k l m", "y", 8)}
+    assert corpus_pipeline.one_of_each_group(spark, docs.limit(0), sf).count() == 0
