@@ -31,6 +31,8 @@ POSITIVE_CAP, NEGATIVE_CAP, PAGE_CHARS = 20, 15, 12_000
 MOST_BYTES, LEAST_BYTES, LEAST_TEXT = 80 * 1024 * 1024, 1024, 300
 #: Range partitions for numbering: rows per partition, about.
 SORT_ROWS = 50_000
+#: Parts of a hot hash, or year and company, whose least keys are found apart.
+SALTS = 64
 
 
 def score_pages(pages: DataFrame, page_chars: int | None = None) -> DataFrame:
@@ -145,21 +147,28 @@ def validate_uploads(files: DataFrame, most_pages: int = 600) -> DataFrame:
     return files.withColumn("rejected", reason)
 
 
+def _least_keys(existing: DataFrame, by: list[str], name: str, n: int = 3) -> DataFrame:
+    """One row a value of ``by`` with its ``n`` least report keys: each task drops all but ``n`` of a value before they are shuffled, and salts meet in a second step."""
+    rows = existing.dropna(subset=by).select(*by, "report_key").distinct().withColumn("salt", F.pmod(F.xxhash64("report_key"), F.lit(SALTS)))
+    for keys in ([*by, "salt"], by):
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("report_key"))).where(F.col("nth") <= n)
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_list("report_key")).alias(name))
+
+
 def find_duplicates(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Add to ``new`` (``upload_id, sha256, year, company_slug``) ``same_hash``, ``same_company_year`` and up to three example keys.
 
-    Null and empty hashes, years and slugs match nothing; they would be one hot key.
+    Null and empty hashes and slugs and null years match nothing. An upload meets one row a side, the three least keys of its hash and of its year and
+    company, as no more are needed for the examples; ``examples`` is null without any. Rows that repeat an upload repeat its answer.
     """
-    usable = lambda df, c: df.where(F.col(c).isNotNull() & (F.col(c) != ""))
-    by_hash = usable(new, "sha256").select("upload_id", "sha256").join(usable(existing, "sha256").select("sha256", "report_key"), "sha256")
-    by_name = usable(new, "company_slug").where("year is not null").select("upload_id", "year", "company_slug").join(usable(existing, "company_slug").select("year", "company_slug", "report_key"), ["year", "company_slug"])
-    hits = by_hash.select("upload_id", "report_key", F.lit(True).alias("h")).unionByName(by_name.select("upload_id", "report_key", F.lit(False).alias("h")))
-    # three smallest keys a side of each upload are enough for the examples
-    nth = F.row_number().over(Window.partitionBy("upload_id", "h").orderBy("report_key"))
-    kept = hits.distinct().withColumn("nth", nth).where("nth <= 3")
-    found = kept.groupBy("upload_id").agg(F.bool_or("h").alias("same_hash"), F.bool_or(~F.col("h")).alias("same_company_year"), F.slice(F.array_sort(F.collect_set("report_key")), 1, 3).alias("examples"))
-    flags = {k: F.coalesce(k, F.lit(False)) for k in ("same_hash", "same_company_year")}
-    return new.join(found, "upload_id", "left").withColumns(flags)
+    blank = lambda df, *names: df.withColumns({n: F.nullif(F.col(n), F.lit("")) for n in names})
+    existing = blank(existing.where("report_key is not null"), "sha256", "company_slug")
+    by_hash = _least_keys(existing, ["sha256"], "_by_hash").withColumnRenamed("sha256", "_hash")
+    by_name = _least_keys(existing, ["year", "company_slug"], "_by_name").withColumnsRenamed({"year": "_year", "company_slug": "_slug"})
+    met = new.join(by_hash, F.col("sha256") == F.col("_hash"), "left").join(by_name, (F.col("year") == F.col("_year")) & (F.col("company_slug") == F.col("_slug")), "left")
+    none = F.array().cast("array<string>")
+    both = F.slice(F.array_sort(F.array_distinct(F.concat(F.coalesce("_by_hash", none), F.coalesce("_by_name", none)))), 1, 3)
+    return met.select(*[new[c] for c in new.columns], F.col("_by_hash").isNotNull().alias("same_hash"), F.col("_by_name").isNotNull().alias("same_company_year"), F.when(F.size(both) > 0, both).alias("examples"))
 
 
 def accepted_uploads(new: DataFrame, existing: DataFrame) -> DataFrame:

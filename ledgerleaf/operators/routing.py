@@ -26,9 +26,9 @@ def lookup(table: dict[str, str | None], key: Column) -> Column:
 
 
 def classify_chunks(chunks: DataFrame, scorer: Callable[[list[str]], list[list[tuple[str, float]]]], batch: int = 16) -> DataFrame:
-    """Add ``scores``: the scorer's labels for each text, cut for it; null where the scorer fails on a batch.
+    """Add ``scores``: the scorer's labels for each text, cut for it; null, with the reason in ``failure``, where the scorer fails on a batch.
 
-    The scorer is called on the executors with up to ``batch`` texts at a time.
+    The scorer is called on the executors with up to ``batch`` texts at a time; a null text is scored as an empty one.
     """
     rows = chunks.withColumn("text", truncate_for_classifier(F.col("text")))
     names = rows.columns
@@ -36,16 +36,19 @@ def classify_chunks(chunks: DataFrame, scorer: Callable[[list[str]], list[list[t
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             made: list = []
+            reasons: list = []
             for at in range(0, len(frame), batch):
                 texts = frame["text"].iloc[at : at + batch].fillna("").tolist()
                 try:
                     made += [[{"label": k, "score": float(v)} for k, v in row] for row in scorer(texts)]
-                except Exception:  # noqa: BLE001  any failure of the model leaves the batch without scores
+                    reasons += [None] * len(texts)
+                except Exception as e:  # noqa: BLE001  any failure of the model leaves the batch without scores
                     made += [None] * len(texts)
-            yield frame.assign(scores=made)[[*names, "scores"]]
+                    reasons += [f"{type(e).__name__}: {e}"] * len(texts)
+            yield frame.assign(scores=made, failure=reasons)[[*names, "scores", "failure"]]
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{kinds}, scores {SCORES}")
+    return rows.mapInPandas(run, f"{kinds}, scores {SCORES}, failure string")
 
 
 def softmax(logits: Column) -> Column:

@@ -393,9 +393,10 @@ def char_chunks(col: Column, size: int = 1200, overlap: int = 150) -> Column:
     return _char_pieces(col, F.lit(size), F.lit(overlap))
 
 
-def section_chunks(col: Column, size: int = 12000, overlap: int = 600, most: int = 15) -> Column:
-    """Pieces cut at a paragraph, else at a sentence end; the first ``most``, later text is dropped."""
-    return F.slice(_section_pieces(col, F.lit(size), F.lit(overlap)), 1, most)
+def section_chunks(col: Column, size: int = 12000, overlap: int = 600, most: int | None = None) -> Column:
+    """Pieces cut at a paragraph, else at a sentence end; only the first ``most``, if given (a request takes 15)."""
+    pieces = _section_pieces(col, F.lit(size), F.lit(overlap))
+    return pieces if most is None else F.slice(pieces, 1, most)
 
 
 def merge_pages(pages: DataFrame) -> DataFrame:

@@ -49,15 +49,15 @@ def manifest(spark: SparkSession, path: str, before: int | None = None) -> Manif
 
 
 def _read(spark: SparkSession, path: str, held: Manifest, schema: T.StructType) -> DataFrame:
+    """The rows with all columns that were ever written, those of ``schema`` first."""
     folders = [f"{path}/data/batch={batch}/bucket={bucket}" for bucket, (batch, n) in held.items() if n]
-    if not folders:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*folders)
+    none = spark.createDataFrame([], schema)
+    return none if not folders else none.unionByName(spark.read.option("mergeSchema", True).parquet(*folders), allowMissingColumns=True)
 
 
 def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The rows of the table as the newest batch left it; none where there is no batch."""
-    return _read(spark, path, manifest(spark, path), schema)
+    """The rows of the table as the newest batch left it, in the columns of ``schema``; none where there is no batch."""
+    return _read(spark, path, manifest(spark, path), schema).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 
 
 def count_buckets(spark: SparkSession, path: str) -> int:
@@ -70,7 +70,7 @@ def replaced(keys: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
     def merge(old: DataFrame, new: DataFrame) -> DataFrame:
         row = F.struct(*[F.col(f"`{c}`") for c in new.columns])
         one = new.groupBy(*keys).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
-        return old.join(one.select(*keys), keys, "left_anti").unionByName(one)
+        return old.join(one.select(*keys), keys, "left_anti").unionByName(one, allowMissingColumns=True)
 
     return merge
 
@@ -86,12 +86,14 @@ def upsert_buckets(rows: DataFrame, path: str, keys: list[str], batch: int, merg
     new = written(rows.withColumn("bucket", bucket))
     touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
     old = _read(spark, path, {b: before[b] for b in touched if b in before}, rows.schema)
-    merged = merge(old, new.drop("bucket")).withColumn("bucket", bucket)
+    merged = merge(old, new.drop("bucket"))
+    kinds = T.StructType([*merged.schema.fields, T.StructField("bucket", T.IntegerType())])
+    merged = merged.withColumn("bucket", bucket)
     target = f"{path}/data/batch={batch}"
     merged.repartition("bucket", F.pmod(F.xxhash64(F.lit("file"), *keys), F.lit(FILES))).write.mode("overwrite").partitionBy("bucket").parquet(target)
     made = {}
     if touched:
-        counts = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(target).groupBy("bucket").count().collect()
+        counts = spark.read.schema(kinds).parquet(target).groupBy("bucket").count().collect()
         made = {r["bucket"]: (batch, r["count"]) for r in counts}
     whole = before | {b: made.get(b, (batch, 0)) for b in touched}
     lines = spark.createDataFrame([(b, at, n) for b, (at, n) in sorted(whole.items())], "bucket int, batch int, n long")

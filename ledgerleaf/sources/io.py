@@ -60,11 +60,11 @@ def read_upload_records(spark: SparkSession, folder: str, glob: str = "*.json")
     return _projected(raw)
 
 
-def read_markdown_corpus(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
-    """``report_key, text``: a markdown file a report, its key from its path below ``folder``."""
-    rows = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(folder, wholetext=True)
-    below = F.regexp_extract("_metadata.file_path", r"(reports/.*)\.md$", 1)
-    key = F.when(below != "", F.concat(F.lit(prefix), below, F.lit(".pdf"))).otherwise(F.regexp_replace("_metadata.file_name", r"\.md$", ".pdf"))
+def read_markdown_corpus(spark: SparkSession, folder: str, prefix: str = "", extension: str = "md") -> DataFrame:
+    """``report_key, text``: a text file a report, its key from its path below ``folder``."""
+    rows = spark.read.option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", True).text(folder, wholetext=True)
+    below = F.regexp_extract("_metadata.file_path", rf"(reports/.*)\.{extension}$", 1)
+    key = F.when(below != "", F.concat(F.lit(prefix), below, F.lit(".pdf"))).otherwise(F.regexp_replace("_metadata.file_name", rf"\.{extension}$", ".pdf"))
     return rows.select(key.alias("report_key"), F.col("value").alias("text"))
 
 
@@ -82,7 +82,7 @@ def write_scores(scores: DataFrame, path: str, batch: int | None = None) -> int:
 def write_entities(entities: DataFrame, path: str, batch: int | None = None) -> int:
     """All entities of the (version, report) keys replaced by those given, in the table at ``path``."""
     keys = ["version", "report_id"]
-    whole = lambda old, new: old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+    whole = lambda old, new: old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
     return upsert_buckets(entities, path, keys, next_batch(entities.sparkSession, path) if batch is None else batch, whole)
 
 

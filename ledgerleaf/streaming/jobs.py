@@ -44,7 +44,7 @@ def stream_catalogue(records: DataFrame, path: str, checkpoint: str) -> Streamin
     """
 
     def upsert(batch: DataFrame, n: int) -> None:
-        upsert_buckets(batch, path, ["report_id"], n, lambda old, new: latest_per_id(old.unionByName(new)))
+        upsert_buckets(batch, path, ["report_id"], n, lambda old, new: latest_per_id(old.unionByName(new, allowMissingColumns=True)))
 
     return _start(records, upsert, checkpoint)
 
@@ -52,11 +52,14 @@ def stream_catalogue(records: DataFrame, path: str, checkpoint: str) -> Streamin
 SCORE_KEYS = ["version", "report_id"]
 
 
-def stream_scores(documents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Scores of new documents, whole texts, into the table that ``write_scores`` writes; a document that comes again replaces its scores."""
+def stream_scores(documents: DataFrame, path: str, checkpoint: str, first: int = 0) -> StreamingQuery:
+    """Scores of new documents, whole texts, into the table that ``write_scores`` writes; a document that comes again replaces its scores.
+
+    The table's batches are the stream's from ``first`` on, so a batch that runs again after a restart leaves the same table.
+    """
 
     def score(batch: DataFrame, n: int) -> None:
-        upsert_buckets(score_reports(batch.select("report_id", "text")), path, SCORE_KEYS, n)
+        upsert_buckets(score_reports(batch.select("report_id", "text")), path, SCORE_KEYS, first + n)
 
     return _start(documents, score, checkpoint)
 
