@@ -27,7 +27,7 @@ PHRASES = [
     "Some figures are unaudited", "The methodology follows a measurement approach", "The reporting boundary is the operational boundary", "Limitations: some data is estimated",
     "Restated figures are marked for 2020", "Our outlook and ambition are forward looking", "The reporting period is the financial year 2023", "| KPI | 2022 | 2023 |",
     "| Energy | 5,100 | 5,200 |", "- Data quality and data governance are improved", "- Connected with financial statements and financial impact", "1. ESRS E1 datapoints are listed",
-    "## Climate and energy", "## People and safety", "```", "Sector specific standards apply", "A long example sen-", "tence was wrapped at the end of a line", "Carbon credits and carbon offsetting are avoided",
+    "## Climate and energy", "## People and safety", "```\nwords in a fence are no evidence of scope 1\n```", "Sector specific standards apply", "A long example sen-", "tence was wrapped at the end of a line", "Carbon credits and carbon offsetting are avoided",
 ]
 
 CATALOGUE_SQL = """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.operators import conversations, intake, retrieval, routing, scoring, segment
 from ledgerleaf.plans import corpus
-from ledgerleaf.plans.reach import SEEDED_SQL, _fresh, _sql_collapse, _sql_trim
+from ledgerleaf.plans.reach import SEEDED_SQL, _fresh, _length_embedder, _sql_collapse, _sql_trim
 from ledgerleaf.plans.registry import _read, _rounded, query
 from ledgerleaf.plans.scoring_sql import RECORDS_SQL
 from ledgerleaf.sources import buckets, io
@@ -192,6 +192,13 @@ def hashed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.vector_records(pages, hashed_vectors).select("namespace", "chunk", F.char_length("text").cast("bigint").alias("n_chars"), counts.alias("counts"))
 
 
+@query(f"WITH RECURSIVE {_CHAR_CHUNKS} SELECT id::VARCHAR AS namespace, chunk, length(piece)::BIGINT AS n FROM pieces WHERE NOT regexp_matches(piece, '^[aeiou]')")
+def short_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all chunks but those to which the model gives no vector."""
+    pages = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("report_id"), F.lit(1).alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    return retrieval.vector_records(pages, _length_embedder).select("namespace", "chunk", F.get("values", F.lit(0)).cast("bigint").alias("n"))
+
+
 # Contexts
 
 _RUNGS = ", ".join(str(r) for r in conversations.ladder())

@@ -24,7 +24,7 @@ from ledgerleaf.functions.rules import RULE_KEYS
 from ledgerleaf.operators import analytics, catalog, entities, features, intake, retrieval, routing, scoring, segment
 from ledgerleaf.plans import corpus
 from ledgerleaf.plans.corpus import CATALOGUE_SQL, ENTITIES_SQL, PREDICTIONS_SQL, SCORED_SQL, UPLOADS_SQL
-from ledgerleaf.plans.registry import _CATALOGUE, _ENTITIES, _ISSUED, _PAGE_SCORES, _SCORED, _SPANS, _UPLOADS, _index, _issue_preds, _plain, _read, _rounded, query
+from ledgerleaf.plans.registry import _CATALOGUE, _ENTITIES, _ISSUED, _PAGE_SCORES, _SCORED, _SPANS, _UPLOADS, _index, _issue_preds, _plain, _read, _rounded, _whole_scores, query
 from ledgerleaf.sources import buckets, io
 from ledgerleaf.sources.tables import shared_folder, written
 from ledgerleaf.streaming import jobs
@@ -80,7 +80,7 @@ _PAGE_TEXT = _sql_trim(_sql_all("t", *_LINE_ENDS, (r"[ \t]+\n", "\n"), (r"\n{3,}
 _MATCH = _sql_collapse(_sql_all(f"lower({_sql_all('t', (tx.NBSP, ' '), (f'{tx.INVISIBLE}|{tx.SOFT_HYPHEN}', ''))})", (r"[`*_>#|]", " ")))
 #: Texts with marks of every kind in front of them.
 _MARKED = "### Page 3 Title\n[link]( ) ![pic](a.png) eﬃcient co­op ■ x → y\n| a | b |\n|---|---|\n[Truncated] \n\n\n\n"
-_MARKED_SQL = f"SELECT doc_id, concat('{_MARKED}', text, ' ...') AS t FROM documents WHERE text IS NOT NULL"
+_MARKED_SQL = f"SELECT doc_id, concat('{_MARKED}', coalesce(text, ''), ' ...') AS t FROM documents"
 
 
 @query(f"""WITH m AS ({_MARKED_SQL}), f AS (SELECT doc_id, t, {_MATCH} AS matched, {_sql_collapse("t")} AS c FROM m)
@@ -91,7 +91,7 @@ CASE WHEN length(t) <= 300 THEN t ELSE concat({_sql_all("substr(t, 1, 120)", (rf
 CASE WHEN length(c) <= 200 THEN c WHEN length(regexp_extract(substr(c, 1, 202), '^(.*[.]) ', 1)) - 1 > 120 THEN regexp_extract(substr(c, 1, 202), '^(.*[.]) ', 1) ELSE substr(c, 1, 200) END AS for_classifier FROM f""")
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
-    rows = _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(F.lit(_MARKED), "text", F.lit(" ...")).alias("t"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(_MARKED), F.coalesce("text", F.lit("")), F.lit(" ...")).alias("t"))
     return rows.select(
         "doc_id", tx.normalize_for_evidence(t).alias("evidence"), tx.clean_evidence_display(t).alias("display"), tx.normalize_for_extraction(t).alias("extraction"), tx.normalize_page_text(t).alias("page_text"),
         tx.normalize_for_match(t).alias("matched"), F.array_join(tx.match_tokens(t), " ").alias("tokens"), tx.meta_field(t, "none", 40).alias("field"), tx.truncate_head_tail(t, 300, 1600).alias("head_tail"),
@@ -251,12 +251,12 @@ def page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.restrict_pages(segment.split_pages_intake(corpus.seeded_reports(spark, sf_dir)), 2, 4)
 
 
-@query("""WITH t AS (SELECT doc_id, string_split(concat('before', chr(10), 'Page 1:', chr(10), replace(text, chr(10), concat(chr(10), 'Page 2:', chr(10)))), concat(chr(10), 'Page ')) AS parts FROM documents WHERE text IS NOT NULL),
+@query("""WITH t AS (SELECT doc_id, string_split(concat('before', chr(10), 'Page 1:', chr(10), replace(coalesce(text, ''), chr(10), concat(chr(10), 'Page 2:', chr(10)))), concat(chr(10), 'Page ')) AS parts FROM documents),
 p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS seq FROM t)
 SELECT doc_id, seq::INT AS seq, left(part, 1)::INT AS page, regexp_replace(substr(part, 4), '^\\s+|\\s+$', '', 'g') AS text FROM p WHERE seq > 0""".replace("\\\\", "\\"))
 def context_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("before\nPage 1:\n"), F.replace("text", F.lit("\n"), F.lit("\nPage 2:\n")))
-    rows = _read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("report_id"), text.alias("text"))
+    text = F.concat(F.lit("before\nPage 1:\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\nPage 2:\n")))
+    rows = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("report_id"), text.alias("text"))
     return segment.split_context_pages(rows).withColumnRenamed("report_id", "doc_id")
 
 
@@ -266,13 +266,13 @@ def context_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_PAGE_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY page) AS a, row_number() OVER (PARTITION BY report_id ORDER BY page DESC) AS z, row_number() OVER (PARTITION BY report_id ORDER BY score DESC, page) AS s FROM page_scores)
 SELECT report_id, page, score FROM r WHERE a <= 5 OR s <= 18 OR z <= 3""")
 def pages_to_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intake.review_pages(written(intake.score_pages(corpus.phrase_pages(spark, sf_dir)))).select("report_id", "page", "score")
+    return intake.review_pages(written(_whole_scores(spark, sf_dir))).select("report_id", "page", "score")
 
 
 @query(f"""{_PAGE_SCORES}, r AS (SELECT p.report_id, p.page, substr({_sql_collapse("text")}, 1, 450) AS long, substr({_sql_collapse("text")}, 1, 420) AS short, row_number() OVER (PARTITION BY p.report_id ORDER BY p.page) AS a, row_number() OVER (PARTITION BY p.report_id ORDER BY score DESC, p.page) AS s FROM page_scores p JOIN pages0 t USING (report_id, page))
 SELECT report_id, page, CASE WHEN a <= 8 THEN long ELSE short END AS snippet FROM r WHERE a <= 8 OR s <= 8""")
 def snippets_for_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = corpus.phrase_pages(spark, sf_dir)
+    pages = written(segment.split_pages_intake(corpus.seeded_reports(spark, sf_dir)).drop("page_seq"))
     return intake.metadata_snippets(pages, written(intake.score_pages(pages)))
 
 
@@ -285,7 +285,7 @@ verdicts AS (SELECT report_id, total_pages, yes OR (coalesce(model_yes, false) A
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = written(intake.score_pages(corpus.phrase_pages(spark, sf_dir)).drop("snippet"))
+    scores = written(_whole_scores(spark, sf_dir).drop("snippet"))
     d = F.col("doc_id")
     model = _read(spark, sf_dir, "documents").where(d % 5 != 0).select(
         F.concat(F.lit("report-"), d.cast("string")).alias("report_id"), (d % 2 == 0).alias("model_yes"), F.when(d % 3 != 0, (d % 10) / 10.0).alias("confidence"),
@@ -455,11 +455,11 @@ def _word_scorer(texts: list[str]) -> list[list[tuple[str, float]]]:
     return [[("Climate Change", (len(t) % 97) / 97), ("Human Capital", (len(t.split(" ")[0]) % 7) / 7)] for t in texts]
 
 
-@query(rf"""WITH c AS (SELECT doc_id, {_sql_collapse("text")} AS c FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, CASE WHEN length(c) <= 1200 THEN c WHEN length(regexp_extract(substr(c, 1, 1202), '^(.*[.]) ', 1)) - 1 > 720 THEN regexp_extract(substr(c, 1, 1202), '^(.*[.]) ', 1) ELSE substr(c, 1, 1200) END AS t FROM c),
+@query(rf"""WITH c AS (SELECT doc_id, {_sql_collapse("coalesce(text, '')")} AS c FROM documents), t AS (SELECT doc_id, CASE WHEN length(c) <= 1200 THEN c WHEN length(regexp_extract(substr(c, 1, 1202), '^(.*[.]) ', 1)) - 1 > 720 THEN regexp_extract(substr(c, 1, 1202), '^(.*[.]) ', 1) ELSE substr(c, 1, 1200) END AS t FROM c),
 s AS (SELECT doc_id, (length(t) % 97) / 97 AS a, (length(string_split(t, ' ')[1]) % 7) / 7 AS b FROM t)
 SELECT doc_id, round(a, 6) AS climate, round(b, 6) AS human, round(exp(a) / (exp(a) + exp(b)), 6) AS climate_share, CASE WHEN b > a THEN 'Human Capital' WHEN a > 0 THEN 'Climate Change' ELSE 'Non-ESG' END AS best FROM s""")
 def classified_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = routing.classify_chunks(_read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"), _word_scorer)
+    rows = routing.classify_chunks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _word_scorer)
     score = lambda i: F.get("scores", F.lit(i))["score"]
     made = rows.select("doc_id", score(0).alias("climate"), score(1).alias("human"), F.get(routing.softmax(F.transform("scores", lambda s: s["score"])), F.lit(0)).alias("climate_share"), routing.argmax(F.col("scores"))["label"].alias("best"))
     return _rounded(made, "climate", "human", "climate_share")
@@ -504,13 +504,6 @@ def _length_embedder(texts: list[str]) -> list[list[float]]:
     return [[] if t[:1] in "aeiou" else [float(len(t)), 1.0] for t in texts]
 
 
-@query(f"""WITH c AS (SELECT doc_id, {_sql_collapse("text")} AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id::VARCHAR AS namespace, 0 AS chunk, length(t)::BIGINT AS n FROM c WHERE t <> '' AND length(t) <= 1200 AND NOT regexp_matches(t, '^[aeiou]')""")
-def short_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of texts that make one chunk; longer ones are cut by Python, which a test compares."""
-    pages = _read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("report_id"), F.lit(1).alias("page"), tx.collapse_whitespace(F.col("text")).alias("text")).where("length(text) <= 1200")
-    return retrieval.vector_records(pages, _length_embedder).select("namespace", "chunk", F.get("values", F.lit(0)).cast("bigint").alias("n"))
-
-
 # Catalogue
 
 

@@ -107,8 +107,7 @@ _PARTS_SQL = ", ".join(
 @query(f"""{_PAGES}, hits AS (SELECT report_id, page, unnest([{_PARTS_SQL}]) AS h FROM pages0)
 SELECT report_id, h.feature_key AS feature_key, sum(h.n)::BIGINT AS occurrences, count(*)::BIGINT AS pages FROM hits WHERE h.n > 0 GROUP BY 1, 2""")
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = corpus.phrase_pages(spark, sf_dir).select("report_id", (F.col("page") - 1).alias("block_idx"), F.col("page"), "text")
-    return features.count_features(blocks).where("feature_key <> 'scope3_categories'").select("report_id", "feature_key", "occurrences", "pages")
+    return features.count_features(_whole_blocks(spark, sf_dir)).where("feature_key <> 'scope3_categories'").select("report_id", "feature_key", "occurrences", "pages")
 
 
 _S3 = [f"len(regexp_extract_all(text, '(?i){_plain(p)}'))" for p in SCOPE3_PATTERNS]
@@ -117,11 +116,10 @@ _S3 = [f"len(regexp_extract_all(text, '(?i){_plain(p)}'))" for p in SCOPE3_PATTE
 @query(f"""{_PAGES} SELECT report_id, 'scope3_categories' AS feature_key, sum({_S3[2]})::BIGINT AS occurrences, count(*) FILTER ({_S3[3]} > 0)::BIGINT AS pages
 FROM pages0 GROUP BY 1 HAVING sum({_S3[0]} + {_S3[1]}) > 0""")
 def scope3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = corpus.phrase_pages(spark, sf_dir).select("report_id", (F.col("page") - 1).alias("block_idx"), F.col("page"), "text")
-    return features.count_features(blocks).where("feature_key = 'scope3_categories'").select("report_id", "feature_key", "occurrences", "pages")
+    return features.count_features(_whole_blocks(spark, sf_dir)).where("feature_key = 'scope3_categories'").select("report_id", "feature_key", "occurrences", "pages")
 
 
-# The rules over whole texts; the canned pages above are small and for SQL
+# The same under their names of the round before; all read whole texts, and the canned pages are for tests
 
 
 def _whole_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +194,7 @@ page_scores AS (SELECT *, positive - negative AS score, (positive - negative >=
 
 @query(f"{_PAGE_SCORES} SELECT report_id, page, score, positive, negative, is_candidate, array_to_string(hit_keys, ',') AS hit_keys FROM page_scores")
 def intake_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = intake.score_pages(corpus.phrase_pages(spark, sf_dir))
+    scores = _whole_scores(spark, sf_dir)
     return scores.withColumn("hit_keys", F.array_join("hit_keys", ",")).drop("snippet")
 
 
@@ -207,7 +205,7 @@ spans AS (SELECT report_id, min(page) AS "start", max(page) AS "end", count(*) A
 
 @query(f"{_SPANS} SELECT * FROM spans")
 def intake_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intake.candidate_spans(intake.score_pages(corpus.phrase_pages(spark, sf_dir)))
+    return intake.candidate_spans(_whole_scores(spark, sf_dir))
 
 
 @query(f"""{_SPANS}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY rank DESC, "start") AS nth FROM spans) WHERE nth = 1),
@@ -215,7 +213,7 @@ totals AS (SELECT report_id, count(*) AS total_pages, sum(positive)::BIGINT AS t
 SELECT t.*, "start", "end", pages AS span_pages, total_positive - total_negative AS raw_score, (total_positive - total_negative >= 80 AND hit_breadth >= 5 AND candidate_pages >= greatest(3, floor(total_pages * 0.06))) AS is_sustainability,
 coalesce(pages / greatest(1, total_pages) >= 0.72 AND candidate_pages / greatest(1, total_pages) >= 0.6, false) AS is_only FROM totals t LEFT JOIN best b USING (report_id)""")
 def intake_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = written(intake.score_pages(corpus.phrase_pages(spark, sf_dir)).drop("snippet"))
+    scores = written(_whole_scores(spark, sf_dir).drop("snippet"))
     return intake.intake_verdict(scores, intake.candidate_spans(scores))
 
 
@@ -461,8 +459,7 @@ _HITS_SQL = f"{_PAGES}, hits AS (SELECT report_id, page, unnest([{_PARTS_SQL}])
 
 @query(f"{_HITS_SQL} SELECT feature_key, count(*) AS hits, floor(count(*) * 100.0 / (SELECT count(*) FROM documents) + 0.5)::BIGINT AS hit_rate_pct, round(sum(occurrences) / count(*), 6) AS occurrences_per_hit, round(sum(pages) / count(*), 6) AS pages_per_hit FROM f GROUP BY 1")
 def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = corpus.phrase_pages(spark, sf_dir).select("report_id", (F.col("page") - 1).alias("block_idx"), F.col("page"), "text")
-    hits = features.count_features(blocks).where("feature_key <> 'scope3_categories'")
+    hits = features.count_features(_whole_blocks(spark, sf_dir)).where("feature_key <> 'scope3_categories'")
     return _rounded(analytics.feature_coverage(hits, _index(spark, sf_dir)), "occurrences_per_hit", "pages_per_hit")
 
 

@@ -186,3 +186,7 @@ for _name in ("intake_pages", "intake_spans", "intake_verdicts"):
     ORACLES[f"whole_{_name}"] = ORACLES[_name].replace(_PAGES, _WHOLE_PAGES)
 ORACLES["whole_feature_coverage"] = f"""WITH {COUNTS_SQL}, f AS (SELECT * FROM counts WHERE found AND feature_key <> '{SCOPE3_RULE}')
 SELECT feature_key, count(*) AS hits, floor(count(*) * 100.0 / (SELECT count(*) FROM documents) + 0.5)::BIGINT AS hit_rate_pct, round(sum(occurrences) / count(*), 6) AS occurrences_per_hit, round(sum(pages) / count(*), 6) AS pages_per_hit FROM f GROUP BY 1"""
+for _name in ("rule_counts", "scope3_counts", "intake_pages", "intake_spans", "intake_verdicts", "feature_coverage"):
+    ORACLES[_name] = ORACLES[f"whole_{_name}"]
+for _name in ("pages_to_review", "snippets_for_metadata", "combined_verdicts", "upload_ranges"):
+    ORACLES[_name] = ORACLES[_name].replace(_PAGES, _WHOLE_PAGES)
