@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -49,24 +50,66 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
+#: Pivots of a namespace at most, and how far rounding may move a bound.
+PIVOTS, SLACK = 64, 1e-5
+
+
+def _unit(c: str) -> Column:
+    """The vector over its length; null where it has none."""
+    size = F.sqrt(dot(F.col(c), F.col(c)))
+    return F.when(size > 0, F.transform(c, lambda x: x.cast("double") / size))
+
+
+def _cells(v: DataFrame, per_task: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors with the cell of their nearest pivot, the cells with their least and greatest angle to it, and the pivots of each namespace."""
+    sizes = v.groupBy("namespace").agg(F.least(F.lit(PIVOTS), F.ceil(F.sqrt(F.count("*")))).cast("int").alias("n_pivots"))
+    nth = F.row_number().over(Window.partitionBy("namespace").orderBy(F.xxhash64("id"), "id"))
+    few = v.withColumn("nth", nth).where(F.col("nth") <= PIVOTS).join(sizes, "namespace").where("nth <= n_pivots")
+    pivots = written(few.groupBy("namespace").agg(F.array_sort(F.collect_list(F.struct(F.col("nth").alias("cell"), F.col("u").alias("p")))).alias("pivots")))
+    nearest = F.array_max(F.transform("pivots", lambda p: F.struct(F.round(dot(p["p"], F.col("u")), 12).alias("near"), p["cell"].alias("cell"))))
+    placed = v.join(pivots, "namespace").withColumn("at", nearest).select("namespace", "id", "u", F.col("at.cell").alias("cell"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("at.near")))).alias("angle"))
+    placed = written(placed)
+    cells = placed.groupBy("namespace", "cell").agg(F.min("angle").alias("inner"), F.max("angle").alias("outer"), F.count("*").alias("n"))
+    return placed, written(cells.withColumn("salts", F.ceil(F.col("n") / per_task).cast("int"))), pivots
+
+
+def _ranked(pairs: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    order = [F.desc_nulls_last("similarity"), "id"]
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
 def top_k_chunks(queries: DataFrame, vectors: DataFrame, k: int = 8, per_task: int = 20_000) -> DataFrame:
     """``query_id, rank, id, similarity``: the ``k`` nearest vectors of a query's namespace by cosine, ties by id.
 
-    Queries and vectors meet on the namespace, which is dealt over as many salts as it has ``per_task`` vectors; each salt
-    keeps its ``k`` best first, so the vectors of a large namespace are ranked by many tasks.
+    Vectors stand in cells around pivots. A query reads the cells nearest to it until they hold ``k`` vectors; the k-th similarity found there
+    rules out every cell whose angles to its pivot can't, by the triangle inequality, hold a better one. The other cells are read whole, so nothing is missed. Cells of more
+    than ``per_task`` vectors are dealt over salts, each with its own ``k`` best. Vectors and queries of no length have a null similarity and come last, by id.
     """
-    length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    sizes = written(vectors.groupBy("namespace").agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts")))
-    q = queries.select("query_id", "namespace", F.col("values").alias("q")).withColumn("q_len", length("q")).join(sizes, "namespace")
-    v = vectors.select("id", "namespace", F.col("values").alias("v")).withColumn("v_len", length("v")).join(sizes, "namespace")
-    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    v = v.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
-    pairs = q.join(v, ["namespace", "salt"])
-    scored = pairs.select("query_id", "salt", "id", F.round(F.try_divide(dot(F.col("q"), F.col("v")), F.col("q_len") * F.col("v_len")), 9).alias("similarity"))
-    order = [F.desc_nulls_last("similarity"), "id"]
-    first = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*order))).where(F.col("rank") <= k)
-    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return best.where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+    v = written(vectors.select("namespace", "id", _unit("values").alias("u")))
+    placed, cells, pivots = _cells(v.where("u is not null"), per_task)
+    q = written(queries.select("query_id", "namespace", _unit("values").alias("q")))
+    # the cells of each query's namespace, by the angle to their pivots: a row a query and cell
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(dot(F.col("q"), F.col("pivot.p")), 12))))
+    seen = q.where("q is not null").join(pivots, "namespace").select("query_id", "namespace", "q", F.explode("pivots").alias("pivot")).select("query_id", "namespace", F.col("pivot.cell").alias("cell"), angle.alias("theta"))
+    near = Window.partitionBy("query_id", "namespace").orderBy("theta", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    looks = written(seen.join(cells, ["namespace", "cell"]).withColumn("first", F.coalesce(F.sum("n").over(near), F.lit(0)) < k))
+
+    def read(some: DataFrame) -> DataFrame:
+        asked = some.join(q, ["query_id", "namespace"]).select("query_id", "namespace", "cell", "q", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        dealt = placed.join(cells.select("namespace", "cell", "salts"), ["namespace", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+        pairs = asked.join(dealt, ["namespace", "cell", "salt"]).select("query_id", "cell", "salt", "id", F.round(dot(F.col("q"), F.col("u")), 9).alias("similarity"))
+        return _ranked(pairs, k, ["query_id", "cell", "salt"]).select("query_id", "id", "similarity")
+
+    first = written(read(looks.where("first")))
+    floor = _ranked(first, k, ["query_id"]).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("similarity")).alias("floor"))
+    between = F.greatest(F.lit(0.0), F.col("theta") - F.col("outer"), F.col("inner") - F.col("theta"))
+    able = F.col("floor").isNull() | (F.cos(F.least(between, F.lit(math.pi))) + SLACK >= F.col("floor"))
+    second = read(looks.where(~F.col("first")).join(floor, "query_id", "left").where(able))
+    # those without a similarity: the least ids of a namespace are enough
+    rest = F.lit(None).cast("double").alias("similarity")
+    flat = lambda rows: rows.withColumn("nth", F.row_number().over(Window.partitionBy("namespace").orderBy("id"))).where(F.col("nth") <= k).select("namespace", "id")
+    blank = q.join(flat(v.where("u is null")), "namespace").where("q is not null").select("query_id", "id", rest).unionByName(q.where("q is null").join(flat(v), "namespace").select("query_id", "id", rest))
+    return _ranked(first.unionByName(second).unionByName(blank), k, ["query_id"]).select("query_id", "rank", "id", "similarity")
 
 
 def retrieved_context(hits: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -57,7 +57,10 @@ def _read(spark: SparkSession, path: str, held: Manifest, schema: T.StructType)
 
 def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The rows of the table as the newest batch left it, in the columns of ``schema``; none where there is no batch."""
-    return _read(spark, path, manifest(spark, path), schema).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+    rows = _read(spark, path, manifest(spark, path), schema)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    cell = lambda f: F.col(f"`{f.name}`") if kinds[f.name] == f.dataType.simpleString() else F.col(f"`{f.name}`").cast(f.dataType).alias(f.name)
+    return rows.select(*map(cell, schema))
 
 
 def count_buckets(spark: SparkSession, path: str) -> int:

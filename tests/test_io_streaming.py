@@ -6,8 +6,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
+import bench
 from ledgerleaf.operators import scoring
-from ledgerleaf.sources import io
+from ledgerleaf.plans import registry
+from ledgerleaf.sources import buckets, io
 from ledgerleaf.streaming import jobs
 
 
@@ -46,14 +49,39 @@ def test_uploads_markdown_and_binaries(spark, tmp_path):
 def test_scores_are_replaced_by_key(spark, tmp_path):
     a = spark.createDataFrame([(1, "r1", 10), (1, "r2", 20)], "version int, report_id string, score int")
     b = spark.createDataFrame([(1, "r2", 30), (2, "r1", 40)], a.schema)
-    first = io.write_scores(a, str(tmp_path / "s"))
-    second = io.write_scores(b, str(tmp_path / "s"), spark.read.parquet(first))
-    assert {(r.version, r.report_id, r.score) for r in spark.read.parquet(second).collect()} == {(1, "r1", 10), (1, "r2", 30), (2, "r1", 40)}
+    path, show = str(tmp_path / "s"), lambda: {(r.version, r.report_id, r.score) for r in buckets.read_buckets(spark, path, a.schema).collect()}
+    assert io.write_scores(a, path) == 2
+    for _ in range(2):  # the same batch again
+        assert io.write_scores(b, path, 1) == 3
+        assert show() == {(1, "r1", 10), (1, "r2", 30), (2, "r1", 40)}
+    wider = spark.createDataFrame([(1, "r1", 11, "x")], "version int, report_id string, score int, note string")
+    io.write_scores(wider, path)
+    io.write_scores(a.where("report_id = 'r2'"), path)  # a narrower batch keeps the other rows' columns
+    assert {(r.report_id, r.version): r.note for r in buckets.read_buckets(spark, path, wider.schema).collect()} == {("r1", 1): "x", ("r2", 1): None, ("r1", 2): None}
+    assert buckets.count_buckets(spark, path) == 3 and io.write_scores(a.limit(0), path) == 3
+
+
+def test_batches_read_their_buckets_and_compaction_keeps_the_rest(spark, tmp_path):
+    path, kinds = str(tmp_path / "t"), "report_id string, n int"
+    rows = lambda ids, n: spark.createDataFrame([(f"r{i}", n) for i in ids], kinds)
+    show = lambda: {(r.report_id, r.n) for r in buckets.read_buckets(spark, path, rows([], 0).schema).collect()}
+    assert show() == set() and buckets.count_buckets(spark, path) == 0
+    buckets.upsert_buckets(rows(range(200), 1), path, ["report_id"], 0)
+    buckets.upsert_buckets(rows([5], 2), path, ["report_id"], 1)
+    written = [p for p in (tmp_path / "t" / "data" / "batch=1").glob("bucket=*")]
+    assert len(written) == 1 and buckets.count_buckets(spark, path) == 200
+    (tmp_path / "t" / "data" / "batch=2" / "bucket=0").mkdir(parents=True)  # a batch that failed before its manifest
+    expected = {(f"r{i}", 2 if i == 5 else 1) for i in range(200)}
+    assert show() == expected
+    assert buckets.compact_buckets(spark, path) == 1 and show() == expected  # the one bucket that batch 1 replaced
+    assert buckets.compact_buckets(spark, path) == 0
+    buckets.upsert_buckets(rows(range(200, 210), 3), path, ["report_id"], 2)
+    assert len(show()) == buckets.count_buckets(spark, path) == 210
 
 
 def test_exports(spark, tmp_path):
     row = spark.createDataFrame([("report-1", 'A "B" Co', "DE", None, "Banks, x", 2020, 71.5, "medium", 1.4, 2.5, 3.0, None, "k")], "report_id string, company string, country string, sector string, industry string, year int, score double, band string, completeness double, consistency double, assurance double, transparency double, report_key string")
-    io.export_scored_csv(row, str(tmp_path / "csv"))
+    io.export_scored_csv(row.coalesce(1), str(tmp_path / "csv"))
     lines = "".join(p.read_text() for p in (tmp_path / "csv").glob("part-*")).splitlines()
     assert lines == [",".join(io.CSV_COLUMNS), 'report-1,"A ""B"" Co",DE,,"Banks, x",2020,72,medium,1,3,3,,k']
     io.export_scored_json(row, str(tmp_path / "json"))
@@ -82,7 +110,19 @@ def test_scores_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs"))
     jobs.stream_scores(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     show = lambda df: {(r.report_id, r.score, r.band) for r in df.collect()}
-    assert show(spark.read.parquet(str(tmp_path / "out") + "/batch=0")) == show(scoring.score_reports(docs))
+    table = lambda: buckets.read_buckets(spark, str(tmp_path / "out"), scoring.score_reports(docs).schema)
+    assert show(table()) == show(scoring.score_reports(docs))
+    more = spark.createDataFrame([("report-1", "Nothing here any more."), ("report-3", "Water and waste.")], docs.schema)
+    more.write.mode("append").parquet(str(tmp_path / "docs"))
+    jobs.stream_scores(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()  # a restart takes the new files only
+    assert show(table()) == show(scoring.score_reports(more.unionByName(docs.where("report_id = 'report-2'"))))
+
+
+def test_stale_scores(spark):
+    docs = spark.createDataFrame([("a", "Our scope 1 target is net zero by 2040."), ("b", None), ("c", "text of water"), ("d", "x")], "report_id string, text string")
+    old = spark.createDataFrame([("a", "old"), ("a", "older"), ("b", "old"), ("c", scoring.METHOD_KIND), ("e", "old"), ("d", None)], "report_id string, method_kind string")
+    made = {r.report_id: (r.migrated_from, r.method_kind) for r in scoring.stale_scores(old, docs).collect()}
+    assert made == {"a": ("old", scoring.METHOD_KIND), "d": (None, scoring.METHOD_KIND)}
 
 
 def events(spark):
@@ -133,3 +173,13 @@ def test_staging_and_dedupe(spark, tmp_path):
     stream.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("once").count() == 2
     assert spark.table("once").select(F.count_distinct("sha256")).first()[0] == 2
+
+
+def test_first_upload_of_each_hash_stays(spark, sf):
+    made = registry.QUERIES["uploads_without_repeats"](spark, sf).collect()
+    assert sorted(r.upload_id for r in made) == list(range(200)) and len({r.sha256 for r in made}) == 200
+
+
+def test_bench_times_the_text_heavy_queries():
+    assert {"rule_counts", "ranked_evidence", "grounded_entities"} <= set(bench.HEADLINE)
+    assert set(bench.HEADLINE) - set(__spark_entry__.queries()) <= {n for n in bench.HEADLINE if n.startswith("op") or n == "pipeline"}
