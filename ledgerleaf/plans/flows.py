@@ -7,11 +7,12 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions.rules import RULE_KEYS
 from ledgerleaf.operators import conversations, intake, retrieval, routing, scoring, segment
 from ledgerleaf.plans import corpus
-from ledgerleaf.plans.reach import SEEDED_SQL, _fresh, _length_embedder, _sql_collapse, _sql_trim
-from ledgerleaf.plans.registry import _read, _rounded, query
-from ledgerleaf.plans.scoring_sql import RECORDS_SQL
+from ledgerleaf.plans.reach import _LINE_ENTITIES_SQL, _LINES_SQL, SEEDED_SQL, _fresh, _length_embedder, _sql_collapse, _sql_trim
+from ledgerleaf.plans.registry import ORACLES, _read, _rounded, query
+from ledgerleaf.plans.scoring_sql import QUOTES_SQL, RECORDS_SQL
 from ledgerleaf.sources import buckets, io
 from ledgerleaf.sources.tables import written
 from ledgerleaf.streaming import jobs
@@ -217,3 +218,10 @@ def fitted_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.fit_context(messages, offered, 4096)
 
 
+ORACLES["context_fit"] = ORACLES["fitted_contexts"]
+
+# All quotes of the reports as entities, in the order of the rules: the SQL of the quotes, then that of the grounding with its own names
+_QUOTE_ENTITIES = """ents AS (SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY position, rank) AS chunk_index, text AS extraction_text FROM ranked JOIN positions USING (feature_key) WHERE rank <= quotes AND text <> '')"""
+_POSITIONS = ", ".join(f"('{k}', {i})" for i, k in enumerate(RULE_KEYS))
+_GROUNDED = ORACLES["grounded_lines"].removeprefix("WITH RECURSIVE ").replace(f"{_LINES_SQL}, ", "", 1).replace("seqs", "ground_seqs").replace(_LINE_ENTITIES_SQL, _QUOTE_ENTITIES)
+ORACLES["grounded_entities"] = f"WITH RECURSIVE {QUOTES_SQL}, positions(feature_key, position) AS (VALUES {_POSITIONS}), " + _GROUNDED.replace("extraction_text, page, title AS heading FROM ready", "0 AS position, 'energy' AS extraction_class, extraction_text, 'E' AS pillar, page, title AS heading FROM ready")
