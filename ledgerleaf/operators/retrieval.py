@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,14 +52,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
-#: Pivots of a namespace at most, and how far rounding may move a bound.
-PIVOTS, SLACK = 64, 1e-5
+#: Pivots of a namespace at most, how far rounding may move a bound, queries of a block about, and numbers of a matrix in a task at most.
+PIVOTS, SLACK, QUERIES, MATRIX = 64, 1e-5, 4096, 4_000_000
 
 
 def _unit(c: str) -> Column:
-    """The vector over its length; null where it has none."""
+    """The vector over its length; null where it has none that is a finite number above zero."""
     size = F.sqrt(dot(F.col(c), F.col(c)))
-    return F.when(size > 0, F.transform(c, lambda x: x.cast("double") / size))
+    return F.when((size > 0) & (size < float("inf")), F.transform(c, lambda x: x.cast("double") / size))
 
 
 def _cells(v: DataFrame, per_task: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,29 +80,60 @@ def _ranked(pairs: DataFrame, k: int, keys: list[str]) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def _best(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
+    """The ``k`` best of the held vectors for each query, ties by id, by matrix products; none below a query's ``floor``."""
+    if asked.num_rows == 0 or held.num_rows == 0:
+        return pa.table({"query_id": asked["query_id"].slice(0, 0), "id": held["id"].slice(0, 0), "similarity": pa.array([], pa.float64())})
+    matrix = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+    held = held.sort_by("id")
+    q, u = matrix(asked, "q"), matrix(held, "u")
+    floor = asked["floor"].to_pandas().fillna(-2.0).to_numpy(dtype=float)
+    step, made = max(1, MATRIX // len(u)), []
+    for at in range(0, len(q), step):
+        near = np.round(q[at : at + step] @ u.T, 9)
+        least = floor[at : at + step]
+        if len(u) > k:
+            least = np.maximum(least, -np.partition(-near, k - 1, axis=1)[:, k - 1])
+        row, col = np.nonzero(near >= least[:, None])
+        value = near[row, col]
+        order = np.lexsort((col, -value, row))
+        row, col, value = row[order], col[order], value[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        made.append((row[nth < k] + at, col[nth < k], value[nth < k]))
+    row, col, value = (np.concatenate(x) for x in zip(*made, strict=True))
+    return pa.table({"query_id": asked["query_id"].take(pa.array(row)), "id": held["id"].take(pa.array(col)), "similarity": pa.array(value)})
+
+
 def top_k_chunks(queries: DataFrame, vectors: DataFrame, k: int = 8, per_task: int = 20_000) -> DataFrame:
     """``query_id, rank, id, similarity``: the ``k`` nearest vectors of a query's namespace by cosine, ties by id.
 
     Vectors stand in cells around pivots. A query reads the cells nearest to it until they hold ``k`` vectors; the k-th similarity found there
-    rules out every cell whose angles to its pivot can't, by the triangle inequality, hold a better one. The other cells are read whole, so nothing is missed. Cells of more
-    than ``per_task`` vectors are dealt over salts, each with its own ``k`` best. Vectors and queries of no length have a null similarity and come last, by id.
+    rules out every cell whose angles to its pivot can't, by the triangle inequality, hold a better one. The other cells are read whole, so nothing is missed.
+    A cell meets its queries in blocks, of about ``per_task`` vectors and ``QUERIES`` queries each, by matrix products; a block gives only its ``k`` best of each query.
+    Vectors and queries of no finite length have a null similarity and come last, by id. The vectors of a namespace and their queries have one number of dimensions.
     """
     v = written(vectors.select("namespace", "id", _unit("values").alias("u")))
     placed, cells, pivots = _cells(v.where("u is not null"), per_task)
     q = written(queries.select("query_id", "namespace", _unit("values").alias("q")))
+    blocks = q.groupBy("namespace").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    cells = written(cells.join(blocks, "namespace"))
     # the cells of each query's namespace, by the angle to their pivots: a row a query and cell
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(dot(F.col("q"), F.col("pivot.p")), 12))))
     seen = q.where("q is not null").join(pivots, "namespace").select("query_id", "namespace", "q", F.explode("pivots").alias("pivot")).select("query_id", "namespace", F.col("pivot.cell").alias("cell"), angle.alias("theta"))
     near = Window.partitionBy("query_id", "namespace").orderBy("theta", "cell").rowsBetween(Window.unboundedPreceding, -1)
     looks = written(seen.join(cells, ["namespace", "cell"]).withColumn("first", F.coalesce(F.sum("n").over(near), F.lit(0)) < k))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["namespace", "cell", "salt", "block"]
+    dealt = placed.join(cells.select("namespace", "cell", "salts", "blocks"), ["namespace", "cell"]).select("namespace", "cell", part("id", "salts").alias("salt"), every("blocks").alias("block"), "id", "u")
+    kinds = {c: f.dataType.simpleString() for c, f in (("query_id", q.schema["query_id"]), ("id", v.schema["id"]))}
 
     def read(some: DataFrame) -> DataFrame:
-        asked = some.join(q, ["query_id", "namespace"]).select("query_id", "namespace", "cell", "q", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        dealt = placed.join(cells.select("namespace", "cell", "salts"), ["namespace", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-        pairs = asked.join(dealt, ["namespace", "cell", "salt"]).select("query_id", "cell", "salt", "id", F.round(dot(F.col("q"), F.col("u")), 9).alias("similarity"))
-        return _ranked(pairs, k, ["query_id", "cell", "salt"]).select("query_id", "id", "similarity")
+        asked = some.join(q, ["query_id", "namespace"]).select("namespace", "cell", every("salts").alias("salt"), part("query_id", "blocks").alias("block"), "query_id", "q", "floor")
+        met = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys))
+        return met.applyInArrow(lambda a, b: _best(a, b, k), f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double")
 
-    first = written(read(looks.where("first")))
+    first = written(read(looks.where("first").withColumn("floor", F.lit(None).cast("double"))))
     floor = _ranked(first, k, ["query_id"]).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("similarity")).alias("floor"))
     between = F.greatest(F.lit(0.0), F.col("theta") - F.col("outer"), F.col("inner") - F.col("theta"))
     able = F.col("floor").isNull() | (F.cos(F.least(between, F.lit(math.pi))) + SLACK >= F.col("floor"))

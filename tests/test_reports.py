@@ -294,7 +294,8 @@ def place(needles, tokens, pages):
     return out
 
 
-def test_nearest_chunks_against_brute_force(spark):
+def test_nearest_chunks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERIES", 4)
     rng = random.Random(9)
     centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
     point = lambda: [round(c + rng.gauss(0, 0.05), 3) for c in rng.choice(centres)]
@@ -319,6 +320,25 @@ def test_nearest_chunks_against_brute_force(spark):
             assert {i for i, s in mine if s != best[-1][1]} == {i for i, s in best if s != best[-1][1]}
 
 
+def test_best_of_a_block_keeps_ties_by_id_and_the_floor(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieval, "MATRIX", 7)
+    rng = random.Random(4)
+    spots = [[1.0, 0.0], [0.0, 1.0], [0.6, 0.8], [-1.0, 0.0]]
+    held = [(f"v{i:02d}", rng.choice(spots)) for i in range(30)]
+    asked = [(i, spots[i % 4], [None, 0.6, 1.1][i % 3]) for i in range(12)]
+    tables = [pa.table({"query_id": [a for a, _, _ in asked], "q": [b for _, b, _ in asked], "floor": pa.array([c for _, _, c in asked], pa.float64())}), pa.table({"id": [a for a, _ in held], "u": [b for _, b in held]})]
+    for k in (1, 5, 40):
+        made = {}
+        for r in retrieval._best(*tables, k).to_pylist():
+            made.setdefault(r["query_id"], []).append((r["id"], r["similarity"]))
+        for query, q, floor in asked:
+            near = [(i, round(q[0] * u[0] + q[1] * u[1], 9)) for i, u in held]
+            assert made.get(query, []) == sorted([x for x in near if floor is None or x[1] >= floor], key=lambda x: (-x[1], x[0]))[:k]
+    assert retrieval._best(tables[0], tables[1].slice(0, 0), 5).num_rows == 0
+
+
 def test_grounding_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(entities, "CELL_PAGES", 3)
     monkeypatch.setattr(entities, "CELL_NEEDLES", 4)
