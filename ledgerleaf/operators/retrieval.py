@@ -59,7 +59,8 @@ PIVOTS, SLACK, QUERIES, MATRIX = 64, 1e-5, 4096, 4_000_000
 def _unit(c: str) -> Column:
     """The vector over its length; null where it has none that is a finite number above zero."""
     size = F.sqrt(dot(F.col(c), F.col(c)))
-    return F.when((size > 0) & (size < float("inf")), F.transform(c, lambda x: x.cast("double") / size))
+    each = F.zip_with(F.col(c), F.array_repeat(size, F.size(c)), lambda x, n: x.cast("double") / n)  # the length once a row, not once a number
+    return F.when((size > 0) & (size < float("inf")), each)
 
 
 def _cells(v: DataFrame, per_task: int) -> tuple[DataFrame, DataFrame, DataFrame]:
