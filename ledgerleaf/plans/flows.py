@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.rules import RULE_KEYS
-from ledgerleaf.operators import conversations, intake, retrieval, routing, scoring, segment
+from ledgerleaf.operators import conversations, intake, retrieval, routing, scoring, search_index, segment
 from ledgerleaf.plans import corpus
 from ledgerleaf.plans.reach import _LINE_ENTITIES_SQL, _LINES_SQL, SEEDED_SQL, _fresh, _length_embedder, _sql_collapse, _sql_trim
 from ledgerleaf.plans.registry import ORACLES, _read, _rounded, query
@@ -107,6 +107,26 @@ def duplicate_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("upload_id", "same_hash", "same_company_year", F.coalesce(F.array_join("examples", " "), F.lit("")).alias("examples"))
 
 
+# Search by stored trigrams
+
+_ASKED = """SELECT DISTINCT CASE doc_id % 200 WHEN 0 THEN concat('Cómpany ', cast(year AS string)) WHEN 50 THEN concat_ws(' / ', sector, country, cast(year AS string)) WHEN 100 THEN concat('OMPANY-0 ', right(cast(year AS string), 2)) ELSE concat(right(cast(year AS string), 2), ' sr or 0') END AS query
+FROM catalogue WHERE doc_id % 50 = 0"""
+_FOLDED = lambda c: f"trim(regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH catalogue AS ({corpus.CATALOGUE_SQL}), q AS (SELECT query, string_split({_FOLDED("query")}, ' ') AS words FROM ({_ASKED})),
+b AS (SELECT report_id, {_FOLDED("concat_ws(' ', company, sector, country, year::VARCHAR)")} AS blob FROM catalogue)
+SELECT query, report_id FROM q JOIN b ON len(list_filter(words, lambda w: NOT contains(blob, w))) = 0""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches made of every fiftieth report's fields, whole words and parts of them, against all reports, by the stored index."""
+    reports = corpus.catalogue(spark, sf_dir)
+    reports.createOrReplaceTempView("catalogue")
+    path = _fresh(reports, "search")
+    search_index.index_reports(reports, path, ["company", "sector", "country", "year"])
+    asked = spark.sql(_ASKED).select(F.col("query").alias("query_id"), "query")
+    return search_index.search_indexed(spark, path, asked).select(F.col("query_id").alias("query"), F.col("id").alias("report_id"))
+
+
 # Chunks of whole texts, by a step from each cut to the next
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from ledgerleaf.functions import dimensions, folding, rules, text
-from ledgerleaf.operators import analytics, catalog, conversations, entities, features, intake, retrieval, routing, scoring, segment
+from ledgerleaf.operators import analytics, catalog, conversations, entities, features, intake, retrieval, routing, scoring, search_index, segment
 from ledgerleaf.plans import registry
 
 
@@ -320,6 +320,33 @@ def test_nearest_chunks_against_brute_force(spark, monkeypatch):
             assert {i for i, s in mine if s != best[-1][1]} == {i for i, s in best if s != best[-1][1]}
 
 
+def test_search_by_stored_trigrams_equals_the_scan(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search_index, "PER_TASK", 7)
+    rng = random.Random(12)
+    words = ["Société", "Générale", "ACME", "ac", "me", "x", "7", "2020", "Co.", "&", "energy", "ENERGÍA", "é", "a-b"]
+    rows = [(f"r{i}", " ".join(rng.choices(words, k=rng.randint(0, 4))), rng.choice([None, "S 1", "Sector 12"]), rng.choice([None, 2019, 2020])) for i in range(120)]
+    rows += [("empty", "", None, None), ("long", "acme energy " * 3000 + "zq", None, None), (None, "acme", None, None)]
+    df = spark.createDataFrame(rows, "report_id string, company string, blob string, year int").withColumn("gram", F.lit("x"))
+    fields, path = ["company", "blob", "year"], str(tmp_path / "index")
+    search_index.index_reports(df, path, fields)
+    asked = ["", None, "  ", "acme", "me", "e", "zq", "energ 20", "ENERGÍA 7", "société générale", "acme x 2020", "qqq", "acme qq", "q", "y a", "s 1", "ector 12 019", "& é", "me me me", "acme energy", "ergia"]
+    made = {}
+    for r in search_index.search_indexed(spark, path, spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")).collect():
+        made.setdefault(r.query_id, []).append(r.id)
+    blobs = {i: folding.fold(" ".join(str(x) for x in rest if x is not None)) for i, *rest in rows if i is not None}
+    for n, query in enumerate(asked):
+        want = [i for i, blob in blobs.items() if all(w in blob for w in folding.fold(query or "").split(" "))]
+        assert sorted(made.get(n, [])) == sorted(want), query
+        if query is not None:
+            assert sorted(want) == sorted(r.report_id for r in catalog.search_reports(df, query, fields).collect() if r.report_id is not None), query
+    # a search of one word reads the partitions of its rarest trigrams
+    one = search_index.search_indexed(spark, path, spark.createDataFrame([(0, "energia")], "query_id int, query string"))
+    listed = re.search(r"PartitionFilters: \[[^\]]*part#\d+ IN \(([^)]*)\)", one._jdf.queryExecution().executedPlan().toString())
+    assert listed and len(listed[1].split(",")) <= search_index.LOOKED_UP
+    search_index.index_reports(df.limit(0), path + "-none", fields)
+    assert search_index.search_indexed(spark, path + "-none", spark.createDataFrame([(0, "acme"), (1, "")], "query_id int, query string")).count() == 0
+
+
 def test_best_of_a_block_keeps_ties_by_id_and_the_floor(monkeypatch):
     import pyarrow as pa
 
