@@ -83,6 +83,9 @@ def search_indexed(spark: SparkSession, path: str, queries: DataFrame) -> DataFr
     sought = looked.select("query_id", "gram", "needed", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     postings = _postings(spark, path).where(F.col("part").isin(parts))
     postings = postings.join(F.broadcast(counts), "gram").select("gram", "id", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    # the stored postings are few bytes and Spark would read them in one task; how many pairs they make is known
+    pairs = looked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    postings = postings.repartition(max(1, -(-pairs // PER_TASK)), "gram", F.xxhash64("id"))
     met = sought.join(postings, ["gram", "salt"]).groupBy("query_id", "id").agg(F.count("*").alias("n"), F.first("needed").alias("needed"))
     rows = met.where("n >= needed").select("query_id", "id").join(spark.read.parquet(f"{path}/rows"), "id").join(asked, "query_id")
     return rows.where(F.forall("words", lambda w: F.col("blob").contains(w))).select("query_id", "id")
