@@ -589,3 +589,26 @@ def test_ids_are_numbered_by_ranges(spark, monkeypatch):
     assert made.columns == ["upload_id", "n", "report_id"]
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "row_number" not in plan and plan.count("Window") <= 2  # offsets only
+
+
+def test_odd_lines_give_the_same_blocks_in_one_reading_as_line_by_line(spark, monkeypatch):
+    rng = random.Random(9)
+    parts = ["# Page {n}", "###  Page  00{n}  A title ", "Page {n}:\u0085", "# Page 99999999999 far", "[...SNIPPED...]\u0085", " [...snipped...] ", "#  ", "# He ad", "- ", "- item {n}", "1.  item", "12. Straße-", "über |a|b|", "```x", "page 3:", "a\u0001b  c\td", "ﬁne­ print​ {n}", "ANNUAL REPORT 2024", "İstanbul Annual Report 2{n}", "line\r", "x\r\ny", "--- Page 4 ---", "　", "\U00010400 letters and 123456 digits", "Words of a paragraph {n}"]
+    reports = [(f"r{k}", "\n".join(rng.choice(parts).format(n=i % 5) for i in range(rng.randrange(60)))) for k in range(60)]
+    docs = spark.createDataFrame(reports, "report_id string, text string")
+    made = []
+    for lines in (20_000, 3):
+        monkeypatch.setattr(segment, "RANGE_LINES", lines)
+        made.append(sorted(map(str, segment.evidence_blocks(docs, most=None).collect())))
+    assert made[0] == made[1] and len(made[0]) > 300
+
+
+def test_evidence_blocks_shuffle_texts_and_no_lines(spark):
+    docs = spark.createDataFrame([("r", "# Page 1\nWords of a paragraph")], "report_id string, text string")
+    plan = segment.evidence_blocks(docs, most=None)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") <= 1
+
+
+def test_years_that_stand_four_times_count(spark):
+    corpus = spark.createDataFrame([("r", "2019 2019 2019,2019 12020 2020 2021 2021 2021 2021 é2021 2022x")], "report_id string, corpus string")
+    assert features.quantitative_profile(corpus).first().distinct_years == 2
