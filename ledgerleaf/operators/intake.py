@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerleaf.functions.rules import count_in, keywords, may_match, once, plain_words
+from ledgerleaf.functions.blocks import rows_with_hits
+from ledgerleaf.functions.rules import once
 from ledgerleaf.functions.text import collapse_whitespace
 from ledgerleaf.sources.tables import written
 
@@ -38,20 +39,16 @@ SALTS = 64
 def score_pages(pages: DataFrame, page_chars: int | None = None) -> DataFrame:
     """``report_id, page, score, positive, negative, is_candidate, hit_keys, snippet`` of each page; of its first ``page_chars`` characters, if given (a request reads PAGE_CHARS)."""
     lower = F.lower("text" if page_chars is None else F.substring("text", 1, page_chars))
-    rows = once(pages, {"head": plain_words(lower)})
-    rows = once(rows, {"known": keywords(F.col("head"), [*(p for p, _ in POSITIVE.values()), *(p for p, _ in NEGATIVE)])})
-
-    def count(pattern: str, cap: int) -> Column:
-        n, possible = F.least(count_in(F.col("head"), pattern), F.lit(cap)), may_match(F.col("known"), pattern)
-        return n if possible is None else F.when(possible, n).otherwise(0)
-
-    hits = F.array(*[F.struct(F.lit(k).alias("key"), count(p, POSITIVE_CAP).alias("n"), F.lit(w).alias("w")) for k, (p, w) in POSITIVE.items()])
-    negative = reduce(lambda a, b: a + b, [count(p, NEGATIVE_CAP) * w for p, w in NEGATIVE])
-    rows = once(rows, {"hits": F.filter(hits, lambda h: h["n"] > 0), "negative": F.coalesce(negative, F.lit(0))})
-    rows = rows.withColumn("positive", F.aggregate("hits", F.lit(0), lambda a, h: a + h["n"] * h["w"])).withColumn("score", F.col("positive") - F.col("negative"))
+    signs = [*((k, p, POSITIVE_CAP, w, 0) for k, (p, w) in POSITIVE.items()), *((f"_negative_{i}", p, NEGATIVE_CAP, 0, w) for i, (p, w) in enumerate(NEGATIVE))]
+    rows = pages.select("report_id", "page", lower.alias("head"), F.substring(collapse_whitespace(F.col("text")), 1, 420).alias("snippet"))
+    rows = rows_with_hits(rows, {k: (p, True) for k, p, *_ in signs}, "head", all_rows=True).drop("head")
+    of_key = F.create_map(*[x for k, _, cap, w, v in signs for x in (F.lit(k), F.struct(F.lit(cap).alias("cap"), F.lit(w).alias("w"), F.lit(v).alias("v")))])
+    points = lambda side: F.aggregate("hits", F.lit(0), lambda a, h: a + F.least(h["n"], of_key[h["part"]]["cap"]) * of_key[h["part"]][side])
+    rows = once(rows, {"positive": points("w"), "negative": points("v")}).withColumn("score", F.col("positive") - F.col("negative"))
+    keys = F.transform(F.filter("hits", lambda h: ~h["part"].startswith("_")), lambda h: h["part"])
     return rows.select(
         "report_id", "page", "score", "positive", "negative", ((F.col("score") >= 8) | (F.col("positive") >= 12)).alias("is_candidate"),
-        F.transform("hits", lambda h: h["key"]).alias("hit_keys"), F.substring(collapse_whitespace(F.col("text")), 1, 420).alias("snippet"),
+        keys.alias("hit_keys"), "snippet",
     )
 
 

@@ -612,3 +612,14 @@ def test_evidence_blocks_shuffle_texts_and_no_lines(spark):
 def test_years_that_stand_four_times_count(spark):
     corpus = spark.createDataFrame([("r", "2019 2019 2019,2019 12020 2020 2021 2021 2021 2021 é2021 2022x")], "report_id string, corpus string")
     assert features.quantitative_profile(corpus).first().distinct_years == 2
+
+
+def test_pages_are_read_once_for_all_signs(spark):
+    texts = ["ESG and esg, CO2e; scope 1, Scope  3", "notes to the consolidated financial statements. Dividend " * 20, "", None, "énergie energy WATER " * 15, "esgé Kelvin K ifrs s1"]
+    pages = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "report_id string, page int, text string")
+    scores = intake.score_pages(pages)
+    assert "MapInArrow" in scores._jdf.queryExecution().executedPlan().toString()
+    for r in scores.collect():
+        hits = {k: min(20, len(re.findall(p, (texts[r.page] or "").lower(), re.A))) for k, (p, _) in intake.POSITIVE.items()}
+        assert r.positive == sum(n * intake.POSITIVE[k][1] for k, n in hits.items()) and r.hit_keys == [k for k, n in hits.items() if n]
+        assert r.negative == sum(min(15, len(re.findall(p, (texts[r.page] or "").lower(), re.A))) * w for p, w in intake.NEGATIVE)
