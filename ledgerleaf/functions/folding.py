@@ -6,10 +6,12 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerleaf.functions.blocks import slices
 from ledgerleaf.functions.text import collapse_whitespace
 
 _MARKS = re.compile("[̀-ͯ]")
@@ -32,9 +34,12 @@ def repaired(text: str) -> str:
     return decoded if decoded and _penalty(decoded) < _penalty(text) else text
 
 
-@F.pandas_udf(T.StringType())
-def _fold(texts: pd.Series) -> pd.Series:
-    return texts.map(fold, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _fold(texts: pa.Array) -> pa.Array:
+    # only a slice's texts are Python strings at a time, not a batch's
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    made = [pa.array([None if t is None else fold(t) for t in part.column(0).to_pylist()], pa.string()) for part in slices(batch, 0)]
+    return pa.concat_arrays(made) if made else pa.array([], pa.string())
 
 
 @F.pandas_udf(T.StringType())

@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -623,3 +624,14 @@ def test_pages_are_read_once_for_all_signs(spark):
         hits = {k: min(20, len(re.findall(p, (texts[r.page] or "").lower(), re.A))) for k, (p, _) in intake.POSITIVE.items()}
         assert r.positive == sum(n * intake.POSITIVE[k][1] for k, n in hits.items()) and r.hit_keys == [k for k, n in hits.items() if n]
         assert r.negative == sum(min(15, len(re.findall(p, (texts[r.page] or "").lower(), re.A))) * w for p, w in intake.NEGATIVE)
+
+
+def test_folding_holds_a_slice_of_texts(spark, monkeypatch):
+    texts = ["Éclair", None, "Straße", "ñ" * 10] * 300
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    made = [r.f for r in rows.select("i", folding.search_fold(F.col("t")).alias("f")).orderBy("i").collect()]
+    assert made == [folding.fold(t or "") for t in texts]
+    held = []
+    monkeypatch.setattr(folding, "fold", lambda t: held.append(t) or t)
+    monkeypatch.setattr(folding, "slices", lambda batch, at: [held.append("|") or batch.slice(i, 1) for i in range(batch.num_rows)])
+    assert folding._fold.func(pa.array(["a", None])).to_pylist() == ["a", None] and held == ["|", "|", "a"]
