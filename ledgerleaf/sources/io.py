@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ledgerleaf.functions.blocks import slices
 from ledgerleaf.sources.buckets import next_batch, upsert_buckets
 
 CORRUPT = "_corrupt_record"
@@ -23,6 +30,11 @@ UPLOAD_SCHEMA = T.StructType([
 PAGE_SCHEMA = "k string, local_path string, year int, slug string, report_id string, company string, country string, sector string, industry_group string, page int, text string, text_chars int"
 CHUNK_SCHEMA = "k string, report_id string, company string, country string, sector string, industry_group string, year int, page int, chunk_in_page int, text string, token_count int"
 
+#: Files of a folder at most, so that folders are listed by many tasks.
+FOLDER_FILES = 1024
+#: Bytes of small files that a task reads, about.
+TASK_BYTES = 16 << 20
+
 CSV_COLUMNS = ["report_id", "company", "country", "sector", "industry", "year", "score", "band", "completeness", "consistency", "assurance", "transparency", "report_key"]
 
 
@@ -60,18 +72,50 @@ def read_upload_records(spark: SparkSession, folder: str, glob: str = "*.json")
     return _projected(raw)
 
 
+def _in_tasks(rows: DataFrame) -> DataFrame:
+    """Rows of small files in tasks of about TASK_BYTES, but some for every core: Spark's own partitions count each file as megabytes, down to a task a file."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.coalesce(max(4 * rows.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
+
+
 def read_markdown_corpus(spark: SparkSession, folder: str, prefix: str = "", extension: str = "md") -> DataFrame:
     """``report_key, text``: a text file a report, its key from its path below ``folder``."""
     rows = spark.read.option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", True).text(folder, wholetext=True)
     below = F.regexp_extract("_metadata.file_path", rf"(reports/.*)\.{extension}$", 1)
     key = F.when(below != "", F.concat(F.lit(prefix), below, F.lit(".pdf"))).otherwise(F.regexp_replace("_metadata.file_name", rf"\.{extension}$", ".pdf"))
-    return rows.select(key.alias("report_key"), F.col("value").alias("text"))
+    return _in_tasks(rows.select(key.alias("report_key"), F.col("value").alias("text")))
 
 
 def inventory_binaries(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """``path, size, sha256, has_signature`` of each file."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
-    return rows.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("has_signature"))
+    return _in_tasks(rows).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("has_signature"))
+
+
+def write_text_files(rows: DataFrame, folder: str) -> int:
+    """A file for each row of ``name, text`` in ``folder``, which all executors see: ``N/name.K.txt``, K being the row's number and N that of some FOLDER_FILES rows. Returns how many.
+
+    Executors write the files where the rows are. A file appears whole under its name, and a task that runs again writes the same files; so nothing is left to be moved at the end.
+    """
+    numbered = rows.select("name", "text", F.monotonically_increasing_id().alias("row"))
+    files, root = fs.FileSystem.from_uri(folder if ":" in folder else os.path.abspath(folder))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = None
+        for batch in batches:
+            for part in slices(batch, 1):
+                for name, text, row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    below = f"{root}/{row // FOLDER_FILES:x}"
+                    if below != made:
+                        files.create_dir(below)
+                        made = below
+                    hidden = f"{below}/.{uuid.uuid4().hex}"
+                    with files.open_output_stream(hidden) as out:
+                        out.write((text or "").encode())
+                    files.move(hidden, f"{below}/{name}.{row}.txt")
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows])], names=["n"])
+
+    return numbered.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_scores(scores: DataFrame, path: str, batch: int | None = None) -> int:

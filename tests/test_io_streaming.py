@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import bench
 from ledgerleaf.operators import scoring
-from ledgerleaf.plans import registry
+from ledgerleaf.plans import flows, registry
 from ledgerleaf.sources import buckets, io
 from ledgerleaf.streaming import jobs
 
@@ -183,3 +183,21 @@ def test_first_upload_of_each_hash_stays(spark, sf):
 def test_bench_times_the_text_heavy_queries():
     assert {"rule_counts", "ranked_evidence", "grounded_entities"} <= set(bench.HEADLINE)
     assert set(bench.HEADLINE) - set(__spark_entry__.queries()) <= {n for n in bench.HEADLINE if n.startswith("op") or n == "pipeline"}
+
+
+def test_small_files_take_a_folder_of_many_and_a_task_of_many(spark, tmp_path):
+    rows = spark.range(300).select(F.concat(F.lit("doc_id="), F.col("id").cast("string")).alias("name"), F.when(F.col("id") == 7, None).otherwise(F.concat(F.lit("é "), F.col("id").cast("string"))).alias("text"))
+    twice = rows.where("id = 3").unionByName(rows).repartition(2)
+    assert io.write_text_files(twice, f"{tmp_path}/reports") == 301
+    assert len(list((tmp_path / "reports").iterdir())) <= 4 and not [p for p in tmp_path.rglob(".*")]
+    binaries, texts = io.inventory_binaries(spark, str(tmp_path)), io.read_markdown_corpus(spark, str(tmp_path), extension="txt")
+    assert binaries.rdd.getNumPartitions() <= 16 and texts.rdd.getNumPartitions() <= 16
+    assert sorted(r.text for r in texts.collect()) == sorted(f"é {i}" for i in [3, *range(300)] if i != 7)  # Spark reads no row of an empty file, here or below
+    assert binaries.count() == 300 and all(r.report_key.startswith("reports/") and "/doc_id=" in r.report_key for r in texts.collect())
+
+
+def test_stored_files_share_folders(spark, sf):
+    path = flows._stored(spark, sf, F.lit("x"))
+    made = io.inventory_binaries(spark, path, "*.txt").select("path").collect()
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert len(made) == n and len({r.path.rsplit("/", 1)[0] for r in made}) <= n // 10
