@@ -659,3 +659,16 @@ def test_form_of_the_search_on_odd_texts(spark):
     old = lambda c: tx.collapse_whitespace(F.regexp_replace(F.lower(F.regexp_replace(F.translate(c, tx.NBSP, " "), f"{tx.INVISIBLE}|{tx.SOFT_HYPHEN}", "")), r"[`*_>#|]", " "))
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.normalize_for_match(F.col("t")).alias("made"), old(F.col("t")).alias("want")).collect()
     assert [r.made for r in rows] == [r.want for r in rows] and rows[0].made == "a b c"
+
+
+def test_text_forms_make_the_search_form_once(spark, sf):
+    plan = registry.QUERIES["text_forms"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+
+
+def test_classes_that_fail_early_find_the_same(spark):
+    texts = ["a  b \t c  d ", "■□ ☒ x ✀✩❋ ← ⟷ ▴", "~\x7f!\x1f \x0b.", "", None]
+    old = lambda c: F.btrim(F.regexp_replace(c, f"{tx.SPACE}+", " "))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.collapse_whitespace(F.col("t")).alias("a"), old(F.col("t")).alias("b"), tx._unicode_cleanup(F.col("t")).alias("c"), F.regexp_replace(F.regexp_replace("t", tx.SYMBOLS, ""), tx.ARROWS, " - ").alias("d"))
+    for r in rows.collect():
+        assert r.a == r.b and r.c == r.d
