@@ -672,3 +672,11 @@ def test_classes_that_fail_early_find_the_same(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.collapse_whitespace(F.col("t")).alias("a"), old(F.col("t")).alias("b"), tx._unicode_cleanup(F.col("t")).alias("c"), F.regexp_replace(F.regexp_replace("t", tx.SYMBOLS, ""), tx.ARROWS, " - ").alias("d"))
     for r in rows.collect():
         assert r.a == r.b and r.c == r.d
+
+
+def test_scored_chunks_come_in_slices(spark):
+    chunks = spark.range(600).coalesce(1).select("id", F.when(F.col("id") != 9, F.concat(F.lit("t "), F.col("id").cast("string"))).alias("text"))
+    made = routing.classify_chunks(chunks, lambda texts: [[("n", len(texts)), ("c", len(t))] for t in texts], 100)
+    assert "MapInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+    rows = made.orderBy("id").collect()
+    assert [len(r.text or "") for r in rows] == [r.scores[1].score for r in rows] and max(r.scores[0].score for r in rows) == 100 and all(r.failure is None for r in rows)
