@@ -6,13 +6,14 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ledgerleaf.functions.text import fnv1a_hex, trim_space
+from ledgerleaf.functions.blocks import slices
+from ledgerleaf.functions.text import fnv1a, trim_space
 from ledgerleaf.operators.segment import char_chunks
 from ledgerleaf.sources.tables import written
 
@@ -22,22 +23,23 @@ TEXT_CHARS, CONTEXT_CHARS = 1500, 18_000
 def vector_records(pages: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = 24) -> DataFrame:
     """``id, namespace, values, page, chunk, text`` of ``report_id, page, text``; pages without a number get ``md`` ids.
 
-    Empty vectors are dropped; the embedder is called on the executors.
+    Empty vectors are dropped; the embedder is called on the executors with up to ``batch`` texts at a time.
     """
-    rows = pages.select("report_id", "page", F.posexplode(char_chunks(F.col("text"))).alias("chunk", "text"))
-    middle = F.when(F.col("page").isNotNull(), F.col("page").cast("string")).otherwise(F.concat(F.lit("md:"), F.col("chunk").cast("string")))
-    rows = rows.select(F.concat_ws(":", "report_id", middle, fnv1a_hex(F.col("text"))).alias("id"), F.col("report_id").alias("namespace"), "page", "chunk", F.substring("text", 1, TEXT_CHARS).alias("text"))
+    rows = pages.select(F.col("report_id").cast("string").alias("namespace"), "page", F.posexplode(char_chunks(F.col("text"))).alias("chunk", "text"))
+    at = rows.columns.index("text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in slices(b, at)):
+            # only a slice's texts and vectors are Python objects at a time
+            texts = part.column(at).to_pylist()
             made: list = []
-            for at in range(0, len(frame), batch):
-                made += embedder(frame["text"].iloc[at : at + batch].tolist())
-            yield frame.assign(values=made)[["id", "namespace", "values", "page", "chunk", "text"]]
+            for start in range(0, len(texts), batch):
+                made += embedder([t[:TEXT_CHARS] for t in texts[start : start + batch]])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fnv1a(texts), pa.string()), pa.array(made, pa.list_(pa.float32()))], names=[*part.schema.names, "hash", "values"])
 
-    page = pages.schema["page"].dataType.simpleString()
-    made = rows.mapInPandas(run, f"id string, namespace string, values array<float>, page {page}, chunk int, text string")
-    return made.where(F.size("values") > 0)
+    made = rows.mapInArrow(run, T.StructType([*rows.schema, *T.StructType.fromDDL("hash string, values array<float>")])).where(F.size("values") > 0)
+    middle = F.when(F.col("page").isNotNull(), F.col("page").cast("string")).otherwise(F.concat(F.lit("md:"), F.col("chunk").cast("string")))
+    return made.select(F.concat_ws(":", "namespace", middle, "hash").alias("id"), "namespace", "values", "page", "chunk", F.substring("text", 1, TEXT_CHARS).alias("text"))
 
 
 def upsert_vectors(old: DataFrame, new: DataFrame) -> DataFrame:

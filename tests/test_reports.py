@@ -1,5 +1,6 @@
 """Text, segmentation, rules, scores, entities and retrieval on small inline tables."""
 
+import hashlib
 import math
 import random
 import re
@@ -13,7 +14,7 @@ import __spark_entry__
 from ledgerleaf.functions import dimensions, folding, rules, text
 from ledgerleaf.functions import text as tx
 from ledgerleaf.operators import analytics, catalog, conversations, entities, features, intake, retrieval, routing, scoring, search_index, segment
-from ledgerleaf.plans import registry
+from ledgerleaf.plans import flows, registry
 
 
 def one(spark, value, fn):
@@ -680,3 +681,54 @@ def test_scored_chunks_come_in_slices(spark):
     assert "MapInPandas" not in made._jdf.queryExecution().executedPlan().toString()
     rows = made.orderBy("id").collect()
     assert [len(r.text or "") for r in rows] == [r.scores[1].score for r in rows] and max(r.scores[0].score for r in rows) == 100 and all(r.failure is None for r in rows)
+
+
+def plain_fnv1a(value):
+    h = 2166136261
+    for c in value:
+        h = ((h ^ ord(c)) * 16777619) % (1 << 32)
+    return f"{h:08x}"
+
+
+def test_hashes_of_texts_go_in_step(spark):
+    rng = random.Random(21)
+    texts = ["", "a", "é", "\U0001f600", "a\U0001f600b\ud7ff\ue000", "x\x00y", "\U0010ffff", "日本語" * 900] + ["".join(rng.choices("aé日\U0001f600 ", k=rng.randrange(90))) for _ in range(500)]
+    want = list(map(plain_fnv1a, texts))
+    assert text.fnv1a(texts) == want and text.fnv1a([]) == [] and text.fnv1a(texts[:9]) == want[:9] and text.fnv1a(["x" * 50] * 20) == [plain_fnv1a("x" * 50)] * 20
+    rows = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string").coalesce(1).select("i", text.fnv1a_hex(F.col("t")).alias("h"))
+    assert "aggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r.h for r in rows.orderBy("i").collect()] == [None, *want]
+
+
+def test_vector_records_in_slices_equal_a_plain_reading(spark):
+    texts = ["", None, " \n", "short é", "\U0001f600 " * 700, "x" * 3000, *(" ".join(f"w{i * j % 97}" for i in range(j)) for j in range(0, 900, 3))]
+    pages = spark.createDataFrame([(None if i == 8 else f"r{i}", None if i % 3 == 0 else i, t) for i, t in enumerate(texts)], "report_id string, page bigint, text string").coalesce(1)
+    model = lambda found: [[] if len(t) % 5 == 0 else None if len(t) % 7 == 0 else [len(found), len(t) / 3] for t in found]
+    records = retrieval.vector_records(pages, model)
+    assert "MapInPandas" not in records._jdf.queryExecution().executedPlan().toString()
+    assert records.dtypes == [("id", "string"), ("namespace", "string"), ("values", "array<float>"), ("page", "bigint"), ("chunk", "int"), ("text", "string")]
+    want = []
+    for i, t in enumerate(texts):
+        collapsed = " ".join((t or "").split())
+        pieces = segment.cut_points(collapsed, 1200, 150, ((" ", 0.6, 0),)) if len(collapsed) > 1200 else [collapsed] * bool(collapsed)
+        for k, piece in enumerate(pieces):
+            name, page = None if i == 8 else f"r{i}", None if i % 3 == 0 else i
+            if len(piece) % 5 and len(piece) % 7:
+                want.append((":".join([*([name] if name else []), f"md:{k}" if page is None else str(page), plain_fnv1a(piece)]), name, page, k, piece))
+    rows = records.collect()
+    assert sorted(map(str, want)) == sorted(str((r.id, r.namespace, r.page, r.chunk, r.text)) for r in rows) and len(rows) > 400
+    assert max(r["values"][0] for r in rows) == 24 and all(r["values"][1] == pytest.approx(len(r.text) / 3) for r in rows)
+
+
+def test_a_worker_keeps_the_hashes_of_words(monkeypatch):
+    made = []
+    monkeypatch.setattr(flows, "_word_hash", lambda w, f=flows._word_hash: made.append(w) or f(w))
+    monkeypatch.setattr(flows, "_HASH_OF", flows._Hashes())
+    monkeypatch.setattr(flows._Hashes, "most", 3)
+    md5 = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:4], 16)
+    texts = ["a b  a", "b a", "", "é " + "x" * 65, "x" * 65, "c d a"]
+    for t, row in zip(texts, flows.hashed_vectors(texts), strict=True):
+        assert row == [float(sum(md5(w) % flows.DIMENSIONS == i for w in t.split())) for i in range(flows.DIMENSIONS)]
+    # kept until three are held, a long word never
+    assert made == ["a", "b", "é", "x" * 65, "x" * 65, "c", "d", "a"] and len(flows._HASH_OF) <= 3
+    assert flows.hashed_scores(["d a d"]) == [[("Climate Change", sum(md5(w) % 7 - 3 for w in "dad") / 3), ("Human Capital", sum(md5(w) // 7 % 5 - 2 for w in "dad") / 3)]] and made[8:] == []
