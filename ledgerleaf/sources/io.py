@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -13,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ledgerleaf.functions.blocks import slices
+from ledgerleaf.functions.blocks import SLICE_BYTES, SLICE_ROWS, slices
 from ledgerleaf.sources.buckets import next_batch, upsert_buckets
+from ledgerleaf.sources.tables import written
 
 CORRUPT = "_corrupt_record"
 
@@ -78,16 +83,113 @@ def _in_tasks(rows: DataFrame) -> DataFrame:
     return rows.coalesce(max(4 * rows.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
 
 
+def _seen(path: str) -> bool:
+    """Whether Spark's readers take a file or folder of this name."""
+    name = path.rpartition("/")[2]
+    return name.startswith(("_common_metadata", "_metadata")) or not (name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name))
+
+
+def _uri(path: str) -> str:
+    """A path as Spark's metadata of a file have it: what a URI doesn't allow is quoted, other letters stay."""
+    return re.sub(r"[^A-Za-z0-9_\-!.~'()*,;:$&+=/@\x80-\U0010ffff]|\s", lambda m: quote(m[0]), path)
+
+
+def _folder(spark: SparkSession, folder: str) -> tuple[fs.FileSystem, str, str] | None:
+    """The file system of a folder, its path there and its name in Spark; None for what only Spark's readers open (other stores, patterns, single files)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    named = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)
+    try:
+        files, root = fs.FileSystem.from_uri(named.toUri().toString())
+        return (files, root, named.toString()) if files.get_file_info(root).type == fs.FileType.Directory else None
+    except (pa.ArrowException, OSError):
+        return None
+
+
+def _files_below(spark: SparkSession, files: fs.FileSystem, root: str, glob: str) -> DataFrame:
+    """``path, size`` of the files below a folder that are not empty, listed by tasks, a level of folders at a time: the driver holds no names."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found = [x for x in files.get_file_info(fs.FileSelector(path)) if _seen(x.path)]
+                sizes = [x.size if x.is_file else None for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([x.path for x in found], pa.string()), pa.array(sizes, pa.int64())], names=["path", "size"])
+
+    tasks, levels = 4 * spark.sparkContext.defaultParallelism, []
+    folders = spark.createDataFrame([(root,)], "path string")
+    while not folders.isEmpty():
+        levels.append(written(folders.mapInArrow(look, "path string, size long")))
+        folders = levels[-1].where("size is null").select("path").repartition(tasks)
+    named = f"(?s)^(?:{spark._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()})$"
+    return reduce(DataFrame.unionByName, levels).where(F.col("size") > 0).where(F.substring_index("path", "/", -1).rlike(named))
+
+
+def _read_in_tasks(found: DataFrame, read: Callable[[str], tuple], kinds: list[pa.DataType], schema: str) -> DataFrame:
+    """``read(path)`` of each file of ``_files_below``, in tasks of about TASK_BYTES, but some for every core."""
+    spark = found.sparkSession
+    size = found.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        for batch in batches:
+            for part in _parts_of(batch):
+                made = [read(path) for path in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)], names=names)
+
+    return found.select("path", "size").repartition(max(4 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)).mapInArrow(rows, schema)
+
+
+def _parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Files of SLICE_ROWS and SLICE_BYTES at most, a larger one by itself."""
+    start, held = 0, 0
+    for i, size in enumerate(batch.column(1).to_pylist()):
+        if i > start and (i - start >= SLICE_ROWS or held + size > SLICE_BYTES):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def read_markdown_corpus(spark: SparkSession, folder: str, prefix: str = "", extension: str = "md") -> DataFrame:
-    """``report_key, text``: a text file a report, its key from its path below ``folder``."""
-    rows = spark.read.option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", True).text(folder, wholetext=True)
-    below = F.regexp_extract("_metadata.file_path", rf"(reports/.*)\.{extension}$", 1)
-    key = F.when(below != "", F.concat(F.lit(prefix), below, F.lit(".pdf"))).otherwise(F.regexp_replace("_metadata.file_name", rf"\.{extension}$", ".pdf"))
-    return _in_tasks(rows.select(key.alias("report_key"), F.col("value").alias("text")))
+    """``report_key, text``: a text file a report, its key from its path below ``folder``.
+
+    Tasks list the folder and read its files; what only Spark's readers open is listed by the driver.
+    """
+    if place := _folder(spark, folder):
+        files, root, named = place
+
+        def read(path: str) -> tuple[str, bytes]:
+            with files.open_input_stream(path, compression=None) as text:
+                return _uri(named + path[len(root) :]), text.read()
+
+        rows = _read_in_tasks(_files_below(spark, files, root, f"*.{extension}"), read, [pa.string(), pa.binary()], "file_path string, value binary")
+        rows = rows.select(F.col("value").cast("string").alias("value"), "file_path", F.substring_index("file_path", "/", -1).alias("file_name"))
+    else:
+        rows = _in_tasks(spark.read.option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", True).text(folder, wholetext=True).select("value", "_metadata.file_path", "_metadata.file_name"))
+    below = F.regexp_extract("file_path", rf"(reports/.*)\.{extension}$", 1)
+    key = F.when(below != "", F.concat(F.lit(prefix), below, F.lit(".pdf"))).otherwise(F.regexp_replace("file_name", rf"\.{extension}$", ".pdf"))
+    return rows.select(key.alias("report_key"), F.col("value").alias("text"))
 
 
 def inventory_binaries(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """``path, size, sha256, has_signature`` of each file."""
+    """``path, size, sha256, has_signature`` of each file.
+
+    Tasks list the folder and read its files, a piece at a time; what only Spark's readers open is listed by the driver.
+    """
+    if place := _folder(spark, folder):
+        files, root, named = place
+
+        def read(path: str) -> tuple[str, int, str, bool]:
+            digest, size, first = hashlib.sha256(), 0, b""
+            with files.open_input_stream(path, compression=None) as stream:
+                while piece := stream.read(SLICE_BYTES):
+                    first = first if size else piece[:5]
+                    digest.update(piece)
+                    size += len(piece)
+            return named + path[len(root) :], size, digest.hexdigest(), first == b"%PDF-"
+
+        return _read_in_tasks(_files_below(spark, files, root, glob), read, [pa.string(), pa.int64(), pa.string(), pa.bool_()], "path string, size long, sha256 string, has_signature boolean")
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
     return _in_tasks(rows).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("has_signature"))
 

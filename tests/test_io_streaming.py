@@ -201,3 +201,17 @@ def test_stored_files_share_folders(spark, sf):
     made = io.inventory_binaries(spark, path, "*.txt").select("path").collect()
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert len(made) == n and len({r.path.rsplit("/", 1)[0] for r in made}) <= n // 10
+
+
+def test_tasks_list_and_read_stored_files(spark, tmp_path, monkeypatch):
+    root = tmp_path / "a b"
+    for name, held in (("reports/2020/a é%20#.md", b"%PDF-\xff"), ("reports/2020/_b.md", b"b"), ("reports/_h/c.md", b"c"), (".d/d.md", b"d"), ("reports/_p=1/e.md", b"e\n"), ("empty.md", b""), ("f.md", b"f"), ("g.txt", b"g")):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(held)
+    show = lambda df: sorted(tuple(r) for r in df.selectExpr(*[f"hex({c})" for c in df.columns]).collect())
+    both = lambda: [*(show(io.inventory_binaries(spark, str(root), g)) for g in ("*", "*.{md,x}", "[ae]*")), show(io.read_markdown_corpus(spark, str(root), "x/"))]
+    made = both()
+    names = [io.inventory_binaries(spark, str(root)), io.read_markdown_corpus(spark, str(root))]
+    assert not any(df.inputFiles() and any("a%20b" in f for f in df.inputFiles()) for df in names)  # the driver's plan knows no file of the folder
+    monkeypatch.setattr(io, "_folder", lambda *_: None)  # as Spark's readers list and read them
+    assert made == both() and [len(m) for m in made] == [4, 3, 2, 3]
