@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from ledgerleaf.functions.text import sample_head_tail
 from ledgerleaf.operators.features import (
     corpus_stats,
+    counted_reports,
+    counted_vector,
     feature_hits,
     feature_vector,
     quantitative_profile,
@@ -175,6 +177,14 @@ def score_blocks(blocks: DataFrame) -> DataFrame:
     return scored(profile.join(vector, "report_id", "left").fillna(flags))
 
 
+def _score_whole(documents: DataFrame) -> DataFrame:
+    """``score_blocks`` of all blocks of whole texts and ``corpus_sampled``; nulls where a report has no blocks."""
+    counted = written(counted_reports(documents))
+    rows = scored(counted_vector(counted)).withColumn("corpus_sampled", F.when(~F.col("without_text"), False))
+    made = [*SUMMARY[1:], "recommendations", "numeric_density"]
+    return rows.withColumns({c: F.when(F.col("blocks").isNotNull(), F.col(c)) for c in made})
+
+
 SUMMARY = ["report_id", "score", "band", "completeness", "consistency", "assurance", "transparency"]
 
 
@@ -186,8 +196,11 @@ def score_reports(documents: DataFrame, max_chars: int | None = None, most_block
     whole, long = F.col("text"), F.length("text")
     text, cut = (whole, long < 0) if max_chars is None else (sample_head_tail(whole, max_chars), long > max_chars)
     sampled = documents.select("report_id", text.alias("text"), cut.alias("corpus_sampled"))
-    rows = score_blocks(written(evidence_blocks(sampled, "text", most_blocks)))
-    out = sampled.select("report_id", "corpus_sampled").join(rows, "report_id", "left")
+    if max_chars is None and most_blocks is None:
+        out = _score_whole(documents)
+    else:
+        rows = score_blocks(written(evidence_blocks(sampled, "text", most_blocks)))
+        out = sampled.select("report_id", "corpus_sampled").join(rows, "report_id", "left")
     zeros = {k: 0 for k in ("score", "completeness", "consistency", "assurance", "transparency", "blocks", "corpus_chars", "percentage_count", "table_rows", "kpi_numbers", "distinct_years")}
     out = out.fillna(zeros | {"band": "low", "numeric_density": 0.0})
     return out.select(

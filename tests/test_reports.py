@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from ledgerleaf.functions import dimensions, folding, rules, text
 from ledgerleaf.functions import text as tx
+from ledgerleaf.functions.blocks import rule_finder
 from ledgerleaf.operators import analytics, catalog, conversations, entities, features, intake, retrieval, routing, scoring, search_index, segment
 from ledgerleaf.plans import flows, registry
+from ledgerleaf.sources.tables import written
 
 
 def one(spark, value, fn):
@@ -732,3 +734,56 @@ def test_a_worker_keeps_the_hashes_of_words(monkeypatch):
     # kept until three are held, a long word never
     assert made == ["a", "b", "é", "x" * 65, "x" * 65, "c", "d", "a"] and len(flows._HASH_OF) <= 3
     assert flows.hashed_scores(["d a d"]) == [[("Climate Change", sum(md5(w) % 7 - 3 for w in "dad") / 3), ("Human Capital", sum(md5(w) // 7 % 5 - 2 for w in "dad") / 3)]] and made[8:] == []
+
+
+def odd_reports(spark):
+    rng = random.Random(11)
+    parts = ["# Page {n}", "Page {n}: ", "ANNUAL REPORT 202{n}", "## Climate", "Scope 1 emissions were 12,40{n} tCO2e in 2023.", "Scope 3 category {n} upstream transport", "Upstream scope 3 and category 1{n} of 2021", "| KPI | 202{n} | 2023 |", "- ESRS E1-{n} water stress, net-zero", "Our target é is to cut 30 % by 203{n}", "ﬁne­ energy 5,200 MWh  und 1.5 °C", "![x](y) [assurance]( ) covers ghg", "--- | ---", "İstanbul Energy consumption K 1.234,5 kwh", "", "", "plain words of the group", "Größe 2018 2019 2018 2018 2018", ("Materiality of the board of directors and 4 % more. " * 9).strip(), "\U00010400 gri"]
+    texts = ["\n".join(rng.choice(parts).format(n=i % 5) for i in range(rng.randrange(60))) for _ in range(80)]
+    texts += [" ".join(rng.choice(parts[3:]).format(n=i % 5) for i in range(n)) for n in (60, 200)] + ["\n".join([" ".join(parts[4:9])] * 8) + "\n\nPage 2:\n" + "waste management " * 300, "", None, "short"]
+    return spark.createDataFrame([(f"r{k}", t) for k, t in enumerate(texts)], "report_id string, text string").repartition(3)
+
+
+def test_quotes_of_a_report_stay_together(spark):
+    docs = odd_reports(spark)
+    made = features.ranked_quotes(docs)
+    blocks = written(segment.evidence_blocks(docs, most=None))
+    show = lambda df: sorted(map(str, df.select("report_id", "feature_key", "block_idx", "page", "heading", "text", "quality", "rank").collect()))
+    assert show(made) == show(features.top_quotes(features.quote_candidates(blocks))) and made.where("feature_key = 'scope3_categories'").count() > 5
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the texts, no blocks or quotes
+    assert blocks.where("length(text) > 2800").count() > 1
+
+
+def test_scores_read_a_report_once(spark, monkeypatch):
+    docs = odd_reports(spark)
+    counted = features.counted_reports(docs)
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    names = [*scoring.SUMMARY, "recommendations", "percentage_count", "table_rows", "kpi_numbers", "distinct_years", "numeric_density", "corpus_chars", "pages_detected", "blocks"]
+    show = lambda df: sorted(map(str, df.select(*names).collect()))
+    made = scoring.score_reports(docs)
+    by_rows = scoring.score_blocks(written(segment.evidence_blocks(docs, most=None)))
+    assert show(made.where("blocks > 0")) == show(by_rows) and made.where("blocks > 0").count() > 70
+    assert {r.report_id: (r.score, r.band, r.blocks, r.numeric_density, r.recommendations, r.corpus_sampled) for r in made.where("blocks = 0").collect()}.items() >= {"r83": (0, "low", 0, 0.0, None, False), "r84": (0, "low", 0, 0.0, None, None)}.items()
+    one_way = sorted(map(str, made.collect()))
+    monkeypatch.setattr(segment, "RANGE_LINES", 4)
+    assert sorted(map(str, scoring.score_reports(docs).collect())) == one_way
+
+
+def test_cleaning_in_python_equals_the_column(spark):
+    rng = random.Random(12)
+    signs = ["a", "B ", " ", "  ", "\t", "\n", "\n\n", "\r", "\r\n", " ", "|", "| ", " |", "||", "#", "## ", "---", "-", ":-- | --", "[", "](", ")", "![", "]", "[...snipped...]", "​", "­", "ﬁ", "■", "→", " ", "\x0b", "é", "\U00010400"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(1, 14))) for _ in range(3000)]
+    for t, c in spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.normalize_for_evidence(F.col("t"))).collect():
+        assert text.evidence_form(t) == c, repr(t)
+        assert text.is_unclean(t) or text.evidence_form(t.strip(text.SPACES)) == t.strip(text.SPACES)
+
+
+def test_matches_from_the_words_that_they_begin_with():
+    kinds = {**rules.RULES, **{f"s{i}": p for i, p in enumerate(rules.SCOPE3_PATTERNS)}}
+    find = rule_finder({k: (p, k != "data_tables") for k, p in kinds.items()})
+    words = sorted({w for p in kinds.values() for w in [*(rules.leading_words(p) or ()), *(rules.needed_words(p) or ())]}) + ["scope 3", "category 4", "2030", "e1 - 2", "İ", "K", "é", "1", "%", ".", "|", "_"]
+    rng = random.Random(13)
+    for _ in range(3000):
+        t = "".join(rng.choice([w, w.upper()]) + rng.choice(["", " ", " ", "-", "s "]) for w in rng.choices(words, k=12))
+        assert find(t) == [(k, n) for k, p in kinds.items() if (n := sum(1 for _ in re.finditer(p, t, re.A if k == "data_tables" else re.A | re.I)))], t
+    assert rules.leading_words(r"\b1\.5\s*°?|\bab?c\b") is None and rules.leading_words(r"\b(?:ey\b|sgs)|di&i") == ["di", "ey", "sgs"]
